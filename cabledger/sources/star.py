@@ -162,6 +162,143 @@ SELECT CAST(ride_id*2+copy AS BIGINT) AS request_id, ride_id,
 FROM (SELECT rides.*, 1 AS copy FROM rides UNION ALL SELECT rides.*, 2 FROM rides WHERE ride_id%40=0) r"""
 
 
+STEPS["raw_registrations"] = """
+SELECT CAST(5000000+k AS BIGINT) AS user_id, CAST(5000000+k AS BIGINT) AS driver_id,
+  TIMESTAMP '1999-12-01 00:00:00' + INTERVAL '1' MINUTE * CAST(k%40000 AS INT) AS submitted_at,
+  CASE k%50 WHEN 1 THEN ' Al ' ELSE concat(' ',c_name) END AS full_name,
+  CASE k%50 WHEN 2 THEN 'bad mail' WHEN 3 THEN concat('C',CAST(k AS STRING),'@Example.com') WHEN 11 THEN concat('NEW',CAST(k-1 AS STRING),'@example.com')
+    WHEN 13 THEN concat('new',CAST(k-1 AS STRING),'@example.com') ELSE concat('new',CAST(k AS STRING),'@example.com') END AS email,
+  CASE k%50 WHEN 5 THEN '12345' WHEN 6 THEN concat('03',lpad(CAST(k+1 AS STRING),9,'0')) WHEN 12 THEN concat('034',lpad(CAST(k-1 AS STRING),8,'0'))
+    WHEN 18 THEN NULL WHEN 19 THEN concat('034-',lpad(CAST(k AS STRING),8,'0')) ELSE concat('034',lpad(CAST(k AS STRING),8,'0')) END AS phone,
+  CASE WHEN k%50=17 THEN 'admin' WHEN k%3=0 THEN 'driver' ELSE 'rider' END AS role,
+  CASE k%50 WHEN 14 THEN '123' WHEN 16 THEN '42201-0000001-1' ELSE concat('52201-',lpad(CAST(k AS STRING),7,'0'),'-1') END AS cnic,
+  CASE k%50 WHEN 15 THEN ' ab ' ELSE concat('NEW-',lpad(CAST(k AS STRING),6,'0')) END AS license_num
+FROM (SELECT c_custkey AS k, c_name FROM customer) f"""
+
+STEPS["raw_trips"] = """
+SELECT ride_id, CASE ride_id%50 WHEN 1 THEN '0' WHEN 2 THEN '501' WHEN 3 THEN 'abc' WHEN 8 THEN NULL ELSE CAST(CAST((ride_id*7%3000+10) AS DECIMAL(8,0))*CAST('0.01' AS DECIMAL(3,2)) AS STRING) END AS distance,
+  CASE ride_id%50 WHEN 4 THEN '' WHEN 6 THEN '601' WHEN 7 THEN '-5' WHEN 3 THEN '0' ELSE CAST(ride_id%90+1 AS STRING) END AS duration
+FROM rides WHERE status IN ('accepted','driver_en_route','in_progress') OR (status='completed' AND ride_id%5=0)"""
+
+STEPS["raw_vehicles"] = f"""
+SELECT CAST(7000000+k AS BIGINT) AS vehicle_id, CAST(k%{NS}+1 AS BIGINT) AS driver_id,
+  TIMESTAMP '1999-12-01 00:00:00' + INTERVAL '1' MINUTE * CAST(k%40000 AS INT) AS submitted_at,
+  CASE k%50 WHEN 1 THEN 'X' ELSE p_brand END AS make, CASE k%50 WHEN 2 THEN ' ' ELSE p_name END AS model,
+  CASE k%50 WHEN 3 THEN '1999' WHEN 4 THEN '2001' WHEN 10 THEN 'new' ELSE '2000' END AS year, CASE k%50 WHEN 5 THEN '' ELSE 'blue' END AS color,
+  CASE k%50 WHEN 6 THEN 'AB1' WHEN 8 THEN concat('lea-',CAST(1001+k AS STRING)) WHEN 9 THEN concat('KHI-',CAST(999+k AS STRING),' ')
+    WHEN 11 THEN concat('khi-',CAST(1010+k AS STRING)) ELSE concat(' khi-',CAST(1000+k AS STRING)) END AS license_plate,
+  CASE WHEN k%50=7 THEN 'truck' WHEN k%2=0 THEN 'economy' ELSE 'bike' END AS vehicle_type
+FROM (SELECT p_partkey AS k, p_brand, p_name FROM part) f"""
+
+STEPS["raw_topups"] = """
+SELECT CAST(c_custkey*2+copy AS BIGINT) AS request_id, CAST(c_custkey+1 AS BIGINT) AS user_id,
+  CASE (c_custkey+copy)%50 WHEN 1 THEN '99.99' WHEN 2 THEN '50000.01' WHEN 3 THEN 'abc' WHEN 4 THEN NULL WHEN 5 THEN '50000' WHEN 6 THEN '100'
+    ELSE CAST(100+(c_custkey*37)%500 AS STRING) END AS amount, TIMESTAMP '1996-01-01 00:00:00' + INTERVAL '1' MINUTE * CAST(c_custkey%1440+copy AS INT) AS requested_at
+FROM (SELECT c_custkey, 0 AS copy FROM customer UNION ALL SELECT c_custkey, 1 FROM customer WHERE c_custkey%3=0) f"""
+
+STEPS["raw_fare_rules"] = """
+SELECT CAST(9000000+k AS BIGINT) AS rule_id, TIMESTAMP '1999-12-01 00:00:00' + INTERVAL '1' MINUTE * CAST(k%40000 AS INT) AS submitted_at,
+  CASE WHEN k%50=1 THEN ' x ' WHEN k%4=0 THEN lower(n_name) ELSE concat(n_name,' ') END AS city,
+  CASE WHEN k%50=2 THEN 'boat' WHEN k%3=0 THEN 'bike' WHEN k%3=1 THEN 'economy' ELSE 'premium' END AS vehicle_type,
+  CASE k%50 WHEN 3 THEN '0' ELSE CAST(50+k%7 AS STRING) END AS base_rate, CASE k%50 WHEN 4 THEN '-1' ELSE '17.5' END AS per_km_rate,
+  CASE k%50 WHEN 5 THEN '' ELSE '2.25' END AS per_min_rate,
+  CASE k%50 WHEN 6 THEN '0.5' WHEN 7 THEN '' WHEN 8 THEN 'abc' WHEN 9 THEN NULL ELSE '1.25' END AS surge_multi
+FROM (SELECT s_suppkey AS k, n_name FROM supplier JOIN nation ON s_nationkey=n_nationkey) f"""
+
+STEPS["raw_promos"] = """
+SELECT CAST(8000000+k AS BIGINT) AS promo_id, TIMESTAMP '1999-12-01 00:00:00' + INTERVAL '1' MINUTE * CAST(k%40000 AS INT) AS submitted_at,
+  CASE k%50 WHEN 1 THEN 'ab' WHEN 2 THEN 'BAD CODE' WHEN 9 THEN ' promo1 ' WHEN 10 THEN concat('NEW',CAST(k+1 AS STRING)) ELSE concat('new',CAST(k AS STRING)) END AS code,
+  CASE k%50 WHEN 3 THEN '0' WHEN 4 THEN '100.5' WHEN 12 THEN '100' ELSE CAST(k%90+1 AS STRING) END AS discount_pct,
+  CASE k%50 WHEN 5 THEN '0' WHEN 13 THEN '' ELSE CAST(k%200+1 AS STRING) END AS usage_limit,
+  CASE k%50 WHEN 6 THEN NULL ELSE '2000-01-01 00:00:00' END AS valid_from,
+  CASE k%50 WHEN 7 THEN '' WHEN 8 THEN '1999-01-01 00:00:00' WHEN 14 THEN '2000-01-01 00:00:00' ELSE '2001-01-01 00:00:00' END AS valid_until
+FROM (SELECT p_partkey AS k FROM part) f"""
+
+STEPS["raw_ratings"] = """
+SELECT CAST(30000000+ride_id*4+kind AS BIGINT) AS rating_id, ride_id,
+  CASE WHEN kind=2 THEN 1000000+driver_id WHEN ride_id%50=1 THEN rider_id+1 ELSE rider_id END AS rated_by,
+  CASE WHEN kind=2 THEN rider_id WHEN ride_id%50=4 THEN NULL WHEN ride_id%50=5 THEN rider_id WHEN ride_id%50=6 THEN 1000001 ELSE 1000000+driver_id END AS rated_user_id,
+  CASE WHEN kind=2 THEN 'driver' ELSE 'rider' END AS rater_role,
+  CASE ride_id%50 WHEN 2 THEN '6' WHEN 3 THEN 'x' WHEN 7 THEN '' ELSE CAST(ride_id%5+1 AS STRING) END AS score,
+  CASE WHEN ride_id%3=0 THEN ' ok ' END AS comment, created_at + INTERVAL '1' MINUTE * CAST(100-kind AS INT) AS rated_at
+FROM (SELECT rides.*, 0 AS kind FROM rides UNION ALL SELECT rides.*, 1 FROM rides WHERE ride_id%7=0
+  UNION ALL SELECT rides.*, 2 FROM rides WHERE driver_id IS NOT NULL AND ride_id%4=1) f"""
+
+STEPS["accept_attempts"] = f"""
+SELECT ride_id, CAST((ride_id*13+try*try*7+try)%{NS}+1 AS BIGINT) AS driver_id,
+  created_at + INTERVAL '1' MINUTE * CAST((ride_id*7+try*5)%13 AS INT) AS attempted_at
+FROM (SELECT rides.*, 0 AS try FROM rides UNION ALL SELECT rides.*, 1 FROM rides UNION ALL SELECT rides.*, 2 FROM rides) f
+WHERE status='requested' OR (status='accepted' AND ride_id%3=0)"""
+
+STEPS["rejections"] = f"""
+SELECT ride_id, CAST((ride_id*13)%{NS}+1 AS BIGINT) AS driver_id FROM rides WHERE status='requested' AND ride_id%2=1"""
+
+STEPS["rides_before"] = """
+SELECT ride_id, rider_id, driver_id, vehicle_id, pickup_location_id, dropoff_location_id, rule_id,
+  CASE WHEN status IN ('driver_en_route','in_progress','completed','cancelled') AND ride_id%10<>3 THEN 'accepted' ELSE status END AS status,
+  fare, distance, duration, scheduled_at, completed_at, created_at FROM rides"""
+
+STEPS["status_changes"] = """
+SELECT CAST(ride_id*4+step AS BIGINT) AS change_id, ride_id,
+  CASE step WHEN 0 THEN 'driver_en_route' WHEN 1 THEN 'in_progress' WHEN 2 THEN 'completed' ELSE 'driver_en_route' END AS new_status,
+  created_at + INTERVAL '1' MINUTE * CAST(step*10+1 AS INT) AS changed_at
+FROM (SELECT ride_id, status, created_at, 0 AS step FROM rides WHERE ride_id%9<>0 UNION ALL SELECT ride_id, status, created_at, 1 FROM rides WHERE status<>'driver_en_route'
+  UNION ALL SELECT ride_id, status, created_at, 2 FROM rides WHERE ride_id%11=0 UNION ALL SELECT ride_id, status, created_at, 3 FROM rides WHERE ride_id%13=0) f
+WHERE status IN ('driver_en_route','in_progress','completed')"""
+
+STEPS["payments_before"] = """
+SELECT payment_id, ride_id, rider_id, promo_id, amount, pay_method, CASE WHEN ride_id%2=0 THEN 'pending' ELSE pay_status END AS pay_status,
+  discount_appld, transaction_date FROM payments WHERE ride_id%10<>3"""
+
+STEPS["history_before"] = "SELECT ride_id, outcome, final_fare, archived_at FROM ride_history WHERE ride_id%3=0"
+
+STEPS["earnings_before"] = """
+SELECT earning_id, ride_id, driver_id, gross_amount, commission, net_amount, payout_status, earned_at FROM driver_earnings WHERE ride_id%10=0"""
+
+STEPS["account_changes"] = """
+SELECT CAST(c_custkey*2+copy AS BIGINT) AS change_id, CAST(c_custkey+1 AS BIGINT) AS user_id,
+  CASE WHEN c_custkey%10=copy THEN 'deleted' WHEN c_custkey%3=copy THEN 'banned' WHEN c_custkey%3=1 THEN 'suspended' ELSE 'active' END AS new_status,
+  TIMESTAMP '1999-12-01 00:00:00' + INTERVAL '1' MINUTE * CAST((c_custkey*7+copy*11)%60 AS INT) AS changed_at
+FROM (SELECT c_custkey, 0 AS copy FROM customer UNION ALL SELECT c_custkey, 1 FROM customer WHERE c_custkey%2=0) f"""
+
+STEPS["review_changes"] = """
+SELECT vehicle_id*2 AS change_id, vehicle_id, CASE vehicle_id%4 WHEN 0 THEN 'verified' WHEN 1 THEN 'rejected' WHEN 2 THEN 'lost' ELSE NULL END AS new_status,
+  TIMESTAMP '1999-12-01 00:00:00' AS changed_at FROM vehicles"""
+
+STEPS["toggles"] = "SELECT driver_id, completed_at AS toggled_at FROM rides WHERE status='completed' AND ride_id%3=0"
+
+STEPS["topups"] = """
+SELECT request_id AS id, user_id, requested_at AS ts, CAST(amount AS DECIMAL(12,2)) AS amount FROM raw_topups
+WHERE request_id%3=0 AND amount IS NOT NULL AND amount<>'abc'"""
+
+STEPS["payouts"] = """
+SELECT driver_id AS id, user_id, TIMESTAMP '1999-12-01 00:00:00' AS ts, CAST(100+driver_id%50 AS DECIMAL(12,2)) AS amount FROM drivers"""
+
+STEPS["complaints"] = """
+SELECT ride_id AS complaint_id, ride_id, rider_id AS filed_by, CASE WHEN ride_id%50=10 THEN rider_id ELSE 1000000+driver_id END AS against_user_id,
+  'Late' AS subject, CASE WHEN ride_id%50=40 THEN NULL ELSE 'Came late' END AS description, CASE WHEN ride_id%50=30 THEN 'lost' ELSE 'open' END AS status,
+  created_at AS filed_at, CASE WHEN ride_id%50=20 THEN created_at - INTERVAL '1' DAY WHEN ride_id%20=0 THEN created_at + INTERVAL '2' DAY END AS resolved_at
+FROM rides WHERE status='completed' AND ride_id%10=0"""
+
+# Tables with broken constraints.
+STEPS["dirty_rides"] = """
+SELECT ride_id, CASE ride_id%50 WHEN 5 THEN -rider_id WHEN 9 THEN NULL ELSE rider_id END AS rider_id,
+  CASE ride_id%50 WHEN 8 THEN -1 ELSE driver_id END AS driver_id, vehicle_id, pickup_location_id,
+  CASE ride_id%50 WHEN 2 THEN pickup_location_id ELSE dropoff_location_id END AS dropoff_location_id, rule_id,
+  CASE ride_id%50 WHEN 3 THEN 'unknown' ELSE status END AS status, CASE ride_id%50 WHEN 1 THEN CAST(-fare AS DECIMAL(10,2)) ELSE fare END AS fare,
+  CASE ride_id%50 WHEN 1 THEN CAST('0.00' AS DECIMAL(8,2)) ELSE distance END AS distance,
+  CASE ride_id%50 WHEN 4 THEN 0 ELSE duration END AS duration, scheduled_at, completed_at, created_at
+FROM rides UNION ALL SELECT ride_id, rider_id, driver_id, vehicle_id, pickup_location_id, dropoff_location_id, rule_id, status, fare, distance, duration,
+  scheduled_at, completed_at, created_at FROM rides WHERE ride_id%50=6"""
+
+STEPS["dirty_users"] = """
+SELECT user_id, full_name, email, phone, role, acc_status, registration_date FROM users
+UNION ALL SELECT user_id+9000000, full_name, concat(email,' '), concat(phone,'0'), role, acc_status, registration_date FROM users WHERE user_id%50=6
+UNION ALL SELECT user_id+9500000, full_name, upper(email), phone, role, acc_status, registration_date FROM users WHERE user_id%50=7"""
+
+STEPS["leavers"] = "SELECT user_id FROM users WHERE user_id%50=1"
+
+
 def _depends(sql: str, known) -> list[str]:
     words = set(re.findall(r"\w+", sql))
     return [name for name in known if name in words]

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cabledger.plans import people, revenue, trips
+from cabledger import schema
+from cabledger.operators import constraints, forms
+from cabledger.plans import (accounts, dispatch, fares, feedback, payments, people, promos, revenue, trips,
+                             wallets)
+from cabledger.session import materialize
 from cabledger.sources.star import AS_OF, star_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,5 +47,127 @@ def report_queries() -> dict[str, Query]:
     return out
 
 
+def _form_view(checked: DataFrame, *keys: str) -> DataFrame:
+    """Key, first error and all errors as one text."""
+    return checked.select(*keys, "first_error", F.array_join("errors", ",").alias("errors"))
+
+
+def quality_queries() -> dict[str, Query]:
+    def form(check, table: str, key: str, *args) -> Query:
+        return _on_tables(lambda t: _form_view(check(t[table], *args), key))
+    out = {
+        "check_registration": form(forms.check_registration, "raw_registrations", "user_id"),
+        "check_booking": form(forms.check_booking, "raw_bookings", "ride_id", AS_OF),
+        "check_trip_completion": form(forms.check_trip_completion, "raw_trips", "ride_id"),
+        "check_vehicle": form(forms.check_vehicle, "raw_vehicles", "vehicle_id", AS_OF),
+        "check_topup": form(forms.check_topup, "raw_topups", "request_id"),
+        "check_fare_rule": form(forms.check_fare_rule, "raw_fare_rules", "rule_id"),
+        "check_promo": form(forms.check_promo, "raw_promos", "promo_id"),
+        "check_rating": form(forms.check_rating, "raw_ratings", "rating_id"),
+        "check_plate_format": form(forms.check_plate_format, "raw_vehicles", "vehicle_id"),
+        "check_constraints": _on_tables(lambda t: constraints.check_constraints(t["dirty_rides"], "rides").unionByName(
+            constraints.check_constraints(t["complaints"], "complaints"))),
+        "check_unique": _on_tables(lambda t: constraints.check_unique(t["dirty_rides"], "rides").unionByName(
+            constraints.check_unique(t["dirty_users"], "users"))),
+        "check_foreign_keys": _on_tables(lambda t: constraints.check_foreign_keys(
+            {"rides": t["dirty_rides"], **{n: t[n] for n in ("users", "drivers", "vehicles", "locations", "fare_rules")}},
+            "rides")),
+        "check_not_self": _on_tables(lambda t: constraints.check_not_self(t["dirty_rides"], "rides").unionByName(
+            constraints.check_not_self(t["complaints"], "complaints"))),
+        "propagate_delete": _on_tables(lambda t: constraints.propagate_delete(
+            {n: t[n] for n in ("users", "drivers", "vehicles", "wallet", "rides", "payments", "driver_earnings",
+                               "ratings", "complaints")}, "users", t["leavers"])),
+    }
+    return out
+
+
+def _rated(t) -> DataFrame:
+    clean = forms.passed(forms.check_trip_completion(t["raw_trips"]))
+    return fares.split_commission(fares.rate_fares(clean, t["rides"], t["fare_rules"]))
+
+
+def _priced(t):
+    return payments.apply_promos(t["payment_requests"], t["rides"], t["payments"], t["promo_codes"], AS_OF)
+
+
+def _redeemed(t):
+    return payments.redeem_promos_capped(materialize(_priced(t)["priced"]), t["promo_codes"])
+
+
+def _settled(t):
+    return payments.settle_payments(materialize(_redeemed(t)["accepted"]), t["payments"], t["wallet"], AS_OF)
+
+
+def _outputs(name: str, job, main: str) -> dict[str, Query]:
+    """A job with several outputs: the main one under its own name, the others as name_output."""
+    keys, run = job
+    return {name if k == main else f"{name}_{k}": _on_tables(lambda t, k=k: run(t)[k]) for k in keys}
+
+
+def job_queries() -> dict[str, Query]:
+    out: dict[str, Query] = {
+        "rate_fares": _on_tables(lambda t: _rated(t).drop("commission", "net_amount")),
+        "split_commission": _on_tables(_rated),
+        "post_earnings": _on_tables(lambda t: fares.post_earnings(t["earnings_before"], _rated(t), AS_OF)),
+        "open_payments": _on_tables(lambda t: fares.open_payments(t["payments_before"], _rated(t), AS_OF)),
+        "credit_wallets": _on_tables(lambda t: fares.credit_wallets(
+            t["wallet"], t["drivers"], _rated(t), t["earnings_before"])),
+        "archive_cancelled": _on_tables(lambda t: fares.archive_cancelled(
+            t["rides_before"], t["rides"], t["history_before"], AS_OF)),
+        "count_completed_trips": _on_tables(lambda t: fares.count_completed_trips(
+            t["rides"], t["drivers"].withColumn("total_trips", F.lit(0).cast("bigint")))),
+        "driver_rating_rollup": _on_tables(lambda t: feedback.driver_rating_rollup(
+            t["ratings"], t["drivers"].withColumn("avg_rating", F.lit(0).cast("decimal(3,2)")))),
+        "expire_promos": _on_tables(lambda t: promos.expire_promos(t["promo_codes"], AS_OF)),
+        "first_verified_vehicle": _on_tables(lambda t: dispatch.first_verified_vehicle(t["vehicles"])),
+        "match_drivers": _on_tables(lambda t: dispatch.match_drivers(
+            t["rides"], t["fare_rules"], t["drivers"], t["vehicles"], t["rejections"])),
+        "toggle_availability": _on_tables(lambda t: accounts.toggle_availability(t["drivers"], t["toggles"])),
+        "wallet_statement": _on_tables(lambda t: wallets.wallet_statement(
+            t["topups"], t["driver_earnings"], t["drivers"], t["payments"], t["payouts"])),
+    }
+    jobs = {
+        "complete_rides": ((["rides", "drivers", "ride_history"], lambda t: fares.complete_rides(
+            t["rides"], t["drivers"], t["history_before"], _rated(t), AS_OF)), "rides"),
+        "apply_promos": ((["priced", "rejected"], _priced), "priced"),
+        "redeem_promos_capped": ((["accepted", "rejected", "promo_codes"], _redeemed), "accepted"),
+        "settle_payments": ((["payments", "wallet", "rejected"], _settled), "payments"),
+        "on_payment_paid": ((["rides", "ride_history"], lambda t: payments.on_payment_paid(
+            t["payments_before"], t["payments"], t["rides_before"], t["history_before"], AS_OF)), "rides"),
+        "flag_low_rated": ((["users", "admin_notifications"], lambda t: feedback.flag_low_rated(
+            t["drivers"], t["users"], AS_OF)), "users"),
+        "accept_rides": ((["rides", "drivers", "rejected"], lambda t: dispatch.accept_rides(
+            t["accept_attempts"], t["rides"], t["drivers"], t["vehicles"])), "rides"),
+        "advance_status": ((["rides", "illegal"], lambda t: dispatch.advance_status(
+            t["status_changes"], t["rides_before"])), "rides"),
+        "book_rides": ((["rides", "locations", "rejected"], lambda t: dispatch.book_rides(
+            t["raw_bookings"], t["rides"], t["fare_rules"], AS_OF)), "rides"),
+        "register_users": ((["users", "drivers", "wallet", "rejected"], lambda t: accounts.register_users(
+            t["raw_registrations"], t["users"], t["drivers"], AS_OF)), "users"),
+        "add_vehicles": ((["vehicles", "rejected"], lambda t: accounts.add_vehicles(
+            t["raw_vehicles"], t["vehicles"], AS_OF)), "vehicles"),
+        "upsert_fare_rules": ((["fare_rules", "rejected"], lambda t: promos.upsert_fare_rules(
+            t["raw_fare_rules"], t["fare_rules"])), "fare_rules"),
+        "create_promos": ((["promo_codes", "rejected"], lambda t: promos.create_promos(
+            t["raw_promos"], t["promo_codes"])), "promo_codes"),
+        "top_up_wallets": ((["wallet", "rejected"], lambda t: wallets.top_up_wallets(
+            t["raw_topups"], t["wallet"])), "wallet"),
+        "request_payouts": ((["wallet", "rejected"], lambda t: wallets.request_payouts(
+            t["wallet"], t["wallet"].select("user_id"), AS_OF)), "wallet"),
+        "approve_payouts": ((["driver_earnings", "wallet", "differences"], lambda t: wallets.approve_payouts(
+            t["drivers"].filter("driver_id % 2 = 0").select("driver_id"), t["driver_earnings"], t["wallet"],
+            t["drivers"], AS_OF)), "driver_earnings"),
+        "accept_ratings": ((["ratings", "accepted", "rejected"], lambda t: feedback.accept_ratings(
+            t["raw_ratings"], t["rides"], t["ratings"], t["drivers"])), "ratings"),
+        "apply_status_changes": ((["table", "rejected"], lambda t: accounts.apply_status_changes(
+            t["users"], t["account_changes"], "user_id", "acc_status", schema.ACCOUNT_STATES)), "table"),
+        "review_vehicles": ((["table", "rejected"], lambda t: accounts.apply_status_changes(
+            t["vehicles"], t["review_changes"], "vehicle_id", "verify_status", schema.VERIFY_STATES)), "table"),
+    }
+    for name, (job, main) in jobs.items():
+        out.update(_outputs(name, job, main))
+    return out
+
+
 def all_queries() -> dict[str, Query]:
-    return report_queries()
+    return {**report_queries(), **quality_queries(), **job_queries()}
