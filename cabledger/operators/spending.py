@@ -81,7 +81,7 @@ def _rounds(spendings: DataFrame, balances: DataFrame) -> DataFrame:
     # The largest power of two within a positive number, from the length of its binary form.
     threshold = F.expr("shiftleft(1L, length(bin(_bal)) - 1)")
     while True:
-        state = materialize(state.filter(c("_bal") > 0).withColumn("_t", threshold))
+        state = state.filter(c("_bal") > 0).withColumn("_t", threshold)
         if state.isEmpty():
             break
         ends = materialize(_round_ends(chunks, state))

@@ -299,6 +299,26 @@ UNION ALL SELECT user_id+9500000, full_name, upper(email), phone, role, acc_stat
 STEPS["leavers"] = "SELECT user_id FROM users WHERE user_id%50=1"
 
 
+# Event streams; every tenth event is sent twice.
+STEPS["trip_events"] = """
+SELECT ride_id, distance, duration, TIMESTAMP '1999-12-01 00:00:00' + INTERVAL '1' MINUTE * CAST(ride_id%30 AS INT) AS finished_at FROM raw_trips
+UNION ALL SELECT ride_id, distance, duration, TIMESTAMP '1999-12-01 00:00:00' + INTERVAL '1' MINUTE * CAST(ride_id%30 AS INT) FROM raw_trips WHERE ride_id%10=0"""
+
+STEPS["rating_events"] = """
+SELECT rating_id, rated_user_id, score, rated_at FROM ratings
+UNION ALL SELECT rating_id, rated_user_id, score, rated_at FROM ratings WHERE rating_id%10=0"""
+
+STEPS["closure_events"] = """
+SELECT ride_id*4 AS event_id, ride_id, 'paid' AS kind, transaction_date AS happened_at FROM payments WHERE pay_status='paid'
+UNION ALL SELECT ride_id*4+1, ride_id, 'paid', transaction_date FROM payments WHERE pay_status='paid' AND ride_id%10=0
+UNION ALL SELECT ride_id*4+2, ride_id, 'cancelled', created_at FROM rides WHERE status='cancelled'
+UNION ALL SELECT ride_id*4+3, ride_id, 'paid', created_at - INTERVAL '1' DAY FROM rides WHERE status='cancelled' AND ride_id%4=0"""
+
+STEPS["trip_changes"] = """
+SELECT ride_id, driver_id, status, created_at AS changed_at FROM rides
+UNION ALL SELECT ride_id, driver_id, status, created_at FROM rides WHERE ride_id%10=0"""
+
+
 def _depends(sql: str, known) -> list[str]:
     words = set(re.findall(r"\w+", sql))
     return [name for name in known if name in words]

@@ -264,3 +264,13 @@ SQL = {
         THEN c.new_status ELSE v.verify_status END AS verify_status FROM vehicles v LEFT JOIN review_changes c ON c.vehicle_id=v.vehicle_id""",
     "review_vehicles_rejected": "SELECT *, 'status_not_allowed' AS reason FROM review_changes WHERE coalesce(new_status,'lost')='lost'",
 }
+
+SQL.update({
+    "stream_rate_fares": SQL["split_commission"],
+    "stream_driver_ratings": """SELECT rated_user_id, CAST(sum(score) AS BIGINT) AS score_sum, count(*) AS n,
+        CAST(round(sum(score)*1.0000/count(*),2) AS DECIMAL(3,2)) AS mean FROM ratings GROUP BY rated_user_id""",
+    "stream_ride_closures": f"""SELECT ride_id, status AS outcome, coalesce(fare,{ZERO}) AS final_fare, {NOW} AS archived_at FROM rides r
+        WHERE ride_id NOT IN (SELECT ride_id FROM history_before) AND (status='cancelled' OR
+          (status='completed' AND EXISTS (SELECT 1 FROM payments p WHERE p.ride_id=r.ride_id AND p.pay_status='paid')))""",
+    "stream_trip_counts": """SELECT driver_id, count(*) AS total_trips FROM rides WHERE status='completed' AND driver_id IS NOT NULL GROUP BY driver_id""",
+})

@@ -12,6 +12,7 @@ from cabledger.plans import (accounts, dispatch, fares, feedback, payments, peop
                              wallets)
 from cabledger.session import materialize
 from cabledger.sources.star import AS_OF, star_tables
+from checks.stream_queries import stream_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 MONTH = ("1997-01-01", "1997-01-30")
@@ -170,4 +171,4 @@ def job_queries() -> dict[str, Query]:
 
 
 def all_queries() -> dict[str, Query]:
-    return {**report_queries(), **quality_queries(), **job_queries()}
+    return {**report_queries(), **quality_queries(), **job_queries(), **stream_queries()}
