@@ -30,8 +30,8 @@ def book_rides(requests: DataFrame, rides: DataFrame, fare_rules: DataFrame, as_
         "reason", F.coalesce("first_error", F.when(c("_busy"), "active_ride")))
     free = tested.filter(c("reason").isNull())
     first = first_per_key(free.select("rider_id", "requested_at", "ride_id"), ["rider_id"], ["requested_at", "ride_id"])
-    ranked = tested.join(first.select("ride_id", F.lit(True).alias("_first")), "ride_id", "left").withColumn(
-        "reason", F.when(c("reason").isNull() & c("_first").isNull(), "active_ride").otherwise(c("reason")))
+    ranked = materialize(tested.join(first.select("ride_id", F.lit(True).alias("_first")), "ride_id", "left").withColumn(
+        "reason", F.when(c("reason").isNull() & c("_first").isNull(), "active_ride").otherwise(c("reason"))))
     booked = pricing_rule_lookup(ranked.filter(c("reason").isNull()), fare_rules)
     made = booked.select(
         "ride_id", "rider_id", (c("ride_id") * 2).alias("pickup_location_id"),
@@ -104,12 +104,13 @@ def accept_rides(attempts: DataFrame, rides: DataFrame, drivers: DataFrame, vehi
     """
     verified = drivers.filter(c("verify_status") == "verified").select("driver_id", F.lit(True).alias("_verified"))
     wanted = rides.filter(c("status") == "requested").select("ride_id", F.lit(True).alias("_requested"))
-    tested = (attempts.select("ride_id", "driver_id", "attempted_at")
-              .join(verified, "driver_id", "left").join(first_verified_vehicle(vehicles), "driver_id", "left")
-              .join(wanted, "ride_id", "left")
-              .withColumn("reason", F.when(c("_verified").isNull(), "driver_not_verified")
-                          .when(c("vehicle_id").isNull(), "no_verified_vehicle")
-                          .when(c("_requested").isNull(), "ride_not_requested")))
+    tested = materialize(
+        attempts.select("ride_id", "driver_id", "attempted_at")
+        .join(verified, "driver_id", "left").join(first_verified_vehicle(vehicles), "driver_id", "left")
+        .join(wanted, "ride_id", "left")
+        .withColumn("reason", F.when(c("_verified").isNull(), "driver_not_verified")
+                    .when(c("vehicle_id").isNull(), "no_verified_vehicle")
+                    .when(c("_requested").isNull(), "ride_not_requested")))
     eligible = tested.filter(c("reason").isNull())
     won = first_per_key(eligible.select("ride_id", "driver_id", "vehicle_id", "attempted_at"), ["ride_id"],
                         ["attempted_at", "driver_id"])

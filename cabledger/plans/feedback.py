@@ -9,6 +9,7 @@ from cabledger.functions.clock import moment
 from cabledger.functions.text import trimmed, whole
 from cabledger.operators.forms import check_rating
 from cabledger.operators.pick import first_per_key
+from cabledger.session import materialize
 from cabledger.sources.sinks import update_join
 
 c = F.col
@@ -39,8 +40,8 @@ def accept_ratings(forms: DataFrame, rides: DataFrame, ratings: DataFrame, drive
     good = tested.filter(c("reason").isNull())
     first = first_per_key(good.select("ride_id", "rated_by", "rated_at", "rating_id"), ["ride_id", "rated_by"],
                           ["rated_at", "rating_id"]).select("rating_id", F.lit(True).alias("_first"))
-    ranked = tested.join(first, "rating_id", "left").withColumn(
-        "reason", F.when(c("reason").isNull() & c("_first").isNull(), "already_rated").otherwise(c("reason")))
+    ranked = materialize(tested.join(first, "rating_id", "left").withColumn(
+        "reason", F.when(c("reason").isNull() & c("_first").isNull(), "already_rated").otherwise(c("reason"))))
     kept = ranked.filter(c("reason").isNull())
     other_side = F.when(rider, c("_driver_user")).otherwise(c("rider_id"))
     accepted = kept.withColumn("score", whole(c("score"))).withColumn(

@@ -1,4 +1,7 @@
-"""Paying for rides: promo discounts, capped redemption, settlement and closing of paid rides."""
+"""Paying for rides: promo discounts, capped redemption, settlement and closing of paid rides.
+
+What several outputs of a job share is checkpointed once, so writing all of them joins the requests once.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +15,7 @@ from cabledger.operators.ordered import HOT_ROWS, numbered
 from cabledger.operators.pick import first_per_key
 from cabledger.operators.spending import allow_in_order
 from cabledger.plans.trips import usable
+from cabledger.session import materialize
 from cabledger.sources.sinks import insert_ignore, update_join, upsert
 
 c = F.col
@@ -41,8 +45,8 @@ def apply_promos(requests: DataFrame, rides: DataFrame, payments: DataFrame, pro
     good = tested.filter(c("reason").isNull())
     first = first_per_key(good.select("ride_id", "requested_at", "request_id"), ["ride_id"],
                           ["requested_at", "request_id"]).select("request_id", F.lit(True).alias("_first"))
-    ranked = tested.join(first, "request_id", "left").withColumn(
-        "reason", F.when(c("reason").isNull() & c("_first").isNull(), "later_request").otherwise(c("reason")))
+    ranked = materialize(tested.drop("_code").join(first, "request_id", "left").withColumn(
+        "reason", F.when(c("reason").isNull() & c("_first").isNull(), "later_request").otherwise(c("reason"))))
     off = F.coalesce(money.discount(c("fare"), c("discount_pct")), money.money(F.lit(0)))
     priced = ranked.filter(c("reason").isNull()).withColumn("discount", off)
     return {
@@ -63,7 +67,8 @@ def redeem_promos_capped(priced: DataFrame, promo_codes: DataFrame, hot_rows: in
     demand = wanted.groupBy("promo_id").agg(F.count(F.lit(1)).alias("_n")).join(left, "promo_id")
     tagged = wanted.join(demand, "promo_id")
     ample = tagged.filter(c("_n") <= c("_left"))
-    scarce = numbered(tagged.filter(c("_n") > c("_left")), ["promo_id"], ["requested_at", "request_id"], "_rn", hot_rows)
+    scarce = materialize(numbered(tagged.filter(c("_n") > c("_left")), ["promo_id"], ["requested_at", "request_id"],
+                                  "_rn", hot_rows))
     kept = (priced.filter(c("promo_id").isNull())
             .unionByName(ample.select(*priced.columns))
             .unionByName(scarce.filter(c("_rn") <= c("_left")).select(*priced.columns)))
@@ -88,8 +93,9 @@ def settle_payments(accepted: DataFrame, payments: DataFrame, wallet: DataFrame,
         c("rider_id").alias("user_id"), c("requested_at").alias("ts"), c("request_id").alias("id"),
         c("total").alias("amount"))
     allowed = allow_in_order(from_wallet, wallet.select("user_id", "balance"), **limits)
-    settled = accepted.join(allowed.select(c("id").alias("request_id"), "allowed"), "request_id", "left").withColumn(
-        "allowed", F.coalesce("allowed", F.lit(True)))
+    settled = materialize(accepted.join(
+        allowed.select(c("id").alias("request_id"), "allowed"), "request_id", "left").withColumn(
+        "allowed", F.coalesce("allowed", F.lit(True))))
     paid = settled.filter("allowed").select(
         c("ride_id").alias("payment_id"), "ride_id", "rider_id", "promo_id", c("total").alias("amount"), "pay_method",
         F.lit("paid").alias("pay_status"), c("discount").alias("discount_appld"), moment(as_of).alias("transaction_date"))

@@ -92,7 +92,7 @@ def _priced(t):
 
 
 def _redeemed(t):
-    return payments.redeem_promos_capped(materialize(_priced(t)["priced"]), t["promo_codes"])
+    return payments.redeem_promos_capped(_priced(t)["priced"], t["promo_codes"])
 
 
 def _settled(t):
