@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def moment(as_of: str | datetime) -> Column:
@@ -25,3 +25,13 @@ def in_range(c: Column, date_from: str | date, date_to: str | date, half_open: b
     start = moment(f"{date_from} 00:00:00" if len(str(date_from)) == 10 else date_from)
     end = moment(datetime.fromisoformat(str(date_to)) + timedelta(days=1))
     return (c >= start) & ((c < end) if half_open else (c <= end))
+
+
+def rows_in_range(df: DataFrame, column: str, date_from: str | date, date_to: str | date,
+                  half_open: bool = False) -> DataFrame:
+    """Rows within the range; of a table laid out by month only those months are read."""
+    hit = in_range(F.col(column), date_from, date_to, half_open)
+    if "month" in df.columns:
+        end = datetime.fromisoformat(str(date_to)) + timedelta(days=1)
+        hit = hit & F.col("month").between(str(date_from)[:7], str(end)[:7])
+    return df.filter(hit)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cabledger import schema
 from cabledger.functions.text import folded
+from cabledger.session import materialize
 
 # Keys compared without regard to case, accents and trailing blanks.
 TEXT_KEYS = {"email", "license_plate", "code", "city", "license_num"}
@@ -94,7 +95,8 @@ def propagate_delete(t: Mapping[str, DataFrame], table: str, keys: DataFrame) ->
 
 def _delete_parts(t: Mapping[str, DataFrame], table: str, keys: DataFrame) -> list[DataFrame]:
     key = schema.PRIMARY_KEY[table]
-    gone = t[table].select(key).join(keys.select(F.col(keys.columns[0]).alias(key)), key, "left_semi")
+    # The keys to delete are read once per link, so they are checkpointed; the tables are not.
+    gone = materialize(t[table].select(key).join(keys.select(F.col(keys.columns[0]).alias(key)), key, "left_semi"))
     parts = [gone.select(F.lit(table).alias("table"), F.col(key).cast("string").alias("key"),
                          F.lit(key).alias("column"), F.lit("delete").alias("action"))]
     actions = {"set_null": "set_null", "restrict": "blocked"}

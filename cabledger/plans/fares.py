@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, functions as F
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 from cabledger import schema
 from cabledger.functions import money
 from cabledger.functions.clock import moment
+from cabledger.operators.forms import check_trip_completion, failed, passed
+from cabledger.session import materialize
 from cabledger.sources.sinks import insert_ignore, update_join, upsert
 
 c = F.col
@@ -33,6 +36,24 @@ def split_commission(rated: DataFrame, share: Decimal = money.COMMISSION) -> Dat
     return cut.withColumn("net_amount", money.money(c("fare") - c("commission")))
 
 
+def finish_trips(forms: DataFrame, t: Mapping[str, DataFrame], as_of: str) -> dict[str, DataFrame]:
+    """The whole chain for finished trips, from the drivers' forms to all new tables.
+
+    The rated trips feed five tables, so they are computed and checkpointed once. Forms with errors come
+    back as ``rejected``.
+    """
+    checked = check_trip_completion(forms)
+    rated = materialize(split_commission(rate_fares(passed(checked), t["rides"], t["fare_rules"])))
+    return {
+        "rated": rated,
+        "rejected": failed(checked),
+        "driver_earnings": post_earnings(t["driver_earnings"], rated, as_of),
+        "payments": open_payments(t["payments"], rated, as_of),
+        "wallet": credit_wallets(t["wallet"], t["drivers"], rated, t["driver_earnings"]),
+        **complete_rides(t["rides"], t["drivers"], t["ride_history"], rated, as_of),
+    }
+
+
 def post_earnings(driver_earnings: DataFrame, rated: DataFrame, as_of: str) -> DataFrame:
     """One earning per ride; rating a ride again replaces the amounts, not the driver or payout state."""
     posted = rated.filter(c("driver_id").isNotNull()).select(

@@ -10,7 +10,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, functions as F
 
-from cabledger.functions.clock import in_range
+from cabledger.functions.clock import rows_in_range
 from cabledger.functions.money import total
 from cabledger.operators.joins import with_pickup_city
 from cabledger.operators.regions import merge_cities
@@ -64,8 +64,8 @@ def chart_series(report: DataFrame, label: str, value: str) -> DataFrame:
 
 
 def _range_total(t: Tables, status: str, date_from: str, date_to: str, half_open: bool) -> DataFrame:
-    hit = t["payments"].filter(
-        (F.col("pay_status") == status) & in_range(F.col("transaction_date"), date_from, date_to, half_open))
+    hit = rows_in_range(t["payments"], "transaction_date", date_from, date_to, half_open).filter(
+        F.col("pay_status") == status)
     return hit.agg(total("amount").alias("total"), F.count(F.lit(1)).alias("count"))
 
 
@@ -80,7 +80,7 @@ def refunds_in_range(t: Tables, date_from: str, date_to: str, half_open: bool =
 
 def driver_earnings_in_range(t: Tables, date_from: str, date_to: str, half_open: bool = False) -> DataFrame:
     """Gross, commission, net and trips per driver, highest gross first."""
-    hit = t["driver_earnings"].filter(in_range(F.col("earned_at"), date_from, date_to, half_open))
+    hit = rows_in_range(t["driver_earnings"], "earned_at", date_from, date_to, half_open)
     per_driver = hit.groupBy("driver_id").agg(
         total("gross_amount").alias("gross"), total("commission").alias("commission"),
         total("net_amount").alias("net"), F.count("earning_id").alias("trips"))

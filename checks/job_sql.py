@@ -274,3 +274,22 @@ SQL.update({
           (status='completed' AND EXISTS (SELECT 1 FROM payments p WHERE p.ride_id=r.ride_id AND p.pay_status='paid')))""",
     "stream_trip_counts": """SELECT driver_id, count(*) AS total_trips FROM rides WHERE status='completed' AND driver_id IS NOT NULL GROUP BY driver_id""",
 })
+
+SQL.update({
+    "complete_rides_rejected": f"SELECT *, {reason(TRIP)} AS reason FROM raw_trips WHERE NOT ({good(TRIP)})",
+    "load_tables": "SELECT r.ride_id, l.city, r.fare, r.created_at FROM rides r JOIN locations l ON l.location_id=r.pickup_location_id",
+    "append": f"SELECT {RIDE} FROM rides r",
+    "upsert": f"""SELECT b.payment_id, b.ride_id, b.rider_id, p.promo_id, b.amount, b.pay_method, p.pay_status, b.discount_appld, b.transaction_date
+        FROM payments_before b JOIN payments p ON p.ride_id=b.ride_id UNION ALL SELECT {PAY} FROM payments WHERE ride_id NOT IN (SELECT ride_id FROM payments_before)""",
+    "insert_ignore": _history(f"""SELECT ride_id, 'completed', {ZERO}, happened_at FROM closure_events
+        QUALIFY row_number() OVER (PARTITION BY ride_id ORDER BY happened_at, event_id)=1"""),
+    "update_where": f"""SELECT user_id, balance, CASE WHEN balance<500 THEN {NOW} ELSE last_payout_date END AS last_payout_date,
+        CASE WHEN balance<500 THEN 'none' ELSE payout_status END AS payout_status FROM wallet""",
+    "update_join": """SELECT v.vehicle_id, v.driver_id, v.make, v.model, v.year, v.color, v.license_plate, v.vehicle_type,
+        coalesce(d.verify_status,v.verify_status) AS verify_status FROM vehicles v LEFT JOIN drivers d ON d.driver_id=v.driver_id AND d.verify_status<>'verified'""",
+    "ids_of_inserted": "SELECT email, CAST(0 AS INTEGER) AS balance, user_id FROM users",
+    "assign_drivers": MATCHED + f""", offers AS (SELECT * FROM (SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3) m
+          WHERE NOT EXISTS (SELECT 1 FROM rejections x WHERE x.ride_id=m.ride_id AND x.driver_id=m.driver_id))
+        SELECT r.ride_id, r.rider_id, coalesce(o.driver_id,r.driver_id) AS driver_id, coalesce(o.vehicle_id,r.vehicle_id) AS vehicle_id, r.pickup_location_id, r.dropoff_location_id,
+        r.rule_id, r.status, r.fare, r.distance, r.duration, r.scheduled_at, r.completed_at, r.created_at FROM rides r LEFT JOIN offers o ON o.ride_id=r.ride_id""",
+})

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cabledger import schema
+from cabledger.functions.clock import moment
 from cabledger.operators import constraints, forms
+from cabledger.operators.joins import with_pickup_city
 from cabledger.plans import (accounts, dispatch, fares, feedback, payments, people, promos, revenue, trips,
                              wallets)
-from cabledger.session import materialize
+from cabledger.session import materialize, shared_dir
+from cabledger.sources import sinks
 from cabledger.sources.star import AS_OF, star_tables
+from cabledger.sources.tables import append, load_tables, save_tables
 from checks.stream_queries import stream_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +92,14 @@ def _rated(t) -> DataFrame:
     return fares.split_commission(fares.rate_fares(clean, t["rides"], t["fare_rules"]))
 
 
+def _finished(t) -> dict[str, DataFrame]:
+    """The trip chain on the state before it: part of the earnings, payments and history."""
+    state = {n: t[n] for n in ("rides", "fare_rules", "wallet", "drivers")}
+    return fares.finish_trips(t["raw_trips"], {
+        **state, "driver_earnings": t["earnings_before"], "payments": t["payments_before"],
+        "ride_history": t["history_before"]}, AS_OF)
+
+
 def _priced(t):
     return payments.apply_promos(t["payment_requests"], t["rides"], t["payments"], t["promo_codes"], AS_OF)
 
@@ -109,10 +122,9 @@ def job_queries() -> dict[str, Query]:
     out: dict[str, Query] = {
         "rate_fares": _on_tables(lambda t: _rated(t).drop("commission", "net_amount")),
         "split_commission": _on_tables(_rated),
-        "post_earnings": _on_tables(lambda t: fares.post_earnings(t["earnings_before"], _rated(t), AS_OF)),
-        "open_payments": _on_tables(lambda t: fares.open_payments(t["payments_before"], _rated(t), AS_OF)),
-        "credit_wallets": _on_tables(lambda t: fares.credit_wallets(
-            t["wallet"], t["drivers"], _rated(t), t["earnings_before"])),
+        "post_earnings": _on_tables(lambda t: _finished(t)["driver_earnings"]),
+        "open_payments": _on_tables(lambda t: _finished(t)["payments"]),
+        "credit_wallets": _on_tables(lambda t: _finished(t)["wallet"]),
         "archive_cancelled": _on_tables(lambda t: fares.archive_cancelled(
             t["rides_before"], t["rides"], t["history_before"], AS_OF)),
         "count_completed_trips": _on_tables(lambda t: fares.count_completed_trips(
@@ -128,8 +140,7 @@ def job_queries() -> dict[str, Query]:
             t["topups"], t["driver_earnings"], t["drivers"], t["payments"], t["payouts"])),
     }
     jobs = {
-        "complete_rides": ((["rides", "drivers", "ride_history"], lambda t: fares.complete_rides(
-            t["rides"], t["drivers"], t["history_before"], _rated(t), AS_OF)), "rides"),
+        "complete_rides": ((["rides", "drivers", "ride_history", "rejected"], _finished), "rides"),
         "apply_promos": ((["priced", "rejected"], _priced), "priced"),
         "redeem_promos_capped": ((["accepted", "rejected", "promo_codes"], _redeemed), "accepted"),
         "settle_payments": ((["payments", "wallet", "rejected"], _settled), "payments"),
@@ -170,5 +181,49 @@ def job_queries() -> dict[str, Query]:
     return out
 
 
+def _fresh_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
+
+
+def _load_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write tables as a snapshot, read them back and join two of them."""
+    t, root = star_tables(spark, sf_dir), _fresh_folder(spark)
+    save_tables({n: t[n] for n in ("rides", "locations")}, root)
+    loaded = load_tables(spark, root, ["rides", "locations"])
+    return with_pickup_city(loaded["rides"], loaded["locations"]).select("ride_id", "city", "fare", "created_at")
+
+
+def _append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Add two lots of rides to a table laid out by month and read them back."""
+    t, root = star_tables(spark, sf_dir), _fresh_folder(spark)
+    for lot in (0, 1):
+        append(t["rides"].filter(F.col("ride_id") % 2 == lot), "rides", root)
+    return load_tables(spark, root, ["rides"])["rides"].drop("month")
+
+
+def sink_queries() -> dict[str, Query]:
+    return {
+        "load_tables": _load_tables,
+        "append": _append,
+        "upsert": _on_tables(lambda t: sinks.upsert(
+            t["payments_before"], t["payments"], ["ride_id"], ["pay_status", "promo_id"])),
+        "insert_ignore": _on_tables(lambda t: sinks.insert_ignore(
+            t["history_before"], t["closure_events"].select(
+                "ride_id", "event_id", F.lit("completed").alias("outcome"), F.lit(0).alias("final_fare"),
+                F.col("happened_at").alias("archived_at")), ["ride_id"], ["archived_at", "event_id"])),
+        "update_where": _on_tables(lambda t: sinks.update_where(
+            t["wallet"], F.col("balance") < 500, {"payout_status": F.lit("none"), "last_payout_date": moment(AS_OF)})),
+        "update_join": _on_tables(lambda t: sinks.update_join(
+            t["vehicles"], t["drivers"].filter("verify_status <> 'verified'"), ["driver_id"],
+            {"verify_status": F.col("_d_verify_status")}, carry=["verify_status"])),
+        "ids_of_inserted": _on_tables(lambda t: sinks.ids_of_inserted(
+            t["users"], t["users"].select("email", F.lit(0).alias("balance"), F.lit(None).cast("bigint").alias("user_id")),
+            ["email"], "user_id")),
+        "assign_drivers": _on_tables(lambda t: dispatch.assign_drivers(t["rides"], dispatch.match_drivers(
+            t["rides"], t["fare_rules"], t["drivers"], t["vehicles"], t["rejections"]))),
+    }
+
+
 def all_queries() -> dict[str, Query]:
-    return {**report_queries(), **quality_queries(), **job_queries(), **stream_queries()}
+    return {**report_queries(), **quality_queries(), **job_queries(), **sink_queries(),
+            **stream_queries()}
