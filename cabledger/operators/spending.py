@@ -5,95 +5,111 @@ it; one it cannot cover is refused and the balance stays. A refusal therefore de
 before it, which no running total alone can express. Users are treated by what they need:
 
 1. All spendings together fit the balance: all are allowed. Needs only a sum.
-2. Up to ``fold_rows`` spendings: folded in order over a sorted array inside one aggregate row.
+2. Up to ``hot_rows`` spendings: walked in order, in tasks that each hold many users sorted one after
+   another, so nothing is collected per user.
 3. More than that: solved in rounds of running totals over range-partitioned chunks, so that a user with
-   a third of all rows is spread over all tasks. In a round, let T be the largest power of two (in cents)
-   within the balance. As long as the balance stays at T or above, every spending under T ("small") is
-   allowed, so the balance before any row is known from a running total of the small ones. The round ends
-   at the first row that brings the balance under T: a spending of T or more that is covered, or a small
-   one. The next round starts behind that row with a balance under T, so a decimal(10,2) balance takes
-   at most 34 rounds, each one a scan with a small result.
+   a third of all rows is spread over all tasks. A round has a threshold T no larger than the balance. As
+   long as the balance stays at T or above, every spending under T ("small") is allowed, so the balance
+   before any row is known from a running total of the small ones. The round ends at the first row that
+   brings the balance under T: a spending of T or more that is covered, or a small one. The next round
+   starts behind that row. T is the largest power of two (in cents) within the balance, or one more than
+   the user's largest spending if that is less; so the first round passes over everything that is
+   certainly covered, and each later one halves the balance: 35 rounds at most for decimal(10,2), and
+   usually far fewer, over ever fewer rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cabledger.operators.ordered import CHUNK, cut_chunks
+from cabledger.operators.ordered import CHUNK, HOT_ROWS, cut_chunks
 from cabledger.session import materialize
 
-FOLD_ROWS = 1_000
 c = F.col
+COLUMNS = ["user_id", "ts", "id", "amount"]
 
 
 def _pos() -> Column:
     return F.struct("ts", "id")
 
 
-def allow_in_order(spendings: DataFrame, balances: DataFrame, fold_rows: int = FOLD_ROWS) -> DataFrame:
+def _cents(amount: Column) -> Column:
+    return (amount * 100).cast("bigint")
+
+
+def allow_in_order(spendings: DataFrame, balances: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``spendings`` (user_id, ts, id, amount) with ``allowed``; ``balances`` holds user_id and balance.
 
     Users without a balance are allowed nothing.
     """
-    needs = spendings.groupBy("user_id").agg(F.sum("amount").alias("_total"), F.count(F.lit(1)).alias("_n"))
+    needs = spendings.groupBy("user_id").agg(
+        F.sum("amount").alias("_total"), F.max("amount").alias("_most"), F.count(F.lit(1)).alias("_n"))
     state = needs.join(balances.select("user_id", "balance"), "user_id", "left").withColumn(
         "_way", F.when(c("balance").isNull(), "none").when(c("_total") <= c("balance"), "all")
-        .when(c("_n") <= fold_rows, "fold").otherwise("rounds"))
+        .when(c("_n") <= hot_rows, "walk").otherwise("rounds"))
     tagged = spendings.join(state.select("user_id", "balance", "_way"), "user_id")
-    columns = ["user_id", "ts", "id", "amount"]
-    simple = tagged.filter(c("_way").isin("none", "all")).select(*columns, (c("_way") == "all").alias("allowed"))
-    result = simple.unionByName(_fold(tagged.filter(c("_way") == "fold")))
-    large = materialize(state.filter(c("_way") == "rounds").select("user_id", "balance"))
+    simple = tagged.filter(c("_way").isin("none", "all")).select(*COLUMNS, (c("_way") == "all").alias("allowed"))
+    result = simple.unionByName(_walked(tagged.filter(c("_way") == "walk")))
+    large = materialize(state.filter(c("_way") == "rounds").select("user_id", "balance", "_most"))
     if large.isEmpty():
         return result
     return result.unionByName(_rounds(spendings.join(large.select("user_id"), "user_id", "left_semi"), large))
 
 
-def _fold(tagged: DataFrame) -> DataFrame:
-    """Users with few spendings: the array holds at most ``fold_rows`` entries."""
-    rows = tagged.groupBy("user_id").agg(
-        F.first("balance").cast("decimal(20,2)").alias("balance"),
-        F.sort_array(F.collect_list(F.struct("ts", "id", c("amount").cast("decimal(20,2)").alias("amount")))).alias("xs"))
-    start = F.struct(c("balance").alias("left"), F.expr("CAST(array() AS ARRAY<BOOLEAN>)").alias("ok"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fits = x["amount"] <= acc["left"]
-        left = F.when(fits, acc["left"] - x["amount"]).otherwise(acc["left"]).cast("decimal(20,2)")
-        return F.struct(left.alias("left"), F.concat(acc["ok"], F.array(fits)).alias("ok"))
-
-    decided = rows.select("user_id", F.explode(F.arrays_zip("xs", F.aggregate("xs", start, step)["ok"].alias("ok"))).alias("z"))
-    return decided.select("user_id", "z.xs.ts", "z.xs.id", c("z.xs.amount").cast("decimal(10,2)").alias("amount"),
-                          c("z.ok").alias("allowed"))
-
-
-def _cents(amount: Column) -> Column:
-    return (amount * 100).cast("bigint")
+def _walker(columns: list[str]):
+    """The row walk as a local function, so that it is sent to workers that do not have this package."""
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows come sorted by user and order; a user may go on from one batch to the next.
+        user, left = None, 0
+        for batch in batches:
+            allowed = []
+            for who, start, amount in zip(*(batch.column(n).to_pylist() for n in ("user_id", "_start", "_amt"))):
+                if who != user:
+                    user, left = who, start
+                covered = amount <= left
+                if covered:
+                    left -= amount
+                allowed.append(covered)
+            kept = [batch.column(n) for n in columns]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(allowed, pa.bool_())], names=[*columns, "allowed"])
+    return walk
+
+
+def _walked(tagged: DataFrame) -> DataFrame:
+    rows = tagged.select(*COLUMNS, _cents(c("balance")).alias("_start"), _cents(c("amount")).alias("_amt"))
+    ordered = rows.repartition("user_id").sortWithinPartitions("user_id", "ts", "id")
+    out = tagged.select(*COLUMNS, F.lit(True).alias("allowed")).schema
+    return ordered.mapInArrow(_walker(COLUMNS), out)
 
 
 def _rounds(spendings: DataFrame, balances: DataFrame) -> DataFrame:
     """Exact spread form; see the module text."""
-    cents = spendings.select("user_id", "ts", "id", "amount", _cents(c("amount")).alias("_amt"))
+    cents = spendings.select(*COLUMNS, _cents(c("amount")).alias("_amt"))
     chunks = cut_chunks(cents, ["user_id"], ["ts", "id"])
-    # A user's state: balance in cents and the last decided position (NULL at the start).
+    # A user's state: largest spending and balance in cents, and the last decided position (NULL at first).
     no_pos = F.lit(None).cast(chunks.select(_pos().alias("p")).schema["p"].dataType)
-    state = balances.select("user_id", _cents(c("balance")).alias("_bal"), no_pos.alias("_pos"))
+    state = balances.select("user_id", _cents(c("_most")).alias("_most"), _cents(c("balance")).alias("_bal"),
+                            no_pos.alias("_pos"))
     phases: DataFrame | None = None
     # The largest power of two within a positive number, from the length of its binary form.
-    threshold = F.expr("shiftleft(1L, length(bin(_bal)) - 1)")
+    power = F.expr("shiftleft(1L, length(bin(_bal)) - 1)")
     while True:
-        state = state.filter(c("_bal") > 0).withColumn("_t", threshold)
+        state = state.filter(c("_bal") > 0).withColumn("_t", F.least(power, c("_most") + 1))
         if state.isEmpty():
             break
         ends = materialize(_round_ends(chunks, state))
-        phase = state.join(ends, "user_id", "left").select(
+        phase = state.join(ends.drop("_most"), "user_id", "left").select(
             "user_id", F.struct(c("_pos").alias("from"), "_t", c("_end.pos").alias("to"), c("_end.large").alias("large")).alias("phase"))
         phases = phase if phases is None else phases.unionByName(phase)
-        state = ends.select("user_id", c("_end.bal").alias("_bal"), c("_end.pos").alias("_pos"))
-    rows = chunks.select("user_id", "ts", "id", "amount", "_amt")
+        state = ends.select("user_id", "_most", c("_end.bal").alias("_bal"), c("_end.pos").alias("_pos"))
+    rows = chunks.select(*COLUMNS, "_amt")
     if phases is None:
-        return rows.select("user_id", "ts", "id", "amount", (c("_amt") == 0).alias("allowed"))
-    # At most 34 phases per user, kept as one array; a row lies in at most one of them.
-    per_user = phases.groupBy("user_id").agg(F.collect_list("phase").alias("_phases"))
+        return rows.select(*COLUMNS, (c("_amt") == 0).alias("allowed"))
+    # At most 35 phases per user, kept as one array; a row lies in at most one of them.
+    per_user = materialize(phases.groupBy("user_id").agg(F.collect_list("phase").alias("_phases")))
     joined = rows.join(per_user, "user_id", "left")
 
     def allows(p: Column) -> Column:
@@ -103,7 +119,7 @@ def _rounds(spendings: DataFrame, balances: DataFrame) -> DataFrame:
         return after & within & ((c("_amt") < p["_t"]) | closing)
 
     ok = (c("_amt") == 0) | F.coalesce(F.exists("_phases", allows), F.lit(False))
-    return joined.select("user_id", "ts", "id", "amount", ok.alias("allowed"))
+    return joined.select(*COLUMNS, ok.alias("allowed"))
 
 
 def _round_ends(chunks: DataFrame, state: DataFrame) -> DataFrame:
@@ -119,5 +135,5 @@ def _round_ends(chunks: DataFrame, state: DataFrame) -> DataFrame:
         "_left", c("_bal") - c("_before") - F.coalesce(F.sum(small).over(inside), F.lit(0)))
     large = c("_amt") >= c("_t")
     closes = F.when(large, c("_amt") <= c("_left")).otherwise(c("_left") - c("_amt") < c("_t"))
-    return placed.filter(closes).groupBy("user_id").agg(F.min(F.struct(
+    return placed.filter(closes).groupBy("user_id", "_most").agg(F.min(F.struct(
         _pos().alias("pos"), (c("_left") - c("_amt")).alias("bal"), large.alias("large"))).alias("_end"))

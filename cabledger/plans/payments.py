@@ -83,7 +83,7 @@ def redeem_promos_capped(priced: DataFrame, promo_codes: DataFrame, hot_rows: in
 
 
 def settle_payments(accepted: DataFrame, payments: DataFrame, wallet: DataFrame, as_of: str,
-                    **limits: int) -> dict[str, DataFrame]:
+                    hot_rows: int = HOT_ROWS) -> dict[str, DataFrame]:
     """Take the money: wallet requests are paid in request order as far as the balance reaches.
 
     A request the balance cannot cover is rejected and leaves the balance for later, smaller ones. Paid
@@ -92,7 +92,7 @@ def settle_payments(accepted: DataFrame, payments: DataFrame, wallet: DataFrame,
     from_wallet = accepted.filter(c("pay_method") == "wallet").select(
         c("rider_id").alias("user_id"), c("requested_at").alias("ts"), c("request_id").alias("id"),
         c("total").alias("amount"))
-    allowed = allow_in_order(from_wallet, wallet.select("user_id", "balance"), **limits)
+    allowed = allow_in_order(from_wallet, wallet.select("user_id", "balance"), hot_rows)
     settled = materialize(accepted.join(
         allowed.select(c("id").alias("request_id"), "allowed"), "request_id", "left").withColumn(
         "allowed", F.coalesce("allowed", F.lit(True))))

@@ -45,32 +45,36 @@ def stream_rate_fares(trips: DataFrame, rides: Table, fare_rules: Table, checkpo
     return start(fresh, each, checkpoint, out, once=once)
 
 
-def partial_scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sum and count per user within each Arrow batch, so a much-rated user is reduced before the shuffle."""
-    for pdf in batches:
-        yield pdf.groupby("rated_user_id", as_index=False).agg(score_sum=("score", "sum"), n=("score", "count"))
+def _rating_functions():
+    """The Python parts of the rating stream, local so that they are sent to workers without this package."""
+    limit = int(LOWEST_GOOD * 100)
 
+    def partial_scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Sum and count per user within each Arrow batch: a much-rated user is reduced before the shuffle.
+        for pdf in batches:
+            yield pdf.groupby("rated_user_id", as_index=False).agg(score_sum=("score", "sum"), n=("score", "count"))
 
-class RatingState(StatefulProcessor):
-    """Running sum and count per user; raises ``alert`` when the mean first falls below the limit."""
+    class RatingState(StatefulProcessor):
+        """Running sum and count per user; raises ``alert`` when the mean falls below the limit."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.totals = handle.getValueState("totals", "score_sum BIGINT, n BIGINT, low BOOLEAN")
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.totals = handle.getValueState("totals", "score_sum BIGINT, n BIGINT, low BOOLEAN")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        score_sum, n, was_low = self.totals.get() if self.totals.exists() else (0, 0, False)
-        for pdf in rows:
-            score_sum += int(pdf["score_sum"].sum())
-            n += int(pdf["n"].sum())
-        # Mean rounded half up to two places, in whole hundredths.
-        hundredths = (200 * score_sum + n) // (2 * n)
-        low = hundredths < LOWEST_GOOD * 100
-        self.totals.update((score_sum, n, low))
-        yield pd.DataFrame({"rated_user_id": [key[0]], "score_sum": [score_sum], "n": [n],
-                            "alert": [bool(low and not was_low)]})
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            score_sum, n, was_low = self.totals.get() if self.totals.exists() else (0, 0, False)
+            for pdf in rows:
+                score_sum += int(pdf["score_sum"].sum())
+                n += int(pdf["n"].sum())
+            # Mean rounded half up to two places, in whole hundredths.
+            low = (200 * score_sum + n) // (2 * n) < limit
+            self.totals.update((score_sum, n, low))
+            yield pd.DataFrame({"rated_user_id": [key[0]], "score_sum": [score_sum], "n": [n],
+                                "alert": [bool(low and not was_low)]})
 
-    def close(self) -> None:
-        pass
+        def close(self) -> None:
+            pass
+
+    return partial_scores, RatingState()
 
 
 RATING_OUT = "rated_user_id BIGINT, score_sum BIGINT, n BIGINT, alert BOOLEAN"
@@ -83,9 +87,10 @@ def stream_driver_ratings(ratings: DataFrame, checkpoint: str, out: str, once: b
     """
     fresh = timed(ratings.select("rating_id", "rated_user_id", "score", "rated_at"), "rated_at")
     fresh = fresh.dropDuplicatesWithinWatermark(["rating_id"]).select("rated_user_id", "score")
+    partial_scores, processor = _rating_functions()
     partial = fresh.mapInPandas(partial_scores, "rated_user_id BIGINT, score_sum BIGINT, n BIGINT")
     running = partial.groupBy("rated_user_id").transformWithStateInPandas(
-        statefulProcessor=RatingState(), outputStructType=RATING_OUT, outputMode="Update", timeMode="None")
+        statefulProcessor=processor, outputStructType=RATING_OUT, outputMode="Update", timeMode="None")
 
     def each(batch: DataFrame, batch_id: int) -> DataFrame:
         mean = F.round(c("score_sum").cast("decimal(20,0)") / c("n").cast("decimal(20,0)"), 2).cast("decimal(3,2)")

@@ -68,9 +68,9 @@ def brute_spending(spendings, balances):
     return out
 
 
-@pytest.mark.parametrize("fold_rows", [1000, 20, 0])
+@pytest.mark.parametrize("hot_rows", [10_000, 20, 0])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_spending_in_order(spark, fold_rows, seed):
+def test_spending_in_order(spark, hot_rows, seed):
     rnd = random.Random(seed)
     sizes = [1, 5, 50, 3000, 100_000]
     spendings = [(r[0], r[1], r[2], Decimal(rnd.choice([0, 1, rnd.randrange(1, 64), rnd.randrange(1, rnd.choice(sizes) * 100)])) / 100)
@@ -78,7 +78,7 @@ def test_spending_in_order(spark, fold_rows, seed):
     balances = [(u, Decimal(rnd.choice([0, 1, 63, 64, 65, 5000, 200_000, 10**9 - 1])) / 100) for u in range(18)]
     df = spark.createDataFrame(spendings, "user_id BIGINT, ts TIMESTAMP_NTZ, id BIGINT, amount DECIMAL(10,2)")
     bal = spark.createDataFrame(balances, "user_id BIGINT, balance DECIMAL(10,2)")
-    got = {r["id"]: r["allowed"] for r in allow_in_order(df, bal, fold_rows=fold_rows).collect()}
+    got = {r["id"]: r["allowed"] for r in allow_in_order(df, bal, hot_rows=hot_rows).collect()}
     assert got == brute_spending(spendings, balances)
 
 
@@ -90,7 +90,7 @@ def test_spending_small_steps(spark):
     spendings = [(1, t0, i, Decimal(a) / 100) for i, a in enumerate(amounts)]
     df = spark.createDataFrame(spendings, "user_id BIGINT, ts TIMESTAMP_NTZ, id BIGINT, amount DECIMAL(10,2)")
     bal = spark.createDataFrame([(1, Decimal("10.00"))], "user_id BIGINT, balance DECIMAL(10,2)")
-    got = {r["id"]: r["allowed"] for r in allow_in_order(df, bal, fold_rows=0).collect()}
+    got = {r["id"]: r["allowed"] for r in allow_in_order(df, bal, hot_rows=0).collect()}
     assert got == brute_spending(spendings, {1: Decimal("10.00")})
 
 

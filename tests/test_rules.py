@@ -212,7 +212,7 @@ def test_payment_chain(frame):
     assert rows(redeemed["rejected"], "request_id", "reason") == [(3, "promo_used_up")]
     assert rows(redeemed["promo_codes"], "promo_id", "usage_count") == [(1, 3), (2, 1)]
     wallet = frame([dict(user_id=1, balance=D("95.00"))], "wallet")
-    for limits in ({}, {"fold_rows": 0}):
+    for limits in ({}, {"hot_rows": 0}):
         settled = payments.settle_payments(redeemed["accepted"], no_pay, wallet, NOW, **limits)
         assert rows(settled["rejected"], "request_id") == [(2,)]
         assert settled["wallet"].first()["balance"] == D("5.00")
