@@ -47,13 +47,14 @@ def allow_in_order(spendings: DataFrame, balances: DataFrame, hot_rows: int = HO
     """
     needs = spendings.groupBy("user_id").agg(
         F.sum("amount").alias("_total"), F.max("amount").alias("_most"), F.count(F.lit(1)).alias("_n"))
-    state = needs.join(balances.select("user_id", "balance"), "user_id", "left").withColumn(
+    # One row per spending user, read by every branch below.
+    state = materialize(needs.join(balances.select("user_id", "balance"), "user_id", "left").withColumn(
         "_way", F.when(c("balance").isNull(), "none").when(c("_total") <= c("balance"), "all")
-        .when(c("_n") <= hot_rows, "walk").otherwise("rounds"))
+        .when(c("_n") <= hot_rows, "walk").otherwise("rounds")))
     tagged = spendings.join(state.select("user_id", "balance", "_way"), "user_id")
     simple = tagged.filter(c("_way").isin("none", "all")).select(*COLUMNS, (c("_way") == "all").alias("allowed"))
     result = simple.unionByName(_walked(tagged.filter(c("_way") == "walk")))
-    large = materialize(state.filter(c("_way") == "rounds").select("user_id", "balance", "_most"))
+    large = state.filter(c("_way") == "rounds").select("user_id", "balance", "_most")
     if large.isEmpty():
         return result
     return result.unionByName(_rounds(spendings.join(large.select("user_id"), "user_id", "left_semi"), large))

@@ -11,6 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, functions as F
 
 from cabledger.functions.clock import rows_in_range
+from cabledger.functions.display import fixed, rupees
 from cabledger.functions.money import total
 from cabledger.operators.joins import with_pickup_city
 from cabledger.operators.regions import merge_cities
@@ -59,10 +60,17 @@ def revenue_by_method(t: Tables) -> DataFrame:
 def chart_series(report: DataFrame, label: str, value: str) -> DataFrame:
     """A small report as one row of JSON arrays, in the report's order, as a chart takes it."""
     points = report.agg(F.collect_list(F.struct(
-        F.col(label).alias("label"), F.col(value).cast("decimal(20,2)").cast("string").alias("value"))).alias("p"))
+        F.col(label).alias("label"), fixed(F.col(value)).alias("value"))).alias("p"))
     return points.select(F.to_json("p.label").alias("labels"), F.to_json("p.value").alias("data"))
 
 
+def earnings_page(t: Tables, id: int | None = None) -> DataFrame:
+    """Totals per driver as the page shows them."""
+    shown = driver_totals(t, id)
+    return shown.select("driver_id", *[rupees(F.col(n)).alias(n) for n in
+                                       ("total_gross", "total_commission", "total_net")], "total_rides")
+
+
 def _range_total(t: Tables, status: str, date_from: str, date_to: str, half_open: bool) -> DataFrame:
     hit = rows_in_range(t["payments"], "transaction_date", date_from, date_to, half_open).filter(
         F.col("pay_status") == status)

@@ -8,6 +8,7 @@ integer-key arithmetic only, and damage some rows by key so that every check has
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -343,7 +344,7 @@ class StarTables(Mapping[str, DataFrame]):
         self._maker.conf.set("spark.sql.session.timeZone", "UTC")
         for name in STAR:
             self._maker.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-        self.root = f"{shared_dir(spark)}/star-{abs(hash(sf_dir)):x}"
+        self.root = f"{shared_dir(spark)}/star-{uuid.uuid4().hex}"
         self._ready: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:

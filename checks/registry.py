@@ -33,7 +33,7 @@ def report_queries() -> dict[str, Query]:
         trips.rider_completed_rides, trips.rider_recent_rides, trips.rider_history, trips.riders_with_active_ride,
         trips.fare_rule_list, trips.open_requests, trips.driver_active_rides, trips.driver_trips,
         revenue.revenue_by_city_avg, revenue.revenue_per_city, revenue.top_cities, revenue.revenue_by_method,
-        revenue.admin_kpis, revenue.pending_payouts, revenue.driver_totals, revenue.driver_pending_summary,
+        revenue.admin_kpis, revenue.earnings_page, revenue.pending_payouts, revenue.driver_totals, revenue.driver_pending_summary,
         revenue.wallet_balance, people.top_drivers, people.driver_stats, people.low_score_drivers,
         people.low_rated_drivers, people.trips_per_driver, people.completed_trips_per_driver, people.rides_per_rider,
         people.user_directory, people.driver_directory, people.vehicle_review_queue, people.driver_profile,

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cabledger import schema
+from cabledger.functions import display
 from cabledger.functions.clock import default_range
 from cabledger.operators import constraints, forms
 from cabledger.plans import accounts, dispatch, fares, feedback, payments, people, promos, revenue, trips, wallets
@@ -152,6 +153,12 @@ def test_open_requests_by_driver(frame):
     assert rows(trips.open_requests(t), "ride_id") == [(1,), (2,), (3,)]
 
 
+def test_display(spark):
+    row = spark.range(1).select(display.fixed(F.lit(4.25), 1), display.rupees(F.lit(None).cast("decimal(5,2)")),
+                                display.day(F.lit("2000-03-04").cast("date"))).first()
+    assert tuple(row) == ("4.3", "Rs. 0.00", "3/4/2000")
+
+
 def test_promo_bounds(frame):
     """A code ending exactly now is neither usable nor expired by the nightly job."""
     codes = frame([dict(promo_id=1, code="NOW", discount_pct=D(10), usage_limit=5, usage_count=0, valid_from=T0, valid_until=T0)], "promo_codes")
