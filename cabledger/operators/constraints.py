@@ -95,7 +95,7 @@ def propagate_delete(t: Mapping[str, DataFrame], table: str, keys: DataFrame) ->
 
 def _delete_parts(t: Mapping[str, DataFrame], table: str, keys: DataFrame) -> list[DataFrame]:
     key = schema.PRIMARY_KEY[table]
-    # The keys to delete are read once per link, so they are checkpointed; the tables are not.
+    # The keys to delete are read once per link, so they are written once.
     gone = materialize(t[table].select(key).join(keys.select(F.col(keys.columns[0]).alias(key)), key, "left_semi"))
     parts = [gone.select(F.lit(table).alias("table"), F.col(key).cast("string").alias("key"),
                          F.lit(key).alias("column"), F.lit("delete").alias("action"))]

@@ -4,7 +4,8 @@ A window sends all rows of a key to one task. That is fine for ordinary keys, so
 more than ``hot_rows`` rows (found by a pre-aggregated count) are cut into chunks instead: their rows are
 range-partitioned by key and order, each range becomes a chunk, and the value at a row is the value
 carried into its chunk plus the value inside it. Carried values come from one small row per chunk.
-The chunk numbers are checkpointed, because both passes must see the same ones even if a task is redone.
+The chunk numbers are written to the shared folder first, because both passes must see the same ones even if a
+task is redone.
 """
 
 from __future__ import annotations

@@ -39,7 +39,7 @@ def split_commission(rated: DataFrame, share: Decimal = money.COMMISSION) -> Dat
 def finish_trips(forms: DataFrame, t: Mapping[str, DataFrame], as_of: str) -> dict[str, DataFrame]:
     """The whole chain for finished trips, from the drivers' forms to all new tables.
 
-    The rated trips feed five tables, so they are computed and checkpointed once. Forms with errors come
+    The rated trips feed five tables, so they are computed and written once. Forms with errors come
     back as ``rejected``.
     """
     checked = check_trip_completion(forms)

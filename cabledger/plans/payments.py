@@ -1,6 +1,6 @@
 """Paying for rides: promo discounts, capped redemption, settlement and closing of paid rides.
 
-What several outputs of a job share is checkpointed once, so writing all of them joins the requests once.
+What several outputs of a job share is written once, so producing all of them joins the requests once.
 """
 
 from __future__ import annotations

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "cabledger", cores: int | str = "*", **conf: str) -> SparkSession:
@@ -47,7 +48,12 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def materialize(df):
-    """Cut the lineage of a frame that later steps read more than once."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a frame that later steps read more than once.
+
+    Written to the shared folder as Parquet rather than checkpointed as rows: readers take only the columns
+    they need, and the optimizer knows the size, so a small one is broadcast and a large one is not.
+    """
+    path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
