@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cabledger.llm import decontaminate, simhash, sql, token_counts
+from cabledger.llm import decontaminate, secrets, simhash, sql, token_counts
 
 TOKEN_LIMIT = 2048
 
@@ -14,6 +14,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
+    each = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{name}")
+            for k, name in enumerate(secrets.KINDS[:3])]
+    return found.select(F.col("id").alias("doc_id"), *each, F.sha2(secrets.span_text(F.col("base")), 256).alias("base_sha256"),
+                        secrets.span_text(F.col("spans")).alias("spans"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
@@ -33,6 +41,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_secrets": op3_secrets,
     "op6_decontaminate": op6_decontaminate,
     "op8_token_counts": op8_token_counts,
     "op10_simhash": op10_simhash,
