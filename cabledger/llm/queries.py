@@ -5,9 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cabledger.llm import decontaminate, secrets, simhash, sql, token_counts, winnowing
+from cabledger.llm import decontaminate, quality, secrets, simhash, sql, token_counts, toxicity, winnowing
 
 TOKEN_LIMIT = 2048
+TOXIC_FROM, GOOD_FROM = 0.5, 0.3
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +23,11 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secrets.span_text(F.col("spans")).alias("spans"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.select(F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.fingerprints(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -32,6 +38,11 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.quality(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= GOOD_FROM).cast("int").alias("predicted"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return counted.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens",
@@ -46,8 +57,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_secrets": op3_secrets,
+    "op4_toxicity": op4_toxicity,
     "op5_winnowing": op5_winnowing,
     "op6_decontaminate": op6_decontaminate,
+    "op7_quality": op7_quality,
     "op8_token_counts": op8_token_counts,
     "op10_simhash": op10_simhash,
 }

@@ -8,6 +8,7 @@ their frequencies, which are joined to the counted ones.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -83,6 +84,19 @@ def vocabulary(texts: DataFrame, tokenizer_path: str) -> DataFrame:
             .mapInArrow(count, "word string, n bigint, pieces bigint"))
 
 
+def _least(words: DataFrame, head: int) -> int:
+    """A frequency that at most ``head`` short words reach, from counts per power of 2**(1/8)."""
+    step = F.floor(F.log2("n") * 8).cast("int")
+    counts = words.filter(F.length("word") <= HEAD_CHARS).groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()
+    total, least = 0, None
+    for r in counts:  # at most 8 * 63 rows
+        total += r["count"]
+        if total > head:
+            break
+        least = r["step"]
+    return 1 << 62 if least is None else math.ceil(2 ** (least / 8) - 1e-9)
+
+
 def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
                  head: int = HEAD) -> DataFrame:
     """(id, n_bytes, n_tokens) for every row of ``docs``, as the tokenizer counts the whole text.
@@ -93,8 +107,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     words = materialize(vocabulary(rows, tokenizer_path))
-    top = (words.filter(F.length("word") <= HEAD_CHARS).orderBy(F.desc("n"), "word").limit(head)
-           .select("word", "pieces").toArrow())
+    top = words.filter((F.length("word") <= HEAD_CHARS) & (F.col("n") >= _least(words, head))).select("word", "pieces").toArrow()
     known = rows.sparkSession.sparkContext.broadcast(dict(zip(top.column("word").to_pylist(), top.column("pieces").to_pylist())))
     rare = pa.list_(pa.struct([pa.field("word", pa.string()), pa.field("n", pa.int64())]))
 
