@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cabledger.llm import decontaminate, line_dedup, quality, secrets, simhash, sql, token_counts, toxicity, url_filter, winnowing
+from cabledger.llm import decontaminate, line_dedup, mixing, quality, secrets, simhash, sql, token_counts, toxicity, url_filter, winnowing
 
 TOKEN_LIMIT = 2048
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -61,6 +62,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                           (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    return drawn.select("doc_id", "source", "lang", "topic", "tokens", "weight", "copies")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -76,7 +82,9 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_quality": op7_quality,
     "op8_token_counts": op8_token_counts,
+    "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {"op6_decontaminate": sql.OP6}
