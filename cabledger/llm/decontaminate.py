@@ -50,15 +50,15 @@ def with_kept(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFr
 
 
 def winnowed(marked: DataFrame) -> DataFrame:
-    """(key, at, h) per kept k-gram."""
-    return marked.select("key", F.explode("kept").alias("_f")).select("key", "_f.at", "_f.h")
+    """(key, key64, at, h) per kept k-gram."""
+    return marked.select("key", "key64", F.explode("kept").alias("_f")).select("key", "key64", "_f.at", "_f.h")
 
 
 def _sequences(rows: DataFrame, length: int) -> DataFrame:
-    """(key, at, h) of every sequence of ``length`` words."""
-    return rows.select("key", F.explode(F.transform(_upto(F.size("words") - length), lambda i: F.struct(
+    """(key, key64, at, h) of every sequence of ``length`` words."""
+    return rows.select("key", "key64", F.explode(F.transform(_upto(F.size("words") - length), lambda i: F.struct(
         i.alias("at"), F.xxhash64(*[F.get("words", i + j) for j in range(length)]).alias("h")))).alias("_f")).select(
-        "key", "_f.at", "_f.h")
+        "key", "key64", "_f.at", "_f.h")
 
 
 def marked_texts(docs: DataFrame, text_col: str, keep: list[Column], window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -86,10 +86,9 @@ def contaminated_texts(marked: DataFrame, docs: DataFrame, benchmark: DataFrame,
         _upto(F.size("words") - F.col("len")),
         lambda i: F.array_join(F.slice("words", i + 1, F.col("len")), " "))).alias("span")).distinct())
 
-    as_rows = items.select(F.lit("").alias("key"), "words", "len")
+    as_rows = items.select(F.lit("").alias("key"), F.lit(0).alias("key64"), "words", "len")
     marks = materialize(winnowed(with_kept(as_rows, window, gram)).select("h").distinct())
-    both = marked.select("key", "key64", "kept")
-    hits = both.select("key", "key64", F.explode("kept").alias("_f")).select("key", "key64", "_f.at", "_f.h").join(
+    hits = winnowed(marked).join(
         marks, "h", "left_semi").select("key", "key64", (F.col("at") - (window - gram)).alias("first"), F.col("at").alias("last"),
                                         F.lit(window).alias("len"))
     for length in shorts:

@@ -96,12 +96,14 @@ def _log_ratios(training: DataFrame, wanted: DataFrame, order: int) -> DataFrame
 
 def _cut(scored: DataFrame) -> DataFrame:
     """One row, ``cut``: the least score of the calibration fold that is accepted, chosen for the best mean of both
-    classes' shares put right; the one nearest to zero among the best. Counts per step, at most 2 * LIMIT / STEP + 1."""
+    classes' shares put right, midway between two scores; the one nearest to zero among the best. Counts per step, at most 2 * LIMIT / STEP + 1."""
     counts = (scored.groupBy(F.round(F.col("score") / STEP).cast("int").alias("step"))
               .agg(F.sum(F.col("accepted").cast("bigint")).alias("a"), F.sum((~F.col("accepted")).cast("bigint")).alias("r")))
     below = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rates = counts.select(((F.col("step") - 0.5) * STEP).alias("cut"), (
+    step = F.col("step")
+    middle = (step + F.coalesce(F.lag("step").over(Window.orderBy("step")), step - 1)) / 2
+    rates = counts.select((middle * STEP).alias("cut"), (
         F.coalesce(F.sum("r").over(below), F.lit(0)) / F.greatest(F.sum("r").over(every), F.lit(1))
         + (F.sum("a").over(every) - F.coalesce(F.sum("a").over(below), F.lit(0))) / F.greatest(F.sum("a").over(every), F.lit(1))
     ).alias("right"))
