@@ -1,100 +1,77 @@
 """Fares, ratings, ride closures and trip counts as events arrive.
 
-Event times are cast to zoned timestamps (session zone UTC), as watermarks need them. Events later than
-``DELAY`` are dropped by the stream and picked up by the next run of the batch job of the same name.
+No event is dropped for being late, so the result does not depend on how the input is cut into batches. Repeats are known by
+their key for good; that state, one key per event, lies in the state store (use RocksDB), and is the price of exact
+counts. ``start_from`` tables hold what was counted before the stream began.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from cabledger.functions.clock import moment
-from cabledger.operators.forms import check_trip_completion, passed
+from cabledger.operators.forms import check_trip_completion, failed, passed
 from cabledger.operators.pick import first_per_key, last_per_key
 from cabledger.plans.fares import rate_fares, split_commission
 from cabledger.plans.feedback import LOWEST_GOOD
 from cabledger.session import materialize
-from cabledger.streaming.sinks import start, written_before
+from cabledger.streaming.sinks import batch_folder, start, written_before
 
-DELAY = "1 hour"
 c = F.col
 Table = Callable[[], DataFrame]
 
 
-def timed(stream: DataFrame, column: str) -> DataFrame:
-    return stream.withColumn("event_time", c(column).cast("timestamp")).withWatermark("event_time", DELAY)
-
-
 def stream_rate_fares(trips: DataFrame, rides: Table, fare_rules: Table, checkpoint: str, out: str,
                       once: bool = False) -> StreamingQuery:
     """Rate finished trips (ride_id, distance and duration as text, finished_at), each ride once.
 
     ``rides`` and ``fare_rules`` are read anew for every batch, and joined there, where AQE can broadcast
-    whichever side is small.
+    whichever side is small. Forms with errors go to ``rejected_folder(out)`` with their reason, once per ride and reason.
     """
-    clean = passed(check_trip_completion(trips)).select("ride_id", "distance", "duration", "finished_at")
-    fresh = timed(clean, "finished_at").dropDuplicatesWithinWatermark(["ride_id"])
+    checked = check_trip_completion(trips.select("ride_id", "distance", "duration", "finished_at"))
+    fresh = checked.dropDuplicates(["ride_id", "first_error"])
 
     def each(batch: DataFrame, batch_id: int) -> DataFrame:
-        return split_commission(rate_fares(batch, rides(), fare_rules()))
+        failed(batch).write.mode("overwrite").parquet(batch_folder(rejected_folder(out), batch_id))
+        return split_commission(rate_fares(passed(batch), rides(), fare_rules()))
     return start(fresh, each, checkpoint, out, once=once)
 
 
-def _rating_functions():
-    """The Python parts of the rating stream, local so that they are sent to workers without this package."""
-    limit = int(LOWEST_GOOD * 100)
-
-    def partial_scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Sum and count per user within each Arrow batch: a much-rated user is reduced before the shuffle.
-        for pdf in batches:
-            yield pdf.groupby("rated_user_id", as_index=False).agg(score_sum=("score", "sum"), n=("score", "count"))
-
-    class RatingState(StatefulProcessor):
-        """Running sum and count per user; raises ``alert`` when the mean falls below the limit."""
-
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.totals = handle.getValueState("totals", "score_sum BIGINT, n BIGINT, low BOOLEAN")
-
-        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            score_sum, n, was_low = self.totals.get() if self.totals.exists() else (0, 0, False)
-            for pdf in rows:
-                score_sum += int(pdf["score_sum"].sum())
-                n += int(pdf["n"].sum())
-            # Mean rounded half up to two places, in whole hundredths.
-            low = (200 * score_sum + n) // (2 * n) < limit
-            self.totals.update((score_sum, n, low))
-            yield pd.DataFrame({"rated_user_id": [key[0]], "score_sum": [score_sum], "n": [n],
-                                "alert": [bool(low and not was_low)]})
-
-        def close(self) -> None:
-            pass
-
-    return partial_scores, RatingState()
+def rejected_folder(out: str) -> str:
+    return f"{out}-rejected"
 
 
-RATING_OUT = "rated_user_id BIGINT, score_sum BIGINT, n BIGINT, alert BOOLEAN"
+RATING_OUT = "rated_user_id BIGINT, score_sum BIGINT, n BIGINT, mean DECIMAL(3,2), low BOOLEAN, alert BOOLEAN"
 
 
-def stream_driver_ratings(ratings: DataFrame, checkpoint: str, out: str, once: bool = False) -> StreamingQuery:
-    """Running rating of every rated user, with one alert each time it falls below the limit.
+def stream_driver_ratings(ratings: DataFrame, checkpoint: str, out: str, once: bool = False,
+                          start_from: Table | None = None) -> StreamingQuery:
+    """Running rating of every rated user, with one alert each time a batch takes it below the limit.
 
-    Needs the RocksDB state store. A rating sent twice counts once.
+    A rating sent twice counts once. ``start_from`` (rated_user_id, score_sum, n) is added to the totals.
     """
-    fresh = timed(ratings.select("rating_id", "rated_user_id", "score", "rated_at"), "rated_at")
-    fresh = fresh.dropDuplicatesWithinWatermark(["rating_id"]).select("rated_user_id", "score")
-    partial_scores, processor = _rating_functions()
-    partial = fresh.mapInPandas(partial_scores, "rated_user_id BIGINT, score_sum BIGINT, n BIGINT")
-    running = partial.groupBy("rated_user_id").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=RATING_OUT, outputMode="Update", timeMode="None")
+    fresh = ratings.select("rating_id", "rated_user_id", "score").dropDuplicates(["rating_id"])
+    running = fresh.groupBy("rated_user_id").agg(F.sum("score").alias("score_sum"), F.count(F.lit(1)).alias("n"))
 
-    def each(batch: DataFrame, batch_id: int) -> DataFrame:
+    def rated(totals: DataFrame) -> DataFrame:
         mean = F.round(c("score_sum").cast("decimal(20,0)") / c("n").cast("decimal(20,0)"), 2).cast("decimal(3,2)")
-        return batch.withColumn("mean", mean)
+        return totals.withColumn("mean", mean).withColumn("low", c("mean") < LOWEST_GOOD)
+
+    def each(batch: DataFrame, batch_id: int) -> DataFrame:
+        before = last_per_key(written_before(batch.sparkSession, out, batch_id, RATING_OUT, keep_batch=True).select(
+            "rated_user_id", "batch_id", c("low").alias("_was")), ["rated_user_id"], ["batch_id"]).drop("batch_id")
+        known = batch.join(before, "rated_user_id", "left")
+        if start_from is None:
+            return rated(known).withColumn("alert", c("low") & ~F.coalesce("_was", F.lit(False))).drop("_was")
+        base = rated(start_from().select("rated_user_id", "score_sum", "n")).select(
+            "rated_user_id", c("score_sum").alias("_sum"), c("n").alias("_n"), c("low").alias("_low"))
+        added = known.join(base, "rated_user_id", "left").withColumns({
+            "score_sum": c("score_sum") + F.coalesce("_sum", F.lit(0)), "n": c("n") + F.coalesce("_n", F.lit(0))})
+        return rated(added).withColumn("alert", c("low") & ~F.coalesce("_was", "_low", F.lit(False))).drop(
+            "_was", "_sum", "_n", "_low")
     return start(running, each, checkpoint, out, mode="update", once=once)
 
 
@@ -110,33 +87,42 @@ def stream_ride_closures(events: DataFrame, rides: Table, ride_history: Table, c
     """
     def each(batch: DataFrame, batch_id: int) -> DataFrame:
         spark = batch.sparkSession
+        # Ride ids grow with time, so the batch's id range lets the scans of both tables skip most row groups.
+        lowest, highest = batch.agg(F.min("ride_id"), F.max("ride_id")).first()
+        near = c("ride_id").between(lowest, highest)
         first = first_per_key(
             batch.select("ride_id", "kind", "happened_at", "event_id").join(
-                rides().select("ride_id", "status", "fare"), "ride_id").filter(
+                rides().filter(near).select("ride_id", "status", "fare"), "ride_id").filter(
                 (c("kind") == "cancelled") | (c("status") != "cancelled")),
             ["ride_id"], ["happened_at", "event_id"])
         closed = first.select(
             "ride_id", F.when(c("kind") == "paid", "completed").otherwise("cancelled").alias("outcome"),
             F.coalesce("fare", F.lit(0)).cast("decimal(10,2)").alias("final_fare"), moment(as_of).alias("archived_at"))
         closed = materialize(closed)
-        # Ride ids grow with time, so the batch's id range lets the history scan skip most row groups.
-        lowest, highest = closed.agg(F.min("ride_id"), F.max("ride_id")).first()
         known = ride_history().select("ride_id").unionByName(
-            written_before(spark, out, batch_id, HISTORY).select("ride_id")).filter(
-            c("ride_id").between(lowest, highest))
+            written_before(spark, out, batch_id, HISTORY).select("ride_id")).filter(near)
         # The batch is the small side: find which of its rides are known, then leave those out.
         seen = known.join(closed.select("ride_id"), "ride_id", "left_semi")
         return closed.join(seen, "ride_id", "left_anti")
     return start(events, each, checkpoint, out, once=once)
 
 
-def stream_trip_counts(changes: DataFrame, checkpoint: str, out: str, once: bool = False) -> StreamingQuery:
-    """Completed rides per driver; ``changes`` holds ride_id, driver_id, status and changed_at."""
-    done = changes.filter((c("status") == "completed") & c("driver_id").isNotNull()).select(
-        "ride_id", "driver_id", "changed_at")
-    fresh = timed(done, "changed_at").dropDuplicatesWithinWatermark(["ride_id"])
-    counts = fresh.groupBy("driver_id").agg(F.count(F.lit(1)).alias("total_trips"))
-    return start(counts, lambda batch, batch_id: batch, checkpoint, out, mode="update", once=once)
+def stream_trip_counts(changes: DataFrame, checkpoint: str, out: str, once: bool = False,
+                       start_from: Table | None = None) -> StreamingQuery:
+    """Completed rides per driver; ``changes`` holds ride_id, driver_id, status and changed_at.
+
+    A ride counts once. ``start_from`` (driver_id, total_trips) is added to the counts.
+    """
+    done = changes.filter((c("status") == "completed") & c("driver_id").isNotNull()).select("ride_id", "driver_id")
+    counts = done.dropDuplicates(["ride_id"]).groupBy("driver_id").agg(F.count(F.lit(1)).alias("total_trips"))
+
+    def each(batch: DataFrame, batch_id: int) -> DataFrame:
+        if start_from is None:
+            return batch
+        base = start_from().select("driver_id", c("total_trips").alias("_base"))
+        return batch.join(base, "driver_id", "left").select(
+            "driver_id", (c("total_trips") + F.coalesce("_base", F.lit(0))).alias("total_trips"))
+    return start(counts, each, checkpoint, out, mode="update", once=once)
 
 
 def latest(written: DataFrame, key: str) -> DataFrame:

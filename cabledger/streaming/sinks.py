@@ -25,8 +25,11 @@ def start(stream: DataFrame, each: Callable[[DataFrame, int], DataFrame], checkp
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def written_before(spark: SparkSession, out: str, batch_id: int, schema: str) -> DataFrame:
+def written_before(spark: SparkSession, out: str, batch_id: int, schema: str, keep_batch: bool = False) -> DataFrame:
     """Rows of earlier batches; those of this batch, left by a failed try, do not count."""
+    full = f"{schema}, batch_id BIGINT"
     if batch_id == 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(f"{schema}, batch_id BIGINT").parquet(out).filter(F.col("batch_id") < batch_id).drop("batch_id")
+        rows = spark.createDataFrame([], full)
+    else:
+        rows = spark.read.schema(full).parquet(out).filter(F.col("batch_id") < batch_id)
+    return rows if keep_batch else rows.drop("batch_id")

@@ -268,7 +268,9 @@ SQL = {
 SQL.update({
     "stream_rate_fares": SQL["split_commission"],
     "stream_driver_ratings": """SELECT rated_user_id, CAST(sum(score) AS BIGINT) AS score_sum, count(*) AS n,
-        CAST(round(sum(score)*1.0000/count(*),2) AS DECIMAL(3,2)) AS mean FROM ratings GROUP BY rated_user_id""",
+        CAST(round(sum(score)*1.0000/count(*),2) AS DECIMAL(3,2)) AS mean, round(sum(score)*1.0000/count(*),2) < 3.5 AS low FROM ratings GROUP BY rated_user_id""",
+    "stream_rating_alerts": "SELECT rated_user_id FROM ratings GROUP BY rated_user_id HAVING round(sum(score)*1.0000/count(*),2) < 3.5",
+    "stream_rate_fares_rejected": f"SELECT DISTINCT ride_id, distance, duration, {reason(TRIP)} AS reason FROM trip_events WHERE NOT ({good(TRIP)})",
     "stream_ride_closures": f"""SELECT ride_id, status AS outcome, coalesce(fare,{ZERO}) AS final_fare, {NOW} AS archived_at FROM rides r
         WHERE ride_id NOT IN (SELECT ride_id FROM history_before) AND (status='cancelled' OR
           (status='completed' AND EXISTS (SELECT 1 FROM payments p WHERE p.ride_id=r.ride_id AND p.pay_status='paid')))""",

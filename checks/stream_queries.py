@@ -5,12 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cabledger.session import shared_dir
 from cabledger.sources.star import AS_OF, star_tables
 from cabledger.streaming import jobs
 
+LOTS = 4
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -23,12 +24,14 @@ class _Run:
         self.session.conf.set("spark.sql.session.timeZone", "UTC")
         self.session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
         base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-        self.checkpoint, self.out = f"{base}/checkpoint", f"{base}/out"
+        self.base, self.checkpoint, self.out = base, f"{base}/checkpoint", f"{base}/out"
         self.spark = spark
 
     def source(self, table: str) -> DataFrame:
-        schema = self.t[table].schema
-        return self.session.readStream.schema(schema).parquet(f"{self.t.root}/{table}")
+        """The table in ``LOTS`` files, one per micro-batch, dealt by a hash so that times run across all of them."""
+        folder = f"{self.base}/{table}"
+        self.t[table].repartition(LOTS, F.xxhash64(*self.t[table].columns)).write.parquet(folder)
+        return self.session.readStream.schema(self.t[table].schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
     def table(self, name: str) -> Callable[[], DataFrame]:
         schema = self.t[name].schema
@@ -46,10 +49,26 @@ def _fares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.finish(query).drop("batch_id")
 
 
+def _fares_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = _Run(spark, sf_dir)
+    query = jobs.stream_rate_fares(run.source("trip_events"), run.table("rides"), run.table("fare_rules"),
+                                   run.checkpoint, run.out, once=True)
+    query.awaitTermination()
+    return spark.read.parquet(jobs.rejected_folder(run.out)).select("ride_id", "distance", "duration", "reason")
+
+
+def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users with at least one alert: in any cut into batches those whose mean ends low are among them."""
+    run = _Run(spark, sf_dir)
+    written = run.finish(jobs.stream_driver_ratings(run.source("rating_events"), run.checkpoint, run.out, once=True))
+    low = jobs.latest(written, "rated_user_id").filter("low").select("rated_user_id")
+    return written.filter("alert").select("rated_user_id").distinct().join(low, "rated_user_id", "left_semi")
+
+
 def _ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = _Run(spark, sf_dir)
     written = run.finish(jobs.stream_driver_ratings(run.source("rating_events"), run.checkpoint, run.out, once=True))
-    return jobs.latest(written, "rated_user_id").select("rated_user_id", "score_sum", "n", "mean")
+    return jobs.latest(written, "rated_user_id").select("rated_user_id", "score_sum", "n", "mean", "low")
 
 
 def _closures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,5 +85,5 @@ def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_queries():
-    return {"stream_rate_fares": _fares, "stream_driver_ratings": _ratings, "stream_ride_closures": _closures,
+    return {"stream_rate_fares": _fares, "stream_rate_fares_rejected": _fares_rejected, "stream_rating_alerts": _alerts, "stream_driver_ratings": _ratings, "stream_ride_closures": _closures,
             "stream_trip_counts": _counts}

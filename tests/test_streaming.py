@@ -37,6 +37,7 @@ def feed(spark, tmp_path):
         def run(self, query):
             assert query.awaitTermination(240)
             return spark.read.parquet(self.out)
+    Feed.spark = spark
     return Feed()
 
 
@@ -63,7 +64,7 @@ def test_ratings_alert_once_per_fall(feed):
 CHANGE = "ride_id BIGINT, driver_id BIGINT, status STRING, changed_at TIMESTAMP_NTZ"
 
 
-def test_trip_counts_drop_repeats_and_late_events(feed):
+def test_trip_counts_drop_repeats_and_keep_late_events(feed, frame, spark):
     def change(ride, minute, status="completed", driver=1):
         return (ride, driver, status, T0 + dt.timedelta(minutes=minute))
     feed.add([change(1, 500), change(2, 501), change(3, 502, "cancelled"), change(4, 503, driver=None)], CHANGE)
@@ -71,7 +72,12 @@ def test_trip_counts_drop_repeats_and_late_events(feed):
     feed.add([change(6, 10)], CHANGE)        # hours late
     feed.add([change(7, 506, driver=2)], CHANGE)
     written = feed.run(jobs.stream_trip_counts(feed.stream(), feed.checkpoint, feed.out, once=True))
-    assert {(r["driver_id"], r["total_trips"]) for r in jobs.latest(written, "driver_id").collect()} == {(1, 3), (2, 1)}
+    assert {(r["driver_id"], r["total_trips"]) for r in jobs.latest(written, "driver_id").collect()} == {(1, 4), (2, 1)}
+    base = feed.run(jobs.stream_trip_counts(feed.stream(), feed.checkpoint + "2", feed.out + "2", once=True,
+                                            start_from=lambda: frame([dict(driver_id=1, total_trips=10)], "drivers")))
+    assert base is not None
+    written = spark.read.parquet(feed.out + "2")
+    assert {(r["driver_id"], r["total_trips"]) for r in jobs.latest(written, "driver_id").collect()} == {(1, 14), (2, 1)}
 
 
 EVENT = "event_id BIGINT, ride_id BIGINT, kind STRING, happened_at TIMESTAMP_NTZ"
@@ -110,5 +116,7 @@ def test_fares_rated_once(feed, frame):
     feed.add([(1, "99", "5", T0), (2, "1.5", "5", T0)], TRIP)
     written = feed.run(jobs.stream_rate_fares(feed.stream(), lambda: rides, lambda: frame([], "fare_rules"),
                                               feed.checkpoint, feed.out, once=True))
+    rejected = feed.spark.read.parquet(jobs.rejected_folder(feed.out))
+    assert [(r["ride_id"], r["reason"]) for r in rejected.collect()] == [(2, "distance_not_positive")]
     assert {(r["ride_id"], r["fare"]) for r in written.select("ride_id", F.col("fare").cast("int").alias("fare")).collect()} == {
         (1, 260), (2, 90)}
