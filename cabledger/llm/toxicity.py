@@ -32,7 +32,7 @@ SPELT = 24
 #: They are drawn by a hash of their id, and the two draws share no document.
 FIT_DOCS = 2_000
 #: Distinct words a task holds before it hands them on or forgets their scores.
-HELD = 200_000
+HELD = 400_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -89,32 +89,43 @@ class KneserNey:
         following, total, discount = entry
         return (max(following.get(char, 0) - discount, 0.0) + discount * len(following) * below) / total
 
-    def log_ratio(self, word: str) -> float:
-        """log P(word | class 1) - log P(word | class 0)."""
+    def gram_ratio(self, gram: str) -> float:
+        """log P(last character | those before it), class 1 less class 0; a gram holds all context that is used."""
+        char, context = gram[-1], gram[:-1]
+        size, base = len(context), 1e-4
+        for k in range(0, min(size, self.shared) + 1):
+            base = self._at(self.low, context[size - k:], char, base)
+        each = [base, base]
+        for c in (0, 1):
+            for k in range(self.shared + 1, size + 1):
+                each[c] = self._at(self.high[c], context[size - k:], char, each[c])
+        return math.log(each[1] / each[0])
+
+    def log_ratio(self, word: str, grams: dict[str, float] | None = None) -> float:
+        """log P(word | class 1) - log P(word | class 0). ``grams`` keeps what single grams gave."""
+        grams, span = {} if grams is None else grams, self.order - 1
         text, ratio = spelt(word[:SPELT]), 0.0
         for i in range(1, len(text)):
-            char, base = text[i], 1e-4
-            for k in range(0, min(i, self.shared) + 1):
-                base = self._at(self.low, text[i - k:i], char, base)
-            each = [base, base]
-            for c in (0, 1):
-                for k in range(self.shared + 1, min(i, self.order - 1) + 1):
-                    each[c] = self._at(self.high[c], text[i - k:i], char, each[c])
-            ratio += math.log(each[1] / each[0])
-        return ratio if len(word) <= SPELT else ratio + self.log_ratio(word[SPELT:])
-
-    def evidence(self, words: list[str], cache: dict[str, float]) -> list[float]:
+            gram = text[max(0, i - span):i + 1]
+            found = grams.get(gram)
+            if found is None:
+                found = grams[gram] = self.gram_ratio(gram)
+            ratio += found
+        return ratio if len(word) <= SPELT else ratio + self.log_ratio(word[SPELT:], grams)
+
+    def evidence(self, words: list[str], cache: dict[str, float], grams: dict[str, float]) -> list[float]:
         """The highest mean difference over each length of ``WINDOWS`` words in a row, and the mean; 0 without words.
 
         A text shorter than a window is divided by its own length, at least 2 words."""
-        if len(cache) > HELD:
-            cache.clear()
-        each = np.zeros(len(words) or 1)
-        for i, word in enumerate(words):
-            found = cache.get(word)
-            if found is None:
-                found = cache[word] = self.log_ratio(word)
-            each[i] = found
+        for held in (cache, grams):
+            if len(held) > HELD:
+                held.clear()
+        found = [cache.get(word) for word in words]
+        if None in found:
+            for i, word in enumerate(words):
+                if found[i] is None:
+                    found[i] = cache[word] = self.log_ratio(word, grams)
+        each = np.array(found or [0.0])
         sums, out = np.concatenate(([0.0], np.cumsum(each))), []
         for window in WINDOWS:
             width = min(window, len(each))
@@ -210,8 +221,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
+        grams: dict[str, float] = {}
         for batch in batches:
-            found = [model.value.evidence(words_in(t.as_py()), cache) for t in batch.column(1)]
+            found = [model.value.evidence(words_in(t.as_py()), cache, grams) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], ["id", "evidence"])
 
     seen = check.select("label", "text").mapInArrow(weigh, "id int, evidence array<double>").toArrow()
