@@ -8,13 +8,13 @@ from pyspark.sql import Column, functions as F
 COLLATION = "UNICODE_CI_AI_RTRIM"
 BLANKS = " \t\n\r\f\v ﻿"
 
-# The formats that form fields must meet.
-EMAIL = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
-PHONE = r"^03[0-9]{9}$"
-CNIC_DASHED = r"^\d{5}-\d{7}-\d{1}$"
-CNIC_PLAIN = r"^\d{13}$"
-PLATE = r"^[A-Z]{2,4}[-\s]?\d{3,4}$"
-PROMO_CODE = r"^[A-Za-z0-9]+$"
+# The formats that form fields must meet. The very end is meant, not a line feed before it.
+EMAIL = r"^[^\s@]+@[^\s@]+\.[^\s@]+\z"
+PHONE = r"^03[0-9]{9}\z"
+CNIC_DASHED = r"^\d{5}-\d{7}-\d{1}\z"
+CNIC_PLAIN = r"^\d{13}\z"
+PLATE = r"^[A-Z]{2,4}[-\s]?\d{3,4}\z"
+PROMO_CODE = r"^[A-Za-z0-9]+\z"
 
 
 def folded(c: Column) -> Column:
@@ -65,4 +65,4 @@ def number(c: Column) -> Column:
 
 
 def whole(c: Column) -> Column:
-    return F.when(trimmed(c).rlike(r"^[+-]?\d+$"), trimmed(c).try_cast("bigint"))
+    return F.when(trimmed(c).rlike(r"^[+-]?\d+\z"), trimmed(c).try_cast("bigint"))

@@ -15,7 +15,7 @@ from cabledger.functions.text import folded
 from cabledger.session import materialize
 
 # Keys compared without regard to case, accents and trailing blanks.
-TEXT_KEYS = {"email", "license_plate", "code", "city", "license_num"}
+TEXT_KEYS = {"email", "license_plate", "code", "city", "license_num", "phone", "cnic"}
 
 
 def _key_text(table: str) -> Column:

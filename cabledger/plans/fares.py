@@ -11,6 +11,7 @@ from cabledger import schema
 from cabledger.functions import money
 from cabledger.functions.clock import moment
 from cabledger.operators.forms import check_trip_completion, failed, passed
+from cabledger.operators.pick import first_per_key
 from cabledger.session import materialize
 from cabledger.sources.sinks import insert_ignore, update_join, upsert
 
@@ -40,13 +41,15 @@ def finish_trips(forms: DataFrame, t: Mapping[str, DataFrame], as_of: str) -> di
     """The whole chain for finished trips, from the drivers' forms to all new tables.
 
     The rated trips feed five tables, so they are computed and written once. Forms with errors come
-    back as ``rejected``.
+    back as ``rejected``, and so do good forms of a ride after its first (``repeated_form``): one request after the
+    other, the first finishes the ride.
     """
-    checked = check_trip_completion(forms)
-    rated = materialize(split_commission(rate_fares(passed(checked), t["rides"], t["fare_rules"])))
+    checked = materialize(check_trip_completion(forms))
+    good, repeated = first_forms(passed(checked))
+    rated = materialize(split_commission(rate_fares(good, t["rides"], t["fare_rules"])))
     return {
         "rated": rated,
-        "rejected": failed(checked),
+        "rejected": failed(checked).unionByName(repeated),
         "driver_earnings": post_earnings(t["driver_earnings"], rated, as_of),
         "payments": open_payments(t["payments"], rated, as_of),
         "wallet": credit_wallets(t["wallet"], t["drivers"], rated, t["driver_earnings"]),
@@ -54,6 +57,14 @@ def finish_trips(forms: DataFrame, t: Mapping[str, DataFrame], as_of: str) -> di
     }
 
 
+def first_forms(good: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The first good form of each ride by ``submitted_at``, then ``trip_id``; and the others with their reason."""
+    order = ["submitted_at", "trip_id"]
+    first = first_per_key(good.select("ride_id", *order), ["ride_id"], order).select("ride_id", "trip_id")
+    kept = good.join(first, ["ride_id", "trip_id"], "left_semi")
+    return kept, good.join(first, ["ride_id", "trip_id"], "left_anti").withColumn("reason", F.lit("repeated_form"))
+
+
 def post_earnings(driver_earnings: DataFrame, rated: DataFrame, as_of: str) -> DataFrame:
     """One earning per ride; rating a ride again replaces the amounts, not the driver or payout state."""
     posted = rated.filter(c("driver_id").isNotNull()).select(

@@ -59,7 +59,8 @@ def apply_promos(requests: DataFrame, rides: DataFrame, payments: DataFrame, pro
 def redeem_promos_capped(priced: DataFrame, promo_codes: DataFrame, hot_rows: int = HOT_ROWS) -> dict[str, DataFrame]:
     """Hand out promo uses in request order, never past a code's limit.
 
-    Codes with enough uses left for all their requests need no order; only the requests of the others are
+    ``reserved`` counts the uses handed out per code. They become uses of the code only when a payment takes them
+    (``settle_payments``). Codes with enough uses left for all their requests need no order; only the requests of the others are
     numbered. Requests without a code pass through.
     """
     wanted = priced.filter(c("promo_id").isNotNull())
@@ -77,17 +78,17 @@ def redeem_promos_capped(priced: DataFrame, promo_codes: DataFrame, hot_rows: in
         "accepted": kept,
         "rejected": scarce.filter(c("_rn") > c("_left")).select(
             *priced.columns, F.lit("promo_used_up").alias("reason")),
-        "promo_codes": update_join(promo_codes, uses, ["promo_id"],
-                                   {"usage_count": c("usage_count") + c("_d_uses")}, carry=["uses"]),
+        "reserved": uses.filter("uses > 0"),
     }
 
 
-def settle_payments(accepted: DataFrame, payments: DataFrame, wallet: DataFrame, as_of: str,
+def settle_payments(accepted: DataFrame, payments: DataFrame, wallet: DataFrame, as_of: str, promo_codes: DataFrame,
                     hot_rows: int = HOT_ROWS) -> dict[str, DataFrame]:
     """Take the money: wallet requests are paid in request order as far as the balance reaches.
 
     A request the balance cannot cover is rejected and leaves the balance for later, smaller ones. Paid
-    requests become paid payments (new, or replacing an unpaid one of the ride).
+    requests become paid payments (new, or replacing an unpaid one of the ride). A code is used once more for every
+    paid payment that holds it and was not there before or held no code.
     """
     from_wallet = accepted.filter(c("pay_method") == "wallet").select(
         c("rider_id").alias("user_id"), c("requested_at").alias("ts"), c("request_id").alias("id"),
@@ -101,7 +102,12 @@ def settle_payments(accepted: DataFrame, payments: DataFrame, wallet: DataFrame,
         F.lit("paid").alias("pay_status"), c("discount").alias("discount_appld"), moment(as_of).alias("transaction_date"))
     spent = settled.filter("allowed AND pay_method = 'wallet'").groupBy(c("rider_id").alias("user_id")).agg(
         F.sum("total").alias("spent"))
+    held = payments.filter(c("promo_id").isNotNull()).select("ride_id")
+    used = paid.filter(c("promo_id").isNotNull()).select("ride_id", "promo_id").join(held, "ride_id", "left_anti")
+    uses = used.groupBy("promo_id").agg(F.count(F.lit(1)).alias("uses"))
     return {
+        "promo_codes": update_join(promo_codes, uses, ["promo_id"],
+                                   {"usage_count": c("usage_count") + c("_d_uses")}, carry=["uses"]),
         "payments": upsert(payments, paid, ["ride_id"], ["promo_id", "amount", "pay_method", "pay_status",
                                                          "discount_appld", "transaction_date"]),
         "wallet": update_join(wallet, spent, ["user_id"], {"balance": c("balance") - c("_d_spent")}, carry=["spent"]),

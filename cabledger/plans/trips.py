@@ -16,7 +16,7 @@ from cabledger.functions.clock import moment
 from cabledger.functions.money import after_discount, discount
 from cabledger.functions.text import blank, folded, same_text, trimmed
 from cabledger.operators.joins import driver_cards, with_driver, with_pickup_city, with_places, with_rider
-from cabledger.operators.pick import top_per_key
+from cabledger.operators.pick import last_per_key, top_per_key
 
 Tables = Mapping[str, DataFrame]
 
@@ -133,8 +133,11 @@ def promo_list(t: Tables, as_of: str) -> DataFrame:
 def ride_quote(t: Tables, choices: DataFrame, as_of: str) -> DataFrame:
     """Price shown before payment: discount and total for the code chosen for each unpaid ride.
 
-    ``choices`` holds ride_id and promo_code. A ride with no usable choice is quoted at its full fare.
+    ``choices`` holds request_id, requested_at, ride_id and promo_code; the latest choice of a ride counts, also one of no
+    code. A ride with no usable choice is quoted at its full fare.
     """
+    choices = last_per_key(choices.select("ride_id", "requested_at", "request_id", "promo_code"), ["ride_id"],
+                           ["requested_at", "request_id"])
     due = t["rides"].filter(F.col("fare") != 0).join(
         t["payments"].filter(F.col("pay_status") == "paid").select("ride_id"), "ride_id", "left_anti")
     cards = driver_cards(t["drivers"], t["users"]).select("driver_id", "driver_name")

@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cabledger.operators.pick import first_per_key
+from cabledger.operators.pick import first_per_key, last_per_key
 
 HIT = "_hit"
 
@@ -31,8 +31,15 @@ def new_rows(base: DataFrame, delta: DataFrame, keys: Sequence[str]) -> DataFram
     return delta.join(known, keys, "left_anti")
 
 
-def upsert(base: DataFrame, delta: DataFrame, keys: Sequence[str], set_cols: Sequence[str]) -> DataFrame:
-    """Insert new keys; on a known key replace only ``set_cols``. One delta row per key."""
+def _others(delta: DataFrame, keys: Sequence[str]) -> list[str]:
+    """An order when none is given: all other columns, so that the choice does not hang on the partitioning."""
+    return [c for c in delta.columns if c not in keys] or list(keys)
+
+
+def upsert(base: DataFrame, delta: DataFrame, keys: Sequence[str], set_cols: Sequence[str],
+           order: Sequence[str] | None = None) -> DataFrame:
+    """Insert new keys; on a known key replace only ``set_cols``. Of delta rows of one key the last in ``order`` counts."""
+    delta = last_per_key(delta, keys, order or _others(delta, keys))
     updated = update_join(base, delta, keys, {c: F.col(f"_d_{c}") for c in set_cols}, carry=set_cols)
     return updated.unionByName(_aligned(new_rows(base, delta, keys), base))
 
@@ -40,9 +47,7 @@ def upsert(base: DataFrame, delta: DataFrame, keys: Sequence[str], set_cols: Seq
 def insert_ignore(base: DataFrame, delta: DataFrame, keys: Sequence[str],
                   order: Sequence[str] | None = None) -> DataFrame:
     """Insert new keys only; among delta rows of one key the first in ``order`` wins."""
-    fresh = new_rows(base, delta, keys)
-    if order is not None:
-        fresh = first_per_key(fresh, keys, order)
+    fresh = first_per_key(new_rows(base, delta, keys), keys, order or _others(delta, keys))
     return base.unionByName(_aligned(fresh, base))
 
 

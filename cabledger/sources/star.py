@@ -168,7 +168,7 @@ SELECT CAST(5000000+k AS BIGINT) AS user_id, CAST(5000000+k AS BIGINT) AS driver
   TIMESTAMP '1999-12-01 00:00:00' + INTERVAL '1' MINUTE * CAST(k%40000 AS INT) AS submitted_at,
   CASE k%50 WHEN 1 THEN ' Al ' ELSE concat(' ',c_name) END AS full_name,
   CASE k%50 WHEN 2 THEN 'bad mail' WHEN 3 THEN concat('C',CAST(k AS STRING),'@Example.com') WHEN 11 THEN concat('NEW',CAST(k-1 AS STRING),'@example.com')
-    WHEN 13 THEN concat('new',CAST(k-1 AS STRING),'@example.com') ELSE concat('new',CAST(k AS STRING),'@example.com') END AS email,
+    WHEN 13 THEN concat('new',CAST(k-1 AS STRING),'@example.com') WHEN 20 THEN concat('new',CAST(k AS STRING),'@example.com',chr(10)) ELSE concat('new',CAST(k AS STRING),'@example.com') END AS email,
   CASE k%50 WHEN 5 THEN '12345' WHEN 6 THEN concat('03',lpad(CAST(k+1 AS STRING),9,'0')) WHEN 12 THEN concat('034',lpad(CAST(k-1 AS STRING),8,'0'))
     WHEN 18 THEN NULL WHEN 19 THEN concat('034-',lpad(CAST(k AS STRING),8,'0')) ELSE concat('034',lpad(CAST(k AS STRING),8,'0')) END AS phone,
   CASE WHEN k%50=17 THEN 'admin' WHEN k%3=0 THEN 'driver' ELSE 'rider' END AS role,
@@ -177,9 +177,11 @@ SELECT CAST(5000000+k AS BIGINT) AS user_id, CAST(5000000+k AS BIGINT) AS driver
 FROM (SELECT c_custkey AS k, c_name FROM customer) f"""
 
 STEPS["raw_trips"] = """
-SELECT ride_id, CASE ride_id%50 WHEN 1 THEN '0' WHEN 2 THEN '501' WHEN 3 THEN 'abc' WHEN 8 THEN NULL ELSE CAST(CAST((ride_id*7%3000+10) AS DECIMAL(8,0))*CAST('0.01' AS DECIMAL(3,2)) AS STRING) END AS distance,
-  CASE ride_id%50 WHEN 4 THEN '' WHEN 6 THEN '601' WHEN 7 THEN '-5' WHEN 3 THEN '0' ELSE CAST(ride_id%90+1 AS STRING) END AS duration
-FROM rides WHERE status IN ('accepted','driver_en_route','in_progress') OR (status='completed' AND ride_id%5=0)"""
+SELECT CAST(ride_id*2+copy AS BIGINT) AS trip_id, TIMESTAMP '1999-12-01 00:00:00' + INTERVAL '1' MINUTE * CAST(30+ride_id%7-copy*(ride_id%11) AS INT) AS submitted_at,
+  ride_id, CASE ride_id%50 WHEN 1 THEN '0' WHEN 2 THEN '501' WHEN 3 THEN 'abc' WHEN 8 THEN NULL ELSE CAST(CAST((ride_id*7%3000+10) AS DECIMAL(8,0))*CAST('0.01' AS DECIMAL(3,2)) AS STRING) END AS distance,
+  CASE ride_id%50 WHEN 4 THEN '' WHEN 6 THEN '601' WHEN 7 THEN '-5' WHEN 3 THEN '0' ELSE CAST((ride_id+copy*7)%90+1 AS STRING) END AS duration
+FROM (SELECT rides.*, 0 AS copy FROM rides UNION ALL SELECT rides.*, 1 FROM rides WHERE ride_id%4=1) f
+WHERE status IN ('accepted','driver_en_route','in_progress') OR (status='completed' AND ride_id%5=0)"""
 
 STEPS["raw_vehicles"] = f"""
 SELECT CAST(7000000+k AS BIGINT) AS vehicle_id, CAST(k%{NS}+1 AS BIGINT) AS driver_id,
@@ -295,15 +297,16 @@ FROM rides UNION ALL SELECT ride_id, rider_id, driver_id, vehicle_id, pickup_loc
 STEPS["dirty_users"] = """
 SELECT user_id, full_name, email, phone, role, acc_status, registration_date FROM users
 UNION ALL SELECT user_id+9000000, full_name, concat(email,' '), concat(phone,'0'), role, acc_status, registration_date FROM users WHERE user_id%50=6
-UNION ALL SELECT user_id+9500000, full_name, upper(email), phone, role, acc_status, registration_date FROM users WHERE user_id%50=7"""
+UNION ALL SELECT user_id+9500000, full_name, upper(email), phone, role, acc_status, registration_date FROM users WHERE user_id%50=7
+UNION ALL SELECT user_id+9700000, full_name, concat('x',email), concat(phone,' '), role, acc_status, registration_date FROM users WHERE user_id%50=8"""
 
 STEPS["leavers"] = "SELECT user_id FROM users WHERE user_id%50=1"
 
 
 # Event streams; every tenth event is sent twice.
 STEPS["trip_events"] = """
-SELECT ride_id, distance, duration, TIMESTAMP '1999-12-01 00:00:00' + INTERVAL '1' MINUTE * CAST(ride_id%30 AS INT) AS finished_at FROM raw_trips
-UNION ALL SELECT ride_id, distance, duration, TIMESTAMP '1999-12-01 00:00:00' + INTERVAL '1' MINUTE * CAST(ride_id%30 AS INT) FROM raw_trips WHERE ride_id%10=0"""
+SELECT ride_id, distance, duration, TIMESTAMP '1999-12-01 00:00:00' + INTERVAL '1' MINUTE * CAST(ride_id%30 AS INT) AS finished_at FROM raw_trips WHERE trip_id%2=0
+UNION ALL SELECT ride_id, distance, duration, TIMESTAMP '1999-12-01 00:00:00' + INTERVAL '1' MINUTE * CAST(ride_id%30 AS INT) FROM raw_trips WHERE trip_id%2=0 AND ride_id%10=0"""
 
 STEPS["rating_events"] = """
 SELECT rating_id, rated_user_id, score, rated_at FROM ratings

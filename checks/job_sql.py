@@ -12,8 +12,10 @@ def _d(x: str, p: int = 10, s: int = 2) -> str:
     return f"CAST({x} AS DECIMAL({p},{s}))"
 
 
+FIRST_FORMS = f"FROM raw_trips WHERE {good(TRIP)} QUALIFY row_number() OVER (PARTITION BY ride_id ORDER BY submitted_at, trip_id)=1"
+
 RATED = f""", trips AS (SELECT ride_id, CAST(trim(distance) AS DECIMAL(8,2)) AS distance, CAST(trim(duration) AS INTEGER) AS duration
-    FROM raw_trips WHERE {good(TRIP)}),
+    {FIRST_FORMS}),
   rated AS (SELECT x.*, {_d('round(fare*CAST(0.20 AS DECIMAL(3,2)),2)')} AS commission,
       {_d('fare-round(fare*CAST(0.20 AS DECIMAL(3,2)),2)')} AS net_amount FROM (
     SELECT t.ride_id, r.driver_id, r.rider_id, t.distance, t.duration,
@@ -175,8 +177,10 @@ SQL = {
     "apply_promos_rejected": PRICED + f" SELECT {REQ}, reason FROM ranked WHERE reason IS NOT NULL",
     "redeem_promos_capped": REDEEMED + f" SELECT {ACC} FROM accepted",
     "redeem_promos_capped_rejected": REDEEMED + f" SELECT {ACC}, 'promo_used_up' AS reason FROM numbered WHERE promo_id IS NOT NULL AND rn > room",
-    "redeem_promos_capped_promo_codes": REDEEMED + """ SELECT c.promo_id, c.code, c.discount_pct, c.usage_limit, CAST(c.usage_count+coalesce(u.n,0) AS BIGINT) AS usage_count,
-        c.valid_from, c.valid_until FROM promo_codes c LEFT JOIN (SELECT promo_id, count(*) AS n FROM accepted GROUP BY promo_id) u ON u.promo_id=c.promo_id""",
+    "redeem_promos_capped_reserved": REDEEMED + " SELECT promo_id, count(*) AS uses FROM accepted WHERE promo_id IS NOT NULL GROUP BY promo_id",
+    "settle_payments_promo_codes": SETTLED + """ SELECT c.promo_id, c.code, c.discount_pct, c.usage_limit, CAST(c.usage_count+coalesce(u.n,0) AS BIGINT) AS usage_count,
+        c.valid_from, c.valid_until FROM promo_codes c LEFT JOIN (SELECT s.promo_id, count(*) AS n FROM settled s LEFT JOIN payments b ON b.ride_id=s.ride_id
+          WHERE s.ok AND s.promo_id IS NOT NULL AND b.promo_id IS NULL GROUP BY s.promo_id) u ON u.promo_id=c.promo_id""",
     "settle_payments": SETTLED + f""" SELECT b.payment_id, b.ride_id, b.rider_id, CASE WHEN s.ride_id IS NULL THEN b.promo_id ELSE s.promo_id END AS promo_id, coalesce(s.total,b.amount) AS amount,
         coalesce(s.pay_method,b.pay_method) AS pay_method, CASE WHEN s.ride_id IS NULL THEN b.pay_status ELSE 'paid' END AS pay_status, coalesce(s.discount,b.discount_appld) AS discount_appld,
         CASE WHEN s.ride_id IS NULL THEN b.transaction_date ELSE {NOW} END AS transaction_date FROM payments b LEFT JOIN settled s ON s.ride_id=b.ride_id AND s.ok
@@ -266,7 +270,7 @@ SQL = {
 }
 
 SQL.update({
-    "stream_rate_fares": SQL["split_commission"],
+    "stream_rate_fares": SQL["split_commission"].replace(FIRST_FORMS, f"FROM (SELECT DISTINCT * FROM trip_events) WHERE {good(TRIP)}"),
     "stream_driver_ratings": """SELECT rated_user_id, CAST(sum(score) AS BIGINT) AS score_sum, count(*) AS n,
         CAST(round(sum(score)*1.0000/count(*),2) AS DECIMAL(3,2)) AS mean, round(sum(score)*1.0000/count(*),2) < 3.5 AS low FROM ratings GROUP BY rated_user_id""",
     "stream_rating_alerts": "SELECT rated_user_id FROM ratings GROUP BY rated_user_id HAVING round(sum(score)*1.0000/count(*),2) < 3.5",
@@ -278,7 +282,8 @@ SQL.update({
 })
 
 SQL.update({
-    "complete_rides_rejected": f"SELECT *, {reason(TRIP)} AS reason FROM raw_trips WHERE NOT ({good(TRIP)})",
+    "complete_rides_rejected": f"""SELECT *, {reason(TRIP)} AS reason FROM raw_trips WHERE NOT ({good(TRIP)}) UNION ALL
+        SELECT *, 'repeated_form' FROM (SELECT * FROM raw_trips WHERE {good(TRIP)} QUALIFY row_number() OVER (PARTITION BY ride_id ORDER BY submitted_at, trip_id)>1)""",
     "load_tables": "SELECT r.ride_id, l.city, r.fare, r.created_at FROM rides r JOIN locations l ON l.location_id=r.pickup_location_id",
     "append": f"SELECT {RIDE} FROM rides r",
     "upsert": f"""SELECT b.payment_id, b.ride_id, b.rider_id, p.promo_id, b.amount, b.pay_method, p.pay_status, b.discount_appld, b.transaction_date

@@ -132,7 +132,7 @@ def _repeats(table: str, source: str, key: str, fold: str, shown: str) -> str:
 SQL = {
     "check_registration": _form("raw_registrations", "user_id", REGISTRATION),
     "check_booking": _form("raw_bookings", "ride_id", BOOKING),
-    "check_trip_completion": _form("raw_trips", "ride_id", TRIP),
+    "check_trip_completion": _form("raw_trips", "trip_id", TRIP),
     "check_vehicle": _form("raw_vehicles", "vehicle_id", VEHICLE),
     "check_topup": _form("raw_topups", "request_id", TOPUP),
     "check_fare_rule": _form("raw_fare_rules", "rule_id", FARE_RULE),
@@ -144,7 +144,7 @@ SQL = {
         _repeats("rides", "dirty_rides", "ride_id", "ride_id", "ride_id"),
         _repeats("users", "dirty_users", "user_id", "user_id", "user_id"),
         _repeats("users", "dirty_users", "email", "lower(rtrim(email))", "email"),
-        _repeats("users", "dirty_users", "phone", "phone", "phone")]),
+        _repeats("users", "dirty_users", "phone", "lower(rtrim(phone))", "phone")]),
     "check_foreign_keys": " UNION ALL ".join(
         f"SELECT '{c}' AS \"table\", '{col}_unknown' AS rule, CAST(ride_id AS VARCHAR) AS key FROM dirty_{c} x "
         f"WHERE {col} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {p} y WHERE y.{pk}=x.{col})" for c, col, p, pk in LINKS),

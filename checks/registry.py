@@ -46,8 +46,7 @@ def report_queries() -> dict[str, Query]:
         out[f.__name__] = _on_tables(f, AS_OF)
     out["drivers_in_city"] = _on_tables(people.drivers_in_city, "nation_3 ")
     out["city_chart"] = _on_tables(lambda t: revenue.chart_series(revenue.top_cities(t), "city", "revenue"))
-    out["ride_quote"] = _on_tables(lambda t: trips.ride_quote(
-        t, t["payment_requests"].filter("request_id % 2 = 1"), AS_OF))
+    out["ride_quote"] = _on_tables(lambda t: trips.ride_quote(t, t["payment_requests"], AS_OF))
     out["pricing_rule_lookup"] = _on_tables(lambda t: trips.pricing_rule_lookup(
         t["raw_bookings"].select("ride_id", "pickup_city", "vehicle_type"), t["fare_rules"]))
     return out
@@ -64,7 +63,7 @@ def quality_queries() -> dict[str, Query]:
     out = {
         "check_registration": form(forms.check_registration, "raw_registrations", "user_id"),
         "check_booking": form(forms.check_booking, "raw_bookings", "ride_id", AS_OF),
-        "check_trip_completion": form(forms.check_trip_completion, "raw_trips", "ride_id"),
+        "check_trip_completion": form(forms.check_trip_completion, "raw_trips", "trip_id"),
         "check_vehicle": form(forms.check_vehicle, "raw_vehicles", "vehicle_id", AS_OF),
         "check_topup": form(forms.check_topup, "raw_topups", "request_id"),
         "check_fare_rule": form(forms.check_fare_rule, "raw_fare_rules", "rule_id"),
@@ -88,8 +87,8 @@ def quality_queries() -> dict[str, Query]:
 
 
 def _rated(t) -> DataFrame:
-    clean = forms.passed(forms.check_trip_completion(t["raw_trips"]))
-    return fares.split_commission(fares.rate_fares(clean, t["rides"], t["fare_rules"]))
+    good, _ = fares.first_forms(forms.passed(forms.check_trip_completion(t["raw_trips"])))
+    return fares.split_commission(fares.rate_fares(good, t["rides"], t["fare_rules"]))
 
 
 def _finished(t) -> dict[str, DataFrame]:
@@ -109,7 +108,8 @@ def _redeemed(t):
 
 
 def _settled(t):
-    return payments.settle_payments(materialize(_redeemed(t)["accepted"]), t["payments"], t["wallet"], AS_OF)
+    return payments.settle_payments(materialize(_redeemed(t)["accepted"]), t["payments"], t["wallet"], AS_OF,
+                                    t["promo_codes"])
 
 
 def _outputs(name: str, job, main: str) -> dict[str, Query]:
@@ -142,8 +142,8 @@ def job_queries() -> dict[str, Query]:
     jobs = {
         "complete_rides": ((["rides", "drivers", "ride_history", "rejected"], _finished), "rides"),
         "apply_promos": ((["priced", "rejected"], _priced), "priced"),
-        "redeem_promos_capped": ((["accepted", "rejected", "promo_codes"], _redeemed), "accepted"),
-        "settle_payments": ((["payments", "wallet", "rejected"], _settled), "payments"),
+        "redeem_promos_capped": ((["accepted", "rejected", "reserved"], _redeemed), "accepted"),
+        "settle_payments": ((["payments", "wallet", "rejected", "promo_codes"], _settled), "payments"),
         "on_payment_paid": ((["rides", "ride_history"], lambda t: payments.on_payment_paid(
             t["payments_before"], t["payments"], t["rides_before"], t["history_before"], AS_OF)), "rides"),
         "flag_low_rated": ((["users", "admin_notifications"], lambda t: feedback.flag_low_rated(

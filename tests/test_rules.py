@@ -217,10 +217,14 @@ def test_payment_chain(frame):
     assert rows(priced["rejected"], "request_id", "reason") == [(5, "method_invalid"), (7, "later_request")]
     redeemed = payments.redeem_promos_capped(priced["priced"], codes, hot_rows=0)
     assert rows(redeemed["rejected"], "request_id", "reason") == [(3, "promo_used_up")]
-    assert rows(redeemed["promo_codes"], "promo_id", "usage_count") == [(1, 3), (2, 1)]
+    reserved = dict(rows(redeemed["reserved"], "promo_id", "uses"))
     wallet = frame([dict(user_id=1, balance=D("95.00"))], "wallet")
     for limits in ({}, {"hot_rows": 0}):
-        settled = payments.settle_payments(redeemed["accepted"], no_pay, wallet, NOW, **limits)
+        settled = payments.settle_payments(redeemed["accepted"], no_pay, wallet, NOW, codes, **limits)
+        before = dict(rows(codes, "promo_id", "usage_count"))
+        added = {k: n - before[k] for k, n in rows(settled["promo_codes"], "promo_id", "usage_count")}
+        holding = settled["payments"].filter("promo_id IS NOT NULL").count()
+        assert sum(added.values()) == holding and all(n <= reserved.get(k, 0) for k, n in added.items())
         assert rows(settled["rejected"], "request_id") == [(2,)]
         assert settled["wallet"].first()["balance"] == D("5.00")
         assert rows(settled["payments"], "ride_id", "amount", "discount_appld", "pay_status") == [
@@ -251,7 +255,43 @@ def test_matching(frame, hot_rows):
     offered = dispatch.assign_drivers(rides, got)
     assert rows(offered.filter("driver_id IS NOT NULL"), "ride_id", "status") == [(i, "requested") for i in (2, 3, 4)]
     no = frame([dict(ride_id=3, driver_id=2)], ddl="ride_id BIGINT, driver_id BIGINT")
-    assert rows(dispatch.match_drivers(rides, rules, drivers, cars, no, hot_rows), "ride_id") == [(2,), (4,)]
+    again = rows(dispatch.match_drivers(rides, rules, drivers, cars, no, hot_rows), "ride_id", "driver_id")
+    assert (3, 2) not in again and len({r for r, _ in again}) == len({d for _, d in again}) == len(again)
+    held = offered.filter("driver_id IS NOT NULL").select("driver_id").collect()
+    assert not {d for _, d in rows(dispatch.match_drivers(offered, rules, drivers, cars, none, hot_rows), "ride_id", "driver_id")} & {
+        h["driver_id"] for h in held}
+
+
+def test_no_ride_waits_while_a_free_driver_may_take_it(frame):
+    n = 5
+    rides = frame([ride(i, status="requested", driver_id=None, rule_id=None, created_at=T0 + dt.timedelta(minutes=i)) for i in range(1, n + 1)], "rides")
+    drivers = frame([dict(driver_id=i, user_id=i, avail_status="online", verify_status="verified", avg_rating=D(i)) for i in range(1, n)], "drivers")
+    cars = frame([dict(vehicle_id=10 + i, driver_id=i, vehicle_type="economy", verify_status="verified") for i in range(1, n)], "vehicles")
+    refused = {(1, d) for d in (4, 3, 2)} | {(2, d) for d in range(1, n)} | {(3, 4), (3, 2), (5, 1)}
+    no = frame([dict(ride_id=r, driver_id=d) for r, d in sorted(refused)], ddl="ride_id BIGINT, driver_id BIGINT")
+    got = rows(dispatch.match_drivers(rides, frame([], "fare_rules"), drivers, cars, no), "ride_id", "driver_id")
+    assert not set(got) & refused and len({d for _, d in got}) == len(got)
+    free = set(range(1, n)) - {d for _, d in got}
+    assert all((r, d) in refused for r in set(range(1, n + 1)) - {r for r, _ in got} for d in free)
+
+
+def test_a_form_sent_twice_pays_once(frame):
+    old = {"rides": frame([ride(1, status="in_progress", driver_id=1, rule_id=None, fare=None)], "rides"), "fare_rules": frame([], "fare_rules"),
+           "drivers": frame([dict(driver_id=1, user_id=9, total_trips=0)], "drivers"), "wallet": frame([dict(user_id=9, balance=D("0.00"))], "wallet"),
+           "payments": frame([], "payments"), "driver_earnings": frame([], "driver_earnings"), "ride_history": frame([], "ride_history")}
+    forms_in = frame([dict(trip_id=i, submitted_at=T0 + dt.timedelta(minutes=-i), ride_id=1, distance=str(i), duration="5") for i in (1, 2, 3)],
+                     ddl="trip_id BIGINT, submitted_at TIMESTAMP_NTZ, ride_id BIGINT, distance STRING, duration STRING")
+    new = fares.finish_trips(forms_in, old, NOW)
+    assert rows(new["rejected"], "trip_id", "reason") == [(1, "repeated_form"), (2, "repeated_form")]
+    assert [new[n].count() for n in ("rides", "payments", "driver_earnings", "ride_history")] == [1, 1, 1, 1]
+    assert new["wallet"].first()["balance"] == new["driver_earnings"].first()["net_amount"]
+
+
+def test_sinks_with_repeated_keys(frame):
+    base = frame([dict(k=1, v=10)], ddl="k BIGINT, v BIGINT")
+    delta = frame([dict(k=1, v=12), dict(k=1, v=11), dict(k=2, v=5), dict(k=2, v=6)], ddl="k BIGINT, v BIGINT")
+    assert rows(sinks.upsert(base, delta, ["k"], ["v"]), "k", "v") == [(1, 12), (2, 6)]
+    assert rows(sinks.insert_ignore(base, delta, ["k"]), "k", "v") == [(1, 10), (2, 5)]
 
 
 @pytest.mark.parametrize("hot_rows", [1000, 0])
@@ -284,8 +324,8 @@ def test_money_adds_up(tables):
     assert (bad, twice) == (0, 0)
     priced = payments.apply_promos(tables["payment_requests"], tables["rides"], tables["payments"], tables["promo_codes"], NOW)["priced"]
     after = payments.redeem_promos_capped(priced, tables["promo_codes"])
-    assert after["promo_codes"].filter("usage_count > usage_limit").count() == 0
-    settled = payments.settle_payments(after["accepted"], tables["payments"], tables["wallet"], NOW)
+    settled = payments.settle_payments(after["accepted"], tables["payments"], tables["wallet"], NOW, tables["promo_codes"])
+    assert settled["promo_codes"].filter("usage_count > usage_limit").count() == 0
     assert settled["wallet"].filter("balance < 0").count() == 0
 
 
