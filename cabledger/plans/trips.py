@@ -69,8 +69,8 @@ def recent_rides(t: Tables, k: int = 10) -> DataFrame:
     return full.select("ride_id", "status", "fare", "created_at", "rider_name", "driver_name", "city").orderBy(*newest)
 
 
-def payment_promo_history(t: Tables, ordered: bool = True) -> DataFrame:
-    """Payments with rider and promo code, newest first."""
+def payment_promo_history(t: Tables, ordered: bool = False) -> DataFrame:
+    """Payments with rider and promo code; newest first if ``ordered``."""
     promo = t["promo_codes"].select("promo_id", F.col("code").alias("promo_code"), "discount_pct")
     full = with_rider(t["payments"].drop("rider_id").join(t["rides"].select("ride_id", "rider_id"), "ride_id"),
                       t["users"]).join(promo, "promo_id", "left")

@@ -65,6 +65,7 @@ RATER_ROLES = ["rider", "driver"]
 COMPLAINT_STATES = ["open", "under_review", "resolved", "dismissed"]
 OUTCOMES = ["completed", "cancelled"]
 
+# Primary keys.
 PRIMARY_KEY = {
     "users": "user_id", "drivers": "driver_id", "vehicles": "vehicle_id",
     "locations": "location_id", "fare_rules": "rule_id", "promo_codes": "promo_id",
@@ -74,6 +75,7 @@ PRIMARY_KEY = {
 }
 
 # Further unique keys beside the primary key.
+# Unique keys.
 UNIQUE_KEYS = {
     "users": [["email"], ["phone"]],
     "drivers": [["user_id"], ["cnic"], ["license_num"]],
@@ -85,6 +87,7 @@ UNIQUE_KEYS = {
     "ratings": [["ride_id", "rated_by"]],
 }
 
+# Columns that may be empty.
 NULLABLE = {
     "drivers": {"profile_photo"},
     "locations": {"address"},
@@ -112,6 +115,7 @@ class Link:
         return PRIMARY_KEY[self.parent]
 
 
+# Links between tables and what a delete does.
 LINKS = [
     Link("drivers", "user_id", "users", "cascade"),
     Link("wallet", "user_id", "users", "cascade"),
@@ -138,6 +142,7 @@ LINKS = [
 ]
 
 # Column -> closed word list.
+# Which word list a column takes.
 DOMAINS = {
     "users": {"role": ROLES, "acc_status": ACCOUNT_STATES},
     "drivers": {"verify_status": VERIFY_STATES, "avail_status": AVAIL_STATES},
@@ -153,6 +158,7 @@ DOMAINS = {
 }
 
 # Column -> longest text allowed.
+# Longest texts.
 LENGTHS = {
     "users": {"full_name": 100, "email": 150, "phone": 20},
     "drivers": {"cnic": 20, "license_num": 50, "profile_photo": 500},
@@ -165,6 +171,7 @@ LENGTHS = {
 }
 
 # Rule name -> condition every row must meet (unknown counts as met).
+# Rules within a row.
 ROW_RULES = {
     "drivers": {"avg_rating_range": "avg_rating BETWEEN 0 AND 5"},
     "vehicles": {"year_from_2000": "year >= 2000"},
@@ -188,6 +195,7 @@ ROW_RULES = {
 }
 
 # Pairs of columns that must differ.
+# Columns that must differ.
 DISTINCT_PAIRS = {
     "rides": ("pickup_location_id", "dropoff_location_id"),
     "ratings": ("rated_by", "rated_user_id"),

@@ -300,6 +300,44 @@ UNION ALL SELECT user_id+9000000, full_name, concat(email,' '), concat(phone,'0'
 UNION ALL SELECT user_id+9500000, full_name, upper(email), phone, role, acc_status, registration_date FROM users WHERE user_id%50=7
 UNION ALL SELECT user_id+9700000, full_name, concat('x',email), concat(phone,' '), role, acc_status, registration_date FROM users WHERE user_id%50=8"""
 
+#: Per table: its key, and by the key's last digit what a column is damaged to.
+DAMAGE = {
+    "drivers": ("driver_id", {"cnic": {1: "NULL"}, "avg_rating": {2: "CAST('6.00' AS DECIMAL(3,2))"}, "verify_status": {3: "'lost'"}, "user_id": {4: "-1"},
+                              "license_num": {5: "'lic-x'", 6: "'LIC-X '"}}),
+    "vehicles": ("vehicle_id", {"year": {1: "1990"}, "make": {2: "NULL"}, "driver_id": {3: "-1"}, "vehicle_type": {4: "'boat'"},
+                                "license_plate": {5: "'lea-x'", 6: "'LEA-X '"}}),
+    "locations": ("location_id", {"latitude": {1: "CAST('91.0' AS DECIMAL(10,7))"}, "longitude": {2: "CAST('-181.0' AS DECIMAL(10,7))"}, "city": {3: "NULL"}}),
+    "fare_rules": ("rule_id", {"base_rate": {1: "CAST('0.00' AS DECIMAL(8,2))"}, "surge_multi": {2: "CAST('0.50' AS DECIMAL(4,2))"}, "vehicle_type": {3: "'boat'"},
+                               "city": {4: "'same'", 5: "'Same '"}}),
+    "promo_codes": ("promo_id", {"discount_pct": {1: "CAST('0.00' AS DECIMAL(5,2))"}, "usage_count": {2: "usage_limit+1"}, "valid_until": {3: "valid_from"},
+                                 "code": {4: "'code'", 5: "'CODE '", 6: "NULL"}}),
+    "wallet": ("user_id", {"balance": {1: "CAST('-1.00' AS DECIMAL(10,2))"}, "payout_status": {2: "'lost'"}, "user_id": {3: "-user_id", 4: "NULL"}}),
+    "payments": ("payment_id", {"amount": {1: "CAST('-1.00' AS DECIMAL(10,2))"}, "ride_id": {2: "-1"}, "rider_id": {3: "-1"}, "promo_id": {4: "-1"},
+                                "pay_method": {5: "'barter'"}, "discount_appld": {6: "NULL"}}),
+    "driver_earnings": ("earning_id", {"net_amount": {1: "CAST(gross_amount+1 AS DECIMAL(10,2))"}, "commission": {2: "CAST('-1.00' AS DECIMAL(10,2))"},
+                                       "driver_id": {3: "-1"}, "ride_id": {4: "-1"}, "payout_status": {5: "'lost'"}}),
+    "ratings": ("rating_id", {"score": {0: "6"}, "rated_user_id": {2: "rated_by", 4: "-1"}, "rater_role": {6: "'guest'"}, "ride_id": {8: "-1"}, "rated_by": {8: "-1"}}),
+    "ride_history": ("ride_id", {"final_fare": {1: "CAST('-1.00' AS DECIMAL(10,2))"}, "outcome": {2: "'lost'"}, "archived_at": {3: "NULL"}, "ride_id": {4: "-ride_id"}}),
+}
+
+
+def _damaged(table: str) -> str:
+    key, damage = DAMAGE[table]
+
+    def column(name: str) -> str:
+        cases = " ".join(f"WHEN {digit} THEN {value}" for digit, value in damage.get(name, {}).items())
+        return f"CASE {key}%10 {cases} ELSE {name} END AS {name}" if cases else name
+    # The column list is read as text, since there may be no session yet.
+    names = [part.split()[0] for part in re.split(r",(?![^(]*\))", schema.COLUMNS[table])]
+    return f"SELECT {', '.join(map(column, names))} FROM {table}"
+
+
+STEPS.update({f"dirty_{table}": _damaged(table) for table in DAMAGE})
+
+STEPS["leaving_drivers"] = "SELECT driver_id FROM drivers WHERE driver_id%5=1"
+STEPS["ended_codes"] = "SELECT promo_id FROM promo_codes WHERE promo_id%3=1"
+STEPS["ended_rules"] = "SELECT rule_id FROM fare_rules WHERE rule_id%4=1"
+
 STEPS["leavers"] = "SELECT user_id FROM users WHERE user_id%50=1"
 
 

@@ -79,26 +79,69 @@ def reason(rules: list[tuple[str, str]]) -> str:
     return "CASE " + " ".join(f"WHEN {bad} THEN '{code}'" for code, bad in rules) + " END"
 
 
-LINKS = [("rides", "rider_id", "users", "user_id"), ("rides", "driver_id", "drivers", "driver_id"),
-         ("rides", "vehicle_id", "vehicles", "vehicle_id"), ("rides", "pickup_location_id", "locations", "location_id"),
-         ("rides", "dropoff_location_id", "locations", "location_id"), ("rides", "rule_id", "fare_rules", "rule_id")]
+PLACE = ("pickup_location_id", "locations", "location_id"), ("dropoff_location_id", "locations", "location_id")
+RIDE, USER, DRV = ("ride_id", "rides", "ride_id"), ("user_id", "users", "user_id"), ("driver_id", "drivers", "driver_id")
+#: Table, its key, and (column, parent, parent's key) of its links.
+LINKS = [
+    ("rides", "ride_id", [("rider_id", "users", "user_id"), DRV, ("vehicle_id", "vehicles", "vehicle_id"), *PLACE, ("rule_id", "fare_rules", "rule_id")]),
+    ("drivers", "driver_id", [USER]), ("wallet", "user_id", [USER]), ("vehicles", "vehicle_id", [DRV]),
+    ("payments", "payment_id", [RIDE, ("rider_id", "users", "user_id"), ("promo_id", "promo_codes", "promo_id")]),
+    ("driver_earnings", "earning_id", [RIDE, DRV]), ("ride_history", "ride_id", [RIDE]),
+    ("ratings", "rating_id", [RIDE, ("rated_by", "users", "user_id"), ("rated_user_id", "users", "user_id")]),
+    ("complaints", "complaint_id", [RIDE, ("filed_by", "users", "user_id"), ("against_user_id", "users", "user_id")]),
+]
+
+
+def _source(table: str) -> str:
+    return table if table == "complaints" else f"dirty_{table}"
 
 
 def _rule(table: str, key: str, source: str, name: str, bad: str) -> str:
     return f"SELECT '{table}' AS \"table\", '{name}' AS rule, CAST({key} AS VARCHAR) AS key FROM {source} WHERE {bad}"
 
 
+#: Table, key, columns that must be there, and (rule, what breaks it) for the others.
+ROWS = [
+    ("rides", "ride_id", "ride_id rider_id pickup_location_id dropoff_location_id status created_at", [
+        ("status_unknown", "status NOT IN ('requested','accepted','driver_en_route','in_progress','completed','cancelled')"),
+        ("fare_not_negative", "fare < 0"), ("distance_positive", "distance <= 0"), ("duration_positive", "duration <= 0")]),
+    ("complaints", "complaint_id", "complaint_id ride_id filed_by against_user_id subject description status filed_at", [
+        ("status_unknown", "status NOT IN ('open','under_review','resolved','dismissed')"), ("subject_too_long", "length(subject) > 200"),
+        ("resolved_after_filed", "resolved_at < filed_at")]),
+    ("users", "user_id", "user_id full_name email phone role acc_status registration_date", [
+        ("role_unknown", "role NOT IN ('super_admin','admin','rider','driver')"), ("acc_status_unknown", "acc_status NOT IN ('active','suspended','banned')"),
+        ("full_name_too_long", "length(full_name) > 100"), ("email_too_long", "length(email) > 150"), ("phone_too_long", "length(phone) > 20")]),
+    ("drivers", "driver_id", "driver_id user_id cnic license_num verify_status avail_status avg_rating total_trips", [
+        ("verify_status_unknown", "verify_status NOT IN ('pending','verified','rejected')"), ("avail_status_unknown", "avail_status NOT IN ('online','offline','on_trip')"),
+        ("avg_rating_range", "avg_rating > 5 OR avg_rating < 0"), ("cnic_too_long", "length(cnic) > 20")]),
+    ("vehicles", "vehicle_id", "vehicle_id driver_id make model year color license_plate vehicle_type verify_status", [
+        ("vehicle_type_unknown", "vehicle_type NOT IN ('economy','premium','bike')"), ("verify_status_unknown", "verify_status NOT IN ('pending','verified','rejected')"),
+        ("year_from_2000", "year < 2000"), ("model_too_long", "length(model) > 50")]),
+    ("locations", "location_id", "location_id latitude longitude city", [
+        ("latitude_range", "abs(latitude) > 90"), ("longitude_range", "abs(longitude) > 180"), ("address_too_long", "length(address) > 300")]),
+    ("fare_rules", "rule_id", "rule_id city vehicle_type base_rate per_km_rate per_min_rate surge_multi", [
+        ("vehicle_type_unknown", "vehicle_type NOT IN ('economy','premium','bike')"), ("base_rate_positive", "base_rate <= 0"),
+        ("per_km_rate_positive", "per_km_rate <= 0"), ("per_min_rate_positive", "per_min_rate <= 0"), ("surge_at_least_one", "surge_multi < 1")]),
+    ("promo_codes", "promo_id", "promo_id code discount_pct usage_limit usage_count valid_from valid_until", [
+        ("discount_range", "discount_pct < 1 OR discount_pct > 100"), ("usage_within_limit", "usage_count > usage_limit"), ("dates_ordered", "valid_until <= valid_from")]),
+    ("wallet", "user_id", "user_id balance payout_status", [
+        ("payout_status_unknown", "payout_status NOT IN ('none','pending','completed')"), ("balance_not_negative", "balance < 0")]),
+    ("payments", "payment_id", "payment_id ride_id rider_id amount pay_method pay_status discount_appld transaction_date", [
+        ("pay_method_unknown", "pay_method NOT IN ('cash','wallet','card')"), ("pay_status_unknown", "pay_status NOT IN ('pending','paid','failed','refunded')"),
+        ("amount_not_negative", "amount < 0"), ("discount_not_negative", "discount_appld < 0")]),
+    ("driver_earnings", "earning_id", "earning_id ride_id driver_id gross_amount commission net_amount payout_status earned_at", [
+        ("payout_status_unknown", "payout_status NOT IN ('pending','paid')"), ("gross_not_negative", "gross_amount < 0"), ("commission_not_negative", "commission < 0"),
+        ("net_not_negative", "net_amount < 0"), ("net_within_gross", "net_amount > gross_amount")]),
+    ("ratings", "rating_id", "rating_id ride_id rated_by rated_user_id rater_role score rated_at", [
+        ("rater_role_unknown", "rater_role NOT IN ('rider','driver')"), ("score_range", "score < 1 OR score > 5")]),
+    ("ride_history", "ride_id", "ride_id outcome final_fare archived_at", [
+        ("outcome_unknown", "outcome NOT IN ('completed','cancelled')"), ("final_fare_not_negative", "final_fare < 0")]),
+]
+
+
 def _constraints() -> str:
-    rides = [(f"{c}_missing", f"{c} IS NULL") for c in ("ride_id", "rider_id", "pickup_location_id", "dropoff_location_id",
-                                                       "status", "created_at")]
-    rides += [("status_unknown", "status NOT IN ('requested','accepted','driver_en_route','in_progress','completed','cancelled')"),
-              ("fare_not_negative", "fare < 0"), ("distance_positive", "distance <= 0"), ("duration_positive", "duration <= 0")]
-    comp = [(f"{c}_missing", f"{c} IS NULL") for c in ("complaint_id", "ride_id", "filed_by", "against_user_id", "subject",
-                                                       "description", "status", "filed_at")]
-    comp += [("status_unknown", "status NOT IN ('open','under_review','resolved','dismissed')"),
-             ("subject_too_long", "length(subject) > 200"), ("resolved_after_filed", "resolved_at < filed_at")]
-    return " UNION ALL ".join([_rule("rides", "ride_id", "dirty_rides", n, b) for n, b in rides]
-                              + [_rule("complaints", "complaint_id", "complaints", n, b) for n, b in comp])
+    return " UNION ALL ".join(_rule(t, key, _source(t), name, bad) for t, key, needed, rules in ROWS
+                              for name, bad in [*((f"{c}_missing", f"{c} IS NULL") for c in needed.split()), *rules])
 
 
 def _deletes() -> str:
@@ -124,9 +167,28 @@ def _deletes() -> str:
             "gv AS (SELECT vehicle_id FROM vehicles WHERE driver_id IN (SELECT driver_id FROM gd)) " + " UNION ALL ".join(parts))
 
 
-def _repeats(table: str, source: str, key: str, fold: str, shown: str) -> str:
-    return (f"SELECT '{table}' AS \"table\", '{key}_repeated' AS rule, CAST(min({shown}) AS VARCHAR) AS key, CAST(count(*) AS BIGINT) AS \"rows\" "
-            f"FROM {source} GROUP BY {fold} HAVING count(*) > 1")
+def _repeats(table: str, *keys: str) -> str:
+    """Values held by several rows; text keys in lower case without trailing blanks."""
+    texts = {"email", "phone", "cnic", "license_num", "license_plate", "code", "city"}
+    folds = ", ".join(f"lower(rtrim({k}))" if k in texts else k for k in keys)
+    shown = "concat_ws('|', " + ", ".join(f"CAST({k} AS VARCHAR)" for k in keys) + ")"
+    there = " AND ".join(f"{k} IS NOT NULL" for k in keys)
+    return (f"SELECT '{table}' AS \"table\", '{'_'.join(keys)}_repeated' AS rule, min({shown}) AS key, CAST(count(*) AS BIGINT) AS \"rows\" "
+            f"FROM {_source(table)} WHERE {there} GROUP BY {folds} HAVING count(*) > 1")
+
+
+#: Keys beside the first column of each table.
+UNIQUE = [("users", "email"), ("users", "phone"), ("drivers", "user_id"), ("drivers", "cnic"), ("drivers", "license_num"), ("vehicles", "license_plate"),
+          ("fare_rules", "city", "vehicle_type"), ("promo_codes", "code"), ("payments", "ride_id"), ("driver_earnings", "ride_id"),
+          ("ratings", "ride_id", "rated_by")]
+
+
+def _emptied(table: str, key: str, column: str, keys: str) -> str:
+    return f"SELECT '{table}' AS \"table\", CAST({key} AS VARCHAR) AS key, '{column}' AS \"column\", 'set_null' AS action FROM {table} WHERE {column} IN ({keys})"
+
+
+def _gone(table: str, column: str, keys: str, key: str = "") -> str:
+    return f"SELECT '{table}' AS \"table\", CAST({key or column} AS VARCHAR) AS key, '{key or column}' AS \"column\", 'delete' AS action FROM {table} WHERE {column} IN ({keys})"
 
 
 SQL = {
@@ -140,16 +202,22 @@ SQL = {
     "check_rating": _form("raw_ratings", "rating_id", RATING),
     "check_plate_format": _form("raw_vehicles", "vehicle_id", PLATE),
     "check_constraints": _constraints(),
-    "check_unique": " UNION ALL ".join([
-        _repeats("rides", "dirty_rides", "ride_id", "ride_id", "ride_id"),
-        _repeats("users", "dirty_users", "user_id", "user_id", "user_id"),
-        _repeats("users", "dirty_users", "email", "lower(rtrim(email))", "email"),
-        _repeats("users", "dirty_users", "phone", "lower(rtrim(phone))", "phone")]),
+    "check_unique": " UNION ALL ".join([_repeats(t, key) for t, key, *_ in ROWS] + [_repeats(*u) for u in UNIQUE]),
     "check_foreign_keys": " UNION ALL ".join(
-        f"SELECT '{c}' AS \"table\", '{col}_unknown' AS rule, CAST(ride_id AS VARCHAR) AS key FROM dirty_{c} x "
-        f"WHERE {col} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {p} y WHERE y.{pk}=x.{col})" for c, col, p, pk in LINKS),
-    "check_not_self": "SELECT 'rides' AS \"table\", 'pickup_location_id_equals_dropoff_location_id' AS rule, CAST(ride_id AS VARCHAR) AS key "
-        "FROM dirty_rides WHERE pickup_location_id=dropoff_location_id UNION ALL SELECT 'complaints', 'filed_by_equals_against_user_id', "
-        "CAST(complaint_id AS VARCHAR) FROM complaints WHERE filed_by=against_user_id",
+        f"SELECT '{t}' AS \"table\", '{col}_unknown' AS rule, CAST({key} AS VARCHAR) AS key FROM {_source(t)} x "
+        f"WHERE {col} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {p} y WHERE y.{pk}=x.{col})" for t, key, links in LINKS for col, p, pk in links),
+    "check_not_self": " UNION ALL ".join(
+        _rule(t, key, _source(t), f"{a}_equals_{b}", f"{a}={b}") for t, key, a, b in (
+            ("rides", "ride_id", "pickup_location_id", "dropoff_location_id"), ("ratings", "rating_id", "rated_by", "rated_user_id"),
+            ("complaints", "complaint_id", "filed_by", "against_user_id"))),
+    "propagate_delete_drivers": " UNION ALL ".join([
+        _gone("drivers", "driver_id", (GD := "SELECT driver_id FROM leaving_drivers")), _gone("vehicles", "driver_id", GD, "vehicle_id"),
+        _emptied("rides", "ride_id", "driver_id", GD),
+        _emptied("rides", "ride_id", "vehicle_id", f"SELECT vehicle_id FROM vehicles WHERE driver_id IN ({GD})"),
+        f"SELECT 'driver_earnings', CAST(earning_id AS VARCHAR), 'driver_id', 'blocked' FROM driver_earnings WHERE driver_id IN ({GD})"]),
+    "propagate_delete_promo_codes": " UNION ALL ".join([
+        _gone("promo_codes", "promo_id", "SELECT promo_id FROM ended_codes"), _emptied("payments", "payment_id", "promo_id", "SELECT promo_id FROM ended_codes")]),
+    "propagate_delete_fare_rules": " UNION ALL ".join([
+        _gone("fare_rules", "rule_id", "SELECT rule_id FROM ended_rules"), _emptied("rides", "ride_id", "rule_id", "SELECT rule_id FROM ended_rules")]),
     "propagate_delete": _deletes(),
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -15,7 +16,7 @@ from cabledger.plans import (accounts, dispatch, fares, feedback, payments, peop
                              wallets)
 from cabledger.session import materialize, shared_dir
 from cabledger.sources import sinks
-from cabledger.sources.star import AS_OF, star_tables
+from cabledger.sources.star import AS_OF, DAMAGE, star_tables
 from cabledger.sources.tables import append, load_tables, save_tables
 from checks.stream_queries import stream_queries
 
@@ -52,6 +53,16 @@ def report_queries() -> dict[str, Query]:
     return out
 
 
+#: Tables that the constraint checks run over, each damaged where ``dirty_`` says so.
+DIRTY = ["users", "rides", "complaints", *DAMAGE]
+
+
+def _over(t, tables: list[str], check) -> DataFrame:
+    """The findings of ``check(table, name)`` over damaged tables, as one."""
+    parts = [check(t[f"dirty_{n}" if f"dirty_{n}" in t else n], n) for n in tables]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _form_view(checked: DataFrame, *keys: str) -> DataFrame:
     """Key, first error and all errors as one text."""
     return checked.select(*keys, "first_error", F.array_join("errors", ",").alias("errors"))
@@ -70,15 +81,14 @@ def quality_queries() -> dict[str, Query]:
         "check_promo": form(forms.check_promo, "raw_promos", "promo_id"),
         "check_rating": form(forms.check_rating, "raw_ratings", "rating_id"),
         "check_plate_format": form(forms.check_plate_format, "raw_vehicles", "vehicle_id"),
-        "check_constraints": _on_tables(lambda t: constraints.check_constraints(t["dirty_rides"], "rides").unionByName(
-            constraints.check_constraints(t["complaints"], "complaints"))),
-        "check_unique": _on_tables(lambda t: constraints.check_unique(t["dirty_rides"], "rides").unionByName(
-            constraints.check_unique(t["dirty_users"], "users"))),
-        "check_foreign_keys": _on_tables(lambda t: constraints.check_foreign_keys(
-            {"rides": t["dirty_rides"], **{n: t[n] for n in ("users", "drivers", "vehicles", "locations", "fare_rules")}},
-            "rides")),
-        "check_not_self": _on_tables(lambda t: constraints.check_not_self(t["dirty_rides"], "rides").unionByName(
-            constraints.check_not_self(t["complaints"], "complaints"))),
+        "check_constraints": _on_tables(lambda t: _over(t, DIRTY, constraints.check_constraints)),
+        "check_unique": _on_tables(lambda t: _over(t, DIRTY, constraints.check_unique)),
+        "check_foreign_keys": _on_tables(lambda t: _over(t, [n for n in DIRTY if any(x.child == n for x in schema.LINKS)], lambda df, n: (
+            constraints.check_foreign_keys({**{p: t[p] for p in DIRTY}, n: df}, n)))),
+        "check_not_self": _on_tables(lambda t: _over(t, list(schema.DISTINCT_PAIRS), constraints.check_not_self)),
+        **{f"propagate_delete_{root}": _on_tables(lambda t, root=root, keys=keys: constraints.propagate_delete(
+            {n: t[n] for n in DIRTY}, root, t[keys])) for root, keys in (
+                ("drivers", "leaving_drivers"), ("promo_codes", "ended_codes"), ("fare_rules", "ended_rules"))},
         "propagate_delete": _on_tables(lambda t: constraints.propagate_delete(
             {n: t[n] for n in ("users", "drivers", "vehicles", "wallet", "rides", "payments", "driver_earnings",
                                "ratings", "complaints")}, "users", t["leavers"])),
