@@ -17,15 +17,23 @@ from cabledger.llm.components import components
 from cabledger.session import materialize
 
 BITS, BLOCKS, SIMILAR = 2, 4, 0.8
-#: Edit distances tried with a narrow band before the full one, which costs length times distance.
-BANDS = (8, 64)
-#: Two bits of a hash, 32 apart, that one sum counts (fixed value).
-LANES = 0x0000000100000001
+#: Edit distances tried with a narrow band before the full one, which costs length times distance; the second
+#: only where the full one is wider than WIDE.
+NARROW, MIDDLE, WIDE = 8, 64, 100
+#: What parts words: runs of ASCII characters that are no letters.
+GAP = r"[\x00-@\[-`{-\x7f]+"
+#: Bits of a hash that one sum counts, in lanes wide enough for so many words (fixed values).
+LANES = {16: 0x0001000100010001, 32: 0x0000000100000001}
+LONG_LINE = (1 << 16) - 1
+
+
+def words_of(line: Column) -> Column:
+    """The words of a line in lower case; digits, punctuation and white space part them."""
+    return F.array_remove(F.split(F.lower(line), GAP), "")
 
 
 def normalised(line: Column) -> Column:
-    """Lower case, every run of digits, punctuation and white space as one space, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[\s\p{Punct}0-9]+", " "))
+    return F.array_join(words_of(line), " ")
 
 
 def _block_masks(bits: int, blocks: int) -> list[int]:
@@ -40,22 +48,32 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
 
 
+def _counted(lines: DataFrame, lane: int) -> DataFrame:
+    """(id, th, pos, key, fp) of lines given with their words, by ``lane`` sums of 64 / ``lane`` bits each."""
+    words = (lines.select("id", "th", "pos", F.xxhash64("words").alias("key"), F.explode("words").alias("w"))
+             .select("id", "th", "pos", "key", F.xxhash64("w").alias("h")))
+    sums = words.groupBy("id", "th", "pos", "key").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(LANES[lane]))).alias(f"s{j}") for j in range(lane)])
+
+    def bit(i: int) -> Column:
+        count = F.shiftrightunsigned(f"s{i % lane}", i - i % lane).bitwiseAND(F.lit((1 << lane) - 1))
+        return F.when(count * 2 > F.col("n"), F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0).cast("bigint"))
+    return sums.select("id", "th", "pos", "key", reduce(lambda a, b: a.bitwiseOR(b), [bit(i) for i in range(64)]).alias("fp"))
+
+
 def line_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, th, pos, key, fp) of every line that is not blank: hash of the text, position, hash of the line, SimHash.
 
-    Bits are counted by 32 sums of two lanes each, which Spark combines before the shuffle; a bit of the SimHash is set if
-    more than half of the words have it.
+    A bit of the SimHash is set if more than half of the words have it. Sums count several bits at once, in lanes of 16
+    bits, and Spark combines them before the shuffle. Lines of more than ``LONG_LINE`` words, which only very long
+    texts can hold, are counted in lanes of 32 bits.
     """
-    words = (_lines(docs, id_col, text_col).select("id", "th", "pos", normalised(F.col("line")).alias("norm")).filter("norm <> ''")
-             .select("id", "th", "pos", F.xxhash64("norm").alias("key"), F.explode(F.split("norm", " ")).alias("w"))
-             .select("id", "th", "pos", "key", F.xxhash64("w").alias("h")))
-    sums = words.groupBy("id", "th", "pos", "key").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(LANES))).alias(f"s{j}") for j in range(32)])
-    low = [F.when(F.col(f"s{j}").bitwiseAND(F.lit(0xFFFFFFFF)) * 2 > F.col("n"), F.lit(1 << j)).otherwise(F.lit(0)) for j in range(32)]
-    high = [F.when(F.shiftrightunsigned(f"s{j}", 32) * 2 > F.col("n"), F.lit(1 << j)).otherwise(F.lit(0)) for j in range(32)]
-    both = [reduce(lambda a, b: a + b, half).cast("bigint") for half in (low, high)]
-    return sums.select("id", "th", "pos", "key", both[0].bitwiseOR(F.shiftleft(both[1], 32)).alias("fp"))
+    cut = lambda frame: _lines(frame, id_col, text_col).select("id", "th", "pos", words_of(F.col("line")).alias("words"))
+    most = F.size("words")
+    short = _counted(cut(docs).filter((most > 0) & (most <= LONG_LINE)), 16)
+    long = _counted(cut(docs.filter(F.length(text_col) > 2 * LONG_LINE)).filter(most > LONG_LINE), 32)
+    return short.unionByName(long)
 
 
 def candidate_pairs(lines: DataFrame, bits: int = BITS, blocks: int = BLOCKS) -> DataFrame:
@@ -73,14 +91,11 @@ def candidate_pairs(lines: DataFrame, bits: int = BITS, blocks: int = BLOCKS) ->
 
 def _similar(a: str, b: str, least: float) -> Column:
     """Whether 1 - edit distance / longer length is at least ``least``."""
-    longer = F.greatest(F.length(a), F.length(b))
-    most = F.floor(longer * (1 - least) + 1e-9).cast("int")
-    within = [F.levenshtein(a, b, band) for band in BANDS]
+    most = F.floor(F.greatest(F.length(a), F.length(b)) * (1 - least) + 1e-9).cast("int")
     full = F.expr(f"levenshtein({a}, {b}, cast(floor(greatest(length({a}), length({b})) * {1 - least:.6f} + 1e-9) as int)) >= 0")
-    found = full
-    for band, d in reversed(list(zip(BANDS, within))):
-        found = F.when(d >= 0, d <= most).when(most <= band, F.lit(False)).otherwise(found)
-    return F.when(F.abs(F.length(a) - F.length(b)) > most, F.lit(False)).otherwise(found)
+    return (F.when(F.abs(F.length(a) - F.length(b)) > most, F.lit(False))
+            .when((most >= NARROW) & (F.levenshtein(a, b, NARROW) >= 0), F.lit(True))
+            .when((most > WIDE) & (F.levenshtein(a, b, MIDDLE) >= 0), F.lit(True)).otherwise(full))
 
 
 def _line_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -103,9 +118,11 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     texts = materialize(_line_texts(docs, lines.select("key", "first").join(ends, "key"), id_col, text_col)
                         .groupBy("key").agg(F.max("norm").alias("norm")))
+    # Comparing costs far more than its bytes tell, so the pairs are dealt over all tasks.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = (pairs.join(texts.select(F.col("key").alias("a"), F.col("norm").alias("na")), "a")
              .join(texts.select(F.col("key").alias("b"), F.col("norm").alias("nb")), "b")
-             .filter(_similar("na", "nb", similar)).select("a", "b"))
+             .repartition(tasks).filter(_similar("na", "nb", similar)).select("a", "b"))
     roots = components(links, "a", "b")
     grouped = lines.join(roots, lines.key == roots.node, "left").select("key", "first", "n", F.coalesce("root", "key").alias("root"))
     grouped = materialize(grouped)

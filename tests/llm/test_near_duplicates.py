@@ -74,7 +74,7 @@ def test_lines_equal_brute_force(documents):
 def test_lines_odd_rows(docs_of):
     base = "the quick brown fox jumps over the lazy dog and runs far away into the dark green forest of tall old trees"
     rows = [(None, None), (1, ""), (2, "a b c\n\nA  b, c!\n\n"), (3, "...\n12\n***\n..."), (4, base), (5, base.replace("trees", "tree")),
-            (6, "Page 1 of 9\nx"), (7, "page 22 of 10"), (8, "word " * 70_000), (9, "word " * 70_000 + "\nlast"), (10, "w" * 50_000)]
+            (6, "Page 1 of 9\nx"), (7, "page 22 of 10"), (8, "word " * 70_000), (9, "word " * 70_000 + "\nlast"), (10, "w" * 50_000), (11, "a b a " * 40_000), (12, "no\u00a0break \x01 x")]
     frame = docs_of([(*r, "x", 1) for r in rows], ", n_lines string, key int")
     found = line_dedup.dedup_lines(frame)
     assert set(found.columns) == {"doc_id", "text", "n_lines", "key", "n_dropped"}
