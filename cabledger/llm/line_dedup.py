@@ -11,7 +11,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cabledger.llm.components import components
 from cabledger.session import materialize
@@ -76,16 +76,31 @@ def line_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return short.unionByName(long)
 
 
-def candidate_pairs(lines: DataFrame, bits: int = BITS, blocks: int = BLOCKS) -> DataFrame:
-    """(a, b) of different ``lines.key`` whose ``fp`` differ in at most ``bits`` bits, each pair once."""
-    masks = _block_masks(bits, blocks)
-    cut = lines.select("key", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("t", "v"))
-    a, b = (cut.select(*[F.col(c).alias(c + side) for c in ("key", "fp", "t", "v")]) for side in "ab")
+def shared_blocks(lines: DataFrame, bits: int = BITS, blocks: int = BLOCKS) -> DataFrame:
+    """(key, fp, t, v, head, head_fp): lines by choice of blocks ``t`` and their value ``v``, where several share them, with
+    the least line of those."""
+    cut = lines.select("key", "fp", F.posexplode(F.array(
+        *[F.col("fp").bitwiseAND(F.lit(m)) for m in _block_masks(bits, blocks)])).alias("t", "v"))
+    together = Window.partitionBy("t", "v")
+    found = cut.withColumn("n", F.count(F.lit(1)).over(together)).withColumn("first", F.min(F.struct("key", "fp")).over(together))
+    return found.filter("n > 1").select("key", "fp", "t", "v", F.col("first.key").alias("head"), F.col("first.fp").alias("head_fp"))
+
+
+def head_pairs(shared: DataFrame, bits: int = BITS) -> DataFrame:
+    """(a, b): every line with the least line of each of its blocks, if near enough; at most one pair per line and block."""
+    near = (F.col("key") != F.col("head")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("head_fp"))) <= bits)
+    return shared.filter(near).select(F.col("head").alias("a"), F.col("key").alias("b")).distinct()
+
+
+def cross_pairs(shared: DataFrame, bits: int = BITS, blocks: int = BLOCKS) -> DataFrame:
+    """(a, b) of lines in one block whose ``fp`` differ in at most ``bits`` bits and whose ``group`` differs, each pair once."""
+    a, b = (shared.select(*[F.col(c).alias(c + side) for c in ("key", "fp", "t", "v", "group")]) for side in "ab")
     changed = F.col("fpa").bitwiseXOR(F.col("fpb"))
     # A pair that agrees in several choices of blocks is taken at the first of them.
-    earlier = reduce(lambda x, y: x | y, [(F.col("ta") > i) & (changed.bitwiseAND(F.lit(m)) == 0) for i, m in enumerate(masks)])
+    earlier = reduce(lambda x, y: x | y, [(F.col("ta") > i) & (changed.bitwiseAND(F.lit(m)) == 0)
+                                          for i, m in enumerate(_block_masks(bits, blocks))])
     return (a.join(b, (F.col("ta") == F.col("tb")) & (F.col("va") == F.col("vb")) & (F.col("keya") < F.col("keyb"))
-                   & (F.bit_count(changed) <= bits) & ~earlier)
+                   & (F.col("groupa") != F.col("groupb")) & (F.bit_count(changed) <= bits) & ~earlier)
             .select(F.col("keya").alias("a"), F.col("keyb").alias("b")))
 
 
@@ -93,7 +108,12 @@ def _similar(a: str, b: str, least: float) -> Column:
     """Whether 1 - edit distance / longer length is at least ``least``."""
     most = F.floor(F.greatest(F.length(a), F.length(b)) * (1 - least) + 1e-9).cast("int")
     full = F.expr(f"levenshtein({a}, {b}, cast(floor(greatest(length({a}), length({b})) * {1 - least:.6f} + 1e-9) as int)) >= 0")
+    # Words that differ at the same place, in lines of as many words, bound the distance from above.
+    changed = F.zip_with(F.split(a, " "), F.split(b, " "), lambda x, y: F.when(x == y, 0).otherwise(F.greatest(F.length(x), F.length(y))))
+    same_size = F.length(a) - F.length(F.replace(a, F.lit(" "), F.lit(""))) == F.length(b) - F.length(F.replace(b, F.lit(" "), F.lit("")))
+    bound = F.aggregate(changed, F.lit(0), lambda total, x: total + x)
     return (F.when(F.abs(F.length(a) - F.length(b)) > most, F.lit(False))
+            .when(same_size & (bound <= most), F.lit(True))
             .when((most >= NARROW) & (F.levenshtein(a, b, NARROW) >= 0), F.lit(True))
             .when((most > WIDE) & (F.levenshtein(a, b, MIDDLE) >= 0), F.lit(True)).otherwise(full))
 
@@ -114,20 +134,36 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hashes = materialize(line_hashes(docs, id_col, text_col))
     lines = materialize(hashes.groupBy("key").agg(F.min(F.struct("id", "pos", "th")).alias("first"), F.max("fp").alias("fp"),
                                                   F.count(F.lit(1)).alias("n")))
-    pairs = materialize(candidate_pairs(lines, bits, blocks))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    shared = materialize(shared_blocks(lines, bits, blocks))
+    ends = shared.select("key").distinct()
     texts = materialize(_line_texts(docs, lines.select("key", "first").join(ends, "key"), id_col, text_col)
                         .groupBy("key").agg(F.max("norm").alias("norm")))
     # Comparing costs far more than its bytes tell, so the pairs are dealt over all tasks.
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = (pairs.join(texts.select(F.col("key").alias("a"), F.col("norm").alias("na")), "a")
-             .join(texts.select(F.col("key").alias("b"), F.col("norm").alias("nb")), "b")
-             .repartition(tasks).filter(_similar("na", "nb", similar)).select("a", "b"))
-    roots = components(links, "a", "b")
-    grouped = lines.join(roots, lines.key == roots.node, "left").select("key", "first", "n", F.coalesce("root", "key").alias("root"))
-    grouped = materialize(grouped)
-    kept = grouped.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).filter("n > 1")
-    repeated = grouped.select("key", "root").join(kept, "root").select("key", "keep")
+
+    def links(pairs: DataFrame) -> DataFrame:
+        return (pairs.join(texts.select(F.col("key").alias("a"), F.col("norm").alias("na")), "a")
+                .join(texts.select(F.col("key").alias("b"), F.col("norm").alias("nb")), "b")
+                .repartition(tasks).filter(_similar("na", "nb", similar)).select("a", "b"))
+
+    def grouped(base: DataFrame, column: str, found: DataFrame) -> DataFrame:
+        """``base`` with ``group``: the root of ``column``, or the column itself where it has no link."""
+        return base.join(found, base[column] == found.node, "left").withColumn("_g", F.coalesce("root", column)).drop(
+            "node", "root", "group").withColumnRenamed("_g", "group")
+
+    # Links to the least line of a block join most of what belongs together; the other pairs matter only between the
+    # groups that come of it, so a large group of near copies never meets pair by pair.
+    first = components(links(head_pairs(shared, bits)), "a", "b")
+    apart = materialize(grouped(shared.select("key", "fp", "t", "v"), "key", first))
+    names = apart.select("key", "group").distinct()
+    across = links(cross_pairs(apart, bits, blocks))
+    bridges = across.join(names.select(F.col("key").alias("a"), F.col("group").alias("ga")), "a").join(
+        names.select(F.col("key").alias("b"), F.col("group").alias("gb")), "b").select("ga", "gb").distinct()
+    second = components(bridges, "ga", "gb")
+    rooted = materialize(grouped(grouped(lines.select("key", "first", "n"), "key", first), "group", second)
+                          .withColumnRenamed("group", "root"))
+    kept = rooted.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).filter("n > 1")
+    repeated = rooted.select("key", "root").join(kept, "root").select("key", "keep")
     return (hashes.join(repeated, "key").filter(~(F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("pos") == F.col("keep.pos"))
                                                   & (F.col("th") == F.col("keep.th"))))
             .groupBy("id", "th").agg(F.collect_set("pos").alias("dropped")))
