@@ -80,9 +80,8 @@ def _rake_by_spark(cells: DataFrame, targets: Mapping[str, DataFrame]) -> DataFr
     for d, frame in targets.items():
         present = cells.select(F.col(d).alias("value")).distinct().join(
             frame.select(F.col("value").cast("string").alias("value"), "share"), "value", "left").na.fill(0.0)
-        total = F.broadcast(present.agg(F.sum("share").alias("total")).withColumn("one", F.lit(1)))
-        goals[d] = materialize(present.withColumn("one", F.lit(1)).join(total, "one").select(
-            F.col("value").alias(d), (F.col("share") / F.col("total")).alias("goal")))
+        total = present.agg(F.sum("share")).first()[0]
+        goals[d] = materialize(present.select(F.col("value").alias(d), (F.col("share") / total).alias("goal")))
         factors[d] = goals[d].select(d, F.lit(1.0).alias("f_" + d))
     total = cells.agg(F.sum("tokens")).first()[0]
 

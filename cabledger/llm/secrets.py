@@ -147,14 +147,14 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "id", F.array_sort(F.concat(_spans(text, ASSIGN, 0, 2, ASSIGN_LEAST), _spans(text, ACCESS, 1), _spans(text, HEX, 2)))
         .alias("base"), _spans(text, CANDIDATE, 3).alias("_seen"), "text")
     graded = materialize(found.select("id", "base", F.transform("_seen", lambda s: _graded(F.col("text"), s)).alias("candidates")))
-    # One row of at most 31 classes, so it may be sent to every task.
-    cuts = F.broadcast(_thresholds(graded).agg(F.map_from_entries(F.collect_list(F.struct("cls", "least_bin"))).alias("cuts"),
-                                               F.lit(0).alias("one")))
-    kept = F.filter("candidates", lambda c: c["passes"] & (c["bin"] >= F.element_at("cuts", c["cls"]))
+    cuts = _thresholds(graded).collect()  # at most 31 classes
+
+    def least(cls: Column) -> Column:
+        return F.coalesce(*[F.when(cls == r["cls"], F.lit(r["least_bin"])) for r in cuts], F.lit(BINS + 1))
+    kept = F.filter("candidates", lambda c: c["passes"] & (c["bin"] >= least(c["cls"]))
                     & ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     more = F.transform(kept, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
-    return (graded.withColumn("one", F.lit(0)).join(cuts, "one")
-            .select("id", "base", F.array_sort(F.concat("base", more)).alias("spans")))
+    return graded.select("id", "base", F.array_sort(F.concat("base", more)).alias("spans"))
 
 
 def span_text(spans: Column) -> Column:

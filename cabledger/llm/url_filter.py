@@ -117,7 +117,9 @@ def score_urls(urls: DataFrame, training: DataFrame, order: int = ORDER) -> Data
     """
     training = training.filter("url is not null and url <> '' and accepted is not null").select("url", "accepted")
     fold = F.pmod(F.xxhash64("url"), F.lit(FOLDS)) == 0
-    urls = urls.select("url").filter("url is not null and url <> ''").distinct()
+    # A set number of partitions, since a few bytes of URLs become many rows of grams.
+    tasks = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    urls = urls.select("url").filter("url is not null and url <> ''").repartition(tasks, "url").distinct()
     grams = materialize(_grams(urls, order).groupBy("url", "gram").agg(F.count(F.lit(1)).alias("n")))
     each = materialize(_log_ratios(training.filter(~fold), grams, order))
     limit = F.lit(LIMIT)
@@ -125,8 +127,8 @@ def score_urls(urls: DataFrame, training: DataFrame, order: int = ORDER) -> Data
               .withColumn("score", F.greatest(-limit, F.least(limit, "score"))))
     scores = materialize(scores)
     labelled = training.filter(fold).groupBy("url").agg(F.max("accepted").alias("accepted"))
-    cut = F.broadcast(_cut(scores.join(labelled, "url")).withColumn("_one", F.lit(1)))  # one row
-    return scores.withColumn("_one", F.lit(1)).join(cut, "_one").drop("_one")
+    cut = _cut(scores.join(labelled, "url")).first()["cut"]
+    return scores.withColumn("cut", F.lit(cut))
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
