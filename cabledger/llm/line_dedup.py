@@ -44,13 +44,16 @@ def _block_masks(bits: int, blocks: int) -> list[int]:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"),
-                       F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
+    hashed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
+    return hashed.select("id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
 
 def _counted(lines: DataFrame, lane: int) -> DataFrame:
     """(id, th, pos, key, fp) of lines given with their words, by ``lane`` sums of 64 / ``lane`` bits each."""
-    words = (lines.select("id", "th", "pos", F.xxhash64("words").alias("key"), F.explode("words").alias("w"))
+    # The line's hash is taken below the explode; beside it, it would be taken once per word. The outer form keeps Spark
+    # from cutting every line twice, to test for words first.
+    words = (lines.select("id", "th", "pos", F.xxhash64("words").alias("key"), "words")
+             .select("id", "th", "pos", "key", F.explode_outer("words").alias("w")).filter("w is not null")
              .select("id", "th", "pos", "key", F.xxhash64("w").alias("h")))
     sums = words.groupBy("id", "th", "pos", "key").agg(
         F.count(F.lit(1)).alias("n"),
@@ -66,14 +69,14 @@ def line_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, th, pos, key, fp) of every line that is not blank: hash of the text, position, hash of the line, SimHash.
 
     A bit of the SimHash is set if more than half of the words have it. Sums count several bits at once, in lanes of 16
-    bits, and Spark combines them before the shuffle. Lines of more than ``LONG_LINE`` words, which only very long
-    texts can hold, are counted in lanes of 32 bits.
+    bits, and Spark combines them before the shuffle. Texts long enough for a line of more than ``LONG_LINE`` words are
+    counted in lanes of 32 bits.
     """
-    cut = lambda frame: _lines(frame, id_col, text_col).select("id", "th", "pos", words_of(F.col("line")).alias("words"))
-    most = F.size("words")
-    short = _counted(cut(docs).filter((most > 0) & (most <= LONG_LINE)), 16)
-    long = _counted(cut(docs.filter(F.length(text_col) > 2 * LONG_LINE)).filter(most > LONG_LINE), 32)
-    return short.unionByName(long)
+    def counted(frame: DataFrame, lane: int) -> DataFrame:
+        lines = _lines(frame, id_col, text_col)
+        return _counted(lines.select("id", "th", "pos", words_of(F.col("line")).alias("words")), lane)
+    may_overflow = F.length(text_col) > 2 * LONG_LINE
+    return counted(docs.filter(~may_overflow), 16).unionByName(counted(docs.filter(may_overflow), 32))
 
 
 def shared_blocks(lines: DataFrame, bits: int = BITS, blocks: int = BLOCKS) -> DataFrame:
