@@ -198,11 +198,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component. A null id never names a component unless all its members are null. An empty table gives no rows;
     columns other than id and text are not read. Texts are taken whole.
     """
+    found = near_groups(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text", bits)
+    return found.select("id", "fp", "component")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = LINK_BITS) -> DataFrame:
+    """(id, fp, component, root) as ``near_duplicates``; ``root`` tells groups apart that have no id."""
     marked = materialize(with_fingerprint(docs, id_col, text_col))
     points = materialize(marked.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(fingerprint_links(points, bits), "a", "b")
     rooted = materialize(points.join(roots, points.fp == roots.node, "left")
                          .select("fp", "least", F.coalesce("root", "fp").alias("root")))
     names = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    classes = rooted.join(names, "root").select("fp", "component")
-    return marked.join(classes, "fp").select("id", "fp", "component")
+    classes = rooted.join(names, "root").select("fp", "component", "root")
+    return marked.join(classes, "fp").select("id", "fp", "component", "root")
