@@ -346,6 +346,11 @@ STEPS["trip_events"] = """
 SELECT ride_id, distance, duration, TIMESTAMP '1999-12-01 00:00:00' + INTERVAL '1' MINUTE * CAST(ride_id%30 AS INT) AS finished_at FROM raw_trips WHERE trip_id%2=0
 UNION ALL SELECT ride_id, distance, duration, TIMESTAMP '1999-12-01 00:00:00' + INTERVAL '1' MINUTE * CAST(ride_id%30 AS INT) FROM raw_trips WHERE trip_id%2=0 AND ride_id%10=0"""
 
+# All forms, so also the second ones of a ride.
+STEPS["trip_form_events"] = """
+SELECT trip_id, submitted_at, ride_id, distance, duration, submitted_at AS finished_at FROM raw_trips
+UNION ALL SELECT trip_id, submitted_at, ride_id, distance, duration, submitted_at FROM raw_trips WHERE ride_id%10=0"""
+
 STEPS["rating_events"] = """
 SELECT rating_id, rated_user_id, score, rated_at FROM ratings
 UNION ALL SELECT rating_id, rated_user_id, score, rated_at FROM ratings WHERE rating_id%10=0"""

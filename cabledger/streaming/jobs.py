@@ -15,7 +15,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from cabledger.functions.clock import moment
 from cabledger.operators.forms import check_trip_completion, failed, passed
 from cabledger.operators.pick import first_per_key, last_per_key
-from cabledger.plans.fares import rate_fares, split_commission
+from cabledger.plans.fares import first_forms, rate_fares, split_commission
 from cabledger.plans.feedback import LOWEST_GOOD
 from cabledger.session import materialize
 from cabledger.streaming.sinks import batch_folder, start, written_before
@@ -30,14 +30,45 @@ def stream_rate_fares(trips: DataFrame, rides: Table, fare_rules: Table, checkpo
 
     ``rides`` and ``fare_rules`` are read anew for every batch, and joined there, where AQE can broadcast
     whichever side is small. Forms with errors go to ``rejected_folder(out)`` with their reason, once per ride and reason.
+
+    Where ``trips`` also has trip_id and submitted_at, the first good form of a ride by these counts, in whatever order forms
+    arrive: a ride is written again when an earlier form comes later (see ``latest``), and every other form is rejected
+    as ``repeated_form``, every form once by its trip_id. The forms that count are kept in ``forms_folder(out)``.
     """
-    checked = check_trip_completion(trips.select("ride_id", "distance", "duration", "finished_at"))
-    fresh = checked.dropDuplicates(["ride_id", "first_error"])
+    if not {"trip_id", "submitted_at"} <= set(trips.columns):
+        checked = check_trip_completion(trips.select("ride_id", "distance", "duration", "finished_at"))
+        fresh = checked.dropDuplicates(["ride_id", "first_error"])
 
-    def each(batch: DataFrame, batch_id: int) -> DataFrame:
-        failed(batch).write.mode("overwrite").parquet(batch_folder(rejected_folder(out), batch_id))
-        return split_commission(rate_fares(passed(batch), rides(), fare_rules()))
-    return start(fresh, each, checkpoint, out, once=once)
+        def each(batch: DataFrame, batch_id: int) -> DataFrame:
+            failed(batch).write.mode("overwrite").parquet(batch_folder(rejected_folder(out), batch_id))
+            return split_commission(rate_fares(passed(batch), rides(), fare_rules()))
+        return start(fresh, each, checkpoint, out, once=once)
+
+    forms = check_trip_completion(trips.select(FORM)).dropDuplicates(["trip_id"])
+
+    def settle(batch: DataFrame, batch_id: int) -> DataFrame:
+        spark = batch.sparkSession
+        batch = materialize(batch)
+        good = passed(batch).withColumn("_new", F.lit(True))
+        # Ride ids grow with time, so the batch's id range lets the scan skip most row groups.
+        lowest, highest = good.agg(F.min("ride_id"), F.max("ride_id")).first()
+        kinds = ", ".join(f"{n} {trips.schema[n].dataType.simpleString()}" for n in FORM)
+        written = written_before(spark, forms_folder(out), batch_id, kinds).filter(c("ride_id").between(lowest, highest))
+        before, _ = first_forms(written.join(good.select("ride_id"), "ride_id", "left_semi"))
+        first, repeated = map(materialize, first_forms(good.unionByName(before.select(*FORM, F.lit(False).alias("_new")))))
+        counted = first.filter("_new").drop("_new")
+        counted.select(FORM).write.mode("overwrite").parquet(batch_folder(forms_folder(out), batch_id))
+        failed(batch).unionByName(repeated.drop("_new")).write.mode("overwrite").parquet(
+            batch_folder(rejected_folder(out), batch_id))
+        return split_commission(rate_fares(counted, rides(), fare_rules()))
+    return start(forms, settle, checkpoint, out, once=once)
+
+
+FORM = ["trip_id", "submitted_at", "ride_id", "distance", "duration", "finished_at"]
+
+
+def forms_folder(out: str) -> str:
+    return f"{out}-forms"
 
 
 def rejected_folder(out: str) -> str:

@@ -300,3 +300,9 @@ SQL.update({
         SELECT r.ride_id, r.rider_id, coalesce(o.driver_id,r.driver_id) AS driver_id, coalesce(o.vehicle_id,r.vehicle_id) AS vehicle_id, r.pickup_location_id, r.dropoff_location_id,
         r.rule_id, r.status, r.fare, r.distance, r.duration, r.scheduled_at, r.completed_at, r.created_at FROM rides r LEFT JOIN offers o ON o.ride_id=r.ride_id""",
 })
+
+# The stream over all forms gives what the batch job gives.
+SQL.update({
+    "stream_rate_forms": SQL["split_commission"],
+    "stream_rate_forms_rejected": f"SELECT trip_id, ride_id, distance, duration, reason FROM ({SQL['complete_rides_rejected']}) x",
+})

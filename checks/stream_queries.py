@@ -57,6 +57,21 @@ def _fares_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(jobs.rejected_folder(run.out)).select("ride_id", "distance", "duration", "reason")
 
 
+def _forms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    run = _Run(spark, sf_dir)
+    query = jobs.stream_rate_fares(run.source("trip_form_events"), run.table("rides"), run.table("fare_rules"),
+                                   run.checkpoint, run.out, once=True)
+    return jobs.latest(run.finish(query), "ride_id"), spark.read.parquet(jobs.rejected_folder(run.out))
+
+
+def _form_fares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _forms(spark, sf_dir)[0]
+
+
+def _forms_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _forms(spark, sf_dir)[1].select("trip_id", "ride_id", "distance", "duration", "reason")
+
+
 def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users with at least one alert: in any cut into batches those whose mean ends low are among them."""
     run = _Run(spark, sf_dir)
@@ -85,5 +100,6 @@ def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_queries():
-    return {"stream_rate_fares": _fares, "stream_rate_fares_rejected": _fares_rejected, "stream_rating_alerts": _alerts, "stream_driver_ratings": _ratings, "stream_ride_closures": _closures,
+    return {"stream_rate_fares": _fares, "stream_rate_fares_rejected": _fares_rejected,
+            "stream_rate_forms": _form_fares, "stream_rate_forms_rejected": _forms_rejected, "stream_rating_alerts": _alerts, "stream_driver_ratings": _ratings, "stream_ride_closures": _closures,
             "stream_trip_counts": _counts}

@@ -120,3 +120,20 @@ def test_fares_rated_once(feed, frame):
     assert [(r["ride_id"], r["reason"]) for r in rejected.collect()] == [(2, "distance_not_positive")]
     assert {(r["ride_id"], r["fare"]) for r in written.select("ride_id", F.col("fare").cast("int").alias("fare")).collect()} == {
         (1, 260), (2, 90)}
+
+
+def test_first_form_counts_in_any_order(feed, frame):
+    ddl = "trip_id BIGINT, submitted_at TIMESTAMP_NTZ, ride_id BIGINT, distance STRING, duration STRING, finished_at TIMESTAMP_NTZ"
+    rides = frame([dict(ride_id=i, rider_id=1, driver_id=1) for i in (1, 2)], "rides")
+
+    def form(trip, minute, ride, distance):
+        return (trip, T0 + dt.timedelta(minutes=minute), ride, distance, "5", T0)
+    feed.add([form(1, 9, 1, "99"), form(2, 5, 2, "1.5"), form(3, 1, 2, "0")], ddl)
+    feed.add([form(4, 3, 1, "10"), form(5, 5, 2, "99"), form(1, 9, 1, "99")], ddl)  # 4 comes later but is earlier than 1
+    written = feed.run(jobs.stream_rate_fares(feed.stream(), lambda: rides, lambda: frame([], "fare_rules"),
+                                              feed.checkpoint, feed.out, once=True))
+    rejected = feed.spark.read.parquet(jobs.rejected_folder(feed.out))
+    assert sorted((r["trip_id"], r["reason"]) for r in rejected.collect()) == [
+        (1, "repeated_form"), (3, "distance_not_positive"), (5, "repeated_form")]
+    fares = jobs.latest(written, "ride_id").select("ride_id", F.col("fare").cast("int").alias("fare"))
+    assert {tuple(r) for r in fares.collect()} == {(1, 260), (2, 90)}
