@@ -44,18 +44,22 @@ def _block_masks(bits: int, blocks: int) -> list[int]:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    hashed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
-    return hashed.select("id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    hashed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"),
+                         F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
+    return hashed.select("row", "id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
 
 def _counted(lines: DataFrame, lane: int) -> DataFrame:
-    """(id, th, pos, key, fp) of lines given with their words, by ``lane`` sums of 64 / ``lane`` bits each."""
+    """(id, th, pos, key, fp) of lines given with their words, by ``lane`` sums of 64 / ``lane`` bits each.
+
+    Rows of one id and text are summed apart, so that repeats do not fill the lanes.
+    """
     # The line's hash is taken below the explode; beside it, it would be taken once per word. The outer form keeps Spark
     # from cutting every line twice, to test for words first.
-    words = (lines.select("id", "th", "pos", F.xxhash64("words").alias("key"), "words")
-             .select("id", "th", "pos", "key", F.explode_outer("words").alias("w")).filter("w is not null")
-             .select("id", "th", "pos", "key", F.xxhash64("w").alias("h")))
-    sums = words.groupBy("id", "th", "pos", "key").agg(
+    words = (lines.select("row", "id", "th", "pos", F.xxhash64("words").alias("key"), "words")
+             .select("row", "id", "th", "pos", "key", F.explode_outer("words").alias("w")).filter("w is not null")
+             .select("row", "id", "th", "pos", "key", F.xxhash64("w").alias("h")))
+    sums = words.groupBy("row", "id", "th", "pos", "key").agg(
         F.count(F.lit(1)).alias("n"),
         *[F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(LANES[lane]))).alias(f"s{j}") for j in range(lane)])
 
@@ -74,7 +78,7 @@ def line_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     def counted(frame: DataFrame, lane: int) -> DataFrame:
         lines = _lines(frame, id_col, text_col)
-        return _counted(lines.select("id", "th", "pos", words_of(F.col("line")).alias("words")), lane)
+        return _counted(lines.select("row", "id", "th", "pos", words_of(F.col("line")).alias("words")), lane)
     may_overflow = F.length(text_col) > 2 * LONG_LINE
     return counted(docs.filter(~may_overflow), 16).unionByName(counted(docs.filter(may_overflow), 32))
 

@@ -100,3 +100,11 @@ def test_hashes_count_every_word(docs_of):
     row = line_dedup.line_hashes(docs_of([(1, text)]), "doc_id", "text").select(F.hex("fp")).first()[0]
     import xxhash
     assert int(row, 16) == brute.majority([xxhash.xxh64_intdigest(w.encode(), 42) for w in text.split(" ")])
+
+
+def test_repeated_rows_do_not_fill_the_lanes(spark):
+    words = [f"w{chr(97 + i)}" for i in range(10)]
+    docs = spark.range(0, 14_000).select(F.lit(1).cast("bigint").alias("doc_id"), F.lit(" ".join(words)).alias("text"))
+    found = line_dedup.line_hashes(docs, "doc_id", "text").select(F.hex("fp")).distinct().collect()
+    import xxhash
+    assert [int(r[0], 16) for r in found] == [brute.majority([xxhash.xxh64_intdigest(w.encode(), 42) for w in words])]
