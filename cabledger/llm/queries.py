@@ -6,7 +6,8 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cabledger.llm import decontaminate, line_dedup, mixing, quality, secrets, simhash, sql, token_counts, toxicity, url_filter, winnowing
+from cabledger.llm import (decontaminate, line_dedup, main_text, mixing, quality, secrets, simhash, sql, token_alignment, token_counts,
+                           toxicity, url_filter, whitening, winnowing)
 
 TOKEN_LIMIT = 2048
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -73,6 +74,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("component").alias("component_id"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_alignment.align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                  public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+    return found.withColumnsRenamed({"id": "doc_id", "groups": "groups_sha256"})
+
+
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_line_dedup": op2_line_dedup,
@@ -84,6 +99,9 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_main_text": op12_main_text,
+    "op13_whitening": op13_whitening,
     "pipeline": corpus_pipeline.run,
 }
 
