@@ -4,15 +4,23 @@ Both read the text behind one space. The spans the libraries report are coarse c
 all bytes of a split character to its last piece and don't see the space that B adds. Wherever a span is not as wide
 as its token, the cut is refined with the bytes that the token stands for. Bytes where tokens of A and of B both
 end cut the text into groups, and every A token of a group is linked with every B token of it.
+
+Where the files show that neither tokenizer joins a visible character with a following blank, tab or line feed, a text
+is cut there, and each distinct segment is aligned once per task as long as it is remembered; new segments
+are aligned many at a time, in a row.
 """
 
 from __future__ import annotations
 
+import functools
+import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+from sentencepiece import sentencepiece_model_pb2 as piece_files
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
@@ -23,10 +31,18 @@ from cabledger.session import materialize
 HEAD = 1 << 18
 #: Characters of text handled before a batch is handed on, and links beyond which a group is counted by distinct ids.
 SLICE_CHARS, WIDE = 1 << 20, 1 << 12
+#: Segments remembered by a task (twice as many at most), longest one, and characters of new ones aligned in a row.
+REMEMBERED, SEGMENT_CHARS, ROW_CHARS = 1 << 17, 64, 1 << 16
 #: Links gathered before a task adds up their documents.
 GATHER = 1 << 20
 
 
+#: A segment ends before a blank, tab or line feed that follows a visible character.
+SEGMENT = re.compile(r"\s*+\S++(?:[^\S \t\n]\s*+\S*+)*+|\s++")
+#: Pieces that don't reach over the end of a segment.
+WITHIN = re.compile("▁*[^▁ \t\n]*")
+
+
 def byte_letters() -> dict[str, int]:
     """The letter by which byte-level vocabularies write each byte, turned round: printable bytes stand for themselves,
     the others follow from U+0100 in order."""
@@ -67,6 +83,11 @@ class ByteLevel:
         self.bytes = [bytes(letters[c] for c in e) if all(c in letters for c in e) else e.encode() for e in entries]
         self.widths = np.array([len(b) for b in self.bytes], np.int64)
         self.names = _Names(size, "|")
+        rules = json.loads(self.tokenizer.to_str())
+        before = rules["pre_tokenizer"] or {}
+        #: Whether segments can be handled one by one.
+        self.segments = (rules["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex")
+                         and not before.get("add_prefix_space"))
 
     def ends(self, text: str, raw: bytes) -> tuple[np.ndarray, np.ndarray] | None:
         """(ids, byte ends), or None if the tokens don't spell ``text``."""
@@ -91,6 +112,13 @@ class Pieces:
                       else self.model.id_to_piece(i).replace("▁", " ").encode() for i in range(size)]
         self.widths = np.array([len(b) for b in self.bytes], np.int64)
         self.names = _Names(size, ";")
+        file = piece_files.ModelProto()
+        with open(path, "rb") as f:
+            file.ParseFromString(f.read())
+        rules = file.normalizer_spec
+        self.segments = (not rules.precompiled_charsmap and not rules.remove_extra_whitespaces and rules.add_dummy_prefix
+                         and rules.escape_whitespaces and not file.trainer_spec.treat_whitespace_as_suffix
+                         and all(WITHIN.fullmatch(p.piece) for p in file.pieces))
 
     def ends(self, text: str, raw: bytes) -> tuple[np.ndarray, np.ndarray] | None:
         """(ids, byte ends within space and text), or None if the pieces don't spell them."""
@@ -102,54 +130,136 @@ class Pieces:
         return ids, _refined(spans[:, 1] + 1, spans[:, 2] + 1, self.widths[ids])
 
 
-def _links(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, first_b: np.ndarray, n_b: np.ndarray,
-           size_b: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct linked id pairs as ``a * size_b + b``, and how often each is linked."""
-    reps = n_b[group_a]
-    wide = np.flatnonzero(np.bincount(group_a) * n_b > WIDE)
-    codes, times = [], []
-    if len(wide):
-        plain = ~np.isin(group_a, wide)
-        bounds = [np.searchsorted(v, [wide, wide + 1]).T for v in (group_a, group_b)]
-        for (a0, a1), (b0, b1) in zip(*bounds):
-            x, nx = np.unique(a[a0:a1], return_counts=True)
-            y, ny = np.unique(b[b0:b1], return_counts=True)
-            codes.append((x[:, None] * size_b + y[None, :]).ravel())
-            times.append((nx[:, None] * ny[None, :]).ravel())
-        a, group_a, reps = a[plain], group_a[plain], reps[plain]
-    within = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-    found, n = np.unique(np.repeat(a, reps) * size_b + b[np.repeat(first_b[group_a], reps) + within], return_counts=True)
-    if not codes:
-        return found, n
-    found, where = np.unique(np.concatenate([found, *codes]), return_inverse=True)
-    return found, np.bincount(where, np.concatenate([n, *times])).astype(np.int64)
+#: What is known of a text or segment: tokens of A, of B, groups, links, listing, linked pairs, how often each (None: once).
+#: The last two are the bytes of 64-bit integers.
+Found = tuple[int, int, int, int, str, bytes, bytes | None]
+NOTHING: Found = (0, 0, 0, 0, "", b"", None)
 
 
 class Aligner:
-    """Groups and links of one text."""
+    """Groups and links of texts."""
 
     def __init__(self, byte_path: str, piece_path: str):
         self.a, self.b = ByteLevel(byte_path), Pieces(piece_path)
-
-    def align(self, text: str | None) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
-        """(tokens of A, of B, groups, links, groups as ``a1,a2|b1;a3|b2,b3``, linked pairs, how often)."""
-        none = 0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if not text:
-            return none
-        raw = b" " + text.encode()
-        one, two = self.a.ends(" " + text, raw), self.b.ends(text, raw)
+        self.size_b = len(self.b.bytes)
+        self.segments = self.a.segments and self.b.segments
+        self.young: dict[str, Found | None] = {}
+        self.old: dict[str, Found | None] = {}
+
+    def in_a_row(self, segments: list[str]) -> list[Found | None] | None:
+        """Each segment's tokens and links, None if they don't spell the text that the segments make in a row. It begins with a blank."""
+        text = "".join(segments)
+        raw = text.encode()
+        one, two = self.a.ends(text, raw), self.b.ends(text[1:], raw)
         if one is None or two is None:
-            return none
+            return None
         (a, end_a), (b, end_b) = one, two
         cut_a, cut_b = np.isin(end_a, end_b, assume_unique=True), np.isin(end_b, end_a, assume_unique=True)
         group_a, group_b = np.cumsum(cut_a) - cut_a, np.cumsum(cut_b) - cut_b
         n_a, n_b = np.bincount(group_a), np.bincount(group_b)
-        past_a, first_b = np.cumsum(n_a), np.cumsum(n_b) - n_b
+        past_a, past_b = (np.concatenate([[0], np.cumsum(n)]) for n in (n_a, n_b))
+        links = n_a * n_b
         listed = np.empty(len(a) + len(b), object)
-        listed[np.arange(len(a)) + first_b[group_a]] = self.a.names.of(a, cut_a)
-        listed[np.arange(len(b)) + past_a[group_b]] = self.b.names.of(b, cut_b)
-        codes, times = _links(a, b, group_a, group_b, first_b, n_b, len(self.b.bytes))
-        return len(a), len(b), len(n_a), int((n_a * n_b).sum()), "".join(listed.tolist())[:-1], codes, times
+        listed[np.arange(len(a)) + past_b[group_a]] = self.a.names.of(a, cut_a)
+        listed[np.arange(len(b)) + past_a[group_b + 1]] = self.b.names.of(b, cut_b)
+        wide = links > WIDE
+        plain = ~wide[group_a]
+        codes = self.linked(a[plain], b, group_a[plain], past_b, n_b)
+        sizes = [len(s.encode()) for s in segments]
+        group = np.concatenate([[0], np.searchsorted(end_a[cut_a], np.cumsum(sizes)) + 1])
+        at_a, at_b, at_link, at_code = (p[group].tolist() for p in (past_a, past_b, *(
+            np.concatenate([[0], np.cumsum(n)]) for n in (links, np.where(wide, 0, links)))))
+        listed, found = listed.tolist(), []
+        for i, groups in enumerate(np.diff(group).tolist()):
+            a0, a1, b0, b1 = at_a[i], at_a[i + 1], at_b[i], at_b[i + 1]
+            found.append((a1 - a0, b1 - b0, groups, at_link[i + 1] - at_link[i], "".join(listed[a0 + b0:a1 + b1])[:-1],
+                          codes[at_code[i]:at_code[i + 1]].tobytes(), None))
+        for g in np.flatnonzero(wide).tolist():
+            i = int(np.searchsorted(group, g, "right")) - 1
+            *counts, flat, times = found[i]
+            flat = np.frombuffer(flat, np.int64)
+            times = np.ones(len(flat), np.int64) if times is None else np.frombuffer(times, np.int64)
+            more = self.product(a[past_a[g]:past_a[g + 1]], b[past_b[g]:past_b[g + 1]])
+            found[i] = (*counts, *(np.concatenate(p).tobytes() for p in zip((flat, times), more)))
+        return found
+
+    def each(self, segments: list[str]) -> list[Found | None]:
+        """Each segment's tokens and links, None for one that they don't spell."""
+        if segments[0][0] == " " and len(segments[0]) > 1:
+            found = self.in_a_row(segments)
+        else:  # B puts a blank before a text, so one that begins otherwise follows a word
+            found = (self.in_a_row([" a", *segments]) or [None])[1:]
+        if found:
+            return found
+        if len(segments) == 1:
+            return [None]
+        half = len(segments) // 2
+        return self.each(segments[:half]) + self.each(segments[half:])
+
+    def linked(self, a: np.ndarray, b: np.ndarray, group_a: np.ndarray, past_b: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+        """All links in order as ``a * size of B + b``."""
+        reps = n_b[group_a]
+        within = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+        return np.repeat(a, reps) * self.size_b + b[np.repeat(past_b[group_a], reps) + within]
+
+    def product(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct links of one group by the distinct ids of both sides, and how often each occurs."""
+        (x, nx), (y, ny) = (np.unique(v, return_counts=True) for v in (a, b))
+        return (x[:, None] * self.size_b + y[None, :]).ravel(), (nx[:, None] * ny[None, :]).ravel()
+
+    def resolve(self, wanted: set[str]) -> dict[str, Found | None]:
+        """What is known of each segment; new ones are aligned and remembered."""
+        known = {s: self.young[s] for s in wanted & self.young.keys()}
+        again = {s: self.old[s] for s in (wanted & self.old.keys()) - known.keys()}
+        known |= again
+        self.young |= again
+        new, row, chars = [], [], 0
+        for s in wanted - known.keys():
+            if len(s) <= SEGMENT_CHARS and not s[-1].isspace():
+                row.append(s)
+                chars += len(s)
+                if chars >= ROW_CHARS:
+                    new.append(row)
+                    row, chars = [], 0
+            else:
+                new.append([s])
+        for row in [*new, row]:
+            if row:
+                found = dict(zip(row, self.each(row)))
+                known |= found
+                self.young |= {s: f for s, f in found.items() if len(s) <= SEGMENT_CHARS}
+        if len(self.young) >= REMEMBERED:
+            self.young, self.old = {}, self.young
+        return known
+
+    def align(self, texts: list[str | None]) -> list[tuple[int, int, int, int, str, np.ndarray, np.ndarray]]:
+        """(tokens of A, of B, groups, links, groups as ``a1,a2|b1;a3|b2,b3``, linked pairs, how often) of each text."""
+        cut = [(SEGMENT.findall(" " + t) if self.segments else [" " + t]) if t else [] for t in texts]
+        known = self.resolve({s for segments in cut for s in segments})
+        return [self.whole([known[s] for s in segments]) for segments in cut]
+
+    def whole(self, parts: list[Found | None]) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
+        if not parts or None in parts:
+            parts = [NOTHING]
+        a, b, groups, links, listing, codes, times = zip(*parts)
+        n = [np.frombuffer(t, np.int64) if t is not None else np.ones(len(c) // 8, np.int64) for c, t in zip(codes, times)] if any(
+            t is not None for t in times) else None
+        flat = np.frombuffer(b"".join(codes), np.int64)
+        distinct = np.unique(flat, return_counts=True) if n is None else summed(flat, np.concatenate(n))
+        return sum(a), sum(b), sum(groups), sum(links), ";".join(listing), *distinct
+
+
+@functools.lru_cache(maxsize=1)
+def _aligner(byte_path: str, piece_path: str) -> Aligner:
+    """One per Python worker, so that later tasks of it know the segments of earlier ones."""
+    return Aligner(byte_path, piece_path)
+
+
+def summed(codes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found, where = np.unique(codes, return_inverse=True)
+    total = np.zeros(len(found), np.int64)
+    np.add.at(total, where, times)
+    return found, total
 
 
 GROUPS = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, codes array<bigint>, times array<bigint>"
@@ -165,28 +275,24 @@ def token_groups(docs: DataFrame, byte_path: str, piece_path: str, id_col: str =
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(byte_path, piece_path)
+        aligner = _aligner(byte_path, piece_path)
 
-        def out(ids: list, found: list) -> pa.RecordBatch:
+        def out(ids: pa.Array, found: list) -> pa.RecordBatch:
             columns = list(zip(*found))
             ends = np.concatenate([[0], np.cumsum([len(c) for c in columns[5]])]).astype(np.int32)
             lists = [pa.ListArray.from_arrays(ends, np.concatenate(columns[i])) for i in (5, 6)]
             return pa.RecordBatch.from_arrays(
-                [pa.concat_arrays(ids), *(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.string()), *lists],
+                [ids, *(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.string()), *lists],
                 ["id", *(f.split()[0] for f in GROUPS.split(", "))])
 
         for batch in batches:
-            ids, found, held = [], [], 0
+            start, texts, held = 0, [], 0
             for i, cell in enumerate(batch.column(1)):
-                text = cell.as_py()
-                ids.append(batch.column(0).slice(i, 1))
-                found.append(aligner.align(text))
-                held += len(text or "")
-                if held >= SLICE_CHARS:
-                    yield out(ids, found)
-                    ids, found, held = [], [], 0
-            if ids:
-                yield out(ids, found)
+                texts.append(cell.as_py())
+                held += len(texts[-1] or "")
+                if held >= SLICE_CHARS or i + 1 == batch.num_rows:
+                    yield out(batch.column(0).slice(start, len(texts)), aligner.align(texts))
+                    start, texts, held = i + 1, [], 0
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, {GROUPS}")
 
 

@@ -73,7 +73,8 @@ def brute_align(rows):
 
 @pytest.mark.parametrize("head", [token_alignment.HEAD, 300, 0])
 def test_alignment_equals_brute_force(docs_of, head, monkeypatch):
-    monkeypatch.setattr(token_alignment, "WIDE", 1 << 12 if head else 20)
+    for name, value in () if head > 300 else (("WIDE", 20), ("REMEMBERED", 7), ("ROW_CHARS", 50), ("SLICE_CHARS", 200)):
+        monkeypatch.setattr(token_alignment, name, value)
     rows = [*enumerate(TEXTS), (None, "a null id"), (3, "plain words")]
     docs = docs_of(rows).withColumns({"row": F.lit(1), "n_a": F.lit("x"), "codes": F.lit(None).cast("string")})
     got = token_alignment.align(docs, A, B, head=head)
@@ -81,6 +82,17 @@ def test_alignment_equals_brute_force(docs_of, head, monkeypatch):
     assert token_alignment.align(docs.limit(0), A, B).count() == 0
 
 
+def test_segments_equal_whole_texts():
+    rng = random.Random(6)
+    pool = list("aZ é漢😀.;'\"){}1\r\n\t  \u00a0\u3000\x1c\x85\u2028") + ["the", "'s", " and", "   ", "\r\n", "<s>", "▁"]
+    cut, whole = token_alignment.Aligner(A, B), token_alignment.Aligner(A, B)
+    assert cut.segments
+    whole.segments = False
+    texts = ["".join(rng.choices(pool, k=rng.randint(1, 40))) for _ in range(3000)]
+    for x, y, t in zip(cut.align(texts), whole.align(texts), texts):
+        assert x[:5] == y[:5] and all((i == j).all() for i, j in zip(x[5:], y[5:])), repr(t)
+
+
 def test_registered_alignment(spark, documents):
     want = sorted(brute_align([tuple(r) for r in documents.collect()]))
     got = queries.op11_token_alignment(spark, SF)
