@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cabledger import schema
 from cabledger.functions.text import folded, trimmed, unfolded, whole
+from cabledger.operators.deliveries import FORM, ledger, once
 from cabledger.operators.forms import check_registration, check_vehicle, failed, passed
 from cabledger.operators.pick import first_per_key, last_per_key
 from cabledger.session import materialize
@@ -16,13 +17,15 @@ from cabledger.sources.sinks import update_join
 c = F.col
 
 
-def register_users(forms: DataFrame, users: DataFrame, drivers: DataFrame, as_of: str) -> dict[str, DataFrame]:
+def register_users(forms: DataFrame, users: DataFrame, drivers: DataFrame, as_of: str,
+                   applied: DataFrame | None = None) -> dict[str, DataFrame]:
     """Valid forms become users, and driver and wallet rows with them.
 
     ``forms`` holds user_id, driver_id, submitted_at and the text fields. E-mail, phone, identity card and
-    licence must be unused, by the tables and by forms accepted before in the same batch.
+    licence must be unused, by the tables and by forms accepted before in the same batch. Each form counts once; those in
+    the ledger ``applied`` of earlier runs are left out.
     """
-    checked = check_registration(forms)
+    checked = materialize(check_registration(once(forms, "user_id", ["submitted_at"], applied)))
     clean = passed(checked).withColumns({
         "full_name": trimmed(c("full_name")), "email": F.lower(trimmed(c("email"))), "phone": trimmed(c("phone")),
         "cnic": F.when(c("role") == "driver", trimmed(c("cnic"))),
@@ -30,12 +33,12 @@ def register_users(forms: DataFrame, users: DataFrame, drivers: DataFrame, as_of
     })
     keys = ["email", "phone", "cnic", "license_num"]
     folds = {f"_{k}": folded(c(k)) for k in keys}
-    pool = clean.withColumns(folds).select("user_id", "submitted_at", *folds)
+    pool = clean.withColumns(folds).select("user_id", "submitted_at", FORM, *folds)
     for column, table in [("email", users), ("phone", users), ("cnic", drivers), ("license_num", drivers)]:
         pool = pool.join(table.select(folded(c(column)).alias(f"_{column}")), f"_{column}", "left_anti")
-    taken = first_come(pool, list(folds), ["submitted_at", "user_id"], "user_id")
-    kept = clean.join(taken, "user_id", "left_semi")
-    refused = clean.join(taken, "user_id", "left_anti").withColumn("reason", F.lit("already_registered"))
+    taken = first_come(pool, list(folds), ["submitted_at", "user_id", FORM], FORM)
+    kept = clean.join(taken, FORM, "left_semi")
+    refused = clean.join(taken, FORM, "left_anti").withColumn("reason", F.lit("already_registered"))
     new_users = kept.withColumn("acc_status", F.lit("active")).withColumn("registration_date", F.lit(as_of))
     new_drivers = kept.filter(c("role") == "driver").select(
         "driver_id", "user_id", "cnic", "license_num", F.lit("pending").alias("verify_status"),
@@ -46,6 +49,7 @@ def register_users(forms: DataFrame, users: DataFrame, drivers: DataFrame, as_of
         "drivers": drivers.unionByName(schema.conform(new_drivers, "drivers")),
         "wallet": schema.conform(new_wallets, "wallet"),
         "rejected": failed(checked).select("user_id", "reason").unionByName(refused.select("user_id", "reason")),
+        "applied": ledger(checked, applied),
     }
 
 
@@ -72,26 +76,35 @@ def first_come(pool: DataFrame, keys: Sequence[str], order: Sequence[str], id_co
     return accepted
 
 
-def add_vehicles(forms: DataFrame, vehicles: DataFrame, as_of: str) -> dict[str, DataFrame]:
-    """Valid forms with an unused licence plate become pending vehicles; the first form of a plate wins."""
-    checked = check_vehicle(forms, as_of)
+def add_vehicles(forms: DataFrame, vehicles: DataFrame, as_of: str, applied: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Valid forms with an unused licence plate become pending vehicles; the first form of a plate wins.
+
+    Each form counts once; those in the ledger ``applied`` of earlier runs are left out.
+    """
+    checked = materialize(check_vehicle(once(forms, "vehicle_id", ["submitted_at"], applied), as_of))
     good = passed(checked).withColumn("_plate", folded(F.upper(trimmed(c("license_plate")))))
     free = good.join(vehicles.select(folded(c("license_plate")).alias("_plate")), "_plate", "left_anti")
-    first = first_per_key(free.select("_plate", "submitted_at", "vehicle_id"), ["_plate"], ["submitted_at", "vehicle_id"])
-    made = free.join(first.select("vehicle_id"), "vehicle_id", "left_semi").select(
+    first = first_per_key(free.select("_plate", "submitted_at", "vehicle_id", FORM), ["_plate"], ["submitted_at", "vehicle_id", FORM])
+    taken = materialize(first.select(FORM))
+    made = free.join(taken, FORM, "left_semi").select(
         "vehicle_id", "driver_id", trimmed(c("make")).alias("make"), trimmed(c("model")).alias("model"),
         whole(c("year")).alias("year"), trimmed(c("color")).alias("color"), unfolded(c("_plate")).alias("license_plate"),
         "vehicle_type", F.lit("pending").alias("verify_status"))
-    double = good.join(made.select("vehicle_id"), "vehicle_id", "left_anti").withColumn("reason", F.lit("plate_exists"))
+    double = good.join(taken, FORM, "left_anti").withColumn("reason", F.lit("plate_exists"))
     return {
         "vehicles": vehicles.unionByName(schema.conform(made, "vehicles")),
-        "rejected": failed(checked).unionByName(double.select(*forms.columns, "reason")),
+        "rejected": failed(checked).drop(FORM).unionByName(double.select(*forms.columns, "reason")),
+        "applied": ledger(checked, applied),
     }
 
 
 def apply_status_changes(table: DataFrame, changes: DataFrame, key: str, column: str,
                          allowed: Sequence[str]) -> dict[str, DataFrame]:
-    """Set ``column`` from changes (change_id, key, new_status, changed_at); the last allowed one counts."""
+    """Set ``column`` from changes (change_id, key, new_status, changed_at); the last allowed one counts.
+
+    A change delivered twice counts once.
+    """
+    changes = once(changes, "change_id", ["changed_at"]).drop(FORM)
     fits = F.coalesce(c("new_status").isin(list(allowed)), F.lit(False))
     last = last_per_key(changes.filter(fits).select(key, "new_status", "changed_at", "change_id"), [key],
                         ["changed_at", "change_id"])

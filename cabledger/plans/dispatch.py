@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cabledger import schema
 from cabledger.functions.text import number, trimmed
+from cabledger.operators.deliveries import FORM, ledger, once
 from cabledger.operators.forms import check_booking
 from cabledger.operators.ordered import HOT_ROWS, numbered, previous
 from cabledger.operators.pick import first_per_key, last_per_key
@@ -18,19 +19,27 @@ from cabledger.sources.sinks import update_join
 c = F.col
 
 
-def book_rides(requests: DataFrame, rides: DataFrame, fare_rules: DataFrame, as_of: str) -> dict[str, DataFrame]:
+def book_rides(requests: DataFrame, rides: DataFrame, fare_rules: DataFrame, as_of: str, locations: DataFrame | None = None,
+               applied: DataFrame | None = None) -> dict[str, DataFrame]:
     """Turn booking forms into requested rides with two new places each.
 
     A rider with a live ride is turned away, and so is every form after a rider's first good one. Forms
-    carry ride_id, rider_id and requested_at; the places get the ids 2 x ride_id and 2 x ride_id + 1.
+    carry ride_id, rider_id and requested_at; the places get the ids 2 x ride_id and 2 x ride_id + 1, and a form whose
+    places have ids that ``locations`` holds already is turned away (``place_id_taken``). Each form counts once; those in
+    the ledger ``applied`` of earlier runs are left out.
     """
-    checked = check_booking(requests, as_of)
+    checked = materialize(check_booking(once(requests, "ride_id", ["requested_at"], applied), as_of))
     busy = riders_with_active_ride({"rides": rides}).withColumn("_busy", F.lit(True))
-    tested = checked.join(busy, "rider_id", "left").withColumn(
-        "reason", F.coalesce("first_error", F.when(c("_busy"), "active_ride")))
+    reason = F.coalesce("first_error", F.when(c("_busy"), "active_ride"))
+    tested = checked.join(busy, "rider_id", "left")
+    if locations is not None:
+        held = locations.select(F.expr("location_id div 2").alias("ride_id")).join(checked.select("ride_id"), "ride_id", "left_semi").distinct()
+        tested = tested.join(held.withColumn("_held", F.lit(True)), "ride_id", "left")
+        reason = F.coalesce(reason, F.when(c("_held"), "place_id_taken"))
+    tested = tested.withColumn("reason", reason)
     free = tested.filter(c("reason").isNull())
-    first = first_per_key(free.select("rider_id", "requested_at", "ride_id"), ["rider_id"], ["requested_at", "ride_id"])
-    ranked = materialize(tested.join(first.select("ride_id", F.lit(True).alias("_first")), "ride_id", "left").withColumn(
+    first = first_per_key(free.select("rider_id", "requested_at", "ride_id", FORM), ["rider_id"], ["requested_at", "ride_id", FORM])
+    ranked = materialize(tested.join(first.select(FORM, F.lit(True).alias("_first")), FORM, "left").withColumn(
         "reason", F.when(c("reason").isNull() & c("_first").isNull(), "active_ride").otherwise(c("reason"))))
     booked = pricing_rule_lookup(ranked.filter(c("reason").isNull()), fare_rules)
     made = booked.select(
@@ -50,6 +59,7 @@ def book_rides(requests: DataFrame, rides: DataFrame, fare_rules: DataFrame, as_
         "rides": rides.unionByName(schema.conform(made, "rides")),
         "locations": schema.conform(places, "locations"),
         "rejected": ranked.filter(c("reason").isNotNull()).select("ride_id", "rider_id", "reason"),
+        "applied": ledger(checked, applied),
     }
 
 
@@ -143,7 +153,7 @@ def accept_rides(attempts: DataFrame, rides: DataFrame, drivers: DataFrame, vehi
     verified = drivers.filter(c("verify_status") == "verified").select("driver_id", F.lit(True).alias("_verified"))
     wanted = rides.filter(c("status") == "requested").select("ride_id", F.lit(True).alias("_requested"))
     tested = materialize(
-        attempts.select("ride_id", "driver_id", "attempted_at")
+        attempts.select("ride_id", "driver_id", "attempted_at").distinct()
         .join(verified, "driver_id", "left").join(first_verified_vehicle(vehicles), "driver_id", "left")
         .join(wanted, "ride_id", "left")
         .withColumn("reason", F.when(c("_verified").isNull(), "driver_not_verified")
@@ -175,8 +185,9 @@ def advance_status(changes: DataFrame, rides: DataFrame, hot_rows: int = HOT_ROW
 
     Only the two driver steps are applied. ``illegal`` lists changes that were not applied because of their
     status, and applied ones that skip a step or go back in requested, accepted, en route, in progress,
-    completed.
+    completed. A change delivered twice counts once.
     """
+    changes = materialize(once(changes, "change_id", ["changed_at"]).drop(FORM))
     allowed = F.coalesce(c("new_status").isin(DRIVER_STEPS), F.lit(False))
     good = changes.filter(allowed).select("ride_id", "change_id", "new_status", "changed_at")
     last = last_per_key(good, ["ride_id"], ["changed_at", "change_id"])

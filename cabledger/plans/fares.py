@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from cabledger import schema
 from cabledger.functions import money
 from cabledger.functions.clock import moment
+from cabledger.operators.deliveries import FORM, ledger, once
 from cabledger.operators.forms import check_trip_completion, failed, passed
 from cabledger.operators.pick import first_per_key
 from cabledger.session import materialize
@@ -37,19 +39,22 @@ def split_commission(rated: DataFrame, share: Decimal = money.COMMISSION) -> Dat
     return cut.withColumn("net_amount", money.money(c("fare") - c("commission")))
 
 
-def finish_trips(forms: DataFrame, t: Mapping[str, DataFrame], as_of: str) -> dict[str, DataFrame]:
+def finish_trips(forms: DataFrame, t: Mapping[str, DataFrame], as_of: str, applied: DataFrame | None = None) -> dict[str, DataFrame]:
     """The whole chain for finished trips, from the drivers' forms to all new tables.
 
     The rated trips feed five tables, so they are computed and written once. Forms with errors come
     back as ``rejected``, and so do good forms of a ride after its first (``repeated_form``): one request after the
-    other, the first finishes the ride.
+    other, the first finishes the ride. A form delivered again has no effect and is not listed again. With the ledger
+    ``applied`` of earlier runs that also holds across runs; without it a new form of a finished ride rates it again.
     """
-    checked = materialize(check_trip_completion(forms))
-    good, repeated = first_forms(passed(checked))
+    checked = materialize(check_trip_completion(once(forms, "trip_id", ["submitted_at"], applied)))
+    good, repeated = first_forms(passed(checked), applied)
+    good = materialize(good)
     rated = materialize(split_commission(rate_fares(good, t["rides"], t["fare_rules"])))
     return {
         "rated": rated,
-        "rejected": failed(checked).unionByName(repeated),
+        "rejected": failed(checked).unionByName(repeated).drop(FORM),
+        "applied": ledger(checked, applied, good, "ride_id"),
         "driver_earnings": post_earnings(t["driver_earnings"], rated, as_of),
         "payments": open_payments(t["payments"], rated, as_of),
         "wallet": credit_wallets(t["wallet"], t["drivers"], rated, t["driver_earnings"]),
@@ -57,12 +62,27 @@ def finish_trips(forms: DataFrame, t: Mapping[str, DataFrame], as_of: str) -> di
     }
 
 
-def first_forms(good: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The first good form of each ride by ``submitted_at``, then ``trip_id``; and the others with their reason."""
-    order = ["submitted_at", "trip_id"]
-    first = first_per_key(good.select("ride_id", *order), ["ride_id"], order).select("ride_id", "trip_id")
-    kept = good.join(first, ["ride_id", "trip_id"], "left_semi")
-    return kept, good.join(first, ["ride_id", "trip_id"], "left_anti").withColumn("reason", F.lit("repeated_form"))
+#: What decides between forms of one ride; the rest of the row parts equal ones.
+FIRST = ["submitted_at", "trip_id"]
+
+
+def first_form_per_ride(good: DataFrame) -> DataFrame:
+    """The first good form of each ride by ``submitted_at``, then ``trip_id``, then the rest of the row; repeats don't matter."""
+    rest = [n for n in good.columns if n not in ("ride_id", *FIRST)]
+    return first_per_key(good, ["ride_id"], [*FIRST, *rest])
+
+
+def first_forms(good: DataFrame, applied: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The first good form of each ride, and the others with their reason. Rides in the ledger have had their first form."""
+    repeated = F.lit("repeated_form")
+    done = []
+    if applied is not None:
+        rides = applied.select(c("subject").cast("bigint").alias("ride_id")).filter(c("ride_id").isNotNull()).distinct()
+        done = [good.join(rides, "ride_id", "left_semi")]
+        good = good.join(rides, "ride_id", "left_anti")
+    kept = first_form_per_ride(good)
+    others = [good.join(kept.select(FORM), FORM, "left_anti"), *done]
+    return kept, reduce(DataFrame.unionByName, others).withColumn("reason", repeated)
 
 
 def post_earnings(driver_earnings: DataFrame, rated: DataFrame, as_of: str) -> DataFrame:

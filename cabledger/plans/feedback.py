@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cabledger import schema
 from cabledger.functions.clock import moment
 from cabledger.functions.text import trimmed, whole
+from cabledger.operators.deliveries import FORM, ledger, once
 from cabledger.operators.forms import check_rating
-from cabledger.operators.pick import first_per_key
 from cabledger.session import materialize
 from cabledger.sources.sinks import update_join
 
@@ -16,14 +16,15 @@ c = F.col
 LOWEST_GOOD = 3.5
 
 
-def accept_ratings(forms: DataFrame, rides: DataFrame, ratings: DataFrame, drivers: DataFrame) -> dict[str, DataFrame]:
-    """Add valid ratings; at most one per ride and rater.
+def accept_ratings(forms: DataFrame, rides: DataFrame, ratings: DataFrame, drivers: DataFrame,
+                   applied: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Add valid ratings; at most one per ride and rater. Each form counts once; those in the ledger ``applied`` are left out.
 
     ``forms`` holds rating_id, ride_id, rated_by, rated_user_id, rater_role, score (text), comment, rated_at.
     Riders rate their own completed rides; drivers may rate any ride. The rated user is taken as given;
     ``target_mismatch`` marks ratings whose target was not the other side of the ride.
     """
-    checked = check_rating(forms)
+    checked = materialize(check_rating(once(forms, "rating_id", ["rated_at"], applied)))
     trip = rides.select("ride_id", "rider_id", "status", "driver_id")
     sides = drivers.select("driver_id", c("user_id").alias("_driver_user"))
     done = ratings.select("ride_id", "rated_by", F.lit(True).alias("_rated"))
@@ -38,10 +39,12 @@ def accept_ratings(forms: DataFrame, rides: DataFrame, ratings: DataFrame, drive
         .when(c("rated_by") == c("rated_user_id"), "self_rating"))
     tested = joined.withColumn("reason", reason)
     good = tested.filter(c("reason").isNull())
-    first = first_per_key(good.select("ride_id", "rated_by", "rated_at", "rating_id"), ["ride_id", "rated_by"],
-                          ["rated_at", "rating_id"]).select("rating_id", F.lit(True).alias("_first"))
-    ranked = materialize(tested.join(first, "rating_id", "left").withColumn(
-        "reason", F.when(c("reason").isNull() & c("_first").isNull(), "already_rated").otherwise(c("reason"))))
+    place = F.struct("rated_at", "rating_id", FORM)
+    first = good.groupBy("ride_id", "rated_by").agg(F.min(place).alias("_first"))
+    # A rating is looked at for its target only where no earlier one was accepted.
+    later = (c("reason").isNull() | (c("reason") == "self_rating")) & (place > c("_first"))
+    ranked = materialize(tested.join(first, ["ride_id", "rated_by"], "left").withColumn(
+        "reason", F.when(later, "already_rated").otherwise(c("reason"))).drop("_first"))
     kept = ranked.filter(c("reason").isNull())
     other_side = F.when(rider, c("_driver_user")).otherwise(c("rider_id"))
     accepted = kept.withColumn("score", whole(c("score"))).withColumn(
@@ -51,6 +54,7 @@ def accept_ratings(forms: DataFrame, rides: DataFrame, ratings: DataFrame, drive
         "accepted": kept.select("rating_id", "ride_id", "rated_by", "rated_user_id",
                                 (~F.coalesce(c("rated_user_id") == other_side, F.lit(False))).alias("target_mismatch")),
         "rejected": ranked.filter(c("reason").isNotNull()).select("rating_id", "ride_id", "rated_by", "reason"),
+        "applied": ledger(checked, applied),
     }
 
 

@@ -7,31 +7,35 @@ from pyspark.sql import DataFrame, functions as F
 from cabledger import schema
 from cabledger.functions.clock import moment
 from cabledger.functions.text import folded, number, trimmed, unfolded, whole
+from cabledger.operators.deliveries import FORM, ledger, once
 from cabledger.operators.forms import check_fare_rule, check_promo, failed, passed
 from cabledger.operators.pick import first_per_key, last_per_key
+from cabledger.session import materialize
 from cabledger.sources.sinks import update_where, upsert
 
 c = F.col
 
 
-def create_promos(forms: DataFrame, promo_codes: DataFrame) -> dict[str, DataFrame]:
+def create_promos(forms: DataFrame, promo_codes: DataFrame, applied: DataFrame | None = None) -> dict[str, DataFrame]:
     """Valid forms with a code not in use become promo codes; the first form of a code wins.
 
-    ``forms`` holds promo_id, submitted_at and the text fields of a promo.
+    ``forms`` holds promo_id, submitted_at and the text fields of a promo. Each form counts once; those in the ledger
+    ``applied`` of earlier runs are left out.
     """
-    checked = check_promo(forms)
+    checked = materialize(check_promo(once(forms, "promo_id", ["submitted_at"], applied)))
     good = passed(checked).withColumn("_code", folded(F.upper(trimmed(c("code")))))
-    taken = promo_codes.select(folded(c("code")).alias("_code"))
-    free = good.join(taken, "_code", "left_anti")
-    first = first_per_key(free.select("_code", "submitted_at", "promo_id"), ["_code"], ["submitted_at", "promo_id"])
-    made = free.join(first.select("promo_id"), "promo_id", "left_semi").select(
+    free = good.join(promo_codes.select(folded(c("code")).alias("_code")), "_code", "left_anti")
+    first = first_per_key(free.select("_code", "submitted_at", "promo_id", FORM), ["_code"], ["submitted_at", "promo_id", FORM])
+    taken = materialize(first.select(FORM))
+    made = free.join(taken, FORM, "left_semi").select(
         "promo_id", unfolded(c("_code")).alias("code"), number(c("discount_pct")).alias("discount_pct"),
         whole(c("usage_limit")).alias("usage_limit"), F.lit(0).alias("usage_count"),
         c("valid_from").cast("timestamp_ntz"), c("valid_until").cast("timestamp_ntz"))
-    double = good.join(made.select("promo_id"), "promo_id", "left_anti").withColumn("reason", F.lit("code_exists"))
+    double = good.join(taken, FORM, "left_anti").withColumn("reason", F.lit("code_exists"))
     return {
         "promo_codes": promo_codes.unionByName(schema.conform(made, "promo_codes")),
-        "rejected": failed(checked).unionByName(double.select(*forms.columns, "reason")),
+        "rejected": failed(checked).drop(FORM).unionByName(double.select(*forms.columns, "reason")),
+        "applied": ledger(checked, applied),
     }
 
 
@@ -47,7 +51,7 @@ def upsert_fare_rules(forms: DataFrame, fare_rules: DataFrame) -> dict[str, Data
     ``forms`` holds rule_id (used for a new pair), submitted_at and the text fields of a rule. An empty or
     zero surge is saved as 1.00.
     """
-    checked = check_fare_rule(forms)
+    checked = check_fare_rule(once(forms, "rule_id", ["submitted_at"]))
     surge = number(c("surge_multi"))
     typed = passed(checked).select(
         "rule_id", "submitted_at", trimmed(c("city")).alias("city"), folded(trimmed(c("city"))).alias("_city"),
@@ -62,5 +66,5 @@ def upsert_fare_rules(forms: DataFrame, fare_rules: DataFrame) -> dict[str, Data
     return {
         "fare_rules": upsert(fare_rules, spelled, ["city", "vehicle_type"],
                              ["base_rate", "per_km_rate", "per_min_rate", "surge_multi"]),
-        "rejected": failed(checked),
+        "rejected": failed(checked).drop(FORM),
     }

@@ -117,12 +117,16 @@ def active_promos(t: Tables, as_of: str, enforce_start: bool = False) -> DataFra
     return t["promo_codes"].filter(usable(as_of, enforce_start))
 
 
-def usable(as_of: str, enforce_start: bool = False) -> Column:
+def in_date(as_of: str, enforce_start: bool = False) -> Column:
     now = moment(as_of)
-    ok = (F.col("valid_until") > now) & (F.col("usage_count") < F.col("usage_limit"))
+    ok = F.col("valid_until") > now
     return ok & (F.col("valid_from") <= now) if enforce_start else ok
 
 
+def usable(as_of: str, enforce_start: bool = False) -> Column:
+    return in_date(as_of, enforce_start) & (F.col("usage_count") < F.col("usage_limit"))
+
+
 def promo_list(t: Tables, as_of: str) -> DataFrame:
     """All codes with their state, latest end date first."""
     over = (F.col("valid_until") < moment(as_of)) | (F.col("usage_count") >= F.col("usage_limit"))

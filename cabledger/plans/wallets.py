@@ -7,20 +7,26 @@ from pyspark.sql import DataFrame, functions as F
 from cabledger.functions.clock import moment
 from cabledger.functions.money import money, total
 from cabledger.functions.text import number
+from cabledger.operators.deliveries import FORM, ledger, once
 from cabledger.operators.forms import check_topup, failed, passed
 from cabledger.operators.ordered import HOT_ROWS, running_sum
+from cabledger.session import materialize
 from cabledger.sources.sinks import update_join
 
 c = F.col
 
 
-def top_up_wallets(requests: DataFrame, wallet: DataFrame) -> dict[str, DataFrame]:
-    """Add every valid top-up (request_id, user_id, amount as text) to its user's wallet."""
-    checked = check_topup(requests)
+def top_up_wallets(requests: DataFrame, wallet: DataFrame, applied: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Add every valid top-up (request_id, user_id, amount as text, requested_at) to its user's wallet, each request once.
+
+    Requests in the ledger ``applied`` of earlier runs are left out.
+    """
+    checked = materialize(check_topup(once(requests, "request_id", ["requested_at"], applied)))
     added = passed(checked).groupBy("user_id").agg(F.sum(number(c("amount"))).cast("decimal(20,2)").alias("added"))
     return {
         "wallet": update_join(wallet, added, ["user_id"], {"balance": c("balance") + c("_d_added")}, carry=["added"]),
-        "rejected": failed(checked),
+        "rejected": failed(checked).drop(FORM),
+        "applied": ledger(checked, applied),
     }
 
 

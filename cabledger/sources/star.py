@@ -157,10 +157,11 @@ FROM (SELECT n_nationkey, n_name, 0 AS copy FROM nation UNION ALL SELECT n_natio
 STEPS["payment_requests"] = """
 SELECT CAST(ride_id*2+copy AS BIGINT) AS request_id, ride_id,
   CASE WHEN ride_id%50=2 THEN rider_id+1 ELSE rider_id END AS rider_id,
-  CASE WHEN ride_id%50=1 THEN 'barter' WHEN ride_id%2=0 THEN 'wallet' WHEN ride_id%4=1 THEN 'cash' ELSE 'card' END AS pay_method,
-  CASE WHEN ride_id%50=3 THEN 'NOSUCH' WHEN ride_id%3=0 THEN concat('promo',CAST(ride_id%10+1 AS STRING)) WHEN ride_id%7=0 THEN '' END AS promo_code,
-  CAST(created_at + INTERVAL '1' MINUTE * CAST(ride_id*31%1440 AS INT) AS TIMESTAMP) AS requested_at
-FROM (SELECT rides.*, 1 AS copy FROM rides UNION ALL SELECT rides.*, 2 FROM rides WHERE ride_id%40=0) r"""
+  CASE WHEN ride_id%50=1 THEN 'barter' WHEN ride_id%16=8 AND copy=2 THEN 'cash' WHEN ride_id%2=0 THEN 'wallet' WHEN ride_id%4=1 THEN 'cash' ELSE 'card' END AS pay_method,
+  CASE WHEN ride_id%50=3 THEN 'NOSUCH' WHEN ride_id%3=0 THEN concat('promo',CAST(ride_id%10+1 AS STRING))
+    WHEN ride_id%3=1 THEN concat('Promo',CAST(1+2*(ride_id%7%3) AS STRING),' ') WHEN ride_id%7=0 THEN '' END AS promo_code,
+  CAST(created_at + INTERVAL '1' MINUTE * CAST((ride_id*31+copy*copy*ride_id)%1440 AS INT) AS TIMESTAMP) AS requested_at
+FROM (SELECT rides.*, 1 AS copy FROM rides UNION ALL SELECT rides.*, 2 FROM rides WHERE ride_id%8=0) r"""
 
 
 STEPS["raw_registrations"] = """
@@ -366,6 +367,12 @@ SELECT ride_id, driver_id, status, created_at AS changed_at FROM rides
 UNION ALL SELECT ride_id, driver_id, status, created_at FROM rides WHERE ride_id%10=0"""
 
 
+#: Forms that jobs take, each delivered twice with its own id.
+DELIVERED = ["raw_bookings", "payment_requests", "raw_registrations", "raw_trips", "raw_vehicles", "raw_topups", "raw_promos",
+             "raw_ratings", "accept_attempts", "status_changes", "account_changes"]
+STEPS.update({f"twice_{name}": f"SELECT * FROM {name} UNION ALL SELECT * FROM {name}" for name in DELIVERED})
+
+
 def _depends(sql: str, known) -> list[str]:
     words = set(re.findall(r"\w+", sql))
     return [name for name in known if name in words]

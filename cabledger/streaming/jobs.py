@@ -15,7 +15,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from cabledger.functions.clock import moment
 from cabledger.operators.forms import check_trip_completion, failed, passed
 from cabledger.operators.pick import first_per_key, last_per_key
-from cabledger.plans.fares import first_forms, rate_fares, split_commission
+from cabledger.plans.fares import first_form_per_ride, rate_fares, split_commission
 from cabledger.plans.feedback import LOWEST_GOOD
 from cabledger.session import materialize
 from cabledger.streaming.sinks import batch_folder, start, written_before

@@ -30,24 +30,28 @@ PRICED = f""", tested AS (SELECT q.*, r.fare, c.promo_id, c.discount_pct,
         WHEN p.ride_id IS NOT NULL THEN 'already_paid' WHEN coalesce(q.promo_code,'')<>'' AND c.promo_id IS NULL THEN 'promo_not_usable' END AS why
     FROM payment_requests q LEFT JOIN rides r ON r.ride_id=q.ride_id AND r.rider_id=q.rider_id AND r.fare<>0
     LEFT JOIN payments p ON p.ride_id=q.ride_id AND p.pay_status='paid'
-    LEFT JOIN promo_codes c ON lower(c.code)=lower(q.promo_code) AND c.valid_until > {NOW} AND c.usage_count < c.usage_limit),
-  ranked AS (SELECT *, CASE WHEN why IS NULL AND row_number() OVER (PARTITION BY ride_id, why IS NULL ORDER BY requested_at, request_id) > 1
-    THEN 'later_request' ELSE why END AS reason FROM tested),
+    LEFT JOIN promo_codes c ON lower(c.code)=lower(trim(q.promo_code)) AND c.valid_until > {NOW}),
+  ranked AS (SELECT *, why AS reason FROM tested),
   priced AS (SELECT request_id, ride_id, rider_id, pay_method, requested_at, fare, promo_id,
     {_d('coalesce(round(fare*discount_pct*0.01,2),0)')} AS discount, {_d('fare-coalesce(round(fare*discount_pct*0.01,2),0)')} AS total
     FROM ranked WHERE reason IS NULL)"""
 
-REDEEMED = PRICED + """, numbered AS (SELECT p.*, c.usage_limit-c.usage_count AS room,
-      row_number() OVER (PARTITION BY p.promo_id ORDER BY p.requested_at, p.request_id) AS rn
-    FROM priced p LEFT JOIN promo_codes c ON c.promo_id=p.promo_id),
-  accepted AS (SELECT * EXCLUDE (room, rn) FROM numbered WHERE promo_id IS NULL OR rn <= room)"""
-
-SETTLED = REDEEMED + f""", queue AS (SELECT a.*, row_number() OVER (PARTITION BY rider_id ORDER BY requested_at, request_id) AS rn
-    FROM accepted a WHERE pay_method='wallet'),
-  walk AS (SELECT w.user_id AS rider_id, CAST(0 AS BIGINT) AS rn, CAST(w.balance AS DECIMAL(20,2)) AS bal, CAST(NULL AS BIGINT) AS request_id, false AS ok FROM wallet w
-    UNION ALL SELECT k.rider_id, q.rn, CAST(CASE WHEN q.total<=k.bal THEN k.bal-q.total ELSE k.bal END AS DECIMAL(20,2)), q.request_id, q.total<=k.bal
-    FROM walk k JOIN queue q ON q.rider_id=k.rider_id AND q.rn=k.rn+1),
-  settled AS (SELECT a.*, a.pay_method<>'wallet' OR coalesce(k.ok,false) AS ok FROM accepted a LEFT JOIN walk k ON k.request_id=a.request_id)"""
+# Requests are walked one by one: what is paid, which uses are taken and what is spent so far decide about the next.
+SETTLED = PRICED + """, queue AS (SELECT p.*, c.usage_limit-c.usage_count AS room, coalesce(w.balance,-1) AS balance, b.promo_id IS NULL AS takes,
+      row_number() OVER (ORDER BY p.requested_at, p.request_id) AS n
+    FROM priced p LEFT JOIN promo_codes c ON c.promo_id=p.promo_id LEFT JOIN wallet w ON w.user_id=p.rider_id LEFT JOIN payments b ON b.ride_id=p.ride_id),
+  walk AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS paid, CAST([] AS BIGINT[]) AS uses, CAST([] AS STRUCT(u BIGINT, a DECIMAL(20,2))[]) AS spent,
+      CAST(NULL AS BIGINT) AS request_id, CAST(NULL AS VARCHAR) AS why
+    UNION ALL SELECT q.n, CASE WHEN s.why IS NULL THEN list_append(k.paid, q.ride_id) ELSE k.paid END,
+      CASE WHEN s.why IS NULL AND q.takes AND q.promo_id IS NOT NULL THEN list_append(k.uses, q.promo_id) ELSE k.uses END,
+      CASE WHEN s.why IS NULL AND q.pay_method='wallet' THEN list_append(k.spent, {'u': q.rider_id, 'a': CAST(q.total AS DECIMAL(20,2))}) ELSE k.spent END,
+      q.request_id, s.why
+    FROM walk k JOIN queue q ON q.n=k.n+1, LATERAL (SELECT CASE WHEN list_contains(k.paid, q.ride_id) THEN 'already_paid'
+      WHEN q.promo_id IS NOT NULL AND len(list_filter(k.uses, lambda x: x=q.promo_id)) >= q.room THEN 'promo_used_up'
+      WHEN q.pay_method='wallet' AND q.total > q.balance-coalesce(list_sum(list_transform(list_filter(k.spent, lambda x: x.u=q.rider_id), lambda x: x.a)),0)
+        THEN 'insufficient_balance' END AS why) s),
+  settled AS (SELECT q.*, k.why, k.why IS NULL AS ok FROM queue q JOIN walk k ON k.request_id=q.request_id),
+  accepted AS (SELECT * FROM settled WHERE ok)"""
 
 ATTEMPTS = """, tested AS (SELECT a.*, v.vehicle_id, CASE WHEN d.driver_id IS NULL THEN 'driver_not_verified' WHEN v.vehicle_id IS NULL THEN 'no_verified_vehicle'
       WHEN r.ride_id IS NULL THEN 'ride_not_requested' END AS why
@@ -175,9 +179,9 @@ SQL = {
         CAST(sum(amount) OVER (PARTITION BY user_id ORDER BY ts, kind, id ROWS UNBOUNDED PRECEDING) AS DECIMAL(20,2)) AS running_balance FROM moves""",
     "apply_promos": PRICED + f" SELECT {ACC} FROM priced",
     "apply_promos_rejected": PRICED + f" SELECT {REQ}, reason FROM ranked WHERE reason IS NOT NULL",
-    "redeem_promos_capped": REDEEMED + f" SELECT {ACC} FROM accepted",
-    "redeem_promos_capped_rejected": REDEEMED + f" SELECT {ACC}, 'promo_used_up' AS reason FROM numbered WHERE promo_id IS NOT NULL AND rn > room",
-    "redeem_promos_capped_reserved": REDEEMED + " SELECT promo_id, count(*) AS uses FROM accepted WHERE promo_id IS NOT NULL GROUP BY promo_id",
+    "redeem_promos_capped": SETTLED + f" SELECT {ACC} FROM accepted",
+    "redeem_promos_capped_rejected": SETTLED + f" SELECT {ACC}, why AS reason FROM settled WHERE why='promo_used_up'",
+    "redeem_promos_capped_reserved": SETTLED + " SELECT promo_id, count(*) AS uses FROM accepted WHERE promo_id IS NOT NULL AND takes GROUP BY promo_id",
     "settle_payments_promo_codes": SETTLED + """ SELECT c.promo_id, c.code, c.discount_pct, c.usage_limit, CAST(c.usage_count+coalesce(u.n,0) AS BIGINT) AS usage_count,
         c.valid_from, c.valid_until FROM promo_codes c LEFT JOIN (SELECT s.promo_id, count(*) AS n FROM settled s LEFT JOIN payments b ON b.ride_id=s.ride_id
           WHERE s.ok AND s.promo_id IS NOT NULL AND b.promo_id IS NULL GROUP BY s.promo_id) u ON u.promo_id=c.promo_id""",
@@ -187,7 +191,10 @@ SQL = {
         UNION ALL SELECT ride_id, ride_id, rider_id, promo_id, total, pay_method, 'paid', discount, {NOW} FROM settled WHERE ok AND ride_id NOT IN (SELECT ride_id FROM payments)""",
     "settle_payments_wallet": SETTLED + f""" SELECT w.user_id, {_d('w.balance-coalesce(s.spent,0)')} AS balance, w.last_payout_date, w.payout_status FROM wallet w
         LEFT JOIN (SELECT rider_id, sum(total) AS spent FROM settled WHERE ok AND pay_method='wallet' GROUP BY rider_id) s ON s.rider_id=w.user_id""",
-    "settle_payments_rejected": SETTLED + f" SELECT {ACC}, 'insufficient_balance' AS reason FROM settled WHERE NOT ok",
+    "settle_payments_rejected": SETTLED + f" SELECT {ACC}, why AS reason FROM settled WHERE why<>'promo_used_up'",
+    "pay_rides_rejected": SETTLED + """ SELECT r.request_id, CASE WHEN r.reason='promo_not_usable' AND (a.requested_at, a.request_id) < (r.requested_at, r.request_id)
+        THEN 'already_paid' ELSE r.reason END AS reason FROM ranked r LEFT JOIN accepted a ON a.ride_id=r.ride_id WHERE r.reason IS NOT NULL
+        UNION ALL SELECT request_id, why FROM settled WHERE NOT ok""",
     "on_payment_paid": f""", fresh AS (SELECT n.ride_id FROM payments n LEFT JOIN payments_before o ON o.ride_id=n.ride_id WHERE n.pay_status='paid' AND coalesce(o.pay_status,'')<>'paid')
         SELECT r.ride_id, r.rider_id, r.driver_id, r.vehicle_id, r.pickup_location_id, r.dropoff_location_id, r.rule_id, CASE WHEN f.ride_id IS NULL THEN r.status ELSE 'completed' END AS status,
         r.fare, r.distance, r.duration, r.scheduled_at, CASE WHEN f.ride_id IS NULL THEN r.completed_at ELSE {NOW} END AS completed_at, r.created_at

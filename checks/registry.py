@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cabledger import schema
 from cabledger.functions.clock import moment
 from cabledger.operators import constraints, forms
+from cabledger.operators.deliveries import FORM
 from cabledger.operators.joins import with_pickup_city
 from cabledger.plans import (accounts, dispatch, fares, feedback, payments, people, promos, revenue, trips,
                              wallets)
@@ -18,6 +19,7 @@ from cabledger.session import materialize, shared_dir
 from cabledger.sources import sinks
 from cabledger.sources.star import AS_OF, DAMAGE, star_tables
 from cabledger.sources.tables import append, load_tables, save_tables
+from checks.delivery_queries import delivery_queries
 from checks.stream_queries import stream_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,7 +99,7 @@ def quality_queries() -> dict[str, Query]:
 
 
 def _rated(t) -> DataFrame:
-    good, _ = fares.first_forms(forms.passed(forms.check_trip_completion(t["raw_trips"])))
+    good = fares.first_form_per_ride(forms.passed(forms.check_trip_completion(t["raw_trips"])))
     return fares.split_commission(fares.rate_fares(good, t["rides"], t["fare_rules"]))
 
 
@@ -114,18 +116,19 @@ def _priced(t):
 
 
 def _redeemed(t):
-    return payments.redeem_promos_capped(_priced(t)["priced"], t["promo_codes"])
+    return payments.redeem_promos_capped(_priced(t)["priced"], t["promo_codes"], t["wallet"], t["payments"])
 
 
 def _settled(t):
-    return payments.settle_payments(materialize(_redeemed(t)["accepted"]), t["payments"], t["wallet"], AS_OF,
-                                    t["promo_codes"])
+    redeemed = _redeemed(t)
+    return {**payments.settle_payments(redeemed["accepted"], t["payments"], t["wallet"], AS_OF, t["promo_codes"]),
+            "rejected": redeemed["refused"]}
 
 
 def _outputs(name: str, job, main: str) -> dict[str, Query]:
     """A job with several outputs: the main one under its own name, the others as name_output."""
     keys, run = job
-    return {name if k == main else f"{name}_{k}": _on_tables(lambda t, k=k: run(t)[k]) for k in keys}
+    return {name if k == main else f"{name}_{k}": _on_tables(lambda t, k=k: run(t)[k].drop(FORM)) for k in keys}
 
 
 def job_queries() -> dict[str, Query]:
@@ -146,6 +149,7 @@ def job_queries() -> dict[str, Query]:
         "match_drivers": _on_tables(lambda t: dispatch.match_drivers(
             t["rides"], t["fare_rules"], t["drivers"], t["vehicles"], t["rejections"])),
         "toggle_availability": _on_tables(lambda t: accounts.toggle_availability(t["drivers"], t["toggles"])),
+        "pay_rides_rejected": _on_tables(lambda t: payments.pay_rides(t["payment_requests"], t, AS_OF)["rejected"]),
         "wallet_statement": _on_tables(lambda t: wallets.wallet_statement(
             t["topups"], t["driver_earnings"], t["drivers"], t["payments"], t["payouts"])),
     }
@@ -235,5 +239,5 @@ def sink_queries() -> dict[str, Query]:
 
 
 def all_queries() -> dict[str, Query]:
-    return {**report_queries(), **quality_queries(), **job_queries(), **sink_queries(),
+    return {**report_queries(), **quality_queries(), **job_queries(), **delivery_queries(), **sink_queries(),
             **stream_queries()}
