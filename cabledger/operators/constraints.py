@@ -19,8 +19,7 @@ TEXT_KEYS = {"email", "license_plate", "code", "city", "license_num", "phone", "
 
 
 def _key_text(table: str) -> Column:
-    key = F.col(schema.PRIMARY_KEY[table]) if table in schema.PRIMARY_KEY else F.col("related_user_id")
-    return key.cast("string")
+    return F.col(schema.PRIMARY_KEY[table]).cast("string")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -69,7 +68,7 @@ def check_foreign_keys(t: Mapping[str, DataFrame], table: str) -> DataFrame:
     parts = []
     for link in (x for x in schema.LINKS if x.child == table):
         parents = t[link.parent].select(F.col(link.parent_key).alias(link.column))
-        children = t[table].select(*{link.column, schema.PRIMARY_KEY.get(table, link.column)})
+        children = t[table].select(*{link.column, schema.PRIMARY_KEY[table]})
         orphans = children.filter(F.col(link.column).isNotNull()).join(parents, link.column, "left_anti")
         parts.append(orphans.select(F.lit(table).alias("table"), F.lit(f"{link.column}_unknown").alias("rule"),
                                     _key_text(table).alias("key")))
@@ -88,23 +87,45 @@ def propagate_delete(t: Mapping[str, DataFrame], table: str, keys: DataFrame) ->
 
     One row per affected row and link: ``table``, ``key``, ``column`` and ``action``: ``delete`` for the rows
     themselves and those that go with them, ``set_null`` for links that are emptied, ``blocked`` for rows
-    that forbid the delete.
+    that forbid the delete. Every table that links to one losing rows must be in ``t``; a missing one is an error, not an empty answer.
     """
-    return _union(_delete_parts(t, table, keys.distinct()))
-
-
-def _delete_parts(t: Mapping[str, DataFrame], table: str, keys: DataFrame) -> list[DataFrame]:
-    key = schema.PRIMARY_KEY[table]
-    # The keys to delete are read once per link, so they are written once.
-    gone = materialize(t[table].select(key).join(keys.select(F.col(keys.columns[0]).alias(key)), key, "left_semi"))
-    parts = [gone.select(F.lit(table).alias("table"), F.col(key).cast("string").alias("key"),
-                         F.lit(key).alias("column"), F.lit("delete").alias("action"))]
+    gone = _closure(t, table, keys)
     actions = {"set_null": "set_null", "restrict": "blocked"}
-    for link in (x for x in schema.LINKS if x.parent == table and x.child in t):
-        hit = t[link.child].join(gone.select(F.col(key).alias(link.column)), link.column, "left_semi")
-        if link.on_delete == "cascade":
-            parts += _delete_parts(t, link.child, hit.select(schema.PRIMARY_KEY[link.child]))
-        else:
+    parts = []
+    for name, ids in gone.items():
+        key = schema.PRIMARY_KEY[name]
+        parts.append(ids.select(F.lit(name).alias("table"), F.col(key).cast("string").alias("key"),
+                                F.lit(key).alias("column"), F.lit("delete").alias("action")))
+        for link in (x for x in schema.LINKS if x.parent == name and x.on_delete != "cascade"):
+            hit = t[link.child].join(ids.select(F.col(key).alias(link.column)), link.column, "left_semi")
             parts.append(hit.select(F.lit(link.child).alias("table"), _key_text(link.child).alias("key"),
                                     F.lit(link.column).alias("column"), F.lit(actions[link.on_delete]).alias("action")))
-    return parts
+    return _union(parts)
+
+
+def _closure(t: Mapping[str, DataFrame], table: str, keys: DataFrame) -> dict[str, DataFrame]:
+    """Table -> keys of its rows that go, found along the cascading links by a frontier that holds only keys not met before."""
+    losing = [table]
+    for name in losing:
+        losing += [x.child for x in schema.LINKS if x.parent == name and x.on_delete == "cascade" and x.child not in losing]
+    missing = {x.child for x in schema.LINKS if x.parent in losing} | {table}
+    if missing := sorted(n for n in missing if n not in t):
+        raise KeyError(f"a delete from {table} also concerns {', '.join(missing)}")
+    key = schema.PRIMARY_KEY[table]
+    frontier = {table: materialize(t[table].select(key).join(keys.select(F.col(keys.columns[0]).alias(key)).distinct(), key, "left_semi"))}
+    gone: dict[str, DataFrame] = {}
+    while frontier:
+        reached: dict[str, DataFrame] = {}
+        for name, ids in frontier.items():
+            gone[name] = gone[name].unionByName(ids) if name in gone else ids
+            for link in (x for x in schema.LINKS if x.parent == name and x.on_delete == "cascade"):
+                child = schema.PRIMARY_KEY[link.child]
+                hit = t[link.child].join(ids.select(F.col(schema.PRIMARY_KEY[name]).alias(link.column)), link.column, "left_semi").select(child)
+                reached[link.child] = reached[link.child].unionByName(hit) if link.child in reached else hit
+        frontier = {}
+        for name, ids in reached.items():
+            fresh = ids.distinct() if name not in gone else ids.distinct().join(gone[name], schema.PRIMARY_KEY[name], "left_anti")
+            fresh = materialize(fresh)
+            if name not in gone or not fresh.isEmpty():
+                frontier[name] = fresh
+    return gone

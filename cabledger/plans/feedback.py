@@ -82,7 +82,10 @@ def flag_low_rated(drivers: DataFrame, users: DataFrame, as_of: str, threshold:
     """Suspend rated drivers whose stored mean is below ``threshold``, with one alert each."""
     low = drivers.filter((c("avg_rating") > 0) & (c("avg_rating") < F.lit(threshold).cast("decimal(3,2)")))
     named = low.join(users.select("user_id", "full_name"), "user_id")
+    # Unique per user and second, as long as user ids have 32 bits and the year is before 2038.
+    number = F.unix_seconds(F.lit(as_of).cast("timestamp_ntz").cast("timestamp")) * (1 << 32) + c("user_id")
     alerts = named.select(
+        number.alias("notification_id"),
         F.lit("low_rating_flag").alias("type"),
         alert_text(c("full_name"), c("driver_id"), c("avg_rating")).alias("message"),
         c("user_id").alias("related_user_id"), F.lit(False).alias("is_read"), moment(as_of).alias("created_at"))

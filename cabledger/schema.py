@@ -45,7 +45,7 @@ COLUMNS = {
         resolved_at TIMESTAMP_NTZ""",
     "ride_history": """ride_id BIGINT, outcome STRING, final_fare DECIMAL(10,2),
         archived_at TIMESTAMP_NTZ""",
-    "admin_notifications": """type STRING, message STRING, related_user_id BIGINT, is_read BOOLEAN,
+    "admin_notifications": """notification_id BIGINT, type STRING, message STRING, related_user_id BIGINT, is_read BOOLEAN,
         created_at TIMESTAMP_NTZ""",
 }
 
@@ -71,7 +71,7 @@ PRIMARY_KEY = {
     "locations": "location_id", "fare_rules": "rule_id", "promo_codes": "promo_id",
     "wallet": "user_id", "rides": "ride_id", "payments": "payment_id",
     "driver_earnings": "earning_id", "ratings": "rating_id", "complaints": "complaint_id",
-    "ride_history": "ride_id",
+    "ride_history": "ride_id", "admin_notifications": "notification_id",
 }
 
 # Further unique keys beside the primary key.

@@ -284,6 +284,12 @@ SELECT ride_id AS complaint_id, ride_id, rider_id AS filed_by, CASE WHEN ride_id
   created_at AS filed_at, CASE WHEN ride_id%50=20 THEN created_at - INTERVAL '1' DAY WHEN ride_id%20=0 THEN created_at + INTERVAL '2' DAY END AS resolved_at
 FROM rides WHERE status='completed' AND ride_id%10=0"""
 
+STEPS["admin_notifications"] = """
+SELECT CAST(946684800 AS BIGINT)*4294967296+d.user_id AS notification_id, 'low_rating_flag' AS type, concat('Rated low: ',u.full_name) AS message,
+  d.user_id AS related_user_id, false AS is_read, TIMESTAMP '2000-01-01 00:00:00' AS created_at
+FROM drivers d JOIN users u ON u.user_id=d.user_id WHERE d.avg_rating>0 AND d.avg_rating<3.5
+UNION ALL SELECT user_id, 'notice', concat('Hello ',full_name), CASE WHEN user_id%4<>0 THEN user_id END, user_id%2=0, registration_date FROM users WHERE user_id%3=1"""
+
 # Tables with broken constraints.
 STEPS["dirty_rides"] = """
 SELECT ride_id, CASE ride_id%50 WHEN 5 THEN -rider_id WHEN 9 THEN NULL ELSE rider_id END AS rider_id,
@@ -318,6 +324,8 @@ DAMAGE = {
     "driver_earnings": ("earning_id", {"net_amount": {1: "CAST(gross_amount+1 AS DECIMAL(10,2))"}, "commission": {2: "CAST('-1.00' AS DECIMAL(10,2))"},
                                        "driver_id": {3: "-1"}, "ride_id": {4: "-1"}, "payout_status": {5: "'lost'"}}),
     "ratings": ("rating_id", {"score": {0: "6"}, "rated_user_id": {2: "rated_by", 4: "-1"}, "rater_role": {6: "'guest'"}, "ride_id": {8: "-1"}, "rated_by": {8: "-1"}}),
+    "admin_notifications": ("notification_id", {"type": {1: "NULL", 4: "repeat('x',51)"}, "related_user_id": {2: "-1"}, "is_read": {3: "NULL"},
+                                                "notification_id": {5: "notification_id+5", 6: "NULL"}, "message": {7: "NULL"}}),
     "ride_history": ("ride_id", {"final_fare": {1: "CAST('-1.00' AS DECIMAL(10,2))"}, "outcome": {2: "'lost'"}, "archived_at": {3: "NULL"}, "ride_id": {4: "-ride_id"}}),
 }
 
@@ -344,13 +352,8 @@ STEPS["leavers"] = "SELECT user_id FROM users WHERE user_id%50=1"
 
 # Event streams; every tenth event is sent twice.
 STEPS["trip_events"] = """
-SELECT ride_id, distance, duration, TIMESTAMP '1999-12-01 00:00:00' + INTERVAL '1' MINUTE * CAST(ride_id%30 AS INT) AS finished_at FROM raw_trips WHERE trip_id%2=0
-UNION ALL SELECT ride_id, distance, duration, TIMESTAMP '1999-12-01 00:00:00' + INTERVAL '1' MINUTE * CAST(ride_id%30 AS INT) FROM raw_trips WHERE trip_id%2=0 AND ride_id%10=0"""
-
-# All forms, so also the second ones of a ride.
-STEPS["trip_form_events"] = """
-SELECT trip_id, submitted_at, ride_id, distance, duration, submitted_at AS finished_at FROM raw_trips
-UNION ALL SELECT trip_id, submitted_at, ride_id, distance, duration, submitted_at FROM raw_trips WHERE ride_id%10=0"""
+SELECT trip_id, submitted_at, ride_id, distance, duration FROM raw_trips
+UNION ALL SELECT trip_id, submitted_at, ride_id, distance, duration FROM raw_trips WHERE ride_id%10=0"""
 
 STEPS["rating_events"] = """
 SELECT rating_id, rated_user_id, score, rated_at FROM ratings

@@ -42,14 +42,17 @@ def append(df: DataFrame, table: str, root: str) -> None:
     """
     out = schema.conform(df, table)
     if table in MONTH_OF:
-        out = out.withColumn("month", F.date_format(MONTH_OF[table], "yyyy-MM"))
-        # AQE splits a large month over several tasks and joins small ones.
-        out = out.hint("rebalance", "month").sortWithinPartitions("month", schema.PRIMARY_KEY[table])
-        out.write.mode("append").partitionBy("month").parquet(f"{root}/{table}")
+        by_month(out, table).write.mode("append").partitionBy("month").parquet(f"{root}/{table}")
     else:
         out.write.mode("append").parquet(f"{root}/{table}")
 
 
+def by_month(df: DataFrame, table: str) -> DataFrame:
+    """Rows with their ``month``, ready to be laid out: AQE splits a large month over several tasks and joins small ones."""
+    out = df.withColumn("month", F.date_format(MONTH_OF[table], "yyyy-MM"))
+    return out.hint("rebalance", "month").sortWithinPartitions("month", schema.PRIMARY_KEY[table])
+
+
 def save_tables(tables: Mapping[str, DataFrame], root: str) -> None:
     """Write a complete new snapshot; readers move over to ``root`` once it is complete."""
     for name, df in tables.items():

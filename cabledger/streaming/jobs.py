@@ -1,141 +1,159 @@
 """Fares, ratings, ride closures and trip counts as events arrive.
 
-No event is dropped for being late, so the result does not depend on how the input is cut into batches. Repeats are known by
-their key for good; that state, one key per event, lies in the state store (use RocksDB), and is the price of exact
-counts. ``start_from`` tables hold what was counted before the stream began.
+Fares and ratings are taken in order of event time once the watermark has passed them, so results do not depend on how the
+input is cut into batches; what comes later than that is put out as late, for the next batch run. No job reads
+what it wrote before: what must be known lies in keyed state (use RocksDB). ``start_from`` tables hold what was counted before
+the stream began. Outputs lie in one folder per micro-batch; where a job has several, ``kind`` tells them apart.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import StructType
 
 from cabledger.functions.clock import moment
-from cabledger.operators.forms import check_trip_completion, failed, passed
-from cabledger.operators.pick import first_per_key, last_per_key
-from cabledger.plans.fares import first_form_per_ride, rate_fares, split_commission
+from cabledger.operators.deliveries import form_key
+from cabledger.operators.forms import check_trip_completion
+from cabledger.operators.pick import last_per_key
+from cabledger.plans.fares import rate_fares, split_commission
 from cabledger.plans.feedback import LOWEST_GOOD
 from cabledger.session import materialize
-from cabledger.streaming.sinks import batch_folder, start, written_before
+from cabledger.streaming.sinks import start
+from cabledger.streaming.state import Closures, FirstForms, Ratings
 
 c = F.col
 Table = Callable[[], DataFrame]
+#: How late an event may be, and how long a finished ride is remembered.
+DELAY, KEEP = "1 hour", "1 hour"
 
 
-def stream_rate_fares(trips: DataFrame, rides: Table, fare_rules: Table, checkpoint: str, out: str,
-                      once: bool = False) -> StreamingQuery:
-    """Rate finished trips (ride_id, distance and duration as text, finished_at), each ride once.
+def _timed(stream: DataFrame, time: str, delay: str) -> DataFrame:
+    """``stream`` with a watermark on ``time`` and the time in microseconds as ``at``."""
+    return stream.withColumn("_time", c(time).cast("timestamp")).withWatermark("_time", delay).withColumn("at", F.unix_micros("_time")).drop("_time")
 
-    ``rides`` and ``fare_rules`` are read anew for every batch, and joined there, where AQE can broadcast
-    whichever side is small. Forms with errors go to ``rejected_folder(out)`` with their reason, once per ride and reason.
 
-    Where ``trips`` also has trip_id and submitted_at, the first good form of a ride by these counts, in whatever order forms
-    arrive: a ride is written again when an earlier form comes later (see ``latest``), and every other form is rejected
-    as ``repeated_form``, every form once by its trip_id. The forms that count are kept in ``forms_folder(out)``.
+def stream_rate_fares(trips: DataFrame, rides: Table, fare_rules: Table, checkpoint: str, out: str, once: bool = False,
+                      delay: str = DELAY, keep: str = KEEP) -> StreamingQuery:
+    """Rate finished trips (trip_id, submitted_at, ride_id, distance and duration as text), each ride once.
+
+    The first good form of a ride by submitted_at, then trip_id, counts. Forms are judged when the watermark has passed them
+    (``rated``, or ``rejected`` with a reason, such as ``repeated_form``). Forms later than ``delay`` are put out as
+    ``late``; ``stream_ledger`` tells a batch run over them what the stream has dealt with. A form sent twice counts once while it
+    waits; after that its repeat is late. A ride is remembered for ``keep`` of event time after its first form, so state is bounded.
+    ``rides`` and ``fare_rules`` are read anew for every batch, and joined there, where AQE can broadcast whichever side is small.
     """
-    if not {"trip_id", "submitted_at"} <= set(trips.columns):
-        checked = check_trip_completion(trips.select("ride_id", "distance", "duration", "finished_at"))
-        fresh = checked.dropDuplicates(["ride_id", "first_error"])
+    sent = trips.select(FORM_FIELDS)
+    payload = F.to_json(F.struct(FORM_FIELDS))
+    checked = check_trip_completion(_timed(sent.filter(c("submitted_at").isNotNull()), "submitted_at", delay))
+    rows = checked.select("ride_id", form_key(sent, ["trip_id"]).alias("form"), "at",
+                          F.coalesce("trip_id", F.lit(-(1 << 63))).alias("tie"), F.coalesce("first_error", F.lit("")).alias("error"),
+                          payload.alias("payload"))
+    judged = rows.groupBy("ride_id").transformWithStateInPandas(
+        FirstForms(_millis(trips.sparkSession, keep)), outputStructType=FirstForms.schema, outputMode="Append", timeMode="EventTime")
+    fields = StructType([trips.schema[n] for n in FORM_FIELDS])
 
-        def each(batch: DataFrame, batch_id: int) -> DataFrame:
-            failed(batch).write.mode("overwrite").parquet(batch_folder(rejected_folder(out), batch_id))
-            return split_commission(rate_fares(passed(batch), rides(), fare_rules()))
-        return start(fresh, each, checkpoint, out, once=once)
+    def each(batch: DataFrame, batch_id: int) -> DataFrame:
+        batch = materialize(batch.withColumn("sent", F.from_json("payload", fields)).select("kind", "form", "reason", "sent.*"))
+        rated = split_commission(rate_fares(batch.filter("kind = 'rated'"), rides(), fare_rules()))
+        rated = rated.withColumns({n: c(n).cast("string") for n in ("distance", "duration")})  # as in the forms of other kinds
+        keys = batch.filter("kind = 'rated'").select("ride_id", "form", "trip_id", "submitted_at")
+        return batch.filter("kind <> 'rated'").unionByName(
+            rated.join(keys, "ride_id").withColumn("kind", F.lit("rated")), allowMissingColumns=True)
+    return start(judged, each, checkpoint, out, once=once)
 
-    forms = check_trip_completion(trips.select(FORM)).dropDuplicates(["trip_id"])
 
-    def settle(batch: DataFrame, batch_id: int) -> DataFrame:
-        spark = batch.sparkSession
-        batch = materialize(batch)
-        good = passed(batch).withColumn("_new", F.lit(True))
-        # Ride ids grow with time, so the batch's id range lets the scan skip most row groups.
-        lowest, highest = good.agg(F.min("ride_id"), F.max("ride_id")).first()
-        kinds = ", ".join(f"{n} {trips.schema[n].dataType.simpleString()}" for n in FORM)
-        written = written_before(spark, forms_folder(out), batch_id, kinds).filter(c("ride_id").between(lowest, highest))
-        before, _ = first_forms(written.join(good.select("ride_id"), "ride_id", "left_semi"))
-        first, repeated = map(materialize, first_forms(good.unionByName(before.select(*FORM, F.lit(False).alias("_new")))))
-        counted = first.filter("_new").drop("_new")
-        counted.select(FORM).write.mode("overwrite").parquet(batch_folder(forms_folder(out), batch_id))
-        failed(batch).unionByName(repeated.drop("_new")).write.mode("overwrite").parquet(
-            batch_folder(rejected_folder(out), batch_id))
-        return split_commission(rate_fares(counted, rides(), fare_rules()))
-    return start(forms, settle, checkpoint, out, once=once)
+FORM_FIELDS = ["trip_id", "submitted_at", "ride_id", "distance", "duration"]
+RATED_OUT = ["ride_id", "driver_id", "rider_id", "distance", "duration", "fare", "commission", "net_amount"]
 
 
-FORM = ["trip_id", "submitted_at", "ride_id", "distance", "duration", "finished_at"]
+def _millis(spark: SparkSession, length: str) -> int:
+    return int(spark.sql(f"SELECT unix_millis(TIMESTAMP '1970-01-01 00:00:00Z' + INTERVAL {length})").first()[0])
 
 
-def forms_folder(out: str) -> str:
-    return f"{out}-forms"
+def rated_fares(written: DataFrame) -> DataFrame:
+    """Rated rides of what ``stream_rate_fares`` wrote."""
+    return written.filter("kind = 'rated'").select(
+        *(c(n).cast({"distance": "decimal(8,2)", "duration": "int"}.get(n, written.schema[n].dataType)).alias(n) for n in RATED_OUT))
 
 
-def rejected_folder(out: str) -> str:
-    return f"{out}-rejected"
+def refused_forms(written: DataFrame, kind: str = "rejected") -> DataFrame:
+    """Refused (or ``late``) forms of what ``stream_rate_fares`` wrote."""
+    return written.filter(c("kind") == kind).select(*FORM_FIELDS, "reason")
 
 
-RATING_OUT = "rated_user_id BIGINT, score_sum BIGINT, n BIGINT, mean DECIMAL(3,2), low BOOLEAN, alert BOOLEAN"
+def stream_ledger(written: DataFrame) -> DataFrame:
+    """What the stream has dealt with, as the ledger of ``finish_trips``: hand it to a run over the late forms."""
+    return written.filter("kind <> 'late'").select(
+        "form", F.when(c("kind") == "rated", c("ride_id").cast("string")).alias("subject"))
 
 
 def stream_driver_ratings(ratings: DataFrame, checkpoint: str, out: str, once: bool = False,
-                          start_from: Table | None = None) -> StreamingQuery:
-    """Running rating of every rated user, with one alert each time a batch takes it below the limit.
+                          start_from: DataFrame | None = None, delay: str = DELAY) -> StreamingQuery:
+    """Running rating of every rated user (``total``), and an ``alert`` for every rating that takes it below the limit.
 
-    A rating sent twice counts once. ``start_from`` (rated_user_id, score_sum, n) is added to the totals.
+    Ratings (rating_id, rated_user_id, score, rated_at) count by rated_at, then rating_id, when the watermark has passed them; a
+    rating sent twice counts once while it waits. Ratings later than ``delay`` are put out as ``late`` and don't count.
+    ``start_from`` (rated_user_id, score_sum, n) is what the totals begin with. Rows without a user only carry the watermark on.
     """
-    fresh = ratings.select("rating_id", "rated_user_id", "score").dropDuplicates(["rating_id"])
-    running = fresh.groupBy("rated_user_id").agg(F.sum("score").alias("score_sum"), F.count(F.lit(1)).alias("n"))
-
-    def rated(totals: DataFrame) -> DataFrame:
-        mean = F.round(c("score_sum").cast("decimal(20,0)") / c("n").cast("decimal(20,0)"), 2).cast("decimal(3,2)")
-        return totals.withColumn("mean", mean).withColumn("low", c("mean") < LOWEST_GOOD)
+    sound = c("rated_user_id").isNull() | (c("rating_id").isNotNull() & c("score").isNotNull())
+    timed = _timed(ratings.select("rating_id", "rated_user_id", "score", "rated_at").filter(c("rated_at").isNotNull() & sound), "rated_at", delay)
+    rows = timed.select("rated_user_id", c("rating_id").cast("string").alias("form"), "at", c("rating_id").alias("tie"),
+                        F.lit("").alias("error"), c("score").cast("string").alias("payload")).fillna({"tie": 0, "form": ""})
+    first = None if start_from is None else start_from.select(
+        c("rated_user_id").cast("bigint").alias("rated_user_id"), c("score_sum").cast("bigint").alias("score_sum"),
+        c("n").cast("bigint").alias("n")).groupBy("rated_user_id")
+    told = rows.groupBy("rated_user_id").transformWithStateInPandas(
+        Ratings(int(LOWEST_GOOD * 100)), outputStructType=Ratings.schema, outputMode="Append", timeMode="EventTime", initialState=first)
 
     def each(batch: DataFrame, batch_id: int) -> DataFrame:
-        before = last_per_key(written_before(batch.sparkSession, out, batch_id, RATING_OUT, keep_batch=True).select(
-            "rated_user_id", "batch_id", c("low").alias("_was")), ["rated_user_id"], ["batch_id"]).drop("batch_id")
-        known = batch.join(before, "rated_user_id", "left")
-        if start_from is None:
-            return rated(known).withColumn("alert", c("low") & ~F.coalesce("_was", F.lit(False))).drop("_was")
-        base = rated(start_from().select("rated_user_id", "score_sum", "n")).select(
-            "rated_user_id", c("score_sum").alias("_sum"), c("n").alias("_n"), c("low").alias("_low"))
-        added = known.join(base, "rated_user_id", "left").withColumns({
-            "score_sum": c("score_sum") + F.coalesce("_sum", F.lit(0)), "n": c("n") + F.coalesce("_n", F.lit(0))})
-        return rated(added).withColumn("alert", c("low") & ~F.coalesce("_was", "_low", F.lit(False))).drop(
-            "_was", "_sum", "_n", "_low")
-    return start(running, each, checkpoint, out, mode="update", once=once)
+        mean = (c("mean_cents").cast("decimal(20,0)") / 100).cast("decimal(3,2)")
+        return batch.select("kind", "rated_user_id", "rating_id", c("score").cast("int").alias("score"),
+                            F.timestamp_micros("rated_at_us").cast("timestamp_ntz").alias("rated_at"), "score_sum", "n",
+                            mean.alias("mean"), (mean < LOWEST_GOOD).alias("low"))
+    return start(told, each, checkpoint, out, once=once)
+
 
+def rating_totals(written: DataFrame) -> DataFrame:
+    """The newest total of every user that ``stream_driver_ratings`` wrote."""
+    totals = written.filter("kind = 'total'").select("rated_user_id", "score_sum", "n", "mean", "low", "batch_id")
+    return latest(totals, "rated_user_id")
 
-HISTORY = "ride_id BIGINT, outcome STRING, final_fare DECIMAL(10,2), archived_at TIMESTAMP_NTZ"
 
+def rating_alerts(written: DataFrame) -> DataFrame:
+    return written.filter("kind = 'alert'").select("rated_user_id", "rating_id", "rated_at", "score_sum", "n", "mean")
 
-def stream_ride_closures(events: DataFrame, rides: Table, ride_history: Table, checkpoint: str, out: str, as_of: str,
+
+def late_ratings(written: DataFrame) -> DataFrame:
+    return written.filter("kind = 'late'").select("rating_id", "rated_user_id", "score", "rated_at")
+
+
+def stream_ride_closures(events: DataFrame, rides: Table, ride_history: DataFrame, checkpoint: str, out: str, as_of: str,
                          once: bool = False) -> StreamingQuery:
     """Archive rides as payments turn paid or rides turn cancelled.
 
     ``events`` holds event_id, ride_id, kind ('paid' or 'cancelled') and happened_at. The first closure of
-    a ride counts, within a batch and over all of them; a paid event of a cancelled ride archives nothing.
+    a ride counts, within a batch and over all of them; a paid event of a cancelled ride archives nothing. Rides that
+    ``ride_history`` holds when the stream first starts are known from the state. ``rides`` is read anew for every batch.
     """
+    rows = events.filter(c("ride_id").isNotNull() & c("kind").isin("paid", "cancelled")).select(
+        "ride_id", "event_id", "kind", F.unix_micros(c("happened_at").cast("timestamp")).alias("at"))
+    known = ride_history.select("ride_id").filter(c("ride_id").isNotNull()).groupBy("ride_id")
+    first = rows.groupBy("ride_id").transformWithStateInPandas(
+        Closures(), outputStructType=Closures.schema, outputMode="Append", timeMode="None", initialState=known)
+
     def each(batch: DataFrame, batch_id: int) -> DataFrame:
-        spark = batch.sparkSession
-        # Ride ids grow with time, so the batch's id range lets the scans of both tables skip most row groups.
+        batch = materialize(batch)
+        # Ride ids grow with time, so the batch's id range lets the scan of the rides skip most row groups.
         lowest, highest = batch.agg(F.min("ride_id"), F.max("ride_id")).first()
-        near = c("ride_id").between(lowest, highest)
-        first = first_per_key(
-            batch.select("ride_id", "kind", "happened_at", "event_id").join(
-                rides().filter(near).select("ride_id", "status", "fare"), "ride_id").filter(
-                (c("kind") == "cancelled") | (c("status") != "cancelled")),
-            ["ride_id"], ["happened_at", "event_id"])
-        closed = first.select(
+        near = rides().filter(c("ride_id").between(lowest, highest)).select("ride_id", "status", "fare")
+        counts = F.when(c("status") == "cancelled", c("kind") == "cancelled").otherwise(c("place") == 1)
+        return batch.join(near, "ride_id").filter(counts).select(
             "ride_id", F.when(c("kind") == "paid", "completed").otherwise("cancelled").alias("outcome"),
             F.coalesce("fare", F.lit(0)).cast("decimal(10,2)").alias("final_fare"), moment(as_of).alias("archived_at"))
-        closed = materialize(closed)
-        known = ride_history().select("ride_id").unionByName(
-            written_before(spark, out, batch_id, HISTORY).select("ride_id")).filter(near)
-        # The batch is the small side: find which of its rides are known, then leave those out.
-        seen = known.join(closed.select("ride_id"), "ride_id", "left_semi")
-        return closed.join(seen, "ride_id", "left_anti")
-    return start(events, each, checkpoint, out, once=once)
+    return start(first, each, checkpoint, out, once=once)
 
 
 def stream_trip_counts(changes: DataFrame, checkpoint: str, out: str, once: bool = False,

@@ -1,5 +1,6 @@
 """Reference SQL for the jobs, over the derived tables."""
 
+from checks.report_sql import SQL as REPORTS
 from checks.quality_sql import (BOOKING, FARE_RULE, PROMO, RATING, REGISTRATION, TOPUP, TRIP, VEHICLE, good, reason)
 
 NOW = "TIMESTAMP '2000-01-01 00:00:00'"
@@ -203,7 +204,7 @@ SQL = {
         LEFT JOIN payments_before o ON o.ride_id=n.ride_id WHERE n.pay_status='paid' AND coalesce(o.pay_status,'')<>'paid' AND r.status<>'cancelled'"""),
     "flag_low_rated": """SELECT u.user_id, u.full_name, u.email, u.phone, u.role, CASE WHEN d.user_id IS NULL THEN u.acc_status ELSE 'suspended' END AS acc_status, u.registration_date
         FROM users u LEFT JOIN drivers d ON d.user_id=u.user_id AND d.avg_rating>0 AND d.avg_rating<3.5""",
-    "flag_low_rated_admin_notifications": f"""SELECT 'low_rating_flag' AS type, 'ALERT: Driver "'||u.full_name||'" (driver_id='||d.driver_id||') has been auto-suspended. Average rating dropped to '
+    "flag_low_rated_admin_notifications": f"""SELECT CAST(epoch({NOW}) AS BIGINT)*4294967296+u.user_id AS notification_id, 'low_rating_flag' AS type, 'ALERT: Driver "'||u.full_name||'" (driver_id='||d.driver_id||') has been auto-suspended. Average rating dropped to '
         ||d.avg_rating||' (below 3.5). Please review.' AS message, u.user_id AS related_user_id, false AS is_read, {NOW} AS created_at
         FROM drivers d JOIN users u ON u.user_id=d.user_id WHERE d.avg_rating>0 AND d.avg_rating<3.5""",
     "accept_rides": ATTEMPTS + """ SELECT r.ride_id, r.rider_id, coalesce(w.driver_id,r.driver_id) AS driver_id, coalesce(w.vehicle_id,r.vehicle_id) AS vehicle_id, r.pickup_location_id,
@@ -276,12 +277,35 @@ SQL = {
     "review_vehicles_rejected": "SELECT *, 'status_not_allowed' AS reason FROM review_changes WHERE coalesce(new_status,'lost')='lost'",
 }
 
+# Every rating that takes a running mean below the limit; ``{ratings}`` is where they come from.
+ALERTS = """, running AS (SELECT rated_user_id, rating_id, rated_at, CAST(sum(score) OVER w AS BIGINT) AS score_sum, count(*) OVER w AS n
+      FROM {ratings} g WINDOW w AS (PARTITION BY rated_user_id ORDER BY rated_at, rating_id ROWS UNBOUNDED PRECEDING)),
+    means AS (SELECT *, CAST(round(score_sum*1.0000/n,2) AS DECIMAL(3,2)) AS mean FROM running)
+    SELECT rated_user_id, rating_id, rated_at, score_sum, n, mean FROM means
+    QUALIFY mean<3.5 AND coalesce(lag(mean) OVER (PARTITION BY rated_user_id ORDER BY rated_at, rating_id)>=3.5, true)"""
+
+
+def _timely(table: str, key: str, time: str, delay: str, lots: int = 4) -> str:
+    """The events of a table sent in lots by key, with the watermark that the earlier lots have set."""
+    return f"""(SELECT e.*, m.seen - INTERVAL {delay} AS passed FROM (SELECT DISTINCT * FROM {table}) e LEFT JOIN
+        (SELECT k, max({time}) FILTER (lot < k) AS seen FROM (SELECT {key}%{lots} AS lot, {time} FROM {table}) x, range({lots}) r(k) GROUP BY k) m ON m.k={key}%{lots})"""
+
+
+TRIP_LOTS = _timely("trip_events", "trip_id", "submitted_at", "4 MINUTE")
+RATING_LOTS = _timely("rating_events", "rating_id", "rated_at", "400 DAY")
+ON_TIME = f"(SELECT * EXCLUDE (passed) FROM {RATING_LOTS} y WHERE passed IS NULL OR rated_at > passed)"
+
 SQL.update({
-    "stream_rate_fares": SQL["split_commission"].replace(FIRST_FORMS, f"FROM (SELECT DISTINCT * FROM trip_events) WHERE {good(TRIP)}"),
+    "stream_rate_fares": SQL["split_commission"],
+    "stream_rate_forms": SQL["split_commission"],
+    "stream_timely_fares": SQL["split_commission"].replace("FROM raw_trips WHERE", f"FROM {TRIP_LOTS} y WHERE (passed IS NULL OR submitted_at > passed) AND"),
+    "stream_late_forms": f"SELECT trip_id, submitted_at, ride_id, distance, duration FROM {TRIP_LOTS} y WHERE submitted_at <= passed",
     "stream_driver_ratings": """SELECT rated_user_id, CAST(sum(score) AS BIGINT) AS score_sum, count(*) AS n,
         CAST(round(sum(score)*1.0000/count(*),2) AS DECIMAL(3,2)) AS mean, round(sum(score)*1.0000/count(*),2) < 3.5 AS low FROM ratings GROUP BY rated_user_id""",
-    "stream_rating_alerts": "SELECT rated_user_id FROM ratings GROUP BY rated_user_id HAVING round(sum(score)*1.0000/count(*),2) < 3.5",
-    "stream_rate_fares_rejected": f"SELECT DISTINCT ride_id, distance, duration, {reason(TRIP)} AS reason FROM trip_events WHERE NOT ({good(TRIP)})",
+    "stream_rating_alerts": ALERTS.format(ratings="ratings"),
+    "stream_rating_alerts_by_year": ALERTS.format(ratings="ratings"),
+    "stream_timely_alerts": ALERTS.format(ratings=ON_TIME),
+    "stream_late_ratings": f"SELECT rating_id, rated_user_id, score, rated_at FROM {RATING_LOTS} y WHERE rated_at <= passed",
     "stream_ride_closures": f"""SELECT ride_id, status AS outcome, coalesce(fare,{ZERO}) AS final_fare, {NOW} AS archived_at FROM rides r
         WHERE ride_id NOT IN (SELECT ride_id FROM history_before) AND (status='cancelled' OR
           (status='completed' AND EXISTS (SELECT 1 FROM payments p WHERE p.ride_id=r.ride_id AND p.pay_status='paid')))""",
@@ -308,8 +332,25 @@ SQL.update({
         r.rule_id, r.status, r.fare, r.distance, r.duration, r.scheduled_at, r.completed_at, r.created_at FROM rides r LEFT JOIN offers o ON o.ride_id=r.ride_id""",
 })
 
-# The stream over all forms gives what the batch job gives.
+# Tables laid out by month and daily sums give what whole tables give.
 SQL.update({
-    "stream_rate_forms": SQL["split_commission"],
-    "stream_rate_forms_rejected": f"SELECT trip_id, ride_id, distance, duration, reason FROM ({SQL['complete_rides_rejected']}) x",
+    "upsert_by_month": f"""SELECT b.payment_id, b.ride_id, b.rider_id, CASE WHEN p.ride_id IS NULL THEN b.promo_id ELSE p.promo_id END AS promo_id, b.amount, b.pay_method,
+        coalesce(p.pay_status, b.pay_status) AS pay_status, b.discount_appld, coalesce(p.transaction_date + INTERVAL 40 DAY, b.transaction_date) AS transaction_date
+        FROM payments_before b LEFT JOIN (SELECT * FROM payments WHERE ride_id%200<3) p ON p.ride_id=b.ride_id
+        UNION ALL SELECT payment_id, ride_id, rider_id, promo_id, amount, pay_method, pay_status, discount_appld, transaction_date + INTERVAL 40 DAY
+        FROM payments WHERE ride_id%200<3 AND ride_id NOT IN (SELECT ride_id FROM payments_before)""",
+    "insert_ignore_by_month": SQL["insert_ignore"],
+    "update_where_by_month": """SELECT earning_id, ride_id, driver_id, gross_amount, commission, net_amount,
+        CASE WHEN earned_at BETWEEN TIMESTAMP '1995-03-01' AND TIMESTAMP '1995-04-15' THEN 'paid' ELSE payout_status END AS payout_status, earned_at FROM driver_earnings""",
+    "update_join_by_month": f"""SELECT r.ride_id, r.rider_id, r.driver_id, r.vehicle_id, r.pickup_location_id, r.dropoff_location_id, r.rule_id,
+        CASE WHEN p.ride_id IS NULL THEN r.status ELSE 'cancelled' END AS status, {_d('r.fare-coalesce(p.amount,0)')} AS fare, r.distance, r.duration,
+        r.scheduled_at, r.completed_at, r.created_at FROM rides r LEFT JOIN payments p ON p.ride_id=r.ride_id AND p.pay_status='refunded'""",
+    "recent_rides_by_month": f"SELECT {RIDE} FROM rides r ORDER BY r.created_at DESC, r.ride_id DESC LIMIT 10",
+    "daily_revenue_in_range": REPORTS["revenue_in_range"],
+    "daily_refunds_in_range": REPORTS["refunds_in_range"],
+    "daily_revenue_per_city": REPORTS["revenue_per_city"],
+    "daily_revenue_by_method": REPORTS["revenue_by_method"],
 })
+
+for _name in ("stream_rate_fares_rejected", "stream_rate_forms_rejected"):
+    SQL[_name] = f"SELECT trip_id, ride_id, distance, duration, reason FROM ({SQL['complete_rides_rejected']}) x"

@@ -89,6 +89,7 @@ LINKS = [
     ("driver_earnings", "earning_id", [RIDE, DRV]), ("ride_history", "ride_id", [RIDE]),
     ("ratings", "rating_id", [RIDE, ("rated_by", "users", "user_id"), ("rated_user_id", "users", "user_id")]),
     ("complaints", "complaint_id", [RIDE, ("filed_by", "users", "user_id"), ("against_user_id", "users", "user_id")]),
+    ("admin_notifications", "notification_id", [("related_user_id", "users", "user_id")]),
 ]
 
 
@@ -134,6 +135,7 @@ ROWS = [
         ("net_not_negative", "net_amount < 0"), ("net_within_gross", "net_amount > gross_amount")]),
     ("ratings", "rating_id", "rating_id ride_id rated_by rated_user_id rater_role score rated_at", [
         ("rater_role_unknown", "rater_role NOT IN ('rider','driver')"), ("score_range", "score < 1 OR score > 5")]),
+    ("admin_notifications", "notification_id", "notification_id type message is_read created_at", [("type_too_long", "length(type) > 50")]),
     ("ride_history", "ride_id", "ride_id outcome final_fare archived_at", [
         ("outcome_unknown", "outcome NOT IN ('completed','cancelled')"), ("final_fare_not_negative", "final_fare < 0")]),
 ]
@@ -161,6 +163,7 @@ def _deletes() -> str:
         part("ratings", "rating_id", "rated_user_id", "blocked", f"ratings WHERE rated_user_id IN {u}"),
         part("complaints", "complaint_id", "filed_by", "blocked", f"complaints WHERE filed_by IN {u}"),
         part("complaints", "complaint_id", "against_user_id", "blocked", f"complaints WHERE against_user_id IN {u}"),
+        part("admin_notifications", "notification_id", "related_user_id", "set_null", f"admin_notifications WHERE related_user_id IN {u}"),
     ]
     return (", gu AS (SELECT user_id FROM users WHERE user_id IN (SELECT user_id FROM leavers)), "
             "gd AS (SELECT driver_id FROM drivers WHERE user_id IN (SELECT user_id FROM gu)), "

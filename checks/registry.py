@@ -13,10 +13,10 @@ from cabledger.functions.clock import moment
 from cabledger.operators import constraints, forms
 from cabledger.operators.deliveries import FORM
 from cabledger.operators.joins import with_pickup_city
-from cabledger.plans import (accounts, dispatch, fares, feedback, payments, people, promos, revenue, trips,
+from cabledger.plans import (accounts, daily, dispatch, fares, feedback, payments, people, promos, revenue, trips,
                              wallets)
 from cabledger.session import materialize, shared_dir
-from cabledger.sources import sinks
+from cabledger.sources import monthly, sinks
 from cabledger.sources.star import AS_OF, DAMAGE, star_tables
 from cabledger.sources.tables import append, load_tables, save_tables
 from checks.delivery_queries import delivery_queries
@@ -91,9 +91,7 @@ def quality_queries() -> dict[str, Query]:
         **{f"propagate_delete_{root}": _on_tables(lambda t, root=root, keys=keys: constraints.propagate_delete(
             {n: t[n] for n in DIRTY}, root, t[keys])) for root, keys in (
                 ("drivers", "leaving_drivers"), ("promo_codes", "ended_codes"), ("fare_rules", "ended_rules"))},
-        "propagate_delete": _on_tables(lambda t: constraints.propagate_delete(
-            {n: t[n] for n in ("users", "drivers", "vehicles", "wallet", "rides", "payments", "driver_earnings",
-                               "ratings", "complaints")}, "users", t["leavers"])),
+        "propagate_delete": _on_tables(lambda t: constraints.propagate_delete({n: t[n] for n in DIRTY}, "users", t["leavers"])),
     }
     return out
 
@@ -215,8 +213,66 @@ def _append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_tables(spark, root, ["rides"])["rides"].drop("month")
 
 
+def _by_month(table: str, source: str, change) -> Query:
+    """A table laid out by month, changed in place by ``change(spark, root, t)`` and read back."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t, root = star_tables(spark, sf_dir), _fresh_folder(spark)
+        append(t[source], table, root)
+        change(spark, root, t)
+        return load_tables(spark, root, [table])[table].drop("month")
+    return run
+
+
+def _newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _fresh_folder(spark)
+    append(star_tables(spark, sf_dir)["rides"], "rides", root)
+    return monthly.newest(spark, root, "rides", [F.desc("created_at"), F.desc("ride_id")], 10)
+
+
+#: Three days that are added, and payments that were wrong at first: in state, and a hundred days late.
+DAYS, WRONG = ("1995-03-01", "1995-03-02", "1995-03-03"), "ride_id % 100 = 7"
+
+
+def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily sums built once, then with three more days, then corrected."""
+    t, root = star_tables(spark, sf_dir), _fresh_folder(spark)
+    day = F.col("transaction_date").cast("date")
+    wrong = materialize(t["payments"].withColumns({
+        "pay_status": F.expr(f"CASE WHEN {WRONG} THEN 'pending' ELSE pay_status END"),
+        "transaction_date": F.expr(f"CASE WHEN {WRONG} THEN transaction_date + INTERVAL '100' DAY ELSE transaction_date END")}))
+    daily.refresh(spark, root, {**t, "payments": wrong.filter(~day.cast("string").isin(*DAYS))})
+    daily.refresh(spark, root, {**t, "payments": wrong}, spark.createDataFrame([(d,) for d in DAYS], "day STRING"))
+    changed = wrong.filter(WRONG).select(day.alias("day")).union(t["payments"].filter(WRONG).select(day.alias("day")))
+    daily.refresh(spark, root, t, changed)
+    return daily.load(spark, root)
+
+
+def monthly_queries() -> dict[str, Query]:
+    return {
+        "upsert_by_month": _by_month("payments", "payments_before", lambda spark, root, t: monthly.upsert(
+            spark, root, "payments", t["payments"].filter("ride_id % 200 < 3").withColumn(
+                "transaction_date", F.expr("transaction_date + INTERVAL '40' DAY")), ["ride_id"], ["pay_status", "promo_id", "transaction_date"])),
+        "insert_ignore_by_month": _by_month("ride_history", "history_before", lambda spark, root, t: monthly.insert_ignore(
+            spark, root, "ride_history", t["closure_events"].select(
+                "ride_id", "event_id", F.lit("completed").alias("outcome"), F.lit(0).alias("final_fare"),
+                F.col("happened_at").alias("archived_at")), ["ride_id"], ["archived_at", "event_id"])),
+        "update_where_by_month": _by_month("driver_earnings", "driver_earnings", lambda spark, root, t: monthly.update_where(
+            spark, root, "driver_earnings", (F.col("payout_status") == "pending") & F.col("earned_at").between("1995-03-01", "1995-04-15"),
+            {"payout_status": F.lit("paid")})),
+        "update_join_by_month": _by_month("rides", "rides", lambda spark, root, t: monthly.update_join(
+            spark, root, "rides", t["payments"].filter("pay_status = 'refunded'"), ["ride_id"],
+            {"status": F.lit("cancelled"), "fare": F.col("fare") - F.col("_d_amount")}, carry=["amount"])),
+        "recent_rides_by_month": _newest,
+        "daily_revenue_in_range": lambda spark, sf_dir: daily.in_range(_daily(spark, sf_dir), *MONTH, "paid"),
+        "daily_refunds_in_range": lambda spark, sf_dir: daily.in_range(_daily(spark, sf_dir), *MONTH, "refunded"),
+        "daily_revenue_per_city": lambda spark, sf_dir: daily.per_city(_daily(spark, sf_dir)),
+        "daily_revenue_by_method": lambda spark, sf_dir: daily.by_method(_daily(spark, sf_dir)),
+    }
+
+
 def sink_queries() -> dict[str, Query]:
     return {
+        **monthly_queries(),
         "load_tables": _load_tables,
         "append": _append,
         "upsert": _on_tables(lambda t: sinks.upsert(

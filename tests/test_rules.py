@@ -214,18 +214,15 @@ def test_payment_chain(frame):
                    ask(6, "wallet", ride_id=5), ask(7, "card", ride_id=5)], ddl=REQ)
     no_pay = frame([], "payments")
     priced = payments.apply_promos(asked, rides, no_pay, codes, NOW)
-    assert rows(priced["rejected"], "request_id", "reason") == [(5, "method_invalid"), (7, "later_request")]
-    redeemed = payments.redeem_promos_capped(priced["priced"], codes, hot_rows=0)
-    assert rows(redeemed["rejected"], "request_id", "reason") == [(3, "promo_used_up")]
-    reserved = dict(rows(redeemed["reserved"], "promo_id", "uses"))
+    assert rows(priced["rejected"], "request_id", "reason") == [(5, "method_invalid")]
     wallet = frame([dict(user_id=1, balance=D("95.00"))], "wallet")
     for limits in ({}, {"hot_rows": 0}):
-        settled = payments.settle_payments(redeemed["accepted"], no_pay, wallet, NOW, codes, **limits)
-        before = dict(rows(codes, "promo_id", "usage_count"))
-        added = {k: n - before[k] for k, n in rows(settled["promo_codes"], "promo_id", "usage_count")}
-        holding = settled["payments"].filter("promo_id IS NOT NULL").count()
-        assert sum(added.values()) == holding and all(n <= reserved.get(k, 0) for k, n in added.items())
-        assert rows(settled["rejected"], "request_id") == [(2,)]
+        redeemed = payments.redeem_promos_capped(priced["priced"], codes, wallet, no_pay, **limits)
+        assert rows(redeemed["rejected"], "request_id", "reason") == [(3, "promo_used_up")]
+        assert rows(redeemed["refused"], "request_id", "reason") == [(2, "insufficient_balance"), (7, "already_paid")]
+        assert dict(rows(redeemed["reserved"], "promo_id", "uses")) == {1: 1, 2: 1}
+        settled = payments.settle_payments(redeemed["accepted"], no_pay, wallet, NOW, codes)
+        assert rows(settled["promo_codes"], "promo_id", "usage_count") == [(1, 3), (2, 1)]
         assert settled["wallet"].first()["balance"] == D("5.00")
         assert rows(settled["payments"], "ride_id", "amount", "discount_appld", "pay_status") == [
             (1, D("40.00"), D("40.00"), "paid"), (4, D("0.00"), D("50.00"), "paid"), (5, D("50.00"), D("0.00"), "paid")]
@@ -323,7 +320,7 @@ def test_money_adds_up(tables):
     twice = tables["driver_earnings"].groupBy("ride_id").count().filter("count > 1").count()
     assert (bad, twice) == (0, 0)
     priced = payments.apply_promos(tables["payment_requests"], tables["rides"], tables["payments"], tables["promo_codes"], NOW)["priced"]
-    after = payments.redeem_promos_capped(priced, tables["promo_codes"])
+    after = payments.redeem_promos_capped(priced, tables["promo_codes"], tables["wallet"], tables["payments"])
     settled = payments.settle_payments(after["accepted"], tables["payments"], tables["wallet"], NOW, tables["promo_codes"])
     assert settled["promo_codes"].filter("usage_count > usage_limit").count() == 0
     assert settled["wallet"].filter("balance < 0").count() == 0

@@ -44,21 +44,53 @@ def feed(spark, tmp_path):
 RATING = "rating_id BIGINT, rated_user_id BIGINT, score INT, rated_at TIMESTAMP_NTZ"
 
 
-def test_ratings_alert_once_per_fall(feed):
-    def add(*scores, minute):
-        rows = [(minute * 100 + i, 9, s, T0 + dt.timedelta(minutes=minute)) for i, s in enumerate(scores)]
-        feed.add(rows, RATING)
-        return rows
-    first = add(5, 5, minute=1)
-    add(1, 1, 1, 1, minute=2)                # mean 2.33: alert
-    add(1, minute=3)                         # still low: none
-    add(*[5] * 20, minute=4)                 # back above
-    feed.add(first, RATING)                  # sent again: nothing new
-    add(*[1] * 40, minute=6)                 # falls again: alert
-    written = feed.run(jobs.stream_driver_ratings(feed.stream(), feed.checkpoint, feed.out, once=True))
-    rows = written.orderBy("batch_id").collect()
-    assert [(r["n"], r["alert"]) for r in rows] == [(2, False), (6, True), (7, False), (27, False), (67, True)]
-    assert jobs.latest(written, "rated_user_id").first()["mean"] == D("2.31")  # 155 / 67
+FAR = dt.datetime(9000, 1, 1)
+
+
+def rating(i, minute, score, user=9):
+    return (i, user, score, T0 + dt.timedelta(minutes=minute))
+
+
+def test_alert_for_every_fall_and_late_ratings(feed, spark):
+    feed.add([rating(1, 1, 5), rating(2, 2, 5), rating(3, 3, 1), rating(4, 4, 1)], RATING)   # 5, 5, 3.67, 3.00: alert at 4
+    feed.add([rating(4, 4, 1), rating(5, 6, 5), rating(6, 5, 5)], RATING)                    # back above at 5; 4 sent again
+    feed.add([rating(7, 30, 1), rating(8, 31, 1), rating(9, 32, 1)], RATING)                 # 3.29 at 7: alert again
+    feed.add([rating(10, 7, 5), rating(11, 33, 5, user=8)], RATING)                          # 10 is late: 7 < 32 - 10
+    feed.add([(None, None, None, FAR)], RATING)
+    base = spark.createDataFrame([(8, 1, 1)], "rated_user_id BIGINT, score_sum BIGINT, n BIGINT")
+    written = feed.run(jobs.stream_driver_ratings(feed.stream(), feed.checkpoint, feed.out, once=True, start_from=base, delay="10 minutes"))
+    alerts = jobs.rating_alerts(written).select("rating_id", "n", "mean").orderBy("rating_id").collect()
+    assert [tuple(r) for r in alerts] == [(4, 4, D("3.00")), (7, 7, D("3.29"))]
+    assert [tuple(r) for r in jobs.late_ratings(written).select("rating_id", "score").collect()] == [(10, 5)]
+    totals = jobs.rating_totals(written).select("rated_user_id", "score_sum", "n", "mean", "low").orderBy("rated_user_id").collect()
+    assert [tuple(r) for r in totals] == [(8, 6, 2, D("3.00"), True), (9, 25, 9, D("2.78"), True)]
+
+
+def brute_alerts(rows):
+    found, sums = set(), {}
+    for i, user, score, _ in sorted(set(rows), key=lambda r: (r[3], r[0])):
+        total, n = sums.get(user, (0, 0))
+        low = n and D(total) / n < D("3.495")
+        total, n = total + score, n + 1
+        if D(total) / n < D("3.495") and not low:
+            found.add((user, i, n))
+        sums[user] = total, n
+    return found
+
+
+@pytest.mark.parametrize("lots", [1, 3])
+def test_alerts_do_not_hang_on_the_cut(feed, lots):
+    import random
+    rng = random.Random(1)
+    rows = [rating(i, rng.randint(1, 500), rng.choice([1, 3, 4, 5]), user=rng.randint(1, 4)) for i in range(1, 200)]
+    dealt = rows + rows[:20]
+    rng.shuffle(dealt)
+    for i in range(lots):
+        feed.add(dealt[i::lots], RATING)
+    feed.add([(None, None, None, FAR)], RATING)
+    written = feed.run(jobs.stream_driver_ratings(feed.stream(), feed.checkpoint, feed.out, once=True, delay="1 day"))
+    want = brute_alerts(rows)
+    assert {tuple(r) for r in jobs.rating_alerts(written).select("rated_user_id", "rating_id", "n").collect()} == want and len(want) > 4
 
 
 CHANGE = "ride_id BIGINT, driver_id BIGINT, status STRING, changed_at TIMESTAMP_NTZ"
@@ -84,13 +116,15 @@ EVENT = "event_id BIGINT, ride_id BIGINT, kind STRING, happened_at TIMESTAMP_NTZ
 
 
 def test_closures_first_one_counts(feed, frame):
+    import inspect
+    assert "read.parquet" not in inspect.getsource(jobs) and ".out" not in inspect.getsource(jobs.stream_ride_closures)
     rides = frame([dict(ride_id=i, status="cancelled" if i == 2 else "completed", fare=D(i)) for i in range(1, 5)], "rides")
     history = frame([dict(ride_id=3, outcome="completed", final_fare=D(3))], "ride_history")
     feed.add([(1, 1, "paid", T0), (2, 2, "paid", T0), (3, 3, "paid", T0)], EVENT)
     feed.add([(4, 2, "cancelled", T0), (5, 1, "paid", T0), (6, 4, "cancelled", T0), (7, 4, "paid", T0 + dt.timedelta(1))], EVENT)
 
     def run():
-        return feed.run(jobs.stream_ride_closures(feed.stream(), lambda: rides, lambda: history, feed.checkpoint, feed.out,
+        return feed.run(jobs.stream_ride_closures(feed.stream(), lambda: rides, history, feed.checkpoint, feed.out,
                                                   "2000-01-02 00:00:00", once=True))
     want = {(1, "completed", D("1.00")), (2, "cancelled", D("2.00")), (4, "cancelled", D("4.00"))}
     assert {tuple(r)[:3] for r in run().select("ride_id", "outcome", "final_fare").collect()} == want
@@ -98,42 +132,57 @@ def test_closures_first_one_counts(feed, frame):
     assert {tuple(r)[:3] for r in run().select("ride_id", "outcome", "final_fare").collect()} == want
 
 
-def test_a_batch_run_again_replaces_itself(spark, frame, tmp_path):
-    from cabledger.streaming.sinks import batch_folder, written_before
-    out = str(tmp_path)
-    for rows in ([1, 2], [1]):
-        frame([dict(ride_id=i) for i in rows], "ride_history").write.mode("overwrite").parquet(batch_folder(out, 0))
-    frame([dict(ride_id=5)], "ride_history").write.parquet(batch_folder(out, 1))
-    assert [r["ride_id"] for r in written_before(spark, out, 1, jobs.HISTORY).collect()] == [1]
+TRIP = "trip_id BIGINT, submitted_at TIMESTAMP_NTZ, ride_id BIGINT, distance STRING, duration STRING"
+END = (None, FAR, None, None, None)
 
 
-TRIP = "ride_id BIGINT, distance STRING, duration STRING, finished_at TIMESTAMP_NTZ"
+def form(trip, minute, ride, distance):
+    return (trip, T0 + dt.timedelta(minutes=minute), ride, distance, "5")
 
 
-def test_fares_rated_once(feed, frame):
-    rides = frame([dict(ride_id=i, rider_id=1, driver_id=1) for i in (1, 2)], "rides")
-    feed.add([(1, "10", "5", T0), (2, "0", "5", T0)], TRIP)
-    feed.add([(1, "99", "5", T0), (2, "1.5", "5", T0)], TRIP)
-    written = feed.run(jobs.stream_rate_fares(feed.stream(), lambda: rides, lambda: frame([], "fare_rules"),
-                                              feed.checkpoint, feed.out, once=True))
-    rejected = feed.spark.read.parquet(jobs.rejected_folder(feed.out))
-    assert [(r["ride_id"], r["reason"]) for r in rejected.collect()] == [(2, "distance_not_positive")]
-    assert {(r["ride_id"], r["fare"]) for r in written.select("ride_id", F.col("fare").cast("int").alias("fare")).collect()} == {
-        (1, 260), (2, 90)}
+def fares_of(feed, frame, rides, **options):
+    return feed.run(jobs.stream_rate_fares(feed.stream(), lambda: rides, lambda: frame([], "fare_rules"),
+                                           feed.checkpoint, feed.out, once=True, **options))
 
 
 def test_first_form_counts_in_any_order(feed, frame):
-    ddl = "trip_id BIGINT, submitted_at TIMESTAMP_NTZ, ride_id BIGINT, distance STRING, duration STRING, finished_at TIMESTAMP_NTZ"
     rides = frame([dict(ride_id=i, rider_id=1, driver_id=1) for i in (1, 2)], "rides")
-
-    def form(trip, minute, ride, distance):
-        return (trip, T0 + dt.timedelta(minutes=minute), ride, distance, "5", T0)
-    feed.add([form(1, 9, 1, "99"), form(2, 5, 2, "1.5"), form(3, 1, 2, "0")], ddl)
-    feed.add([form(4, 3, 1, "10"), form(5, 5, 2, "99"), form(1, 9, 1, "99")], ddl)  # 4 comes later but is earlier than 1
-    written = feed.run(jobs.stream_rate_fares(feed.stream(), lambda: rides, lambda: frame([], "fare_rules"),
-                                              feed.checkpoint, feed.out, once=True))
-    rejected = feed.spark.read.parquet(jobs.rejected_folder(feed.out))
-    assert sorted((r["trip_id"], r["reason"]) for r in rejected.collect()) == [
+    feed.add([form(1, 9, 1, "99"), form(2, 5, 2, "1.5"), form(3, 1, 2, "0"), form(None, 2, 3, "4")], TRIP)
+    feed.add([form(4, 3, 1, "10"), form(5, 5, 2, "99"), form(1, 9, 1, "99")], TRIP)  # 4 comes later but is earlier than 1
+    feed.add([END], TRIP)
+    written = fares_of(feed, frame, rides)
+    assert sorted(tuple(r) for r in jobs.refused_forms(written).select("trip_id", "reason").collect()) == [
         (1, "repeated_form"), (3, "distance_not_positive"), (5, "repeated_form")]
-    fares = jobs.latest(written, "ride_id").select("ride_id", F.col("fare").cast("int").alias("fare"))
+    fares = jobs.rated_fares(written).select("ride_id", F.col("fare").cast("int").alias("fare"))
     assert {tuple(r) for r in fares.collect()} == {(1, 260), (2, 90)}
+    assert jobs.refused_forms(written, "late").count() == 0
+
+
+def test_late_forms_go_to_a_batch_run(feed, frame, spark):
+    """On time and late forms are all forms, and a batch run over the late ones repeats nothing the stream has done."""
+    from cabledger.plans.fares import finish_trips
+    rides = frame([dict(ride_id=i, rider_id=1, driver_id=1, status="in_progress") for i in (1, 2, 3)], "rides")
+    feed.add([form(1, 10, 1, "10"), form(2, 100, 2, "1.5")], TRIP)
+    feed.add([form(1, 10, 1, "10"), form(3, 11, 1, "20"), form(4, 12, 3, "7")], TRIP)   # behind 100 - 60: late
+    feed.add([END], TRIP)
+    written = fares_of(feed, frame, rides)
+    late = jobs.refused_forms(written, "late").drop("reason")
+    assert sorted(r["trip_id"] for r in late.collect()) == [1, 3, 4]
+    state = {"rides": rides, "fare_rules": frame([], "fare_rules"), "drivers": frame([dict(driver_id=1, user_id=9, total_trips=0)], "drivers"),
+             "wallet": frame([dict(user_id=9, balance=D(0))], "wallet"), "payments": frame([], "payments"),
+             "driver_earnings": frame([], "driver_earnings"), "ride_history": frame([], "ride_history")}
+    new = finish_trips(late, state, "2000-01-02 00:00:00", jobs.stream_ledger(written))
+    assert [r["ride_id"] for r in new["rated"].collect()] == [3]
+    assert [tuple(r) for r in new["rejected"].select("trip_id", "reason").collect()] == [(3, "repeated_form")]
+
+
+def test_state_does_not_grow_with_the_stream(feed, frame):
+    rides = frame([dict(ride_id=i, rider_id=1, driver_id=1) for i in range(400)], "rides")
+    for lot in range(8):
+        feed.add([form(lot * 50 + i, lot * 120 + i % 60 + 1, lot * 50 + i, "5") for i in range(50)], TRIP)
+    feed.add([END], TRIP)
+    query = jobs.stream_rate_fares(feed.stream(), lambda: rides, lambda: frame([], "fare_rules"), feed.checkpoint, feed.out, once=True)
+    assert jobs.rated_fares(feed.run(query)).count() == 400
+    rows = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    # A waiting form has four rows (form, timer, two indexes of it), a finished ride as many; only some two lots are held.
+    assert max(rows) <= 3 * 50 * 5 and max(rows[4:]) <= max(rows[:4]) * 1.5
