@@ -20,15 +20,15 @@ BITS, BLOCKS, SIMILAR = 2, 4, 0.8
 #: Edit distances tried with a narrow band before the full one, which costs length times distance; the second
 #: only where the full one is wider than WIDE.
 NARROW, MIDDLE, WIDE = 8, 64, 100
-#: What parts words: runs of ASCII characters that are no letters.
-GAP = r"[\x00-@\[-`{-\x7f]+"
-#: Bits of a hash that one sum counts, in lanes wide enough for so many words (fixed values).
-LANES = {16: 0x0001000100010001, 32: 0x0000000100000001}
-LONG_LINE = (1 << 16) - 1
+#: What parts words: runs of ASCII characters that are neither letters nor digits.
+GAP = r"[\x00-/:-@\[-`{-\x7f]+"
+#: Bits of a hash that one sum counts, in lanes wide enough for so many words (fixed values); the highest lane must not reach the sign.
+LANES = {8: 0x0101010101010101, 32: 0x0000000100000001}
+LONG_LINE = (1 << 7) - 1
 
 
 def words_of(line: Column) -> Column:
-    """The words of a line in lower case; digits, punctuation and white space part them."""
+    """The words of a line in lower case; punctuation and white space part them, digits are kept."""
     return F.array_remove(F.split(F.lower(line), GAP), "")
 
 
@@ -72,15 +72,17 @@ def _counted(lines: DataFrame, lane: int) -> DataFrame:
 def line_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, th, pos, key, fp) of every line that is not blank: hash of the text, position, hash of the line, SimHash.
 
-    A bit of the SimHash is set if more than half of the words have it. Sums count several bits at once, in lanes of 16
-    bits, and Spark combines them before the shuffle. Texts long enough for a line of more than ``LONG_LINE`` words are
-    counted in lanes of 32 bits.
+    A bit of the SimHash is set if more than half of the words have it. Sums count several bits at once, in lanes of 8
+    bits, and Spark combines them before the shuffle. Lines of more than ``LONG_LINE`` words are counted in lanes of 32 bits; texts are
+    cut for them only if they hold a line long enough to have so many.
     """
-    def counted(frame: DataFrame, lane: int) -> DataFrame:
-        lines = _lines(frame, id_col, text_col)
+    def counted(frame: DataFrame, lane: int, fits: Column) -> DataFrame:
+        lines = _lines(frame, id_col, text_col).filter(fits)
         return _counted(lines.select("row", "id", "th", "pos", words_of(F.col("line")).alias("words")), lane)
-    may_overflow = F.length(text_col) > 2 * LONG_LINE
-    return counted(docs.filter(~may_overflow), 16).unionByName(counted(docs.filter(may_overflow), 32))
+    # Most lines are too short for that many words, and need no counting.
+    may, many = F.length("line") > 2 * LONG_LINE, F.size(words_of(F.col("line"))) > LONG_LINE
+    long_line = F.col(text_col).rlike(f"[^\n]{{{2 * LONG_LINE + 1}}}")
+    return counted(docs, 8, ~may | ~many).unionByName(counted(docs.filter(long_line), 32, may & many))
 
 
 def shared_blocks(lines: DataFrame, bits: int = BITS, blocks: int = BLOCKS) -> DataFrame:
@@ -180,7 +182,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 similar: float = SIMILAR) -> DataFrame:
     """``docs`` with all its rows and columns, the text without its dropped lines, plus ``n_lines`` and ``n_dropped``.
 
-    Lines end at a line feed. Blank lines, and lines of punctuation and digits only, are never dropped. The first
+    Lines end at a line feed. Blank lines, and lines of punctuation only, are never dropped; lines that differ in numbers are different
+    lines, compared like any others. The first
     occurrence is the least by id (null first), position and text hash; a text that loses all its lines becomes
     empty. A null text stays null, with no lines. Rows with equal id and text count as one document and are changed alike.
     An empty table gives no rows. Columns of ``docs`` named ``n_lines`` or ``n_dropped`` are replaced; others never clash.

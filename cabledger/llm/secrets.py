@@ -40,29 +40,46 @@ ORDINARY = {"hex": 1.2, "HEX": 1.2, "lower": 0.7, "upper": 0.7, "base32": 1.0, "
 PASS, FALSE_SHARE = 0.001, 0.01
 #: Evidence is counted in bins of 0.05 in -log10(p), at most this many, per doubling of the length.
 BINS, PER_DECADE = 400, 20
+#: Spans in a chunk.
+CHUNK = 128
 
 
-def _spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
-    """Array of (start, kind, end) of the matches whose ``group`` has ``least`` characters, in code points.
+def _chunks(values: Column) -> Column:
+    """``values`` cut into arrays of ``CHUNK``, so that what grows by concatenation stays short."""
+    last = F.greatest(F.size(values) - 1, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), F.floor(last / CHUNK).cast("int")), lambda i: F.slice(values, i * CHUNK + 1, F.lit(CHUNK)))
 
-    The pieces between matches give the positions. Texts without a match are scanned once.
+
+def _spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0, keep: bool = False) -> Column:
+    """Array of (start, kind, end) of the matches whose ``group`` has ``least`` characters, in code points; with ``keep`` also (token).
+
+    The pieces between matches give the positions, summed up chunk by chunk. Texts without a match are scanned once.
     """
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    kinds = "start:int,kind:int,end:int" + (",token:string" if keep else "")
+    empty = F.array().cast(f"array<struct<{kinds}>>")
 
-    def place(pieces: Column) -> Column:
-        sizes = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-                           F.regexp_extract_all(text, F.lit(pattern), F.lit(group)),
-                           lambda m, g: F.struct(F.length(m).alias("len"), F.length(g).alias("part")))
-        steps = F.zip_with(sizes, F.slice(pieces, 1, F.size(pieces) - 1),
-                           lambda m, p: F.struct(F.length(p).alias("gap"), m["len"].alias("len"), m["part"].alias("part")))
-        start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    def span(at: Column, m: Column) -> Column:
+        fields = [(at + m["gap"]).alias("start"), F.lit(kind).alias("kind"), (at + m["gap"] + m["len"]).alias("end")]
+        return F.struct(*fields, *([m["token"].alias("token")] if keep else []))
 
+    def within(chunk: Column, at: Column) -> Column:
         def step(acc: Column, m: Column) -> Column:
-            a = acc["at"] + m["gap"]
-            span = F.struct(a.alias("start"), F.lit(kind).alias("kind"), (a + m["len"]).alias("end"))
-            return F.struct((a + m["len"]).alias("at"),
-                            F.when(m["part"] >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
-        return F.when(F.size(pieces) > 1, F.aggregate(steps, start, step, lambda acc: acc["out"])).otherwise(empty)
+            out = F.when(m["part"] >= least, F.concat(acc["out"], F.array(span(acc["at"], m)))).otherwise(acc["out"])
+            return F.struct((acc["at"] + m["gap"] + m["len"]).alias("at"), out.alias("out"))
+        return F.aggregate(chunk, F.struct(at.alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+
+    def placed(chunks: Column) -> Column:
+        long = F.transform(chunks, lambda chunk: F.aggregate(chunk, F.lit(0), lambda acc, m: acc + m["gap"] + m["len"]))
+        starts = F.aggregate(long, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        return let(starts, lambda at: F.flatten(F.zip_with(chunks, F.slice(at, 1, F.size(at) - 1), within)))
+
+    def place(pieces: Column) -> Column:
+        matches = F.zip_with(
+            F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)),
+            lambda m, g: F.struct(F.length(m).alias("len"), F.length(g).alias("part"), *([m.alias("token")] if keep else [])))
+        steps = F.zip_with(matches, F.slice(pieces, 1, F.size(pieces) - 1), lambda m, p: F.struct(
+            F.length(p).alias("gap"), m["len"].alias("len"), m["part"].alias("part"), *([m["token"].alias("token")] if keep else [])))
+        return F.when(F.size(pieces) > 1, let(let(steps, _chunks), placed)).otherwise(empty)
     return let(F.split(text, pattern, -1), place)
 
 
@@ -75,17 +92,16 @@ def _normal_below(z: Column) -> Column:
     return F.when(z >= 0, 1 - tail).otherwise(tail)
 
 
-def _battery(token: Column, name: str) -> Column:
-    """(passes, doubt): whether ``token`` could be random over the alphabet, and its p-value as ordinary text."""
-    alphabet = ALPHABETS[name]
-    k = len(alphabet)
+def _battery(token: Column, encoding: Column) -> Column:
+    """(passes, doubt): whether ``token`` could be random over its alphabet, and its p-value as ordinary text."""
+    alphabet, k = encoding["letters"], encoding["k"]
     bare = F.rtrim(token, F.lit("="))
     n = F.length(bare).cast("double")
-    squares = F.aggregate(F.split(F.lit(alphabet), ""), F.lit(0.0), lambda acc, c: F.when(F.length(c) == 0, acc).otherwise(
+    squares = F.aggregate(F.split(alphabet, ""), F.lit(0.0), lambda acc, c: F.when(F.length(c) == 0, acc).otherwise(
         acc + F.pow((n - F.length(F.replace(bare, c, F.lit("")))), F.lit(2))))
-    halves = F.translate(bare, alphabet, "0" * (k // 2) + "1" * (k - k // 2))
+    halves = F.call_function("translate", bare, alphabet, encoding["halves"])
     middle = (k - 1) / 2
-    values = F.transform(F.filter(F.split(bare, ""), lambda c: F.length(c) > 0), lambda c: F.instr(F.lit(alphabet), c) - 1 - middle)
+    values = F.transform(F.filter(F.split(bare, ""), lambda c: F.length(c) > 0), lambda c: F.instr(alphabet, c) - 1 - middle)
     product = let(values, lambda v: F.aggregate(
         F.transform(v, lambda x, i: x * F.coalesce(F.get(v, i + 1), F.lit(0.0))), F.lit(0.0), lambda acc, x: acc + x))
 
@@ -95,28 +111,37 @@ def _battery(token: Column, name: str) -> Column:
         both = 2 * ones * (n - ones)
         spread = both * (both - n) / (n * n * (n - 1))
         runs = F.when(spread > 0, (turns + 1 - (both / n + 1)) / F.sqrt(spread)).otherwise(F.lit(99.0))
-        uniform = (F.cbrt(x2 / (k - 1)) - (1 - 2 / (9 * (k - 1)))) / (2 / (9 * (k - 1))) ** 0.5
+        part = F.lit(2.0) / (9 * (k - 1))
+        uniform = (F.cbrt(x2 / (k - 1)) - (1 - part)) / F.sqrt(part)
         serial = product / ((n - 1) * ((k * k - 1) / 12)) * F.sqrt(n - 1)
         worst = F.least(_normal_below(-uniform), 2 * _normal_below(-F.abs(runs)), 2 * _normal_below(-F.abs(serial)))
-        beyond = n * ORDINARY[name]
+        beyond = n * encoding["ordinary"]
         ordinary = (x2 - (k - 1 + beyond)) / F.sqrt(2 * (k - 1) + 4 * beyond)
         return F.struct((worst * 3 > PASS).alias("passes"), _normal_below(ordinary).alias("doubt"))
     return let(squares * k / n - n, lambda x2: let(halves, lambda h: judge(x2, h)))
 
 
-def _tested(token: Column) -> Column:
-    choice = F.lit(None).cast("struct<passes:boolean,doubt:double>")
-    for name in reversed(KEYS):
+def _encoding(token: Column) -> Column:
+    """(letters, halves, k, ordinary) of the first alphabet that holds the token; null for digits alone and for none."""
+    found = F.lit(None).cast("int")
+    for i, name in reversed(list(enumerate(KEYS))):
         letters = ALPHABETS[name].replace("-", "")
         dash = "-" if "-" in ALPHABETS[name] else ""
-        choice = F.when(token.rlike(f"^[{letters}{dash}]+=*$"), _battery(token, name)).otherwise(choice)
-    return F.when(token.rlike("^[0-9]+=*$"), F.lit(None)).otherwise(choice)
+        found = F.when(token.rlike(f"^[{letters}{dash}]+=*$"), F.lit(i)).otherwise(found)
+    found = F.when(token.rlike("^[0-9]+=*$"), F.lit(None)).otherwise(found)
+    each = F.array(*[F.struct(
+        F.lit(ALPHABETS[n]).alias("letters"), F.lit("0" * (len(ALPHABETS[n]) // 2) + "1" * (len(ALPHABETS[n]) - len(ALPHABETS[n]) // 2)).alias("halves"),
+        F.lit(float(len(ALPHABETS[n]))).alias("k"), F.lit(ORDINARY[n]).alias("ordinary")) for n in KEYS])
+    return F.get(each, found)
+
+
+def _tested(token: Column) -> Column:
+    return let(_encoding(token), lambda e: F.when(e.isNotNull(), _battery(token, e)))
 
 
-def _graded(text: Column, span: Column) -> Column:
+def _graded(span: Column) -> Column:
     """(start, end, cls, bin, passes) of a candidate span."""
-    token = F.substr(text, span["start"] + 1, span["end"] - span["start"])
-    return let(let(token, _tested), lambda t: F.struct(
+    return let(_tested(span["token"]), lambda t: F.struct(
         span["start"].alias("start"), span["end"].alias("end"),
         F.floor(F.log2((span["end"] - span["start"]).cast("double"))).cast("int").alias("cls"),
         F.least(F.lit(BINS), F.floor(-F.log10(F.greatest(t["doubt"], F.lit(1e-30))) * PER_DECADE)).cast("int").alias("bin"),
@@ -145,14 +170,22 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = rows.select(
         "id", F.array_sort(F.concat(_spans(text, ASSIGN, 0, 2, ASSIGN_LEAST), _spans(text, ACCESS, 1), _spans(text, HEX, 2)))
-        .alias("base"), _spans(text, CANDIDATE, 3).alias("_seen"), "text")
-    graded = materialize(found.select("id", "base", F.transform("_seen", lambda s: _graded(F.col("text"), s)).alias("candidates")))
+        .alias("base"), _spans(text, CANDIDATE, 3, keep=True).alias("_seen"))
+    graded = materialize(found.select("id", "base", F.transform("_seen", _graded).alias("candidates")))
     cuts = _thresholds(graded).collect()  # at most 31 classes
 
     def least(cls: Column) -> Column:
         return F.coalesce(*[F.when(cls == r["cls"], F.lit(r["least_bin"])) for r in cuts], F.lit(BINS + 1))
-    kept = F.filter("candidates", lambda c: c["passes"] & (c["bin"] >= least(c["cls"]))
-                    & ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+
+    def meets(span: Column, other: Column) -> Column:
+        return (other["start"] < span["end"]) & (span["start"] < other["end"])
+
+    # The base spans in chunks with what each covers, so that most are passed over at once.
+    covered = F.transform(_chunks(F.col("base")), lambda part: F.struct(
+        F.get(part, F.lit(0))["start"].alias("start"), F.array_max(F.transform(part, lambda b: b["end"])).alias("end"), part.alias("part")))
+    strong = F.filter("candidates", lambda c: c["passes"] & (c["bin"] >= least(c["cls"])))
+    kept = let(covered, lambda parts: F.filter(strong, lambda c: ~F.exists(parts, lambda p: F.coalesce(meets(c, p), F.lit(False)) & F.exists(
+        p["part"], lambda b: meets(c, b)))))
     more = F.transform(kept, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
     return graded.select("id", "base", F.array_sort(F.concat("base", more)).alias("spans"))
 

@@ -8,7 +8,9 @@ their frequencies, which are joined to the counted ones.
 
 from __future__ import annotations
 
-import math
+import functools
+import json
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -17,27 +19,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
+from cabledger.llm.frequent import frequent_from
 from cabledger.session import materialize
 
-HEAD, HEAD_CHARS = 1 << 18, 32
-#: Distinct pre-tokens a task holds before it hands them on.
-HELD = 100_000
+# Spark runs a task per core; threads of the library within a task would only take memory.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Texts of these characters are lower-cased and split alike here and by the library (fixed values).
+HEAD, HEAD_CHARS = 1 << 17, 32
+#: Distinct pre-tokens a task holds before it hands them on, those the library counts in one go, and characters of text per batch.
+HELD, AT_ONCE, SLICE_CHARS = 1 << 16, 512, 1 << 20
+
+# The rules of a file that lower-cases, drops white space and splits by letters, digits and others; and the characters
+# for which the two patterns below do the same faster.
+PLAIN_NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PLAIN_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
 PLAIN = re.compile("[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ×÷“”‘’–—…€]*")
 WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9]+")
 
 
 class Splitter:
-    """Pre-tokens of a text as the tokenizer file defines them, in their normalised spelling."""
+    """Pre-tokens of a text as the tokenizer file defines them, in their normalised spelling.
+
+    The file must hold a BPE model whose text is cut by a byte-level step that adds no blank, and special tokens that are matched as
+    written; other files are refused, since their pieces could depend on more than the pre-token.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
-        bare = Tokenizer(self.tokenizer.model)
-        bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.bare = bare
+        rules = json.loads(self.tokenizer.to_str())
+        before = rules["pre_tokenizer"] or {}
+        steps = before.get("pretokenizers", [before])
+        added = rules["added_tokens"]
+        odd = [t["content"] for t in added if t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"]]
+        if (rules["model"]["type"] != "BPE" or rules["model"].get("dropout") or odd or steps[-1].get("type") != "ByteLevel"
+                or any(s.get("type") not in ("Split", "ByteLevel") or s.get("add_prefix_space") for s in steps)):
+            raise ValueError(f"{path}: counting by pre-token needs a byte-level BPE file with plain special tokens")
+        special = sorted((t["content"] for t in added), key=len, reverse=True)
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.fast = rules["normalizer"] == PLAIN_NORMALIZER and steps[:-1] == [PLAIN_SPLIT] and not steps[-1]["use_regex"]
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
     def split(self, text: str) -> tuple[list[str], int]:
         """(pre-tokens, special tokens found in the text)."""
@@ -46,22 +68,29 @@ class Splitter:
             parts, found = pieces, len(pieces) - 1
         words: list[str] = []
         for part in parts:
-            if PLAIN.fullmatch(part):
+            if self.fast and PLAIN.fullmatch(part):
                 words += WORDS.findall(part.lower())
             else:
-                normal = self.tokenizer.normalizer.normalize_str(part)
+                normal = self.tokenizer.normalizer.normalize_str(part) if self.tokenizer.normalizer else part
                 words += [normal[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
         return words, found
 
     def pieces(self, words: list[str]) -> list[int]:
-        return [len(e) for e in self.bare.encode_batch(words, add_special_tokens=False)]
+        return [len(e) for at in range(0, len(words), AT_ONCE)
+                for e in self.bare.encode_batch(words[at:at + AT_ONCE], add_special_tokens=False)]
+
+
+@functools.lru_cache(maxsize=1)
+def _splitter(path: str) -> Splitter:
+    """One per Python worker: loading a file again for every task costs time and leaves memory in pieces."""
+    return Splitter(path)
 
 
 def vocabulary(texts: DataFrame, tokenizer_path: str) -> DataFrame:
     """(word, n, pieces): every distinct pre-token of the column ``text``, its frequency and its number of pieces."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, held = Splitter(tokenizer_path), Counter()
+        splitter, held = _splitter(tokenizer_path), Counter()
         for batch in batches:
             for text in batch.column(0):
                 held.update(splitter.split(text.as_py() or "")[0])
@@ -76,7 +105,7 @@ def vocabulary(texts: DataFrame, tokenizer_path: str) -> DataFrame:
             held.clear()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = Splitter(tokenizer_path)
+        splitter = _splitter(tokenizer_path)
         for batch in batches:
             pieces = splitter.pieces(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pieces, pa.int64())], ["word", "n", "pieces"])
@@ -84,19 +113,6 @@ def vocabulary(texts: DataFrame, tokenizer_path: str) -> DataFrame:
             .mapInArrow(count, "word string, n bigint, pieces bigint"))
 
 
-def _least(words: DataFrame, head: int) -> int:
-    """A frequency that at most ``head`` short words reach, from counts per power of 2**(1/8)."""
-    step = F.floor(F.log2("n") * 8).cast("int")
-    counts = words.filter(F.length("word") <= HEAD_CHARS).groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()
-    total, least = 0, None
-    for r in counts:  # at most 8 * 63 rows
-        total += r["count"]
-        if total > head:
-            break
-        least = r["step"]
-    return 1 << 62 if least is None else math.ceil(2 ** (least / 8) - 1e-9)
-
-
 def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
                  head: int = HEAD) -> DataFrame:
     """(id, n_bytes, n_tokens) for every row of ``docs``, as the tokenizer counts the whole text.
@@ -106,24 +122,33 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     executor, like an installed package.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    Splitter(tokenizer_path)  # refuses a file that can't be counted by pre-token before any task starts
     words = materialize(vocabulary(rows, tokenizer_path))
-    top = words.filter((F.length("word") <= HEAD_CHARS) & (F.col("n") >= _least(words, head))).select("word", "pieces").toArrow()
+    short = words.filter(F.length("word") <= HEAD_CHARS)
+    top = short.filter(F.col("n") >= frequent_from(short, "n", head)).select("word", "pieces").toArrow()
     known = rows.sparkSession.sparkContext.broadcast(dict(zip(top.column("word").to_pylist(), top.column("pieces").to_pylist())))
-    rare = pa.list_(pa.struct([pa.field("word", pa.string()), pa.field("n", pa.int64())]))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, pieces = Splitter(tokenizer_path), known.value
+        splitter, pieces = _splitter(tokenizer_path), known.value
         for batch in batches:
-            sizes, sums, rest = [], [], []
-            for cell in batch.column(1):
+            start, held, sizes, sums, ends, rare, times = 0, 0, [], [], [0], [], []
+            for i, cell in enumerate(batch.column(1)):
                 text = cell.as_py() or ""
                 found, specials = splitter.split(text)
                 counts = [pieces.get(w, 0) for w in found]
                 sizes.append(len(text.encode()))
                 sums.append(sum(counts) + specials)
-                rest.append([{"word": w, "n": n} for w, n in Counter(w for w, k in zip(found, counts) if not k).items()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()),
-                                              pa.array(rest, rare)], ["id", "n_bytes", "known", "rest"])
+                rest = Counter(w for w, k in zip(found, counts) if not k)
+                rare += rest.keys()
+                times += rest.values()
+                ends.append(len(rare))
+                held += len(text)
+                if held >= SLICE_CHARS or i + 1 == batch.num_rows:
+                    pairs = pa.StructArray.from_arrays([pa.array(rare, pa.string()), pa.array(times, pa.int64())], ["word", "n"])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(start, len(sizes)), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()),
+                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], ["id", "n_bytes", "known", "rest"])
+                    start, held, sizes, sums, ends, rare, times = i + 1, 0, [], [], [0], [], []
     kind = rows.schema["id"].dataType.simpleString()
     tallied = materialize(
         rows.mapInArrow(tally, f"id {kind}, n_bytes bigint, known bigint, rest array<struct<word string, n bigint>>")

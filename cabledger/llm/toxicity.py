@@ -26,8 +26,6 @@ from cabledger.llm.labelled import draw, held_out, labelled_ids, texts_of
 ORDER, SHARED = 5, 1
 #: Windows, in words, whose strongest one is evidence, besides the mean of the whole text.
 WINDOWS = (2, 8, 32, 128)
-#: A longer word is scored in pieces of this many characters.
-SPELT = 24
 #: Labelled documents the models are fitted on, at most, per class; and as many for the calibration, of both classes.
 #: They are drawn by a hash of their id, and the two draws share no document.
 FIT_DOCS = 2_000
@@ -104,14 +102,14 @@ class KneserNey:
     def log_ratio(self, word: str, grams: dict[str, float] | None = None) -> float:
         """log P(word | class 1) - log P(word | class 0). ``grams`` keeps what single grams gave."""
         grams, span = {} if grams is None else grams, self.order - 1
-        text, ratio = spelt(word[:SPELT]), 0.0
+        text, ratio = spelt(word), 0.0
         for i in range(1, len(text)):
             gram = text[max(0, i - span):i + 1]
             found = grams.get(gram)
             if found is None:
                 found = grams[gram] = self.gram_ratio(gram)
             ratio += found
-        return ratio if len(word) <= SPELT else ratio + self.log_ratio(word[SPELT:], grams)
+        return ratio
 
     def evidence(self, words: list[str], cache: dict[str, float], grams: dict[str, float]) -> list[float]:
         """The highest mean difference over each length of ``WINDOWS`` words in a row, and the mean; 0 without words.

@@ -64,7 +64,7 @@ def distance(a, b):
     return row[-1]
 
 
-LINE_GAPS = re.compile(r"[\x00-@\[-`{-\x7f]+")
+LINE_GAPS = re.compile(r"[\x00-/:-@\[-`{-\x7f]+")
 
 
 def dedup_lines(rows, bits=2, similar=0.8):

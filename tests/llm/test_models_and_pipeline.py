@@ -58,7 +58,8 @@ def test_models_share_what_neither_class_knows():
     model = toxicity.KneserNey([{"good": 3, "fine": 2}, {"nasty": 4, "fine": 2}],
                                {g: 5 for g in "gofinedasty\x03"} | {"\x02g": 2, "\x02f": 2, "\x02n": 2})
     assert model.log_ratio("nasty") > 1 and model.log_ratio("good") < -1 and abs(model.log_ratio("zzz")) < 0.5
-    assert model.log_ratio("z" * 100) == pytest.approx(model.log_ratio("z" * 24) * 4 + model.log_ratio("z" * 4))
+    step = model.log_ratio("z" * 51) - model.log_ratio("z" * 50)   # a word is one spelling, however long
+    assert model.log_ratio("z" * 500) == pytest.approx(model.log_ratio("z" * 50) + 450 * step)
 
 
 @pytest.fixture

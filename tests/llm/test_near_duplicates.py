@@ -74,7 +74,7 @@ def test_lines_equal_brute_force(documents):
 def test_lines_odd_rows(docs_of):
     base = "the quick brown fox jumps over the lazy dog and runs far away into the dark green forest of tall old trees"
     rows = [(None, None), (1, ""), (2, "a b c\n\nA  b, c!\n\n"), (3, "...\n12\n***\n..."), (4, base), (5, base.replace("trees", "tree")),
-            (6, "Page 1 of 9\nx"), (7, "page 22 of 10"), (8, "a b a " * 24_000), (9, "a b a " * 24_000 + "\nlast"), (10, "w" * 9_000), (12, "no\u00a0break \x01 x")]
+            (6, "Page 1 of 9\nx"), (7, "page 22 of 10"), (13, "Total: 1,234,567"), (14, "total 9"), (15, "TOTAL: 9!"), (16, "12\n12 13"), (8, "a b a " * 24_000), (9, "a b a " * 24_000 + "\nlast"), (10, "w" * 9_000), (12, "no\u00a0break \x01 x")]
     frame = docs_of([(*r, "x", 1) for r in rows], ", n_lines string, key int")
     found = line_dedup.dedup_lines(frame)
     assert set(found.columns) == {"doc_id", "text", "n_lines", "key", "n_dropped"}
@@ -104,6 +104,9 @@ def test_hashes_count_every_word(docs_of):
 
 def test_repeated_rows_do_not_fill_the_lanes(spark):
     words = [f"w{chr(97 + i)}" for i in range(10)]
+    text = " ".join(["aa", "bb"] * 200 + ["cc"])   # more words than narrow lanes hold, in a line of its own
+    assert int(line_dedup.line_hashes(spark.createDataFrame([(1, "x\n" + text)], "doc_id long, text string"), "doc_id", "text")
+               .filter("pos = 1").select(F.hex("fp")).first()[0], 16) == brute.majority([brute.xxhash.xxh64_intdigest(w.encode(), 42) for w in text.split()])
     docs = spark.range(0, 14_000).select(F.lit(1).cast("bigint").alias("doc_id"), F.lit(" ".join(words)).alias("text"))
     found = line_dedup.line_hashes(docs, "doc_id", "text").select(F.hex("fp")).distinct().collect()
     import xxhash

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -104,6 +105,17 @@ def test_random_tokens_are_found_and_words_are_not(docs_of):
     assert all(set(r.base) <= set(r.spans) for r in found)
 
 
+def test_long_texts_are_scanned_in_linear_time(docs_of):
+    """4 MB with 160,000 candidates, a secret every hundred."""
+    rng = random.Random(7)
+    part = " ".join(f"{rng.getrandbits(100):025x}é" if i % 100 else "token=abcdef123" for i in range(160_000))
+    began = time.time()
+    row = secrets.find_secrets(docs_of([(1, part)])).select(F.size("base"), F.size("spans"), F.element_at("base", -1)["end"]).first()
+    assert time.time() - began < 120
+    want = brute.base_secrets(part)
+    assert row[0] == want.count(",") + 1 and row[1] >= row[0] and row[2] == int(want.rsplit(":", 1)[1])
+
+
 # -- winnowing
 
 def _hash(gram):
@@ -184,6 +196,25 @@ def test_contamination_of_the_tables(documents, spark):
 
 # -- tokens
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json"])
+def test_token_counts_of_another_file(documents, docs_of, name):
+    path = public_tokenizers.path(name)
+    whole = Tokenizer.from_file(path)
+    rows = [(1, "Hello World, the Cat's 2024 report"), (2, "naïve <|endoftext|> 漢😀\n\n  x\t"), (3, None), (None, " ")]
+    frame = documents.filter("doc_id % 5 = 0").unionByName(docs_of(rows))
+    got = sorted((str(r.id), r.n_tokens) for r in token_counts.token_counts(frame, path).collect())
+    assert got == sorted((str(r.doc_id), len(whole.encode(r.text or "", add_special_tokens=False))) for r in frame.collect())
+
+
+def test_other_tokenizers_are_refused(tmp_path, docs_of):
+    import json
+    rules = json.load(open(public_tokenizers.path("byte_bpe_50k.json")))
+    rules["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "odd.json").write_text(json.dumps(rules))
+    with pytest.raises(ValueError, match="byte-level"):
+        token_counts.token_counts(docs_of([(1, "x")]), str(tmp_path / "odd.json"))
+
+
 def test_token_counts_equal_the_library(documents, docs_of):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
