@@ -1,56 +1,70 @@
-"""Cleaning a corpus in five stages. Each takes (spark, docs, sf_dir) and returns the documents it keeps."""
+"""Cleaning a corpus in five stages. Each takes (spark, docs, sf_dir) and returns the documents it keeps.
+
+``docs`` needs doc_id and text, for the last stage also source and lang. All its columns, of whatever type or name, pass through
+unchanged; only ``n_chars`` follows the text where lines are dropped, if there is such a column.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cabledger.llm.decontaminate import drop_contaminated
-from cabledger.llm.jaccard import near_copies
 from cabledger.llm.line_dedup import dedup_lines
 from cabledger.llm.mixing import mix
 from cabledger.llm.quality import quality
+from cabledger.llm.simhash import near_groups
 from cabledger.session import materialize
 
 #: Documents scoring below it go.
 GOOD_FROM = 0.3
+#: What the last stage adds; columns of these names are replaced by it.
+DRAWN = ["topic", "weight", "copies"]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _packed(docs: DataFrame, *used: str) -> DataFrame:
+    """The columns a stage uses and all others in one, where its own columns can't clash with them."""
+    others = [c for c in docs.columns if c not in used]
+    return docs.select(*used, F.struct(F.lit(None).cast("int").alias("__none"), *others).alias("__row"))
+
+
+def _unpacked(packed: DataFrame, docs: DataFrame, *used: str) -> DataFrame:
+    return packed.select(*[F.col(c) if c in used else F.col("__row")[c].alias(c) for c in docs.columns])
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorisation machine does not reject."""
-    scored = quality(docs, _table(spark, sf_dir, "labels"))
-    return scored.filter(F.col("score") >= GOOD_FROM).select(*docs.columns)
+    scored = quality(_packed(docs, "doc_id", "text"), _table(spark, sf_dir, "labels"))
+    return _unpacked(scored.filter(F.col("score") >= GOOD_FROM), docs, "doc_id", "text")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without lines that an earlier one has; ``n_chars`` follows the text."""
-    cleaned = dedup_lines(docs)
-    return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    cleaned = _unpacked(dedup_lines(_packed(docs, "doc_id", "text")), docs, "doc_id", "text")
+    if "n_chars" not in docs.columns:
+        return cleaned
+    return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies (Jaccard of 0.8 or more over five words): the one with the least id (nulls last),
-    then the least hash of its text.
+    """One row of each group that fingerprints link, with the operator's own three-word shingles and two bits: the one with the
+    least id (nulls last), then the least hash of its text, then the least other columns as text.
 
-    Rows without an id, or with one id and unlike texts, are documents of their own.
+    Null and blank texts are one group. Rows without an id, or with one id and unlike texts, are documents of their own.
     """
-    found = near_copies(docs)
-    order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("doc_id"), "digest")
-    kept = found.groupBy("root").agg(F.min(order).alias("__keep")).select("__keep.doc_id", "__keep.digest")
-    return _least_rows(docs, kept)
-
-
-def _least_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Of the rows with an id and MD5 of the text in ``kept`` (doc_id, digest), one each."""
-    kept = kept.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
-    marked = docs.withColumn("digest", F.md5("text"))
-    rows = marked.join(kept, marked.digest.eqNullSafe(F.col("__digest")) & marked.doc_id.eqNullSafe(F.col("__id")), "left_semi")
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    row = F.min(F.struct("text", *others)).alias("row")
-    return rows.groupBy("doc_id", "digest").agg(row).select("doc_id", "row.*").select(*docs.columns)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.md5("text").alias("digest"))
+    found = materialize(near_groups(docs.select(key.alias("key"), "text"), "key", "text").select("id", "root"))
+    kept = found.groupBy("root").agg(F.min("id").alias("__keep")).select("__keep")
+    again = found.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("id").alias("__keep"), F.lit(True).alias("__again"))
+    kept = kept.join(again, "__keep", "left").select(F.struct(F.col("__keep.id").alias("id"), F.col("__keep.digest").alias("digest")).alias("__keep"), "__again")
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.struct(F.col("doc_id").alias("id"), F.md5("text").alias("digest")).alias("__key"))
+    met = rows.join(kept, rows["__key"].eqNullSafe(kept["__keep"]))
+    text = F.to_json("__row", {"ignoreNullFields": "false"})
+    repeated = met.filter("__again").groupBy("__key").agg(F.min_by("__row", text).alias("__row"))
+    return met.filter("__again is null").select("__row").unionByName(repeated.select("__row")).select("__row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +73,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The drawn documents with the number of times each is drawn."""
-    return mix(docs).filter("copies > 0").select(*docs.columns, "topic", "weight", "copies")
+    """The drawn documents with their topic, the expected number of draws and how often each is drawn."""
+    used = ("doc_id", "text", "source", "lang")
+    drawn = mix(_packed(docs, *used)).filter("copies > 0")
+    return drawn.select(*[F.col(c) if c in used else F.col("__row")[c].alias(c) for c in docs.columns if c not in DRAWN], *DRAWN)
 
 
 STAGES = [
