@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 from cabledger import schema
 from cabledger.functions.text import number, trimmed
 from cabledger.operators.deliveries import FORM, ledger, once
 from cabledger.operators.forms import check_booking
-from cabledger.operators.ordered import HOT_ROWS, numbered, previous
+from cabledger.operators.matching import CHUNK, match
+from cabledger.operators.ordered import HOT_ROWS, previous
 from cabledger.operators.pick import first_per_key, last_per_key
 from cabledger.plans.trips import pricing_rule_lookup, riders_with_active_ride
 from cabledger.session import materialize
@@ -70,71 +69,29 @@ def first_verified_vehicle(vehicles: DataFrame) -> DataFrame:
 
 
 def match_drivers(rides: DataFrame, fare_rules: DataFrame, drivers: DataFrame, vehicles: DataFrame,
-                  rejections: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """One driver and vehicle per waiting ride, each driver at most once.
+                  rejections: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """One driver and vehicle per waiting ride, each driver at most once: ride by ride, the oldest first, each takes the best-rated free
+    driver (then the lowest id) with a verified vehicle of its type whom it has no refusal from.
 
-    Per vehicle type, the oldest requests meet the best-rated free drivers by rank. Types are taken in
-    turn, because a driver may own vehicles of several. A pair the driver has rejected before is left out; what is left
-    over then meets again, moved on by one driver per round, until no ride is left that a free driver may
-    take. A driver who holds an open offer is not free. Rides without a fare rule ask for economy.
+    A driver who holds an open offer is not free. Rides without a fare rule ask for economy. ``chunk`` drivers are matched at a
+    time; the result is the same for any number.
     """
     rules = fare_rules.select("rule_id", "vehicle_type")
     waiting = rides.filter((c("status") == "requested") & c("driver_id").isNull()).select(
         "ride_id", "rule_id", "created_at").join(rules, "rule_id", "left").select(
-        "ride_id", "created_at", F.coalesce("vehicle_type", F.lit("economy")).alias("vehicle_type"))
+        "ride_id", "created_at", F.coalesce("vehicle_type", F.lit("economy")).alias("kind"))
     online = drivers.filter((c("avail_status") == "online") & (c("verify_status") == "verified")).select(
-        "driver_id", (-c("avg_rating")).alias("_rank"))
+        "driver_id", (-F.coalesce("avg_rating", F.lit(0))).alias("place"))
     cars = vehicles.filter(c("verify_status") == "verified").groupBy("driver_id", "vehicle_type").agg(
         F.min("vehicle_id").alias("vehicle_id"))
     offered = rides.filter((c("status") == "requested") & c("driver_id").isNotNull()).select("driver_id")
     ready = materialize(online.join(offered, "driver_id", "left_anti").join(cars, "driver_id"))
     waiting = materialize(waiting)
-    refused = materialize(rejections.select("ride_id", "driver_id").distinct())
-    pairs: list[DataFrame] = []
-    for kind in schema.VEHICLE_TYPES:
-        free = ready.filter(c("vehicle_type") == kind)
-        for earlier in pairs:
-            free = free.join(earlier.select("driver_id"), "driver_id", "left_anti")
-        pairs += _rounds(waiting.filter(c("vehicle_type") == kind), free, refused, hot_rows)
-    return reduce(DataFrame.unionByName, pairs)
-
-
-def _rounds(queue: DataFrame, free: DataFrame, refused: DataFrame, hot_rows: int) -> list[DataFrame]:
-    """Pairs by rank, then again with what is left over, each time one driver further, until no legal pair is left.
-
-    A ride whose refusals are fewer than the free drivers has a legal one; it meets it after at most so many
-    rounds without a find, as each round shows it another driver.
-    """
-    found: list[DataFrame] = []
-    shift = 0
-    while True:
-        drivers = materialize(numbered(free, ["vehicle_type"], ["_rank", "driver_id"], "_rn", hot_rows))
-        rides = materialize(numbered(queue, ["vehicle_type"], ["created_at", "ride_id"], "_rn", hot_rows))
-        n = drivers.count()
-        if n == 0:
-            break
-        met = rides.filter(c("_rn") <= n).withColumn("_rn", F.pmod(c("_rn") - 1 + shift, F.lit(n)) + 1).join(
-            drivers.select("_rn", "driver_id", "vehicle_id"), "_rn").select("ride_id", "driver_id", "vehicle_id")
-        legal = materialize(met.join(refused, ["ride_id", "driver_id"], "left_anti"))
-        if not legal.isEmpty():
-            found.append(legal)
-            queue = rides.drop("_rn").join(legal.select("ride_id"), "ride_id", "left_anti")
-            free = drivers.drop("_rn").join(legal.select("driver_id"), "driver_id", "left_anti")
-            shift = 0
-        blocked = refused.join(free.select("driver_id"), "driver_id").groupBy("ride_id").agg(F.count(F.lit(1)).alias("_no"))
-        left = free.count()
-        open_rides = queue.join(blocked, "ride_id", "left").filter(F.coalesce("_no", F.lit(0)) < left)
-        if left == 0 or open_rides.isEmpty():
-            break
-        if legal.isEmpty():
-            shift += 1
-            # Rides that no free driver may take stand aside, so that the others come within reach.
-            queue = open_rides.drop("_no")
-    return found or [legal_none(queue)]
-
-
-def legal_none(queue: DataFrame) -> DataFrame:
-    return queue.limit(0).select("ride_id", F.lit(None).cast("bigint").alias("driver_id"), F.lit(None).cast("bigint").alias("vehicle_id"))
+    owners = ready.groupBy("driver_id", "place").agg(F.collect_set("vehicle_type").alias("kinds"))  # of three types
+    pairs = match(waiting, owners, rejections.select("ride_id", "driver_id").distinct(), chunk)
+    return (pairs.join(waiting.select("ride_id", c("kind").alias("vehicle_type")), "ride_id")
+            .join(ready.select("driver_id", "vehicle_type", "vehicle_id"), ["driver_id", "vehicle_type"])
+            .select("ride_id", "driver_id", "vehicle_id"))
 
 
 def assign_drivers(rides: DataFrame, matched: DataFrame) -> DataFrame:

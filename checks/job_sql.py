@@ -111,18 +111,18 @@ RATINGS = f""", tested AS (SELECT f.*, d.user_id AS driver_user, r.rider_id, coa
     THEN 'already_rated' ELSE why END AS reason FROM tested)"""
 
 
-def _match_pass(n: int, kind: str, before: list[str]) -> str:
-    used = "".join(f" AND driver_id NOT IN (SELECT driver_id FROM {b})" for b in before)
-    return f""", m{n} AS (SELECT q.ride_id, c.driver_id, c.vehicle_id FROM
-      (SELECT ride_id, row_number() OVER (ORDER BY created_at, ride_id) AS rn FROM waiting WHERE vt='{kind}') q JOIN
-      (SELECT driver_id, vehicle_id, row_number() OVER (ORDER BY avg_rating DESC, driver_id) AS rn FROM ready WHERE vehicle_type='{kind}'{used}) c ON c.rn=q.rn)"""
-
-
-MATCHED = """, waiting AS (SELECT r.ride_id, r.created_at, coalesce(f.vehicle_type,'economy') AS vt FROM rides r LEFT JOIN fare_rules f ON f.rule_id=r.rule_id
+# Ride by ride: each takes the best driver who is left, has a vehicle of its type and did not refuse it.
+MATCHED = """, waiting AS (SELECT r.ride_id, coalesce(f.vehicle_type,'economy') AS vt, coalesce(x.no, []) AS no, row_number() OVER (ORDER BY r.created_at, r.ride_id) AS n
+    FROM rides r LEFT JOIN fare_rules f ON f.rule_id=r.rule_id LEFT JOIN (SELECT ride_id, list(driver_id) AS no FROM rejections GROUP BY ride_id) x ON x.ride_id=r.ride_id
     WHERE r.status='requested' AND r.driver_id IS NULL),
-  ready AS (SELECT d.driver_id, v.vehicle_type, min(v.vehicle_id) AS vehicle_id, any_value(d.avg_rating) AS avg_rating FROM drivers d
-    JOIN vehicles v ON v.driver_id=d.driver_id AND v.verify_status='verified' WHERE d.avail_status='online' AND d.verify_status='verified' GROUP BY ALL)""" + \
-    _match_pass(1, "economy", []) + _match_pass(2, "premium", ["m1"]) + _match_pass(3, "bike", ["m1", "m2"])
+  ready AS (SELECT driver_id, vehicle_type, vehicle_id, dense_rank() OVER (ORDER BY avg_rating DESC, driver_id) AS place FROM (
+    SELECT d.driver_id, v.vehicle_type, min(v.vehicle_id) AS vehicle_id, any_value(d.avg_rating) AS avg_rating FROM drivers d
+    JOIN vehicles v ON v.driver_id=d.driver_id AND v.verify_status='verified' WHERE d.avail_status='online' AND d.verify_status='verified' GROUP BY ALL) y),
+  walk AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS ride_id, CAST(NULL AS BIGINT) AS place, CAST(NULL AS VARCHAR) AS vt
+    UNION ALL SELECT q.n, CASE WHEN b.place IS NULL THEN k.used ELSE list_append(k.used, b.place) END, q.ride_id, b.place, q.vt
+    FROM walk k JOIN waiting q ON q.n=k.n+1, LATERAL (SELECT min(place) AS place FROM ready y
+      WHERE y.vehicle_type=q.vt AND NOT list_contains(k.used, y.place) AND NOT list_contains(q.no, y.driver_id)) b),
+  matched AS (SELECT w.ride_id, y.driver_id, y.vehicle_id FROM walk w JOIN ready y ON y.place=w.place AND y.vehicle_type=w.vt)"""
 
 
 def _history(extra: str) -> str:
@@ -167,8 +167,7 @@ SQL = {
     "expire_promos": f"""SELECT promo_id, code, discount_pct, CASE WHEN valid_until<{NOW} AND usage_count<usage_limit THEN usage_count ELSE usage_limit END AS usage_limit,
         usage_count, valid_from, valid_until FROM promo_codes""",
     "first_verified_vehicle": "SELECT driver_id, min(vehicle_id) AS vehicle_id FROM vehicles WHERE verify_status='verified' GROUP BY driver_id",
-    "match_drivers": MATCHED + """ SELECT * FROM (SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3) m
-        WHERE NOT EXISTS (SELECT 1 FROM rejections x WHERE x.ride_id=m.ride_id AND x.driver_id=m.driver_id)""",
+    "match_drivers": MATCHED + " SELECT ride_id, driver_id, vehicle_id FROM matched",
     "toggle_availability": """SELECT d.driver_id, d.user_id, d.cnic, d.license_num, d.profile_photo, d.verify_status,
         CASE WHEN t.n IS NULL THEN d.avail_status WHEN (d.avail_status='online') <> (t.n%2=1) THEN 'online' ELSE 'offline' END AS avail_status, d.avg_rating, d.total_trips
         FROM drivers d LEFT JOIN (SELECT driver_id, count(*) AS n FROM toggles GROUP BY driver_id) t ON t.driver_id=d.driver_id""",
@@ -326,10 +325,8 @@ SQL.update({
     "update_join": """SELECT v.vehicle_id, v.driver_id, v.make, v.model, v.year, v.color, v.license_plate, v.vehicle_type,
         coalesce(d.verify_status,v.verify_status) AS verify_status FROM vehicles v LEFT JOIN drivers d ON d.driver_id=v.driver_id AND d.verify_status<>'verified'""",
     "ids_of_inserted": "SELECT email, CAST(0 AS INTEGER) AS balance, user_id FROM users",
-    "assign_drivers": MATCHED + f""", offers AS (SELECT * FROM (SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3) m
-          WHERE NOT EXISTS (SELECT 1 FROM rejections x WHERE x.ride_id=m.ride_id AND x.driver_id=m.driver_id))
-        SELECT r.ride_id, r.rider_id, coalesce(o.driver_id,r.driver_id) AS driver_id, coalesce(o.vehicle_id,r.vehicle_id) AS vehicle_id, r.pickup_location_id, r.dropoff_location_id,
-        r.rule_id, r.status, r.fare, r.distance, r.duration, r.scheduled_at, r.completed_at, r.created_at FROM rides r LEFT JOIN offers o ON o.ride_id=r.ride_id""",
+    "assign_drivers": MATCHED + """ SELECT r.ride_id, r.rider_id, coalesce(o.driver_id,r.driver_id) AS driver_id, coalesce(o.vehicle_id,r.vehicle_id) AS vehicle_id, r.pickup_location_id,
+        r.dropoff_location_id, r.rule_id, r.status, r.fare, r.distance, r.duration, r.scheduled_at, r.completed_at, r.created_at FROM rides r LEFT JOIN matched o ON o.ride_id=r.ride_id""",
 })
 
 # Tables laid out by month and daily sums give what whole tables give.

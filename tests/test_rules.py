@@ -237,8 +237,8 @@ def test_cancelled_ride_keeps_its_fare(frame):
     assert fares.archive_cancelled(old, new, frame([], "ride_history"), NOW).first()["final_fare"] == D("100.00")
 
 
-@pytest.mark.parametrize("hot_rows", [1000, 0])
-def test_matching(frame, hot_rows):
+@pytest.mark.parametrize("chunk", [1000, 1])
+def test_matching(frame, chunk):
     rides = frame([ride(i, status="requested", driver_id=None, rule_id=r, created_at=T0 - dt.timedelta(days=i))
                    for i, r in [(1, None), (2, 1), (3, 1), (4, 2)]], "rides")
     rules = frame([dict(rule_id=1, vehicle_type="economy"), dict(rule_id=2, vehicle_type="bike")], "fare_rules")
@@ -247,15 +247,16 @@ def test_matching(frame, hot_rows):
     cars = frame([dict(vehicle_id=10 * d + n, driver_id=d, vehicle_type=k, verify_status="verified")
                   for d, n, k in [(1, 1, "economy"), (2, 1, "economy"), (2, 2, "bike"), (3, 1, "bike")]], "vehicles")
     none = frame([], ddl="ride_id BIGINT, driver_id BIGINT")
-    got = dispatch.match_drivers(rides, rules, drivers, cars, none, hot_rows)
-    assert rows(got, "ride_id", "driver_id", "vehicle_id") == [(2, 1, 11), (3, 2, 21), (4, 3, 31)]
+    got = dispatch.match_drivers(rides, rules, drivers, cars, none, chunk)
+    # Ride 4 is the oldest and takes the best driver, though its bike is that driver's second vehicle.
+    assert rows(got, "ride_id", "driver_id", "vehicle_id") == [(3, 1, 11), (4, 2, 22)]
     offered = dispatch.assign_drivers(rides, got)
-    assert rows(offered.filter("driver_id IS NOT NULL"), "ride_id", "status") == [(i, "requested") for i in (2, 3, 4)]
-    no = frame([dict(ride_id=3, driver_id=2)], ddl="ride_id BIGINT, driver_id BIGINT")
-    again = rows(dispatch.match_drivers(rides, rules, drivers, cars, no, hot_rows), "ride_id", "driver_id")
-    assert (3, 2) not in again and len({r for r, _ in again}) == len({d for _, d in again}) == len(again)
+    assert rows(offered.filter("driver_id IS NOT NULL"), "ride_id", "status") == [(i, "requested") for i in (3, 4)]
+    no = frame([dict(ride_id=4, driver_id=2)], ddl="ride_id BIGINT, driver_id BIGINT")
+    again = rows(dispatch.match_drivers(rides, rules, drivers, cars, no, chunk), "ride_id", "driver_id")
+    assert again == [(3, 2), (4, 3)] or (4, 2) not in again and len({r for r, _ in again}) == len({d for _, d in again}) == len(again)
     held = offered.filter("driver_id IS NOT NULL").select("driver_id").collect()
-    assert not {d for _, d in rows(dispatch.match_drivers(offered, rules, drivers, cars, none, hot_rows), "ride_id", "driver_id")} & {
+    assert not {d for _, d in rows(dispatch.match_drivers(offered, rules, drivers, cars, none, chunk), "ride_id", "driver_id")} & {
         h["driver_id"] for h in held}
 
 
