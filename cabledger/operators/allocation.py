@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from cabledger.operators.ordered import HOT_ROWS, running_sum, split_hot
 from cabledger.operators.spending import allow_in_order
@@ -45,45 +45,59 @@ def allocate(requests: DataFrame, uses: DataFrame, balances: DataFrame, hot_rows
     """
     wanted = requests.filter(c("code").isNotNull()).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
     scarce = materialize(wanted.join(uses, "code", "left").filter(c("n") > F.coalesce("left", F.lit(0))).select(
-        "code", F.coalesce("left", F.lit(0)).alias("left")))
+        "code", F.coalesce("left", F.lit(0)).alias("left"), "n"))
     start = balances.select("user", c("cents").cast("bigint").alias("start"))
-    rows = (requests.select(*REQUEST).join(scarce, "code", "left").join(start, "user", "left")
-            .select(*REQUEST, "left", "start", F.lit(MAYBE).alias("state")))
-    open_rows, decided, counted = materialize(rows), [], None
+    rows = materialize(requests.select(*REQUEST).join(scarce.select("code", "left"), "code", "left").join(start, "user", "left")
+                       .select(*REQUEST, "left", "start", F.lit(MAYBE).alias("state")))
+    # Whether any code or user is too large for one task is found once; it can only get less.
+    large_codes = hot_rows if not scarce.filter(c("n") > hot_rows).isEmpty() else None
+    large_users = hot_rows if not rows.groupBy("user").count().filter(c("count") > hot_rows).isEmpty() else None
+    told = _round(rows, rows.filter(c("left").isNotNull()), large_codes, large_users)
+    decided = []
     while True:
-        coded = open_rows.filter(c("left").isNotNull())
-        judged = materialize(_code_states(coded if counted is None else coded.unionByName(counted), hot_rows))
-        told = open_rows.join(judged, "form", "left").withColumn("code_state", F.coalesce("code_state", F.lit(YES)))
-        told = materialize(_user_states(told, hot_rows).drop("code_state"))
         waiting = told.filter(c("state") == MAYBE).select("user").distinct()
-        waiting = materialize(waiting)
         if waiting.isEmpty():
             decided.append(told)
             break
-        done = told.join(waiting, "user", "left_anti")
-        decided.append(done)
-        settled = done.filter(c("left").isNotNull())
-        counted = settled if counted is None else counted.unionByName(settled)
+        waiting = materialize(waiting)
+        decided.append(told.join(waiting, "user", "left_anti"))
         open_rows = materialize(told.join(waiting, "user", "left_semi"))
-    return _reasons(materialize(reduce(DataFrame.unionByName, decided)), hot_rows)
+        # Requests decided before still count for the codes that open ones wait for.
+        asked = open_rows.filter((c("state") == MAYBE) & c("left").isNotNull()).select("code").distinct()
+        coded = reduce(DataFrame.unionByName, [open_rows, *decided]).filter(c("left").isNotNull()).join(asked, "code", "left_semi")
+        told = _round(open_rows, coded, large_codes, large_users)
+    return _reasons(materialize(reduce(DataFrame.unionByName, decided)), large_codes)
 
 
-def _uses_before(coded: DataFrame, value: Column, out: str, hot_rows: int) -> DataFrame:
-    """The sum of ``value`` over earlier requests of the code."""
-    return running_sum(coded, ["code"], ORDER, value, out, hot_rows).withColumn(out, c(out) - value)
+def _round(open_rows: DataFrame, coded: DataFrame, large_codes: int | None, large_users: int | None) -> DataFrame:
+    """The open rows with what the codes and then the users tell of them."""
+    judged = _code_states(coded, large_codes)
+    known = F.when(c("state") == MAYBE, F.coalesce("code_state", F.lit(YES))).otherwise(F.lit(YES))
+    told = open_rows.join(judged, "form", "left").withColumn("code_state", known)
+    # What was decided stays: a request that was refused can't be granted, and one that was granted had its use.
+    told = told.withColumn("code_state", F.when(c("state") == NO, NO).otherwise(c("code_state")))
+    return materialize(_user_states(told, large_users).drop("code_state"))
 
 
-def _code_states(coded: DataFrame, hot_rows: int) -> DataFrame:
-    """(form, code_state) of requests for scarce codes."""
+def _code_states(coded: DataFrame, hot_rows: int | None) -> DataFrame:
+    """(form, code_state) of requests for scarce codes, from the certain and the possible uses before each."""
     certain = F.when(c("state") == YES, c("takes")).otherwise(0).cast("bigint")
     possible = F.when(c("state") != NO, c("takes")).otherwise(0).cast("bigint")
-    summed = _uses_before(_uses_before(coded, certain, "_certain", hot_rows), possible, "_possible", hot_rows)
+    if hot_rows is None:
+        before = Window.partitionBy("code").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+        zero = F.lit(0).cast("bigint")
+        summed = coded.withColumns({"_certain": F.coalesce(F.sum(certain).over(before), zero), "_possible": F.coalesce(F.sum(possible).over(before), zero)})
+    else:
+        summed = coded
+        for value, out in ((certain, "_certain"), (possible, "_possible")):
+            summed = running_sum(summed, ["code"], ORDER, value, out, hot_rows).withColumn(out, c(out) - value)
+        summed = materialize(summed)
     return summed.select("form", F.when(c("_possible") < c("left"), YES).when(c("_certain") >= c("left"), NO).otherwise(
         MAYBE).alias("code_state"))
 
 
-def _user_states(told: DataFrame, hot_rows: int) -> DataFrame:
-    cold, hot = split_hot(told, ["user"], hot_rows)
+def _user_states(told: DataFrame, hot_rows: int | None) -> DataFrame:
+    cold, hot = (told, None) if hot_rows is None else split_hot(materialize(told), ["user"], hot_rows)
     walked = cold.repartition("user").sortWithinPartitions("user", *ORDER).mapInArrow(_walker(told.columns), told.schema)
     return walked if hot is None else walked.unionByName(_hot_states(materialize(hot), hot_rows).select(*told.columns))
 
@@ -155,7 +169,7 @@ def _by_totals(hot: DataFrame, hot_rows: int) -> DataFrame:
     return rows.withColumn("state", state)
 
 
-def _reasons(decided: DataFrame, hot_rows: int) -> DataFrame:
+def _reasons(decided: DataFrame, hot_rows: int | None) -> DataFrame:
     at = F.struct(*ORDER)
     granted = decided.filter(c("state") == YES).groupBy("user", "item").agg(F.min(at).alias("_granted"))
     codes = _code_states(decided.filter(c("left").isNotNull()), hot_rows)
