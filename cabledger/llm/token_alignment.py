@@ -16,6 +16,7 @@ import functools
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ HEAD = 1 << 18
 #: Characters of text handled before a batch is handed on, and links beyond which a group is counted by distinct ids.
 SLICE_CHARS, WIDE = 1 << 20, 1 << 12
 #: Segments remembered by a task (twice as many at most), longest one, and characters of new ones aligned in a row.
-REMEMBERED, SEGMENT_CHARS, ROW_CHARS = 1 << 17, 64, 1 << 16
+REMEMBERED, SEGMENT_CHARS, ROW_CHARS = 1 << 18, 64, 1 << 16
 #: Links gathered before a task adds up their documents.
 GATHER = 1 << 20
 
@@ -94,7 +95,8 @@ class ByteLevel:
         found = self.tokenizer.encode(text, add_special_tokens=False)
         if b"".join(map(self.bytes.__getitem__, found.ids)) != raw:
             return None
-        ids, spans = np.array(found.ids, np.int64), np.array(found.offsets, np.int64)
+        ids = np.array(found.ids, np.int64)
+        spans = np.fromiter(chain.from_iterable(found.offsets), np.int64, 2 * len(ids)).reshape(-1, 2)
         if len(raw) != len(text):
             chars = np.frombuffer(text.encode("utf-32-le"), np.uint32)
             place = np.concatenate([[0], np.cumsum(1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF))])
@@ -123,7 +125,7 @@ class Pieces:
     def ends(self, text: str, raw: bytes) -> tuple[np.ndarray, np.ndarray] | None:
         """(ids, byte ends within space and text), or None if the pieces don't spell them."""
         found = self.model.encode(text, return_type="proto").pieces
-        spans = np.array([(p.id, p.begin, p.end) for p in found], np.int64).reshape(-1, 3)
+        spans = np.fromiter((n for p in found for n in (p.id, p.begin, p.end)), np.int64, 3 * len(found)).reshape(-1, 3)
         ids = spans[:, 0]
         if b"".join(map(self.bytes.__getitem__, ids.tolist())) != raw:
             return None
