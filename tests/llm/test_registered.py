@@ -1,0 +1,78 @@
+"""The registered queries over their whole tables, against brute force."""
+
+import hashlib
+
+import public_tokenizers
+from tokenizers import Tokenizer
+
+import brute
+from cabledger.llm import queries
+from llm_fixtures import SF
+
+
+def rows_of(spark, name, order):
+    return queries.QUERIES[name](spark, SF).orderBy(order).collect()
+
+
+def texts(spark):
+    return [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()]
+
+
+def test_url_filter(spark):
+    rules = {f"{host}{prefix}": (host, prefix, verdict) for host, prefix, verdict in queries.URL_RULES}
+    pages = {r.page_id: r.url for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    got = rows_of(spark, "op1_url_filter", "page_id")
+    assert {r.page_id for r in got} == set(pages) and {r.verdict for r in got} <= {"allow", "block"}
+    for r in got:
+        fits = [k for k, (h, p, _) in rules.items() if (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
+        assert r.rule == max(fits, key=len, default=None) and (r.rule is None or r.verdict == rules[r.rule][2])
+        assert f"://{r.host}{r.path}" in "://" + brute.ascii_lower(pages[r.page_id].split("://", 1)[1][:len(r.host)]) + \
+            pages[r.page_id].split("://", 1)[1][len(r.host):]
+
+
+def test_line_dedup(spark):
+    """No line of letters and digits is left twice, and every dropped line is one that its text had."""
+    before, left = dict(texts(spark)), []
+    for r in rows_of(spark, "op2_line_dedup", "doc_id"):
+        lines = [] if before[r.doc_id] is None else before[r.doc_id].split("\n")
+        kept = [] if r.text is None else r.text.split("\n")
+        assert r.n_lines == len(lines) and r.n_dropped == len(lines) - (0 if kept == [""] and lines != [""] else len(kept))
+        assert r.text_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+        places = iter(lines)
+        assert all(k in places for k in kept if k)
+        left += [n for k in kept if (n := brute.LINE_GAPS.sub(" ", k.lower()).strip(" "))]
+    assert len(left) == len(set(left))
+
+
+def test_secrets(spark):
+    got = rows_of(spark, "op3_secrets", "doc_id")
+    for r, (doc, text) in zip(got, texts(spark), strict=True):
+        base = brute.base_secrets(text)
+        kinds = [s.split(":")[0] for s in base.split(",") if s]
+        assert (r.doc_id, r.n_assign, r.n_access, r.n_hex) == (doc, *(kinds.count(k) for k in ("assign", "access", "hex")))
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        spans = r.spans.split(",") if r.spans else []
+        assert set(base.split(",")) - {""} <= set(spans) and spans == sorted(spans, key=lambda s: int(s.split(":")[1]))
+
+
+def test_winnowing(spark):
+    docs = texts(spark)
+    got = rows_of(spark, "op5_winnowing", "doc_id")
+    for i, r in enumerate(got):
+        text, after = docs[i][1] or "", docs[(i + 1) % len(docs)][1] or ""
+        part = after[:len(text) // 2]
+        edited = text[:len(text) - len(text) // 2] + part
+        assert (r.doc_id, r.n_chars, r.edited_sha256) == (docs[i][0], len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 and (edited != text or r.fingerprint == r.edited_fingerprint)
+
+
+def test_token_counts(spark):
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = [tuple(r) for r in rows_of(spark, "op8_token_counts", "doc_id")]
+    assert got == [(d, len((t or "").encode()), n := len(whole.encode(t or "", add_special_tokens=False)), n > queries.TOKEN_LIMIT)
+                   for d, t in texts(spark)]
+
+
+def test_simhash(spark):
+    got = [(r.doc_id, int(r.fingerprint, 16), r.component_id) for r in rows_of(spark, "op10_simhash", "doc_id")]
+    assert got == sorted(brute.simhash_groups(texts(spark)))
