@@ -22,9 +22,12 @@ BITS, BLOCKS, SIMILAR = 2, 4, 0.8
 NARROW, MIDDLE, WIDE = 8, 64, 100
 #: What parts words: runs of ASCII characters that are neither letters nor digits.
 GAP = r"[\x00-/:-@\[-`{-\x7f]+"
-#: Bits of a hash that one sum counts, in lanes wide enough for so many words (fixed values); the highest lane must not reach the sign.
+#: Bits of a hash that one sum counts, in lanes (fixed values). A lane holds counts below a quarter of its range: one more bit takes
+#: the comparison with half of the words, and the highest lane must not reach the sign.
 LANES = {16: 0x0001000100010001, 32: 0x0000000100000001}
-LONG_LINE = (1 << 15) - 1
+LONG_LINE = (1 << 14) - 1
+#: Words whose hashes are added up bit by bit before they reach the sums.
+TOGETHER = 7
 
 
 def words_of(line: Column) -> Column:
@@ -49,32 +52,59 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return hashed.select("row", "id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
 
+def _added(a: str, b: str, c: str) -> tuple[Column, Column]:
+    """The sum of three bits, as its low and high bit, in each of 64 places."""
+    x, y, z = F.col(a), F.col(b), F.col(c)
+    return x.bitwiseXOR(y).bitwiseXOR(z), x.bitwiseAND(y).bitwiseOR(z.bitwiseAND(x.bitwiseOR(y)))
+
+
+def _bit_counts(hashed: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` and the planes ``p0``, ``p1``, ``p2``: in each place, the binary digits of how many of ``h0`` to ``h6`` have the bit."""
+    low, high = _added("h0", "h1", "h2")
+    low2, high2 = _added("h3", "h4", "h5")
+    pairs = hashed.select(*keep, "h6", low.alias("a"), high.alias("b"), low2.alias("c"), high2.alias("d"))
+    ones, twos = _added("a", "c", "h6")
+    pairs = pairs.select(*keep, "b", "d", ones.alias("p0"), twos.alias("e"))
+    twos, fours = _added("b", "d", "e")
+    return pairs.select(*keep, "p0", twos.alias("p1"), fours.alias("p2"))
+
+
 def _counted(lines: DataFrame, lane: int) -> DataFrame:
     """(id, th, pos, key, fp) of lines given with their words, by ``lane`` sums of 64 / ``lane`` bits each.
 
     Rows of one id and text are summed apart, so that repeats do not fill the lanes.
     """
-    # The line's hash is taken below the explode; beside it, it would be taken once per word. The outer form keeps Spark
+    line = ["row", "id", "th", "pos", "key"]
+    size = F.size("words")
+    # The line's hash is taken below the explode; beside it, it would be taken once per row. The outer form keeps Spark
     # from cutting every line twice, to test for words first.
-    words = (lines.select("row", "id", "th", "pos", F.xxhash64("words").alias("key"), "words")
-             .select("row", "id", "th", "pos", "key", F.explode_outer("words").alias("w")).filter("w is not null")
-             .select("row", "id", "th", "pos", "key", F.xxhash64("w").alias("h")))
-    sums = words.groupBy("row", "id", "th", "pos", "key").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(LANES[lane]))).alias(f"s{j}") for j in range(lane)])
-
-    def bit(i: int) -> Column:
-        count = F.shiftrightunsigned(f"s{i % lane}", i - i % lane).bitwiseAND(F.lit((1 << lane) - 1))
-        return F.when(count * 2 > F.col("n"), F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0).cast("bigint"))
-    return sums.select("id", "th", "pos", "key", reduce(lambda a, b: a.bitwiseOR(b), [bit(i) for i in range(64)]).alias("fp"))
+    groups = (lines.select("row", "id", "th", "pos", F.xxhash64("words").alias("key"), "words")
+              .select(*line, "words", size.alias("n"), F.explode_outer(
+                  F.when(size > 0, F.sequence(F.lit(0), size - 1, F.lit(TOGETHER)))).alias("i")).filter("i is not null"))
+    word = [F.get("words", F.col("i") + k) for k in range(TOGETHER)]
+    hashed = groups.select(*line, "n", *[F.when(w.isNull(), F.lit(0).cast("bigint")).otherwise(F.xxhash64(w)).alias(f"h{k}")
+                                         for k, w in enumerate(word)])
+    planes = _bit_counts(hashed, [*line, "n"])
+
+    def lanes(plane: str, j: int) -> Column:
+        return F.shiftrightunsigned(plane, j).bitwiseAND(F.lit(LANES[lane]))
+    sums = planes.groupBy(*line, "n").agg(*[
+        F.sum(lanes("p0", j) + F.shiftleft(lanes("p1", j), 1) + F.shiftleft(lanes("p2", j), 2)).alias(f"s{j}") for j in range(lane)])
+    # What is missing to the highest count is added to all lanes at once, so that counts above half of the words carry into the next bit.
+    missing = F.lit((1 << lane - 2) - 1) - F.shiftright("n", 1)
+
+    def above(j: int) -> Column:
+        carried = (F.col(f"s{j}") + missing * LANES[lane]).bitwiseAND(F.lit(LANES[lane] << lane - 2))
+        return F.shiftrightunsigned(carried, lane - 2 - j) if j <= lane - 2 else F.shiftleft(carried, j - lane + 2)
+    return sums.select("id", "th", "pos", "key", reduce(lambda a, b: a.bitwiseOR(b), [above(j) for j in range(lane)]).alias("fp"))
 
 
 def line_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, th, pos, key, fp) of every line that is not blank: hash of the text, position, hash of the line, SimHash.
 
-    A bit of the SimHash is set if more than half of the words have it. Sums count several bits at once, in lanes of 16
-    bits, and Spark combines them before the shuffle. Texts long enough for a line of more than ``LONG_LINE`` words are
-    counted in lanes of 32 bits.
+    A bit of the SimHash is set if more than half of the words have it. The hashes of ``TOGETHER`` words are added up first, in
+    three planes of binary digits; sums then count several bits at once, in lanes of 16 bits, and Spark combines them before
+    the shuffle. Texts long enough for a line of more than ``LONG_LINE`` words are counted in lanes of 32 bits.
     """
     def counted(frame: DataFrame, lane: int) -> DataFrame:
         lines = _lines(frame, id_col, text_col)
@@ -125,12 +155,20 @@ def _similar(a: str, b: str, least: float) -> Column:
             .when((most > WIDE) & (F.levenshtein(a, b, MIDDLE) >= 0), F.lit(True)).otherwise(full))
 
 
+def _texts_once(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, th, text), one row per id and text; only the few ids with repeated rows are grouped by their text."""
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
+    again = materialize(rows.groupBy("id", "th").count().filter("count > 1").select(F.struct("id", "th").alias("again")))
+    same = (F.col("th") == F.col("again.th")) & F.col("id").eqNullSafe(F.col("again.id"))
+    once = rows.join(again, same, "left_anti")
+    return once.unionByName(rows.join(again, same, "left_semi").groupBy("id", "th").agg(F.max("text").alias("text")))
+
+
 def _line_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key, norm) of the wanted lines, given as (key, first) with the place of one occurrence."""
+    """(key, norm) of the wanted lines, given as (key, first) with the place of one occurrence; each key once."""
     places = wanted.groupBy(F.col("first.id").alias("_id"), F.col("first.th").alias("_th")).agg(
         F.collect_list(F.struct(F.col("first.pos").alias("pos"), "key")).alias("_want"))
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
-    return (texts.join(places, (F.col("th") == F.col("_th")) & F.col("id").eqNullSafe(F.col("_id")))
+    return (_texts_once(docs, id_col, text_col).join(places, (F.col("th") == F.col("_th")) & F.col("id").eqNullSafe(F.col("_id")))
             .select(F.split("text", "\n").alias("lines"), F.explode("_want").alias("w"))
             .select("w.key", normalised(F.get("lines", F.col("w.pos"))).alias("norm")))
 
@@ -143,8 +181,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                                                   F.count(F.lit(1)).alias("n")))
     shared = materialize(shared_blocks(lines, bits, blocks))
     ends = shared.select("key").distinct()
-    texts = materialize(_line_texts(docs, lines.select("key", "first").join(ends, "key"), id_col, text_col)
-                        .groupBy("key").agg(F.max("norm").alias("norm")))
+    texts = materialize(_line_texts(docs, lines.select("key", "first").join(ends, "key"), id_col, text_col))
     # Comparing costs far more than its bytes tell, so the pairs are dealt over all tasks.
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

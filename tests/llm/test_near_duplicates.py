@@ -111,3 +111,23 @@ def test_repeated_rows_do_not_fill_the_lanes(spark):
     found = line_dedup.line_hashes(docs, "doc_id", "text").select(F.hex("fp")).distinct().collect()
     import xxhash
     assert [int(r[0], 16) for r in found] == [brute.majority([xxhash.xxh64_intdigest(w.encode(), 42) for w in words])]
+
+
+def test_hashes_of_every_number_of_words(docs_of):
+    """Words are added up in groups of seven and compared with half of the words by carries: every remainder, and the widths of the lanes."""
+    rng = random.Random(5)
+    rows = [(n, " ".join(f"v{rng.randrange(50)}" for _ in range(n))) for n in [*range(1, 40), 16_382, 16_383, 16_384, 33_000]]
+    got = {r.id: int(r[1], 16) for r in line_dedup.line_hashes(docs_of(rows), "doc_id", "text").select("id", F.hex("fp")).collect()}
+    assert got == {i: brute.majority([brute.xxhash.xxh64_intdigest(w.encode(), 42) for w in text.split()]) for i, text in rows}
+
+
+def test_lines_of_repeated_rows(docs_of):
+    """A row that comes many times gives each of its lines once to the comparison, and all its rows change alike."""
+    base = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen"
+    rows = [(1, base)] * 30 + [(2, base + "\nother")] * 30 + [(3, base.replace("nine", "nime"))] * 30 + [(None, "other")] * 5
+    want = dict(brute.dedup_lines(list(dict.fromkeys(rows))))
+    texts = line_dedup._line_texts(docs_of(rows), line_dedup.line_hashes(docs_of(rows), "doc_id", "text").groupBy("key").agg(
+        F.min(F.struct("id", "pos", "th")).alias("first")), "doc_id", "text").collect()
+    assert len(texts) == len({r.key for r in texts}) == 3
+    found = line_dedup.dedup_lines(docs_of(rows)).collect()
+    assert len(found) == len(rows) and all(r.text == want[r.doc_id] for r in found)
