@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(app: str = "cabledger", cores: int | str = "*", **conf: str) -> SparkSession:
     """A session for tests and the benchmark. On a cluster, pass your own session instead."""
@@ -53,7 +55,17 @@ def materialize(df: DataFrame) -> DataFrame:
 
     Written to the shared folder as Parquet rather than checkpointed as rows: readers take only the columns
     they need, and the optimizer knows the size, so a small one is broadcast and a large one is not.
+    The shuffle files of the write go when it ends; otherwise they stay until the driver's next garbage collection.
     """
-    path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEAN_SHUFFLES, None)
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_SHUFFLES)
+        else:
+            spark.conf.set(CLEAN_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
