@@ -115,12 +115,15 @@ def line_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def shared_blocks(lines: DataFrame, bits: int = BITS, blocks: int = BLOCKS) -> DataFrame:
     """(key, fp, t, v, head, head_fp): lines by choice of blocks ``t`` and their value ``v``, where several share them, with
-    the least line of those."""
+    the least line of those. Two lines alone in a block are left out if they differ in more than ``bits`` bits."""
     cut = lines.select("key", "fp", F.posexplode(F.array(
         *[F.col("fp").bitwiseAND(F.lit(m)) for m in _block_masks(bits, blocks)])).alias("t", "v"))
     together = Window.partitionBy("t", "v")
-    found = cut.withColumn("n", F.count(F.lit(1)).over(together)).withColumn("first", F.min(F.struct("key", "fp")).over(together))
-    return found.filter("n > 1").select("key", "fp", "t", "v", F.col("first.key").alias("head"), F.col("first.fp").alias("head_fp"))
+    found = (cut.withColumn("n", F.count(F.lit(1)).over(together)).withColumn("first", F.min(F.struct("key", "fp")).over(together))
+             .withColumn("last", F.max(F.struct("key", "fp")).over(together)))
+    near = F.bit_count(F.col("first.fp").bitwiseXOR(F.col("last.fp"))) <= bits
+    return found.filter((F.col("n") > 2) | ((F.col("n") == 2) & near)).select(
+        "key", "fp", "t", "v", F.col("first.key").alias("head"), F.col("first.fp").alias("head_fp"))
 
 
 def head_pairs(shared: DataFrame, bits: int = BITS) -> DataFrame:
