@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -28,6 +28,9 @@ c = F.col
 Table = Callable[[], DataFrame]
 #: How late an event may be, and how long a finished ride is remembered.
 DELAY, KEEP = "1 hour", "1 hour"
+#: Groups that the keys of a stream are dealt to. A bucket's waiting rows are handled in one go, so raise it with the rows that wait
+#: (some thousands a bucket are fine). As with the shuffle partitions, a checkpoint keeps the number it began with.
+BUCKETS = 4096
 
 
 def _timed(stream: DataFrame, time: str, delay: str) -> DataFrame:
@@ -35,8 +38,13 @@ def _timed(stream: DataFrame, time: str, delay: str) -> DataFrame:
     return stream.withColumn("_time", c(time).cast("timestamp")).withWatermark("_time", delay).withColumn("at", F.unix_micros("_time")).drop("_time")
 
 
+def _bucket(key: str, buckets: int) -> Column:
+    """The group of a key; rows without one have their own."""
+    return F.when(c(key).isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).alias("bucket")
+
+
 def stream_rate_fares(trips: DataFrame, rides: Table, fare_rules: Table, checkpoint: str, out: str, once: bool = False,
-                      delay: str = DELAY, keep: str = KEEP) -> StreamingQuery:
+                      delay: str = DELAY, keep: str = KEEP, buckets: int = BUCKETS) -> StreamingQuery:
     """Rate finished trips (trip_id, submitted_at, ride_id, distance and duration as text), each ride once.
 
     The first good form of a ride by submitted_at, then trip_id, counts. Forms are judged when the watermark has passed them
@@ -48,10 +56,10 @@ def stream_rate_fares(trips: DataFrame, rides: Table, fare_rules: Table, checkpo
     sent = trips.select(FORM_FIELDS)
     payload = F.to_json(F.struct(FORM_FIELDS))
     checked = check_trip_completion(_timed(sent.filter(c("submitted_at").isNotNull()), "submitted_at", delay))
-    rows = checked.select("ride_id", form_key(sent, ["trip_id"]).alias("form"), "at",
+    rows = checked.select(_bucket("ride_id", buckets), c("ride_id").alias("key"), form_key(sent, ["trip_id"]).alias("form"), "at",
                           F.coalesce("trip_id", F.lit(-(1 << 63))).alias("tie"), F.coalesce("first_error", F.lit("")).alias("error"),
                           payload.alias("payload"))
-    judged = rows.groupBy("ride_id").transformWithStateInPandas(
+    judged = rows.groupBy("bucket").transformWithStateInPandas(
         FirstForms(_millis(trips.sparkSession, keep)), outputStructType=FirstForms.schema, outputMode="Append", timeMode="EventTime")
     fields = StructType([trips.schema[n] for n in FORM_FIELDS])
 
@@ -91,7 +99,7 @@ def stream_ledger(written: DataFrame) -> DataFrame:
 
 
 def stream_driver_ratings(ratings: DataFrame, checkpoint: str, out: str, once: bool = False,
-                          start_from: DataFrame | None = None, delay: str = DELAY) -> StreamingQuery:
+                          start_from: DataFrame | None = None, delay: str = DELAY, buckets: int = BUCKETS) -> StreamingQuery:
     """Running rating of every rated user (``total``), and an ``alert`` for every rating that takes it below the limit.
 
     Ratings (rating_id, rated_user_id, score, rated_at) count by rated_at, then rating_id, when the watermark has passed them; a
@@ -100,12 +108,12 @@ def stream_driver_ratings(ratings: DataFrame, checkpoint: str, out: str, once: b
     """
     sound = c("rated_user_id").isNull() | (c("rating_id").isNotNull() & c("score").isNotNull())
     timed = _timed(ratings.select("rating_id", "rated_user_id", "score", "rated_at").filter(c("rated_at").isNotNull() & sound), "rated_at", delay)
-    rows = timed.select("rated_user_id", c("rating_id").cast("string").alias("form"), "at", c("rating_id").alias("tie"),
+    rows = timed.select(_bucket("rated_user_id", buckets), c("rated_user_id").alias("key"), c("rating_id").cast("string").alias("form"), "at", c("rating_id").alias("tie"),
                         F.lit("").alias("error"), c("score").cast("string").alias("payload")).fillna({"tie": 0, "form": ""})
-    first = None if start_from is None else start_from.select(
-        c("rated_user_id").cast("bigint").alias("rated_user_id"), c("score_sum").cast("bigint").alias("score_sum"),
-        c("n").cast("bigint").alias("n")).groupBy("rated_user_id")
-    told = rows.groupBy("rated_user_id").transformWithStateInPandas(
+    first = None if start_from is None else start_from.select(c("rated_user_id").cast("bigint").alias("key"), "score_sum", "n").filter(
+        c("key").isNotNull()).groupBy("key").agg(F.sum("score_sum").cast("bigint").alias("score_sum"), F.sum("n").cast("bigint").alias("n")).select(
+        _bucket("key", buckets), "key", "score_sum", "n").groupBy("bucket")
+    told = rows.groupBy("bucket").transformWithStateInPandas(
         Ratings(int(LOWEST_GOOD * 100)), outputStructType=Ratings.schema, outputMode="Append", timeMode="EventTime", initialState=first)
 
     def each(batch: DataFrame, batch_id: int) -> DataFrame:

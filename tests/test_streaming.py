@@ -186,3 +186,94 @@ def test_state_does_not_grow_with_the_stream(feed, frame):
     rows = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
     # A waiting form has four rows (form, timer, two indexes of it), a finished ride as many; only some two lots are held.
     assert max(rows) <= 3 * 50 * 5 and max(rows[4:]) <= max(rows[:4]) * 1.5
+
+
+class Calls:
+    """State of one bucket in memory, with the number of calls on it."""
+
+    def __init__(self):
+        self.rows, self.value, self.timers, self.n = [], None, [], 0
+
+    def getListState(self, name, schema):
+        return List(self)
+
+    def getValueState(self, name, schema):
+        return Value(self)
+
+    def registerTimer(self, ms):
+        self.n += 1
+        self.timers.append(ms)
+
+    def deleteTimer(self, ms):
+        self.n += 1
+        self.timers.remove(ms)
+
+
+class List:
+    def __init__(self, calls):
+        self.calls, self.rows = calls, []
+
+    def get(self):
+        self.calls.n += 1
+        return iter(list(self.rows))
+
+    def put(self, rows):
+        self.calls.n += 1
+        self.rows = list(rows)
+
+    def appendList(self, rows):
+        self.calls.n += 1
+        self.rows += rows
+
+    def clear(self):
+        self.put([])
+
+
+class Value:
+    def __init__(self, calls):
+        self.calls, self.value = calls, None
+
+    def get(self):
+        self.calls.n += 1
+        return self.value
+
+    def update(self, value):
+        self.calls.n += 1
+        self.value = value
+
+    def clear(self):
+        self.update(None)
+
+
+class Watermark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_a_bucket_of_rides_takes_few_state_calls():
+    import pandas as pd
+
+    from cabledger.streaming.state import ROW, FirstForms
+    state, forms = Calls(), FirstForms(keep_ms=60)
+    forms.init(state)
+
+    def sent(rows, watermark):
+        frame = pd.DataFrame([(ride, f"#{n}", ms * 1000, n, "", "{}") for n, ride, ms in rows], columns=ROW)
+        return [tuple(r) for out in forms.handleInputRows((0,), iter([frame]), Watermark(watermark)) for r in out.itertuples(index=False)]
+
+    def passed(watermark):
+        assert state.timers.pop() < watermark and not state.timers
+        return [tuple(r) for out in forms.handleExpiredTimer((0,), Watermark(watermark), None) for r in out.itertuples(index=False)]
+
+    assert sent([(i, i % 1000, 100 + i % 2) for i in range(1000)] * 2 + [(5000, 7, 102)], 0) == []
+    out = passed(100)    # a row at the watermark is ripe
+    assert len(out) == 500 and {r[:3] for r in out} == {(i, "rated", f"#{i}") for i in range(0, 1000, 2)}
+    out = passed(102)
+    assert len(out) == 501 and (7, "rejected", "#5000", "repeated_form", "{}") in out
+    assert sent([(6000, 8, 102), (6001, 8, 103), (6001, 8, 104), (6002, 9, 170)], 102) == [(8, "late", "#6000", None, "{}")]
+    assert passed(103) == [(8, "rejected", "#6001", "repeated_form", "{}")]
+    assert passed(161) == [] and passed(170) == [(9, "rated", "#6002", None, "{}")]    # ride 9 was forgotten at 161
+    assert state.n < 70
