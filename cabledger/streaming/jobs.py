@@ -21,8 +21,8 @@ from cabledger.operators.pick import last_per_key
 from cabledger.plans.fares import rate_fares, split_commission
 from cabledger.plans.feedback import LOWEST_GOOD
 from cabledger.session import materialize
-from cabledger.streaming.sinks import start
-from cabledger.streaming.state import Closures, FirstForms, Ratings
+from cabledger.streaming.sinks import keep_once, start
+from cabledger.streaming.state import FirstForms, Ratings
 
 c = F.col
 Table = Callable[[], DataFrame]
@@ -144,13 +144,22 @@ def stream_ride_closures(events: DataFrame, rides: Table, ride_history: DataFram
 
     ``events`` holds event_id, ride_id, kind ('paid' or 'cancelled') and happened_at. The first closure of
     a ride counts, within a batch and over all of them; a paid event of a cancelled ride archives nothing. Rides that
-    ``ride_history`` holds when the stream first starts are known from the state. ``rides`` is read anew for every batch.
+    ``ride_history`` holds when the stream first starts are known from the state: their ids are kept beside the checkpoint and
+    read with the first batch. The state holds the first event of either kind with its batch time, which the checkpoint keeps;
+    what this batch brought has the batch's own. ``rides`` is read anew for every batch.
     """
+    spark = events.sparkSession
+    known = keep_once(ride_history.select("ride_id").filter(c("ride_id").isNotNull()), f"{checkpoint}-known")
     rows = events.filter(c("ride_id").isNotNull() & c("kind").isin("paid", "cancelled")).select(
-        "ride_id", "event_id", "kind", F.unix_micros(c("happened_at").cast("timestamp")).alias("at"))
-    known = ride_history.select("ride_id").filter(c("ride_id").isNotNull()).groupBy("ride_id")
-    first = rows.groupBy("ride_id").transformWithStateInPandas(
-        Closures(), outputStructType=Closures.schema, outputMode="Append", timeMode="None", initialState=known)
+        "ride_id", "kind", F.struct(F.unix_micros(c("happened_at").cast("timestamp")).alias("at"), "event_id").alias("order"))
+    before = spark.readStream.schema(known.schema).parquet(f"{checkpoint}-known").select(
+        "ride_id", F.lit("known").alias("kind"), F.lit(None).cast(rows.schema["order"].dataType).alias("order"))
+    came = rows.unionByName(before).withColumn("came", F.struct(F.current_timestamp().alias("batch"), "order"))
+    first = came.groupBy("ride_id").agg(*(F.min(F.when(c("kind") == kind, c("came"))).alias(kind) for kind in ("paid", "cancelled", "known")))
+    fresh = first.filter("known is null").select("ride_id", F.explode(F.array(*(F.struct(
+        F.lit(kind).alias("kind"), F.col(kind)["batch"].alias("batch"), earlier.alias("place")) for kind, earlier in (
+            ("paid", F.when(c("cancelled") <= c("paid"), 2).otherwise(1)), ("cancelled", F.when(c("paid") < c("cancelled"), 2).otherwise(1)))))).alias("event"))
+    fresh = fresh.select("ride_id", "event.*").filter(c("batch") == F.current_timestamp())
 
     def each(batch: DataFrame, batch_id: int) -> DataFrame:
         batch = materialize(batch)
@@ -161,7 +170,7 @@ def stream_ride_closures(events: DataFrame, rides: Table, ride_history: DataFram
         return batch.join(near, "ride_id").filter(counts).select(
             "ride_id", F.when(c("kind") == "paid", "completed").otherwise("cancelled").alias("outcome"),
             F.coalesce("fare", F.lit(0)).cast("decimal(10,2)").alias("final_fare"), moment(as_of).alias("archived_at"))
-    return start(first, each, checkpoint, out, once=once)
+    return start(fresh, each, checkpoint, out, mode="update", once=once)
 
 
 def stream_trip_counts(changes: DataFrame, checkpoint: str, out: str, once: bool = False,

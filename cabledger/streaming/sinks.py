@@ -12,6 +12,15 @@ def batch_folder(out: str, batch_id: int) -> str:
     return f"{out}/batch_id={batch_id}"
 
 
+def keep_once(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` to ``path`` if that was not done to its end before."""
+    spark = df.sparkSession
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        df.write.mode("overwrite").parquet(path)
+    return df
+
+
 def start(stream: DataFrame, each: Callable[[DataFrame, int], DataFrame], checkpoint: str, out: str,
           mode: str = "append", once: bool = False) -> StreamingQuery:
     """Write ``each(batch, batch_id)`` of every micro-batch to its own folder under ``out``.

@@ -179,32 +179,3 @@ class Ratings(InOrder):
             self.total.updateValue((user,), (score_sum, n))
             out.append((user, "total", rating_id, int(payload), at, score_sum, n, mean))
         return out, None
-
-
-class Closures(StatefulProcessor):
-    """The first paid and the first cancelled event of a ride that was not archived before, numbered as they came."""
-
-    columns = ["ride_id", "event_id", "kind", "place"]
-    schema = "ride_id long, event_id long, kind string, place int"
-
-    def init(self, handle) -> None:
-        self.seen = handle.getValueState("seen", "kinds string")
-
-    def handleInitialState(self, key, initialState, timerValues) -> None:
-        self.seen.update(("paid,cancelled",))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = self.seen.get()
-        kinds = known[0].split(",") if known else []
-        events = sorted((int(at), int(e), kind) for frame in rows for at, e, kind in zip(frame["at"], frame["event_id"], frame["kind"]))
-        out = []
-        for _, event_id, kind in events:
-            if kind not in kinds:
-                kinds.append(kind)
-                out.append((key[0], event_id, kind, len(kinds)))
-        if out:
-            self.seen.update((",".join(kinds),))
-            yield pd.DataFrame(out, columns=self.columns).astype({"place": "int32"})
-
-    def close(self) -> None:
-        pass

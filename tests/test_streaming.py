@@ -277,3 +277,16 @@ def test_a_bucket_of_rides_takes_few_state_calls():
     assert passed(103) == [(8, "rejected", "#6001", "repeated_form", "{}")]
     assert passed(161) == [] and passed(170) == [(9, "rated", "#6002", None, "{}")]    # ride 9 was forgotten at 161
     assert state.n < 70
+
+
+def test_closures_keep_their_state_without_a_group_per_ride(feed, frame):
+    """The state is an aggregate of the engine; it also tells the order of two kinds within a batch, and rides of the history."""
+    rides = frame([dict(ride_id=i, status="completed", fare=D(i)) for i in range(1, 5)], "rides")
+    history = frame([dict(ride_id=3, outcome="completed", final_fare=D(3))], "ride_history")
+    day = dt.timedelta(1)
+    feed.add([(1, 1, "paid", T0), (2, 1, "cancelled", T0 - day), (3, 2, "cancelled", T0), (4, 2, "paid", T0 - day)], EVENT)
+    feed.add([(5, 3, "cancelled", T0), (6, 4, "paid", T0), (7, 4, "cancelled", T0), (8, None, "paid", T0), (9, 1, "lost", T0)], EVENT)
+    query = jobs.stream_ride_closures(feed.stream(), lambda: rides, history, feed.checkpoint, feed.out, "2000-01-02 00:00:00", once=True)
+    found = feed.run(query).select("ride_id", "outcome").collect()
+    assert sorted(tuple(r) for r in found) == [(1, "cancelled"), (2, "completed"), (4, "completed")]
+    assert {o["operatorName"] for p in query.recentProgress for o in p["stateOperators"]} == {"stateStoreSave"}
