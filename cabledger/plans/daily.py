@@ -46,7 +46,7 @@ def refresh(spark: SparkSession, root: str, t: Mapping[str, DataFrame], days: Da
     near = t["payments"].filter((c("transaction_date") >= F.lit(first).cast("timestamp_ntz"))
                                 & (c("transaction_date") < F.date_add(F.lit(last), 1).cast("timestamp_ntz")))
     touched = near.join(F.broadcast(days), near.transaction_date.cast("date") == days.day, "left_semi")
-    fresh = daily_sums({**t, "payments": touched}).withColumn("month", F.date_format("day", "yyyy-MM"))
+    fresh = daily_sums({"payments": touched, "rides": t["rides"], "locations": t["locations"]}).withColumn("month", F.date_format("day", "yyyy-MM"))
     kept = load(spark, root).filter(c("month").isin(asked)).join(F.broadcast(days), "day", "left_anti")
     new = materialize(kept.select(*fresh.columns).unionByName(fresh))
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(root)

@@ -122,3 +122,26 @@ def test_a_delete_needs_every_linked_table(frame):
     del t["admin_notifications"]
     with pytest.raises(KeyError, match="admin_notifications"):
         constraints.propagate_delete(t, "users", keys)
+
+
+def test_daily_sums_ask_for_no_other_table(spark, frame, tmp_path):
+    """Tables may be derived when first asked for, so the correction of a day must not ask for all of them."""
+    from collections.abc import Mapping
+
+    class Lazy(Mapping):
+        def __getitem__(self, name):
+            made = {"rides": lambda: frame([dict(ride_id=1, pickup_location_id=1)], "rides"),
+                    "locations": lambda: frame([dict(location_id=1, city="A")], "locations"),
+                    "payments": lambda: frame([dict(payment_id=1, ride_id=1, amount=D(3), pay_method="card", pay_status="paid",
+                                                    transaction_date=dt.datetime(2000, 1, 1))], "payments")}
+            assert name in made, f"{name} is not needed"
+            return made[name]()
+
+        def __iter__(self):
+            return iter([*schema.COLUMNS])
+
+        def __len__(self):
+            return len(schema.COLUMNS)
+    daily.refresh(spark, str(tmp_path), Lazy())
+    daily.refresh(spark, str(tmp_path), Lazy(), spark.createDataFrame([("2000-01-01",)], "day STRING"))
+    assert [tuple(r) for r in daily.by_method(daily.load(spark, str(tmp_path))).collect()] == [("card", D("3.00"), 1)]
