@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cabledger.llm import (decontaminate, line_dedup, main_text, mixing, quality, secrets, simhash, sql, token_alignment, token_counts,
                            toxicity, url_filter, whitening, winnowing)
@@ -31,8 +31,9 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
-    each = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{name}")
-            for k, name in enumerate(secrets.KINDS[:3])]
+    def count(k: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint")  # a second parameter would be the position
+    each = [count(k).alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
     return found.select(F.col("id").alias("doc_id"), *each, F.sha2(secrets.span_text(F.col("base")), 256).alias("base_sha256"),
                         secrets.span_text(F.col("spans")).alias("spans"))
 
