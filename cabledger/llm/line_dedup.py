@@ -8,26 +8,27 @@ of lines one occurrence stays in all texts: the first by document id, then posit
 
 from __future__ import annotations
 
+from collections import defaultdict
 from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cabledger.llm.components import components
+from cabledger.llm.text_keys import let
 from cabledger.session import materialize
 
 BITS, BLOCKS, SIMILAR = 2, 4, 0.8
-#: Edit distances tried with a narrow band before the full one, which costs length times distance; the second
-#: only where the full one is wider than WIDE.
-NARROW, MIDDLE, WIDE = 8, 64, 100
+#: An edit distance tried with a narrow band before the full one, which costs length times distance, where that is wider than WIDE.
+MIDDLE, WIDE = 64, 100
 #: What parts words: runs of ASCII characters that are neither letters nor digits.
 GAP = r"[\x00-/:-@\[-`{-\x7f]+"
 #: Bits of a hash that one sum counts, in lanes (fixed values). A lane holds counts below a quarter of its range: one more bit takes
 #: the comparison with half of the words, and the highest lane must not reach the sign.
 LANES = {16: 0x0001000100010001, 32: 0x0000000100000001}
 LONG_LINE = (1 << 14) - 1
-#: Words whose hashes are added up bit by bit before they reach the sums.
-TOGETHER = 7
+#: Words whose hashes are added up bit by bit before they reach the sums: as many as four binary digits count.
+TOGETHER = 15
 
 
 def words_of(line: Column) -> Column:
@@ -59,14 +60,27 @@ def _added(a: str, b: str, c: str) -> tuple[Column, Column]:
 
 
 def _bit_counts(hashed: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` and the planes ``p0``, ``p1``, ``p2``: in each place, the binary digits of how many of ``h0`` to ``h6`` have the bit."""
-    low, high = _added("h0", "h1", "h2")
-    low2, high2 = _added("h3", "h4", "h5")
-    pairs = hashed.select(*keep, "h6", low.alias("a"), high.alias("b"), low2.alias("c"), high2.alias("d"))
-    ones, twos = _added("a", "c", "h6")
-    pairs = pairs.select(*keep, "b", "d", ones.alias("p0"), twos.alias("e"))
-    twos, fours = _added("b", "d", "e")
-    return pairs.select(*keep, "p0", twos.alias("p1"), fours.alias("p2"))
+    """``keep`` and the planes ``p0`` to ``p3``: in each place, the binary digits of how many of ``h0`` to ``h14`` have the bit."""
+    planes, step = {0: [f"h{k}" for k in range(TOGETHER)]}, 0
+    while any(len(same) > 1 for same in planes.values()):
+        after, new = defaultdict(list), []
+        for digit, same in planes.items():
+            whole = len(same) // 3 * 3
+            after[digit] += same[whole:]
+            for i in range(0, whole, 3):
+                for at, bit in zip((digit, digit + 1), _added(*same[i:i + 3])):
+                    after[at].append(f"_{step}_{digit}_{i}_{at}")
+                    new.append(bit.alias(after[at][-1]))
+        kept = [c for digit, same in planes.items() for c in same[len(same) // 3 * 3:]]
+        hashed, planes, step = hashed.select(*keep, *kept, *new), after, step + 1
+    return hashed.select(*keep, *[F.col(c).alias(f"p{digit}") for digit, (c,) in sorted(planes.items())])
+
+
+def _nibbles(planes: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` and ``c0`` to ``c3``: the counts of the planes as four bits beside each other, those of every fourth place in one number."""
+    def digit(k: int, r: int) -> Column:
+        return F.shiftleft(F.shiftrightunsigned(f"p{k}", r).bitwiseAND(F.lit(0x1111111111111111)), k)
+    return planes.select(*keep, *[reduce(lambda a, b: a.bitwiseOR(b), [digit(k, r) for k in range(4)]).alias(f"c{r}") for r in range(4)])
 
 
 def _counted(lines: DataFrame, lane: int) -> DataFrame:
@@ -84,12 +98,11 @@ def _counted(lines: DataFrame, lane: int) -> DataFrame:
     word = [F.get("words", F.col("i") + k) for k in range(TOGETHER)]
     hashed = groups.select(*line, "n", *[F.when(w.isNull(), F.lit(0).cast("bigint")).otherwise(F.xxhash64(w)).alias(f"h{k}")
                                          for k, w in enumerate(word)])
-    planes = _bit_counts(hashed, [*line, "n"])
+    counts = _nibbles(_bit_counts(hashed, [*line, "n"]), [*line, "n"])
 
-    def lanes(plane: str, j: int) -> Column:
-        return F.shiftrightunsigned(plane, j).bitwiseAND(F.lit(LANES[lane]))
-    sums = planes.groupBy(*line, "n").agg(*[
-        F.sum(lanes("p0", j) + F.shiftleft(lanes("p1", j), 1) + F.shiftleft(lanes("p2", j), 2)).alias(f"s{j}") for j in range(lane)])
+    def lanes(j: int) -> Column:
+        return F.shiftrightunsigned(f"c{j % 4}", j - j % 4).bitwiseAND(F.lit(LANES[lane] * 15))
+    sums = counts.groupBy(*line, "n").agg(*[F.sum(lanes(j)).alias(f"s{j}") for j in range(lane)])
     # What is missing to the highest count is added to all lanes at once, so that counts above half of the words carry into the next bit.
     missing = F.lit((1 << lane - 2) - 1) - F.shiftright("n", 1)
 
@@ -103,27 +116,30 @@ def line_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, th, pos, key, fp) of every line that is not blank: hash of the text, position, hash of the line, SimHash.
 
     A bit of the SimHash is set if more than half of the words have it. The hashes of ``TOGETHER`` words are added up first, in
-    three planes of binary digits; sums then count several bits at once, in lanes of 16 bits, and Spark combines them before
-    the shuffle. Texts long enough for a line of more than ``LONG_LINE`` words are counted in lanes of 32 bits.
+    four planes of binary digits; sums then count several bits at once, in lanes of 16 bits, and Spark combines them before
+    the shuffle. Texts with a line long enough for more than ``LONG_LINE`` words are counted in lanes of 32 bits.
     """
     def counted(frame: DataFrame, lane: int) -> DataFrame:
         lines = _lines(frame, id_col, text_col)
         return _counted(lines.select("row", "id", "th", "pos", words_of(F.col("line")).alias("words")), lane)
-    may_overflow = F.length(text_col) > 2 * LONG_LINE
+    long = 2 * LONG_LINE
+    may_overflow = (F.length(text_col) > long) & F.col(text_col).rlike(f"(^|\n)[^\n]{{{long}}}")
     return counted(docs.filter(~may_overflow), 16).unionByName(counted(docs.filter(may_overflow), 32))
 
 
 def shared_blocks(lines: DataFrame, bits: int = BITS, blocks: int = BLOCKS) -> DataFrame:
     """(key, fp, t, v, head, head_fp): lines by choice of blocks ``t`` and their value ``v``, where several share them, with
     the least line of those. Two lines alone in a block are left out if they differ in more than ``bits`` bits."""
-    cut = lines.select("key", "fp", F.posexplode(F.array(
-        *[F.col("fp").bitwiseAND(F.lit(m)) for m in _block_masks(bits, blocks)])).alias("t", "v"))
-    together = Window.partitionBy("t", "v")
-    found = (cut.withColumn("n", F.count(F.lit(1)).over(together)).withColumn("first", F.min(F.struct("key", "fp")).over(together))
-             .withColumn("last", F.max(F.struct("key", "fp")).over(together)))
-    near = F.bit_count(F.col("first.fp").bitwiseXOR(F.col("last.fp"))) <= bits
-    return found.filter((F.col("n") > 2) | ((F.col("n") == 2) & near)).select(
-        "key", "fp", "t", "v", F.col("first.key").alias("head"), F.col("first.fp").alias("head_fp"))
+    masks = F.array(*[F.lit(m) for m in _block_masks(bits, blocks)])
+    # One number stands for choice and value, as Spark sorts by one number far faster than by two. Should two blocks share it, they
+    # are only kept together; pairs are of one block all the same.
+    cut = lines.select("key", "fp", F.posexplode(masks).alias("t", "mask")).select(
+        "key", "fp", "t", F.xxhash64("t", F.col("fp").bitwiseAND(F.col("mask"))).alias("block"))
+    together = Window.partitionBy("block")
+    found = cut.withColumns({"n": F.count(F.lit(1)).over(together), "changed": F.bit_xor("fp").over(together)}).filter(
+        (F.col("n") > 2) | ((F.col("n") == 2) & (F.bit_count("changed") <= bits)))
+    return found.withColumn("first", F.min(F.struct("key", "fp")).over(together)).select(
+        "key", "fp", "t", F.col("fp").bitwiseAND(F.get(masks, "t")).alias("v"), F.col("first.key").alias("head"), F.col("first.fp").alias("head_fp"))
 
 
 def head_pairs(shared: DataFrame, bits: int = BITS) -> DataFrame:
@@ -144,18 +160,45 @@ def cross_pairs(shared: DataFrame, bits: int = BITS, blocks: int = BLOCKS) -> Da
             .select(F.col("keya").alias("a"), F.col("keyb").alias("b")))
 
 
+def _equal_words(a: Column, b: Column) -> Column:
+    """How many words two lists begin with alike."""
+    at = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), F.lit(False))
+    return F.when(at == 0, F.size(a)).otherwise(at - 1).cast("int")
+
+
+def _unlike(a: Column, b: Column) -> Column:
+    """(a, b): two lists of words from the first word that differs to the last, a blank behind each; as far apart as the whole."""
+    def part(words: Column, front: Column, back: Column) -> Column:
+        size = F.size(words) - front - back
+        return F.when(size == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(words, front + 1, size), " "), F.lit(" ")))
+
+    def of(front: Column) -> Column:
+        most = F.least(F.size(a), F.size(b)) - front
+        return let(F.least(_equal_words(F.reverse(a), F.reverse(b)), most),
+                   lambda back: F.struct(part(a, front, back).alias("a"), part(b, front, back).alias("b")))
+    return let(_equal_words(a, b), of)
+
+
 def _similar(a: str, b: str, least: float) -> Column:
     """Whether 1 - edit distance / longer length is at least ``least``."""
     most = F.floor(F.greatest(F.length(a), F.length(b)) * (1 - least) + 1e-9).cast("int")
-    full = F.expr(f"levenshtein({a}, {b}, cast(floor(greatest(length({a}), length({b})) * {1 - least:.6f} + 1e-9) as int)) >= 0")
-    # Words that differ at the same place, in lines of as many words, bound the distance from above.
-    changed = F.zip_with(F.split(a, " "), F.split(b, " "), lambda x, y: F.when(x == y, 0).otherwise(F.greatest(F.length(x), F.length(y))))
-    same_size = F.length(a) - F.length(F.replace(a, F.lit(" "), F.lit(""))) == F.length(b) - F.length(F.replace(b, F.lit(" "), F.lit("")))
-    bound = F.aggregate(changed, F.lit(0), lambda total, x: total + x)
-    return (F.when(F.abs(F.length(a) - F.length(b)) > most, F.lit(False))
-            .when(same_size & (bound <= most), F.lit(True))
-            .when((most >= NARROW) & (F.levenshtein(a, b, NARROW) >= 0), F.lit(True))
-            .when((most > WIDE) & (F.levenshtein(a, b, MIDDLE) >= 0), F.lit(True)).otherwise(full))
+
+    def near(x: Column, y: Column) -> Column:
+        # Words that differ at the same place, in lines of as many words, bound the distance from above.
+        changed = F.zip_with(F.split(x, " "), F.split(y, " "), lambda p, q: F.when(p == q, 0).otherwise(F.greatest(F.length(p), F.length(q))))
+        same_size = F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) == F.length(y) - F.length(F.replace(y, F.lit(" "), F.lit("")))
+        bound = F.aggregate(changed, F.lit(0), lambda total, c: total + c)
+        # Beginnings of equal length are at most as far apart as the whole and the difference in length together.
+        allowed = most + F.abs(F.length(x) - F.length(y))
+        short = allowed * 2
+        apart = (short * 4 <= F.least(F.length(x), F.length(y)) * 3) & (
+            F.call_function("levenshtein", F.left(x, short), F.left(y, short), allowed) < 0)
+        return (F.when(F.greatest(F.length(x), F.length(y)) <= most, F.lit(True)).when(same_size & (bound <= most), F.lit(True))
+                .when(apart, F.lit(False)).when((most > WIDE) & (F.levenshtein(x, y, MIDDLE) >= 0), F.lit(True))
+                .otherwise(F.call_function("levenshtein", x, y, most) >= 0))
+    words = F.struct(F.split(a, " ").alias("a"), F.split(b, " ").alias("b"))
+    return F.when(F.abs(F.length(a) - F.length(b)) > most, F.lit(False)).otherwise(
+        let(words, lambda w: let(_unlike(w["a"], w["b"]), lambda m: near(m["a"], m["b"]))))
 
 
 def _texts_once(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -172,7 +215,7 @@ def _line_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
     places = wanted.groupBy(F.col("first.id").alias("_id"), F.col("first.th").alias("_th")).agg(
         F.collect_list(F.struct(F.col("first.pos").alias("pos"), "key")).alias("_want"))
     return (_texts_once(docs, id_col, text_col).join(places, (F.col("th") == F.col("_th")) & F.col("id").eqNullSafe(F.col("_id")))
-            .select(F.split("text", "\n").alias("lines"), F.explode("_want").alias("w"))
+            .select(F.split("text", "\n").alias("lines"), "_want").select("lines", F.explode("_want").alias("w"))
             .select("w.key", normalised(F.get("lines", F.col("w.pos"))).alias("norm")))
 
 
@@ -194,22 +237,25 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 .repartition(tasks).filter(_similar("na", "nb", similar)).select("a", "b"))
 
     def grouped(base: DataFrame, column: str, found: DataFrame) -> DataFrame:
-        """``base`` with ``group``: the root of ``column``, or the column itself where it has no link."""
-        return base.join(found, base[column] == found.node, "left").withColumn("_g", F.coalesce("root", column)).drop(
-            "node", "root", "group").withColumnRenamed("_g", "group")
+        """``base`` with ``group``: the root of ``column``, or the column itself where it has no link; ``linked`` stays or becomes true with one."""
+        linked = F.col("node").isNotNull() | (F.col("linked") if "linked" in base.columns else F.lit(False))
+        return base.join(found, base[column] == found.node, "left").withColumns(
+            {"_g": F.coalesce("root", column), "_l": linked}).drop("node", "root", "group", "linked").withColumnsRenamed({"_g": "group", "_l": "linked"})
 
     # Links to the least line of a block join most of what belongs together; the other pairs matter only between the
     # groups that come of it, so a large group of near copies never meets pair by pair.
     first = components(links(head_pairs(shared, bits)), "a", "b")
-    apart = materialize(grouped(shared.select("key", "fp", "t", "v"), "key", first))
+    # Pairs with the least line of their block are settled.
+    apart = materialize(grouped(shared.filter("key <> head").select("key", "fp", "t", "v"), "key", first))
     names = apart.select("key", "group").distinct()
     across = links(cross_pairs(apart, bits, blocks))
     bridges = across.join(names.select(F.col("key").alias("a"), F.col("group").alias("ga")), "a").join(
         names.select(F.col("key").alias("b"), F.col("group").alias("gb")), "b").select("ga", "gb").distinct()
     second = components(bridges, "ga", "gb")
+    # A line that comes once and has no link stays; most lines are such, and go no further.
     rooted = materialize(grouped(grouped(lines.select("key", "first", "n"), "key", first), "group", second)
-                          .withColumnRenamed("group", "root"))
-    kept = rooted.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).filter("n > 1")
+                          .filter("n > 1 or linked").select("key", "first", F.col("group").alias("root")))
+    kept = rooted.groupBy("root").agg(F.min("first").alias("keep"))
     repeated = rooted.select("key", "root").join(kept, "root").select("key", "keep")
     return (hashes.join(repeated, "key").filter(~(F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("pos") == F.col("keep.pos"))
                                                   & (F.col("th") == F.col("keep.th"))))
@@ -230,7 +276,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.struct("id", "th", "dropped").alias("__line_drops"))
     found = F.col("__line_drops")
     joined = docs.join(drops, (F.xxhash64(docs[text_col]) == found["th"]) & docs[id_col].eqNullSafe(found["id"]), "left")
-    lines = F.split(F.col(text_col), "\n")
+    joined = joined.withColumn("__line_cut", F.split(F.col(text_col), "\n"))   # by itself, so that a text is cut once
+    lines = F.col("__line_cut")
     gone = F.coalesce(found["dropped"], F.array().cast("array<int>"))
     text = F.when(F.size(gone) == 0, F.col(text_col)).otherwise(
         F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(gone, i)), "\n"))

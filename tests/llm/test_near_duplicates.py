@@ -131,3 +131,49 @@ def test_lines_of_repeated_rows(docs_of):
     assert len(texts) == len({r.key for r in texts}) == 3
     found = line_dedup.dedup_lines(docs_of(rows)).collect()
     assert len(found) == len(rows) and all(r.text == want[r.doc_id] for r in found)
+
+
+def test_similar_lines_by_their_unlike_part(spark):
+    """Only what lies between the first and the last word that differ is compared, and far beginnings settle long lines."""
+    rng = random.Random(11)
+    pairs = [("a b", "a b c"), ("a b c", "b c"), ("a", "b"), ("a a a a", "a a a"), ("é b c d", "é x c d"), ("b a b a b", "b a b")]
+    for n in (5, 12, 40, 120):
+        for changes in (1, 3, n // 3, n):
+            words = [rng.choice("the of and tion erent nññt xx".split()) + rng.choice("abcd") for _ in range(n)]
+            other = list(words)
+            for _ in range(changes):
+                at = rng.randrange(len(other))
+                other[at:at + 1] = rng.choice([[], [other[at], "new"], ["other"], [other[at][:-1] + "z"]])
+                other = other or ["w"]
+            pairs += [(" ".join(words), " ".join(other)), (" ".join(words), " ".join(rng.sample(words, n)))]
+    frame = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, na string, nb string")
+    split = [F.split(c, " ") for c in ("na", "nb")]
+    got = frame.select("i", line_dedup._similar("na", "nb", 0.8).alias("near"), line_dedup._unlike(*split).alias("part")).orderBy("i").collect()
+    for (a, b), r in zip(pairs, got, strict=True):
+        far = brute.distance(a, b)
+        assert far == brute.distance(r.part.a, r.part.b)
+        assert r.near == (far <= int(max(len(a), len(b)) * 0.2 + 1e-9)), (a, b)
+    assert (got[0].part.a, got[0].part.b) == ("", "c ") and any(r.near for r in got) and not all(r.near for r in got)
+
+
+def test_only_texts_with_a_long_line_are_summed_in_wide_lanes(docs_of):
+    """A long text of short lines takes the sums that hold four places each."""
+    short = "\n".join(" ".join(f"w{i % 13}{j}" for j in range(20)) for i in range(900))
+    found = line_dedup.line_hashes(docs_of([(1, short), (2, "x\n" + "b " * 20_000 + "\ny")]), "doc_id", "text")
+    assert len(short) > 2 * line_dedup.LONG_LINE
+    wide = found.filter("id = 1").count(), found.filter("id = 2").count()
+    assert wide == (900, 3)
+    want = {i: brute.majority([brute.xxhash.xxh64_intdigest(w.encode(), 42) for w in line.split()]) for i, line in enumerate(short.split("\n"))}
+    assert {r.pos: int(r[1], 16) for r in found.filter("id = 1").select("pos", F.hex("fp")).collect()} == want
+
+
+def test_pairs_beside_the_least_line_are_found_without_it(spark):
+    """All near pairs of a block are met, by its least line or, once that is left out, by each other."""
+    rng = np.random.default_rng(7)
+    seeds = rng.integers(0, 1 << 63, 12)
+    fps = [int(s) ^ sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 4), replace=False)) for s in seeds for _ in range(9)]
+    shared = line_dedup.shared_blocks(spark.createDataFrame(list(enumerate(fps)), "key bigint, fp bigint"))
+    heads = {(r.a, r.b) for r in line_dedup.head_pairs(shared).collect()}
+    rest = {(r.a, r.b) for r in line_dedup.cross_pairs(shared.filter("key <> head").withColumn("group", F.col("key"))).collect()}
+    want = {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if (fps[i] ^ fps[j]).bit_count() <= 2}
+    assert heads | rest == want and rest < want
