@@ -177,3 +177,30 @@ def test_pairs_beside_the_least_line_are_found_without_it(spark):
     rest = {(r.a, r.b) for r in line_dedup.cross_pairs(shared.filter("key <> head").withColumn("group", F.col("key"))).collect()}
     want = {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if (fps[i] ^ fps[j]).bit_count() <= 2}
     assert heads | rest == want and rest < want
+
+
+def test_only_lines_that_may_link_go_on(spark):
+    """Of lines in one block, those that meet no other one in two bits and a like size are not fetched; the pairs of the others stay."""
+    rng = np.random.default_rng(9)
+    seeds = rng.integers(0, 1 << 63, 8)
+    fps = [int(s) ^ sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 5), replace=False)) for s in seeds for _ in range(9)]
+    lines = [(i, fp, int(rng.choice([50, 55, 90]))) for i, fp in enumerate(fps)]
+    shared = line_dedup.shared_blocks(spark.createDataFrame(lines, "key bigint, fp bigint, size int"))
+    want = {(i, j) for i, a, m in lines for j, b, n in lines if i < j and (a ^ b).bit_count() <= 2 and abs(m - n) <= int(max(m, n) * 0.2 + 1e-9)}
+    left = line_dedup.met(shared).withColumn("group", F.col("key"))
+    assert {r.key for r in left.select("key").distinct().collect()} == {x for pair in want for x in pair} < {r.key for r in shared.collect()}
+    heads = {(r.a, r.b) for r in line_dedup.head_pairs(left).collect()}
+    rest = {(r.a, r.b) for r in line_dedup.cross_pairs(left.filter("key <> head")).collect()}
+    assert heads | rest == want
+
+
+def test_beginnings_of_unlike_lines_do_not_settle_like_ones(spark):
+    """Lines of different length that begin apart and end alike are similar, though their beginnings differ by almost all that is allowed."""
+    rng = random.Random(13)
+    words = [f"{rng.choice('bcdfgh')}{rng.choice('aeiou')}{rng.choice('klmnrst')}{rng.choice('aeiou')}" for _ in range(150)]
+    pairs = [(" ".join(words), " ".join([*[rng.choice(words)[::-1] for _ in range(front)], *words[front + gap:]]))
+             for front in (10, 20, 25, 30, 36) for gap in (0, 4, 12, 20, 29)]
+    got = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, na string, nb string").select(
+        "i", line_dedup._similar("na", "nb", 0.8).alias("near")).orderBy("i").collect()
+    want = [brute.distance(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9) for a, b in pairs]
+    assert [r.near for r in got] == want and any(want) and not all(want)
